@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .text import py_strip
 
 
 def _c(c) -> Column:
@@ -80,24 +81,32 @@ def whitespace_tokens(text) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def loss_mask(tokens) -> Column:
-    """INS-14 (union of assistant regions): 1 for tokens inside any assistant
-    turn, 0 elsewhere, over whitespace tokens of rendered text. Marker tokens
-    themselves are 0."""
+def marker_positions(tokens) -> Column:
+    """STRUCT<starts, ends>: token positions of assistant start markers and
+    of end markers (computed once per row)."""
     tk = _c(tokens)
-    n = F.size(tk)
-    pos = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    starts = F.filter(pos, lambda i: F.element_at(tk, i + 1).endswith(f"{P.IM_START}assistant"))
-    ends = F.filter(pos, lambda i: F.element_at(tk, i + 1).contains(P.IM_END))
-
-    def flag(i):
-        last_start = F.array_max(F.filter(starts, lambda s: s < i))
-        last_end = F.array_max(F.filter(ends, lambda e: e < i))
+    pos = F.sequence(F.lit(0), F.greatest(F.size(tk) - 1, F.lit(0)))
+    return F.struct(
+        F.filter(pos, lambda i: F.coalesce(F.element_at(tk, i + 1), F.lit("")).endswith(
+            f"{P.IM_START}assistant")).alias("starts"),
+        F.filter(pos, lambda i: F.coalesce(F.element_at(tk, i + 1), F.lit("")).contains(P.IM_END)).alias("ends"))
+
+
+def loss_mask(tokens, markers) -> Column:
+    """INS-14 (union of assistant regions): 1 for tokens inside any assistant
+    turn, 0 elsewhere, over whitespace tokens of rendered text; marker tokens
+    are 0. ``markers`` = ``marker_positions(tokens)`` materialised as its own
+    column, so each token only scans the (few) marker positions."""
+    tk, mk = _c(tokens), _c(markers)
+
+    def flag(x, i):
+        last_start = F.array_max(F.filter(mk["starts"], lambda s: s < i))
+        last_end = F.array_max(F.filter(mk["ends"], lambda e: e < i))
         inside = last_start.isNotNull() & (last_end.isNull() | (last_end < last_start))
-        is_marker = F.element_at(tk, i + 1).contains(P.IM_END) | F.element_at(tk, i + 1).contains(P.IM_START)
+        is_marker = x.contains(P.IM_END) | x.contains(P.IM_START)
         return F.when(inside & ~is_marker, 1).otherwise(0)
 
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(pos, flag))
+    return F.transform(tk, flag)
 
 
 def extract_response(generated) -> Column:
@@ -106,7 +115,7 @@ def extract_response(generated) -> Column:
     g = _c(generated)
     after = F.try_element_at(F.split(g, r"<\|im_start\|>assistant\n"), F.lit(2))
     cut = F.when(after.contains(P.IM_END), F.split(after, r"<\|im_end\|>")[0]).otherwise(after)
-    return F.trim(cut)
+    return py_strip(cut)
 
 
 def fill_template(template, values) -> Column:

@@ -147,3 +147,9 @@ def standardize_citation(col) -> Column:
     c = F.regexp_replace(c, r"§ ?", "§ ")
     c = F.regexp_replace(c, r"Art\. ?", "Art. ")
     return F.trim(c)
+
+
+def py_strip(col) -> Column:
+    """Python ``str.strip()``: remove leading/trailing (Unicode) whitespace."""
+    ws = P.WS[:-1]  # the class without the trailing '+'
+    return F.regexp_replace(_col(col), f"^{ws}+|{ws}+$", "")

@@ -51,7 +51,7 @@ def example_id(*cols) -> Column:
 
 def build_examples(df: DataFrame, task, lang: str = "en", text_col: str = "text",
                    id_cols: list[str] | None = None, meta: dict | None = None,
-                   truncate: int | None = None) -> DataFrame:
+                   truncate: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """INS-03/04: system + user(instruction, blank line, text) + assistant
     (template). ``task``: literal task name or a task column. ``meta``:
     metadata field → Column; ``task`` is added (the requested task, even
@@ -72,7 +72,7 @@ def build_examples(df: DataFrame, task, lang: str = "en", text_col: str = "text"
     md = F.struct(*[v.alias(k) for k, v in meta.items()])
     id_cols = id_cols or []
     return df.select(example_id(*id_cols, tcol).alias("id"), conv.alias("conversations"),
-                     md.alias("metadata"))
+                     md.alias("metadata"), *(keep or []))
 
 
 def german_metadata(court="court", date="date", case_number="case_number",
