@@ -39,8 +39,8 @@ def template_columns(task, lang: str = "en") -> tuple[Column, Column]:
     """(instruction, response) for a task column; unknown task → fallback."""
     rows, fb = _templates(lang)
     fb_row = [r for r in rows if r[0] == fb][0]
-    ins = F.coalesce(F.element_at(_lit_map([(t, i) for t, i, _ in rows]), _c(task)), F.lit(fb_row[1]))
-    res = F.coalesce(F.element_at(_lit_map([(t, r) for t, _, r in rows]), _c(task)), F.lit(fb_row[2]))
+    ins = F.coalesce(F.try_element_at(_lit_map([(t, i) for t, i, _ in rows]), _c(task)), F.lit(fb_row[1]))
+    res = F.coalesce(F.try_element_at(_lit_map([(t, r) for t, _, r in rows]), _c(task)), F.lit(fb_row[2]))
     return ins, res
 
 
@@ -147,7 +147,7 @@ def build_prompt(text, task, lang) -> Column:
     eff = F.when(lc == "de", F.lit("de")).otherwise(F.lit("en"))
     table = _lit_map([(f"{t}|{l}", i) for t, l, i in P.PROMPT_INSTRUCTIONS if t is not None])
     default = _lit_map([(l, i) for t, l, i in P.PROMPT_INSTRUCTIONS if t is None])
-    ins = F.coalesce(F.element_at(table, F.concat_ws("|", tc, eff)), F.element_at(default, eff))
+    ins = F.coalesce(F.try_element_at(table, F.concat_ws("|", tc, eff)), F.try_element_at(default, eff))
     system = F.when(eff == "de", F.lit(P.SYSTEM_DE)).otherwise(F.lit(P.SYSTEM_EN))
     return F.concat(F.lit(f"{P.IM_START}system\n"), system, F.lit(f"\n{P.IM_END}\n{P.IM_START}user\n"),
                     ins, F.lit("\n\n"), _c(text), F.lit(f"\n{P.IM_END}\n{P.IM_START}assistant\n"))
@@ -223,7 +223,7 @@ def upgrade_templates(df: DataFrame, mapping: dict | None = None, task_col: str
     mapping = mapping or DEFAULT_UPGRADE
     tpl = dict(REASONING_TEMPLATES)
     m = _lit_map([(task, tpl[name]) for task, name in mapping.items()])
-    new = F.element_at(m, F.col(task_col))
+    new = F.try_element_at(m, F.col(task_col))
     conv = F.transform("conversations", lambda x: F.when(
         (x["role"] == "assistant") & new.isNotNull(),
         F.struct(x["role"].alias("role"), new.alias("content"))).otherwise(x))

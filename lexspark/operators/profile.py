@@ -56,11 +56,11 @@ def describe_lengths(df: DataFrame, length: Column | str, by: list[str] | None =
 
 def length_histogram(df: DataFrame, length: Column | str, bins: int = 20) -> DataFrame:
     """AGG-06: equal-width bins between min and max; the last bin is closed.
-    min/max come from a one-row aggregate cross-joined (broadcast, 1 row)."""
+    min/max come from a one-row aggregate joined back (broadcast, 1 row)."""
     x = (F.col(length) if isinstance(length, str) else length).cast("double")
     d = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    mm = d.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    j = d.crossJoin(F.broadcast(mm))
+    mm = d.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).withColumn("_k", F.lit(1))
+    j = d.withColumn("_k", F.lit(1)).join(F.broadcast(mm), "_k")  # one-row side
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
@@ -140,3 +140,16 @@ def mine_vocabulary(df: DataFrame, id_col: str, text_col: str, k: int,
     per_doc = ex.groupBy("term", "_d").agg(F.count(F.lit(1)).alias("tf"))
     stats = per_doc.groupBy("term").agg(F.sum("tf").alias("term_freq"), F.count(F.lit(1)).alias("doc_freq"))
     return stats.orderBy(F.desc("doc_freq"), F.desc("term_freq"), F.asc("term")).limit(k)
+
+
+def manifest(df: DataFrame, split_col: str = "split", field: str = "metadata.document_type") -> DataFrame:
+    """AGG-08: per split: count, distribution of ``field`` ('value:count',
+    sorted by value; NULL → 'unknown') and the record's field list."""
+    fields = [c for c in df.columns if c != split_col]
+    g = df.groupBy(split_col, F.coalesce(F.col(field).cast("string"), F.lit("unknown")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    m = g.groupBy(split_col).agg(F.sum("_c").cast("bigint").alias("count"),
+                                 F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_d"))
+    dist = F.array_join(F.transform("_d", lambda e: F.concat(e["_v"], F.lit(":"), e["_c"].cast("string"))), ",")
+    return m.select(split_col, "count", dist.alias("distribution"),
+                    F.array(*[F.lit(f) for f in fields]).alias("fields"))
