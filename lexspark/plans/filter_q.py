@@ -190,3 +190,45 @@ def vocabulary_topk(spark, sf_dir):
     out = PR.mine_vocabulary(df, "doc_id", "nt", 100)
     return out.select("term", F.col("term_freq").cast("bigint").alias("term_freq"),
                       F.col("doc_freq").cast("bigint").alias("doc_freq"))
+
+
+@query("normalize_flags", with_legal(
+    "SELECT doc_id, trim(translate(lower(text), 'ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿÇçÑñ', "
+    "'AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuYyyCcNn')) AS flagged FROM legal"))
+def normalize_flags(spark, sf_dir):
+    return legal(spark, sf_dir).select("doc_id", T.normalize_flags(F.col("text"), lowercase=True,
+                                                                   remove_accents=True).alias("flagged"))
+
+
+@query("route_by_type",
+       "SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS file_type, CASE WHEN lower(regexp_extract(url, "
+       "'\\.([^./]+)$', 1)) NOT IN ('txt', 'html', 'htm', 'xml') THEN concat('Unsupported file format: ', url) END AS error "
+       "FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '.html' WHEN 1 THEN url || '.xml' WHEN 2 THEN url || '.TXT' "
+       "WHEN 3 THEN url || '.pdf' ELSE url END AS url FROM pages)")
+def route_by_type(spark, sf_dir):
+    from ..sources.readers import route_by_type as _route
+    p = read_table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "CASE page_id % 5 WHEN 0 THEN url || '.html' WHEN 1 THEN url || '.xml' WHEN 2 THEN url || '.TXT' "
+        "WHEN 3 THEN url || '.pdf' ELSE url END AS url")
+    return _route(p, "url").select("page_id", "file_type", "error")
+
+
+_CAT = ("CASE WHEN doc_id % 3 = 0 THEN upper(coalesce(court, 'unknown')) ELSE court END")
+
+
+@query("merge_catalogue", with_legal(
+    f", cat AS (SELECT case_number AS ck, {_CAT} AS c_court, date AS c_date, 'https://example.invalid/' || doc_id AS c_link "
+    "FROM legal WHERE doc_id % 2 = 0) "
+    "SELECT doc_id, CASE WHEN ck IS NOT NULL THEN c_court ELSE court END AS court, "
+    "CASE WHEN ck IS NOT NULL THEN c_date ELSE date END AS date, CASE WHEN ck IS NOT NULL THEN c_link END AS link "
+    "FROM (SELECT * FROM legal WHERE language = 'de') d LEFT JOIN (SELECT DISTINCT ON (ck) * FROM cat ORDER BY ck, c_link) c "
+    "ON d.case_number = c.ck"))
+def merge_catalogue(spark, sf_dir):
+    lg = legal(spark, sf_dir)
+    cat = lg.where(F.col("doc_id") % 2 == 0).selectExpr(
+        "case_number", f"{_CAT} AS court", "date", "concat('https://example.invalid/', CAST(doc_id AS STRING)) AS link")
+    # one catalogue entry per case number (smallest link), like a keyed catalogue
+    cat = cat.groupBy("case_number").agg(F.min_by(F.struct("court", "date", "link"), F.col("link")).alias("_c")).select(
+        "case_number", "_c.*")
+    out = FL.merge_catalogue(lg.where(F.col("language") == "de"), cat, "case_number", ["court", "date", "link"])
+    return out.select("doc_id", "court", "date", "link")

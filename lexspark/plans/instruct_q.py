@@ -321,3 +321,25 @@ def parse_reasoning(spark, sf_dir):
     r = CV.parse_reasoning(F.col("o"))
     return df.select("conv_id", "turn", r["think"].alias("think"), r["answer"].alias("answer"),
                      r["well_formed"].alias("well_formed"))
+
+
+# ---------------------------------------------------------------- example filters and counts
+from ..operators import filters as FL  # noqa: E402
+from ..operators import profile as PR  # noqa: E402
+
+
+@query("filter_task", _sql_examples_de() + "SELECT id, task FROM ex WHERE task = 'summarization'")
+def filter_task(spark, sf_dir):
+    return FL.filter_task(examples_de(spark, sf_dir), "summarization").select("id", F.col("metadata.task").alias("task"))
+
+
+@query("filter_language", _sql_examples_de() + "SELECT id, language FROM ex WHERE language = 'de'")
+def filter_language(spark, sf_dir):
+    return FL.filter_language(examples_de(spark, sf_dir), "de").select(
+        "id", F.col("metadata.language").alias("language"))
+
+
+@query("task_counts", _sql_examples_en() + "SELECT coalesce(task, 'unknown') AS task, CAST(count(*) AS BIGINT) AS count "
+       "FROM ex GROUP BY 1")
+def task_counts(spark, sf_dir):
+    return PR.task_counts(examples_en(spark, sf_dir), "metadata.task")
