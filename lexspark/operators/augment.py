@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.arrays import explode_rows
 from .splits import hash_key
 
 _VARIANT = "struct<variant:string,text:string,jurisdiction:string,year:int>"
@@ -50,7 +51,7 @@ def augment_cases(df: DataFrame, text_col: str = "text", jurisdiction_col: str =
     if year:
         parts.append(_year_variants(t, j, y))
     others = [c for c in df.columns if c not in (text_col, jurisdiction_col, year_col)]
-    ex = df.select(*others, F.explode(F.concat(*parts)).alias("_v"))
+    ex = explode_rows(df, F.concat(*parts), "_v", others)
     return ex.select(*others, F.col("_v.variant").alias("variant"), F.col("_v.text").alias(text_col),
                      F.col("_v.jurisdiction").alias(jurisdiction_col), F.col("_v.year").alias(year_col))
 
@@ -69,7 +70,7 @@ def augment_synonyms(df: DataFrame, synonyms: DataFrame, id_col: str, text_col:
     keyed = F.transform(F.sequence(F.lit(0), F.size("_w") - 1),
                         lambda i: F.struct(hash_key([F.col(id_col), i], seed).alias("h"), i.alias("pos")))
     chosen = F.slice(F.array_sort(keyed), 1, n_words)
-    picks = (d.select(id_col, "_w", F.explode(F.when(F.size("_w") > 0, chosen)).alias("_c"))
+    picks = (explode_rows(d, F.when(F.size("_w") > 0, chosen), "_c", [id_col, "_w"])
              .select(id_col, F.col("_c.pos").alias("pos"), F.element_at("_w", F.col("_c.pos") + 1).alias("word")))
     u = F.conv(F.substring(hash_key([F.col(id_col), F.col("pos"), F.lit("p")], seed), 1, 8), 16, 10
                ).cast("bigint") / F.lit(4294967296.0)

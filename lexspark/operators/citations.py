@@ -12,16 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
+
 
 def citation_table(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citations") -> DataFrame:
     """One row per (doc, ordinal, citation); documents without citations vanish."""
-    return df.select(id_col, F.posexplode(cit_col).alias("ordinal", "citation")).select(
-        id_col, F.col("ordinal").cast("bigint").alias("ordinal"), "citation")
+    t = explode_rows(df, F.col(cit_col), "citation", [id_col], pos_alias="ordinal")
+    return t.select(id_col, F.col("ordinal").cast("bigint").alias("ordinal"), "citation")
 
 
 def citation_edges(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citations") -> DataFrame:
     """Edges doc → authority with multiplicity."""
-    return (df.select(id_col, F.explode(cit_col).alias("authority"))
+    return (explode_rows(df, F.col(cit_col), "authority", [id_col])
             .groupBy(id_col, "authority").agg(F.count(F.lit(1)).alias("weight")))
 
 

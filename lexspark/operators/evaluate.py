@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from ..functions import patterns as P
+from ..functions.arrays import explode_rows
 
 _WORD = r"[\p{L}\p{N}_]+"  # Python's Unicode \w
 
@@ -167,12 +168,12 @@ def _ngrams(tokens: Column, ns) -> Column:
 
 def ngram_hits(df: DataFrame, id_col: str, ref_tokens: str, pred_tokens: str, ns=(1, 2)) -> DataFrame:
     """Clipped n-gram matches per (id, n): Σ_g min(count_ref, count_pred)."""
-    sides = df.select(id_col, F.explode(F.concat(
+    grams = F.concat(
         F.transform(_ngrams(F.col(ref_tokens), ns), lambda x: F.struct(x["n"].alias("n"), x["gram"].alias("gram"),
                                                                        F.lit(1).alias("r"), F.lit(0).alias("p"))),
         F.transform(_ngrams(F.col(pred_tokens), ns), lambda x: F.struct(x["n"].alias("n"), x["gram"].alias("gram"),
-                                                                        F.lit(0).alias("r"), F.lit(1).alias("p")))
-    )).alias("_g"))
+                                                                        F.lit(0).alias("r"), F.lit(1).alias("p"))))
+    sides = explode_rows(df, grams, "_g", [id_col])
     per_gram = sides.groupBy(id_col, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
         F.sum("_g.r").alias("cr"), F.sum("_g.p").alias("cp"))
     return per_gram.groupBy(id_col, "n").agg(F.sum(F.least("cr", "cp")).alias("hits"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_rows
 
 
 def pii_report(df: DataFrame, text_col: str, lang, by: list[str]) -> DataFrame:
@@ -134,7 +135,7 @@ def mine_vocabulary(df: DataFrame, id_col: str, text_col: str, k: int,
     frequency. Tokens: split on anything but letters/digits/§/dot, strip
     trailing dots. Partial aggregation shrinks hot terms map-side."""
     toks = df.select(F.col(text_col).alias("_t"), F.col(id_col).alias("_d"))
-    ex = toks.select("_d", F.explode(F.split(F.col("_t"), token_regex)).alias("term"))
+    ex = explode_rows(toks, F.split(F.col("_t"), token_regex), "term", ["_d"])
     ex = ex.select("_d", F.regexp_replace("term", r"\.+$", "").alias("term")).where(
         F.length("term") >= min_len)
     per_doc = ex.groupBy("term", "_d").agg(F.count(F.lit(1)).alias("tf"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import conversation as CV
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.arrays import explode_rows
 from ..operators import instruct as I
 from ..session import read_table
 from . import sql_re2 as R
@@ -202,7 +203,7 @@ def assistant_contents(spark, sf_dir):
        f"+ {len(P.ASSISTANT_MARKER)} AS s FROM (SELECT conv_id, cs, ps, unnest(range(len(cs))) AS i FROM c))")
 def assistant_spans(spark, sf_dir):
     r = rendered(spark, sf_dir)
-    s = r.select("conv_id", F.posexplode(CV.assistant_spans(F.col("text"))).alias("span_no", "sp"))
+    s = explode_rows(r, CV.assistant_spans(F.col("text")), "sp", ["conv_id"], pos_alias="span_no")
     return s.select("conv_id", "span_no", F.col("sp.start").alias("start"), F.col("sp.end").alias("end"))
 
 

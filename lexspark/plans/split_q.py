@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.arrays import explode_rows
 from ..operators import augment as AU
 from ..operators import profile as PR
 from ..operators import splits as SP
@@ -204,7 +205,7 @@ def augment_year(spark, sf_dir):
 def _synonyms(docs):
     """Synonym table derived from the corpus: every word of ≥ 4 chars maps to
     its upper-case and its reversed spelling."""
-    w = docs.select(F.explode(F.split(F.col("nt"), " ")).alias("word")).where(F.length("word") >= 4).distinct()
+    w = explode_rows(docs, F.split(F.col("nt"), " "), "word").where(F.length("word") >= 4).distinct()
     return w.select("word", F.explode(F.array(F.upper("word"), F.reverse("word"))).alias("synonym"))
 
 
