@@ -35,10 +35,10 @@ DECISION_SCHEMA = TY.StructType([TY.StructField("metadata", DECISION_METADATA),
 
 def read_text_docs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """SRC-01: one row per whole UTF-8 text file: (source_file, file_type, raw)."""
-    r = spark.read.option("wholetext", True)
+    r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
+    df = r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
     return df.withColumn("file_type", F.regexp_extract("source_file", r"\.([^./]+)$", 1))
 
 
@@ -52,13 +52,14 @@ def route_by_type(df: DataFrame, path_col: str = "source_file") -> DataFrame:
 
 def decode_documents(df: DataFrame, raw_col: str = "raw", type_col: str = "file_type") -> DataFrame:
     """Text per file type: txt as is, html/htm and xml through the markup
-    UDFs. Adds ``text`` and ``error`` (existing errors are kept)."""
-    html = markup.html_to_text(F.col(raw_col))
-    xmlt = markup.xml_to_text(F.col(raw_col))
-    d = df.withColumn("_h", F.when(F.col(type_col).isin("html", "htm"), html)).withColumn(
-        "_x", F.when(F.col(type_col) == "xml", xmlt))
-    text = (F.when(F.col(type_col) == "txt", F.col(raw_col)).when(F.col(type_col).isin("html", "htm"), F.col("_h.value"))
-            .when(F.col(type_col) == "xml", F.col("_x.value")))
+    UDFs (each UDF only receives its own rows; others get NULL). Adds
+    ``text`` and ``error`` (existing errors are kept)."""
+    t = F.col(type_col)
+    safe = F.make_valid_utf8(F.col(raw_col))  # Arrow needs valid UTF-8
+    d = (df.withColumn("_h", markup.html_to_text(F.when(t.isin("html", "htm"), safe)))
+         .withColumn("_x", markup.xml_to_text(F.when(t == "xml", safe))))
+    text = (F.when(t == "txt", F.col(raw_col)).when(t.isin("html", "htm"), F.col("_h.value"))
+            .when(t == "xml", F.col("_x.value")))
     err = F.coalesce(F.col("error") if "error" in df.columns else F.lit(None).cast("string"),
                      F.col("_h.error"), F.col("_x.error"))
     return d.withColumn("text", text).withColumn("error", err).drop("_h", "_x")
@@ -76,9 +77,11 @@ def process_directory(spark: SparkSession, path: str, language: str = "en",
     s = raw.select("source_file", F.col("content").cast("string").alias("raw"))
     s = route_by_type(s).withColumn("error", F.coalesce(F.col("error"), F.when(
         ~F.is_valid_utf8(F.col("raw")), F.lit("invalid UTF-8"))))
-    d = decode_documents(s)
+    # rows rejected so far never reach a parser
+    d = decode_documents(s.where(F.col("error").isNull()))
     good = d.where(F.col("error").isNull()).drop("error", "raw")
-    bad = d.where(F.col("error").isNotNull()).select("source_file", "file_type", "error")
+    bad = (s.where(F.col("error").isNotNull()).select("source_file", "file_type", "error")
+           .unionByName(d.where(F.col("error").isNotNull()).select("source_file", "file_type", "error")))
     out = preprocess(good, "text", language, anonymize=anonymize)
     out = out.withColumn("metadata", F.struct(F.col("source_file"), F.col("file_type"),
                                               F.lit(language).alias("language")))
@@ -87,16 +90,18 @@ def process_directory(spark: SparkSession, path: str, language: str = "en",
 
 def read_examples(spark: SparkSession, path: str, schema: TY.StructType = EXAMPLE_SCHEMA
                   ) -> tuple[DataFrame, DataFrame]:
-    """SRC-06: JSONL examples from a file or a folder of .jsonl/.json;
-    unparsable lines are split off (returned second) instead of failing."""
-    s = schema if "_corrupt_record" in schema.names else TY.StructType(
-        list(schema.fields) + [TY.StructField("_corrupt_record", TY.StringType())])
-    r = spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    """SRC-06: JSONL examples from a file or a folder of .jsonl/.json.
+    Lines that are not a JSON object (broken JSON, ``[1]``) are split off
+    (returned second, with their file) instead of failing; blank lines vanish."""
+    r = spark.read
     if not path.endswith((".jsonl", ".json")):
         r = r.option("pathGlobFilter", "*.{jsonl,json}")
-    df = r.json(path).withColumn("_source", F.col("_metadata.file_path"))
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_source")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_source", "_corrupt_record")
+    lines = r.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_source"))
+    lines = lines.where(F.trim("line") != "")
+    is_object = F.try_parse_json("line").isNotNull() & F.ltrim("line").startswith("{")
+    lines = lines.withColumn("_ok", is_object)
+    good = lines.where("_ok").select(F.from_json("line", schema).alias("_e")).select("_e.*")
+    bad = lines.where(~F.col("_ok")).select("_source", F.col("line").alias("_corrupt_record"))
     return good, bad
 
 

@@ -15,12 +15,17 @@ from ..operators.preprocess import preprocess
 from ..session import checkpoint_dir
 
 
+BINARY_FILE_SCHEMA = TY.StructType([
+    TY.StructField("path", TY.StringType()), TY.StructField("modificationTime", TY.TimestampType()),
+    TY.StructField("length", TY.LongType()), TY.StructField("content", TY.BinaryType())])
+
+
 def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: str = "en",
                      checkpoint: str | None = None, available_now: bool = True, glob: str = "*.txt"):
     """STR-01: new text files → preprocess → parquet (good rows) and a
     rejects folder (invalid UTF-8), exactly once via foreachBatch + checkpoint."""
     checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_documents"
-    raw = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", 1000).load(in_dir)
            .select(F.col("path").alias("source_file"), F.col("content").cast("string").alias("raw")))
 
