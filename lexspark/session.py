@@ -53,5 +53,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy row work (regexes, parsers) every core when the scan
+    yields fewer splits than the cluster has cores (one big row group, few
+    files). At scale a scan already has far more splits than cores and this
+    is a no-op, so no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * factor)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
