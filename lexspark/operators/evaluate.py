@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from ..functions import patterns as P
-from ..functions.arrays import explode_rows
 
 _WORD = r"[\p{L}\p{N}_]+"  # Python's Unicode \w
 
@@ -166,65 +165,75 @@ def _ngrams(tokens: Column, ns) -> Column:
     return F.concat(*parts)
 
 
-def ngram_hits(df: DataFrame, id_col: str, ref_tokens: str, pred_tokens: str, ns=(1, 2)) -> DataFrame:
-    """Clipped n-gram matches per (id, n): Σ_g min(count_ref, count_pred)."""
-    grams = F.concat(
-        F.transform(_ngrams(F.col(ref_tokens), ns), lambda x: F.struct(x["n"].alias("n"), x["gram"].alias("gram"),
-                                                                       F.lit(1).alias("r"), F.lit(0).alias("p"))),
-        F.transform(_ngrams(F.col(pred_tokens), ns), lambda x: F.struct(x["n"].alias("n"), x["gram"].alias("gram"),
-                                                                        F.lit(0).alias("r"), F.lit(1).alias("p"))))
-    sides = explode_rows(df, grams, "_g", [id_col])
-    per_gram = sides.groupBy(id_col, F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram")).agg(
-        F.sum("_g.r").alias("cr"), F.sum("_g.p").alias("cp"))
-    return per_gram.groupBy(id_col, "n").agg(F.sum(F.least("cr", "cp")).alias("hits"))
+def _tagged(tokens: Column, ns, kind: str, side: str) -> Column:
+    """n-grams of one side tagged (kind, n, gram, r, p)."""
+    r, p = (1, 0) if side == "r" else (0, 1)
+    return F.transform(_ngrams(tokens, ns), lambda x: F.struct(
+        F.lit(kind).alias("kind"), x["n"].alias("n"), x["gram"].alias("gram"),
+        F.lit(r).alias("r"), F.lit(p).alias("p")))
 
 
-def _hits_wide(hits: DataFrame, id_col: str, ns) -> DataFrame:
-    return hits.groupBy(id_col).agg(*[F.sum(F.when(F.col("n") == n, F.col("hits"))).alias(f"h{n}") for n in ns])
+def gram_stats(df: DataFrame, keys: list[str], specs) -> DataFrame:
+    """One pass for any number of n-gram metrics: ``specs`` = [(kind,
+    ref_tokens_col, pred_tokens_col, ns)]. Per key row: ``{kind}_h{n}``
+    (clipped matches Σ_g min(count_ref, count_pred)), ``{kind}_r{n}`` and
+    ``{kind}_p{n}`` (reference / prediction n-gram counts). Empty texts keep
+    their row (explode_outer); nothing is joined back."""
+    parts = []
+    for kind, rt, pt, ns in specs:
+        parts += [_tagged(F.col(rt), ns, kind, "r"), _tagged(F.col(pt), ns, kind, "p")]
+    ex = df.select(*keys, F.explode_outer(F.concat(*parts)).alias("_g"))
+    per_gram = ex.groupBy(*keys, F.col("_g.kind").alias("kind"), F.col("_g.n").alias("n"),
+                          F.col("_g.gram").alias("gram")).agg(F.sum("_g.r").alias("cr"), F.sum("_g.p").alias("cp"))
+    aggs = []
+    for kind, _, _, ns in specs:
+        for n in ns:
+            sel = (F.col("kind") == kind) & (F.col("n") == n)
+            aggs += [F.coalesce(F.sum(F.when(sel, F.least("cr", "cp"))), F.lit(0)).alias(f"{kind}_h{n}"),
+                     F.coalesce(F.sum(F.when(sel, F.col("cr"))), F.lit(0)).alias(f"{kind}_r{n}"),
+                     F.coalesce(F.sum(F.when(sel, F.col("cp"))), F.lit(0)).alias(f"{kind}_p{n}")]
+    return per_gram.groupBy(*keys).agg(*aggs)
 
 
 def _f(prec: Column, rec: Column) -> Column:
     return F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
 
 
+def _rouge_col(kind: str, n: int) -> Column:
+    h = F.col(f"{kind}_h{n}")
+    prec = h / F.greatest(F.col(f"{kind}_p{n}"), F.lit(1))
+    rec = h / F.greatest(F.col(f"{kind}_r{n}"), F.lit(1))
+    return _f(prec, rec)
+
+
+def _bleu_col(kind: str, epsilon: float = 0.1) -> Column:
+    logs = []
+    for n in (1, 2, 3, 4):
+        h = F.col(f"{kind}_h{n}").cast("double")
+        den = F.greatest(F.col(f"{kind}_p{n}"), F.lit(1)).cast("double")
+        logs.append(F.log(F.when(h == 0, F.lit(epsilon) / den).otherwise(h / den)))
+    c, r = F.col(f"{kind}_p1"), F.col(f"{kind}_r1")  # token counts = unigram counts
+    bp = F.when(c > r, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.exp(1 - r / c))
+    return F.when(F.col(f"{kind}_h1") == 0, F.lit(0.0)).otherwise(bp * F.exp(sum(logs) / F.lit(4.0)))
+
+
 def rouge_n(df: DataFrame, id_col: str, ref: str, pred: str, ns=(1, 2), stemmer=None) -> DataFrame:
     """EVL-05/06: ROUGE-N F per pair (columns rouge1, rouge2, …).
-    ``stemmer``: optional function DataFrame→DataFrame adding stemmed token
-    arrays (see ``stem_tokens``)."""
+    ``stemmer``: optional function DataFrame→DataFrame replacing the token
+    arrays by stemmed ones (see ``stem_tokens``)."""
     d = df.select(id_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"))
     if stemmer is not None:
-        d = stemmer(d, ["_rt", "_pt"], id_col)
-    hw = _hits_wide(ngram_hits(d, id_col, "_rt", "_pt", ns), id_col, ns)
-    j = d.join(hw, id_col, "left")
-    cols = []
-    for n in ns:
-        h = F.coalesce(F.col(f"h{n}"), F.lit(0))
-        pc = F.greatest(F.size("_pt") - n + 1, F.lit(0))
-        rc = F.greatest(F.size("_rt") - n + 1, F.lit(0))
-        prec = h / F.greatest(pc, F.lit(1))
-        rec = h / F.greatest(rc, F.lit(1))
-        cols.append(_f(prec, rec).alias(f"rouge{n}"))
-    return j.select(id_col, *cols)
+        d = stemmer(d, ["_rt", "_pt"])
+    st = gram_stats(d, [id_col], [("rg", "_rt", "_pt", ns)])
+    return st.select(id_col, *[_rouge_col("rg", n).alias(f"rouge{n}") for n in ns])
 
 
 def bleu(df: DataFrame, id_col: str, ref: str, pred: str, epsilon: float = 0.1) -> DataFrame:
     """EVL-08: sentence BLEU-4, whitespace tokens, brevity penalty,
     smoothing method 1 (ε for zero counts; 0 without any unigram match)."""
-    ns = (1, 2, 3, 4)
     d = df.select(id_col, whitespace_tokens(ref).alias("_rt"), whitespace_tokens(pred).alias("_pt"))
-    hw = _hits_wide(ngram_hits(d, id_col, "_rt", "_pt", ns), id_col, ns)
-    j = d.join(hw, id_col, "left")
-    c, r = F.size("_pt"), F.size("_rt")
-    logs = []
-    for n in ns:
-        h = F.coalesce(F.col(f"h{n}"), F.lit(0)).cast("double")
-        den = F.greatest(c - n + 1, F.lit(1)).cast("double")
-        p_n = F.when(h == 0, F.lit(epsilon) / den).otherwise(h / den)
-        logs.append(F.log(p_n))
-    bp = F.when(c > r, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.exp(1 - r / c))
-    score = F.when(F.coalesce(F.col("h1"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
-        bp * F.exp(sum(logs) / F.lit(4.0)))
-    return j.select(id_col, score.alias("bleu"))
+    st = gram_stats(d, [id_col], [("bl", "_rt", "_pt", (1, 2, 3, 4))])
+    return st.select(id_col, _bleu_col("bl", epsilon).alias("bleu"))
 
 
 def _lcs_len(a, b) -> int:
@@ -261,7 +270,7 @@ def rouge_l(df: DataFrame, id_col: str, ref: str, pred: str, stemmer=None) -> Da
     """EVL-07: ROUGE-L F from the LCS over rouge tokens (Arrow pandas UDF)."""
     d = df.select(id_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"))
     if stemmer is not None:
-        d = stemmer(d, ["_rt", "_pt"], id_col)
+        d = stemmer(d, ["_rt", "_pt"])
     return d.select(id_col, _rouge_l_udf("_rt", "_pt").alias("rougeL"))
 
 
@@ -271,19 +280,33 @@ GENERIC_TASKS_METRICS = ["rouge1", "rouge2", "rougeL"]
 
 
 def score_pairs(df: DataFrame, id_col: str = "id", task_col: str = "task", ref: str = "reference",
-                pred: str = "prediction", lang: str = "en", with_rouge_l: bool = True) -> DataFrame:
+                pred: str = "prediction", lang: str = "en", with_rouge_l: bool = True, stemmer=None) -> DataFrame:
     """EVL-09 per row: classification rows get labels; every other task gets
-    ROUGE-1/2(/L); summarization also BLEU. One plan for all tasks."""
-    base = df.select(id_col, task_col, ref, pred)
+    ROUGE-1/2(/L); summarization also BLEU. One plan: the classification
+    part is a narrow projection, the text part one n-gram pass (ROUGE and
+    BLEU grams tagged in the same explode) whose aggregation also carries
+    the per-row ROUGE-L; the two parts are unioned, nothing is joined."""
     cls = F.col(task_col) == "classification"
-    r12 = rouge_n(base.where(~cls), id_col, ref, pred, (1, 2))
-    b = bleu(base.where(F.col(task_col) == "summarization"), id_col, ref, pred)
-    out = (base.withColumn("true_label", F.when(cls, extract_label(F.col(ref), lang)))
-           .withColumn("predicted_label", F.when(cls, extract_label(F.col(pred), lang)))
-           .join(r12, id_col, "left").join(b, id_col, "left"))
-    if with_rouge_l:
-        out = out.join(rouge_l(base.where(~cls), id_col, ref, pred), id_col, "left")
-    return out
+    labels = df.where(cls).select(
+        id_col, task_col, extract_label(F.col(ref), lang).alias("true_label"),
+        extract_label(F.col(pred), lang).alias("predicted_label"),
+        *[F.lit(None).cast("double").alias(c) for c in ("rouge1", "rouge2", "rougeL", "bleu")])
+    summ = F.col(task_col) == "summarization"
+    t = df.where(~cls).select(id_col, task_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"),
+                              F.when(summ, whitespace_tokens(ref)).otherwise(F.array().cast("array<string>")).alias("_bt"),
+                              F.when(summ, whitespace_tokens(pred)).otherwise(F.array().cast("array<string>")).alias("_bp"),
+                              summ.alias("_summ"))
+    if stemmer is not None:
+        t = stemmer(t, ["_rt", "_pt"])
+    rl = _rouge_l_udf("_rt", "_pt") if with_rouge_l else F.lit(None).cast("double")
+    t = t.withColumn("rougeL", rl)
+    st = gram_stats(t, [id_col, task_col, "_summ", "rougeL"],
+                    [("rg", "_rt", "_pt", (1, 2)), ("bl", "_bt", "_bp", (1, 2, 3, 4))])
+    text = st.select(id_col, task_col, F.lit(None).cast("string").alias("true_label"),
+                     F.lit(None).cast("string").alias("predicted_label"),
+                     _rouge_col("rg", 1).alias("rouge1"), _rouge_col("rg", 2).alias("rouge2"), "rougeL",
+                     F.when(F.col("_summ"), _bleu_col("bl")).alias("bleu"))
+    return labels.unionByName(text)
 
 
 def evaluate_by_task(scored: DataFrame, task_col: str = "task") -> DataFrame:

@@ -15,6 +15,10 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Inferred IS NOT NULL filters get pushed below projections and re-inline
+    # expensive derived columns (regex chains over whole documents); for this
+    # text-heavy workload that doubles the regex work, so skip the inference.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
