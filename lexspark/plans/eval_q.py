@@ -185,6 +185,16 @@ def rouge2(spark, sf_dir):
     return r.select("id", F.round("rouge2", 6).alias("rouge2"))
 
 
+@query("rouge_stemmed")
+def rouge_stemmed(spark, sf_dir):
+    """ROUGE-1/2/L with the Porter stemmer on tokens longer than 3 chars."""
+    from ..functions.porter import stem_tokens
+    p = text_pairs(spark, sf_dir)
+    r = EV.rouge_n(p, "id", "reference", "prediction", (1, 2), stemmer=stem_tokens)
+    rl = EV.rouge_l(p, "id", "reference", "prediction", stemmer=stem_tokens)
+    return r.join(rl, "id").select("id", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+
+
 @query("rouge_l")
 def rouge_l(spark, sf_dir):
     r = EV.rouge_l(text_pairs(spark, sf_dir), "id", "reference", "prediction")
@@ -207,7 +217,9 @@ def _all_pairs(spark, sf_dir):
 
 @query("evaluate_by_task")
 def evaluate_by_task(spark, sf_dir):
-    s = EV.score_pairs(_all_pairs(spark, sf_dir), "id", "task", "reference", "prediction")
+    """The reference's dispatch, with its stemmed ROUGE."""
+    from ..functions.porter import stem_tokens
+    s = EV.score_pairs(_all_pairs(spark, sf_dir), "id", "task", "reference", "prediction", stemmer=stem_tokens)
     return EV.evaluate_by_task(s).select("metric", F.round("value", 6).alias("value"))
 
 
