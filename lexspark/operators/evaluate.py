@@ -362,11 +362,12 @@ def reward(df: DataFrame, output_col: str, ref_cits_col: str, cit_fn) -> DataFra
 
 
 def throughput(df: DataFrame, task_col: str, seconds_col: str, new_tokens: int = 256) -> DataFrame:
-    """EVL-16: latency and tokens/s per task (tokens/s = new_tokens / seconds)."""
+    """EVL-16: requests, mean latency and tokens/s per task (tokens/s =
+    new_tokens / seconds, averaged over requests). Constant-size state per
+    task (no per-value maps), so a hot task costs no more than others."""
     s = F.col(seconds_col)
     return df.groupBy(task_col).agg(
-        F.count(F.lit(1)).alias("requests"), F.avg(s).alias("avg_seconds"),
-        F.percentile(s, 0.5).alias("p50_seconds"), F.percentile(s, 0.95).alias("p95_seconds"),
+        F.count(F.lit(1)).alias("requests"), F.avg(s).alias("avg_seconds"), F.max(s).alias("max_seconds"),
         F.avg(F.when(s > 0, F.lit(float(new_tokens)) / s)).alias("tokens_per_second"))
 
 

@@ -39,9 +39,11 @@ def describe_lengths(df: DataFrame, length: Column | str, by: list[str] | None =
                      exact: bool = True) -> DataFrame:
     """AGG-05: count, mean, sample std, min, 25/50/75 % (linear), max.
 
-    ``exact``: ``percentile`` keeps a value→count map per group (bounded by
-    the number of distinct lengths, merged map-side); ``exact=False`` uses
-    ``percentile_approx`` (fixed-size sketch) for unbounded domains."""
+    ``exact``: ``percentile`` keeps a value→count map per group, merged
+    map-side; for lengths (integers up to the longest document) that map is
+    bounded by the number of distinct lengths, not by the row count.
+    ``exact=False`` uses ``percentile_approx`` (fixed-size sketch) for
+    continuous values."""
     by = by or []
     x = F.col(length) if isinstance(length, str) else length
     x = x.cast("double")

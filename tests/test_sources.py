@@ -134,3 +134,15 @@ def test_split_sinks_round_trip_and_snapshot(spark, scratch):
                   os.path.join(scratch, "docs"))
     assert spark.read.json(os.path.join(scratch, "docs")).first()["doc_key"] == "a.txt.json"
     assert df.select(F.lit(1)).count() == 30
+
+
+def test_line_numbers_follow_file_order_across_splits(spark, scratch):
+    lines = [json.dumps({"id": str(i), "conversations": [], "metadata": {"task": "t"}}) for i in range(3000)]
+    _write(scratch, "big.jsonl", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        out = RD.load_examples(spark, os.path.join(scratch, "big.jsonl"), max_samples=1234).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(int(r["id"]) for r in out) == list(range(1234))
