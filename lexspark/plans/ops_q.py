@@ -123,7 +123,7 @@ _CUT = "TIMESTAMP '2024-01-01 12:00:00'"
        "FROM l JOIN b ON b.\"column\" = l.col GROUP BY 1, 2, 3")
 def violations(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    cut = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    cut = F.lit("2024-01-01 12:00:00").cast(ev.schema["ts"].dataType)  # same type as ts: no zone shift
     base = _round_base(MO.baseline(ev.where(F.col("ts") < cut), [c for c, _, _ in _BASE_COLS]))
     v = MO.violations(ev.where(F.col("ts") >= cut), base, "ts", ["event_id", "value"], "1 hour")
     return v.withColumn("completeness", F.round("completeness", 6))
@@ -141,7 +141,7 @@ def violations(spark, sf_dir):
        "round(sum((p - q) * ln(p / q)) OVER (), 6) AS psi FROM s")
 def drift_psi(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    cut = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    cut = F.lit("2024-01-01 12:00:00").cast(ev.schema["ts"].dataType)  # same type as ts: no zone shift
     d = MO.drift(ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut), "value", 10)
     return d.select("bin", *[F.round(c, 6).alias(c) for c in ("p", "q", "term", "psi")])
 
