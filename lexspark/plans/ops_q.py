@@ -69,6 +69,17 @@ def round_trip_jsonl(spark, sf_dir):
     return _flat_de(good)
 
 
+@query("load_examples_limit", _sql_examples_de()
+       + "SELECT id, task FROM (SELECT * FROM ex ORDER BY id LIMIT 300) WHERE task = 'classification'")
+def load_examples_limit(spark, sf_dir):
+    """SRC-07: examples written as JSONL in id order; the first 300 *lines*
+    are read, then the task filter runs (cap before filter)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/load_limit_{uuid.uuid4().hex}"
+    SK.write_examples(examples_de(spark, sf_dir).drop("doc_id").orderBy("id"), path)
+    ex = RD.load_examples(spark, path, max_samples=300, task="classification")
+    return ex.select("id", F.col("metadata.task").alias("task"))
+
+
 # ---------------------------------------------------------------- monitoring
 
 @query("hourly_quality",
