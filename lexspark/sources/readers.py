@@ -116,7 +116,9 @@ def with_line_numbers(df: DataFrame, out_col: str = "line_no") -> DataFrame:
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = d.join(splits.select("_f", "_b", "_off", "_mid0"), ["_f", "_b"])
+    # one row per file split (data size / split size): broadcast instead of
+    # shuffling every row by its split key
+    j = d.join(F.broadcast(splits.select("_f", "_b", "_off", "_mid0")), ["_f", "_b"])
     return j.withColumn(out_col, (F.col("_off") + F.col("_mid") - F.col("_mid0")).cast("bigint")).drop(
         "_f", "_b", "_mid", "_off", "_mid0")
 
