@@ -220,7 +220,21 @@ def token_truncate(spark, sf_dir):
     return df.select("conv_id", "n_tokens", "truncated", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("loss_mask")
+def _loss_mask_sql() -> str:
+    ws = q(R.WS)
+    inside = ("(list_max(list_filter(st, lambda s: s < i)) IS NOT NULL AND (list_max(list_filter(en, lambda e: e < i)) IS NULL "
+              "OR list_max(list_filter(en, lambda e: e < i)) < list_max(list_filter(st, lambda s: s < i))))")
+    marker = "(contains(tk[i], '<|im_end|>') OR contains(tk[i], '<|im_start|>'))"
+    return (f"WITH r AS (SELECT conv_id, coalesce(text, '') AS text FROM ({_RENDER})), "
+            f"t AS (SELECT conv_id, CASE WHEN trim(regexp_replace(text, {ws}, ' ', 'g')) = '' THEN []::VARCHAR[] "
+            f"ELSE string_split(trim(regexp_replace(text, {ws}, ' ', 'g')), ' ') END AS tk FROM r), "
+            "m AS (SELECT conv_id, tk, list_filter(range(1, len(tk) + 1), lambda i: ends_with(tk[i], '<|im_start|>assistant')) AS st, "
+            "list_filter(range(1, len(tk) + 1), lambda i: contains(tk[i], '<|im_end|>')) AS en FROM t) "
+            "SELECT conv_id, CAST(len(tk) AS INTEGER) AS n_tokens, CAST(coalesce(list_sum(list_transform(range(1, len(tk) + 1), "
+            f"lambda i: CASE WHEN {inside} AND NOT {marker} THEN 1 ELSE 0 END)), 0) AS INTEGER) AS n_assistant_tokens FROM m")
+
+
+@query("loss_mask", _loss_mask_sql())
 def loss_mask(spark, sf_dir):
     df = rendered(spark, sf_dir).withColumn("tk", CV.whitespace_tokens(F.col("text")))
     df = df.withColumn("mk", CV.marker_positions("tk"))

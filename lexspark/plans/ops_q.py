@@ -21,7 +21,24 @@ from .registry import query
 # ---------------------------------------------------------------- sources
 
 
-@query("html_text")
+def _html_text_sql() -> str:
+    """RE2 rendering of the text rule for the pages table: drop script /
+    style / template blocks, comments and declarations, split at tags, decode
+    the entities present in the data (&amp; last), strip, drop empties."""
+    from . import sql_re2 as R2
+    ws = R2.WS[:-1]
+    dec = "x"
+    for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                    ("&#39;", "'"), ("&amp;", "&")):
+        dec = f"replace({dec}, {R2.q(ent)}, {R2.q(ch)})"
+    blocks = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
+              r"|<!--.*?-->|<!.*?>")
+    return ("SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(html, "
+            f"{R2.q(blocks)}, ' ', 'g'), '<[^>]*>'), lambda x: regexp_replace({dec}, {R2.q('^' + ws + '+|' + ws + '+$')}, "
+            "'', 'g')), lambda x: x <> ''), ' ') AS text, CAST(NULL AS VARCHAR) AS error FROM pages")
+
+
+@query("html_text", _html_text_sql())
 def html_text(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     t = MK.html_to_text("html")
@@ -46,7 +63,18 @@ def _escape_xml(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-@query("decisions_from_xml")
+def _decisions_sql() -> str:
+    from . import sql_re2 as R2
+    from .legal import with_legal
+    full = R2.clean_german_sql("concat(coalesce(court, ''), ' ', date, ' ', case_number, ' ', text, ' ', text)")
+    has = ", ".join(f"regexp_matches(full_text, {R2.q(p)}) AS has_{n}" for n, p in R2.SECTIONS_DE)
+    return with_legal(
+        f", d AS (SELECT doc_id, coalesce(court, '') AS court, date, case_number, {full} AS full_text FROM legal "
+        "WHERE language = 'de') SELECT CAST(doc_id AS VARCHAR) AS source_file, court, date, case_number, "
+        f"CAST(NULL AS VARCHAR) AS error, md5(full_text) AS full_text_md5, {has} FROM d")
+
+
+@query("decisions_from_xml", _decisions_sql())
 def decisions_from_xml(spark, sf_dir):
     lg = legal(spark, sf_dir).where(F.col("language") == "de")
     xml = F.concat(F.lit("<dokument><Gericht>"), _escape_xml(F.coalesce("court", F.lit(""))),
@@ -230,7 +258,24 @@ def cheapest_config(spark, sf_dir):
 
 # ---------------------------------------------------------------- batch inference
 
-@query("batch_predict_stub")
+def _stub_sql() -> str:
+    from ..functions import patterns as P
+    from . import sql_re2 as R2
+    from .legal import with_legal
+    q = R2.q
+    ins = {l: i for t, l, i in P.PROMPT_INSTRUCTIONS if t == "classification"}
+    nl = "chr(10)"
+    prompt = (f"concat('<|im_start|>system', {nl}, CASE WHEN language = 'de' THEN {q(P.SYSTEM_DE)} ELSE {q(P.SYSTEM_EN)} END, "
+              f"{nl}, '<|im_end|>', {nl}, '<|im_start|>user', {nl}, CASE WHEN language = 'de' THEN {q(ins['de'])} "
+              f"ELSE {q(ins['en'])} END, {nl}, {nl}, text, {nl}, '<|im_end|>', {nl}, '<|im_start|>assistant', {nl})")
+    return with_legal(
+        f", p AS (SELECT doc_id, CASE WHEN length({prompt}) % 2 = 0 THEN 'Contract' ELSE 'Criminal' END AS label FROM legal) "
+        "SELECT doc_id, concat('Based on my analysis, this document falls under ', label, ' because stub.') AS response, label, "
+        "CAST(NULL AS VARCHAR) AS error, concat('{\"response\":\"Based on my analysis, this document falls under ', label, "
+        "' because stub.\"}') AS body FROM p")
+
+
+@query("batch_predict_stub", _stub_sql())
 def batch_predict_stub(spark, sf_dir):
     d = legal(spark, sf_dir).select("doc_id", "language", "text")
     r = INF.batch_predict(d, INF.stub_generator_factory, "text", "classification", F.col("language"))
