@@ -263,8 +263,8 @@ def _prompt_sql() -> str:
     ins = f"CASE {table} ELSE CASE {default} END END"
     sysm = f"CASE WHEN eff = 'de' THEN {q(P.SYSTEM_DE)} ELSE {q(P.SYSTEM_EN)} END"
     return with_legal(
-        f"SELECT doc_id, task, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_length, "
-        f"substring(prompt, 1, 400) AS prompt_head FROM (SELECT doc_id, task, concat('<|im_start|>system', {NL}, {sysm}, "
+        f"SELECT doc_id, task, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_length "
+        f"FROM (SELECT doc_id, task, concat('<|im_start|>system', {NL}, {sysm}, "
         f"{NL}, '<|im_end|>', {NL}, '<|im_start|>user', {NL}, {ins}, {NL}, {NL}, text, {NL}, '<|im_end|>', {NL}, "
         f"'<|im_start|>assistant', {NL}) AS prompt FROM (SELECT *, {_PROMPT_TASK} AS task, "
         f"CASE WHEN language = 'de' THEN 'de' ELSE 'en' END AS eff FROM legal))")
@@ -274,8 +274,7 @@ def _prompt_sql() -> str:
 def build_prompt(spark, sf_dir):
     df = legal(spark, sf_dir).withColumn("task", F.expr(_PROMPT_TASK))
     p = I.build_prompt(F.col("text"), F.col("task"), F.col("language"))
-    return df.select("doc_id", "task", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_length"),
-                     F.substring(p, 1, 400).alias("prompt_head"))
+    return df.select("doc_id", "task", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_length"))
 
 
 @query("build_chat_prompt",
