@@ -96,6 +96,26 @@ def citations(text, lang="en") -> Column:
     return _by_lang(lang, en=all_of(P.CITATIONS_EN), de=all_of(P.CITATIONS_DE), other=empty)
 
 
+# Literals every match of a masking rule contains: hit counting runs a
+# rule's regex only on texts that contain one (same counts, less regex work).
+_GUARDS = {
+    "name_mr": ["Mr."], "name_ms": ["Ms."], "name_mrs": ["Mrs."],
+    "address": ["Street", "Avenue", "Road", "Blvd", "straße", "weg", "allee", "platz"],
+    "phone_paren": ["("], "phone_dash": ["-"], "email": ["@"],
+    "name_herr": ["Herr"], "name_frau": ["Frau"], "phone": ["0"],
+}
+
+
+def _guarded(t: Column, name: str, apply: Column, otherwise: Column) -> Column:
+    lits = _GUARDS.get(name)
+    if not lits:
+        return apply
+    cond = t.contains(lits[0])
+    for x in lits[1:]:
+        cond = cond | t.contains(x)
+    return F.when(cond, apply).otherwise(otherwise)
+
+
 def anonymize(text, lang="en") -> Column:
     """ANO-01..13: masking rules in order; other languages unchanged."""
     t = _col(text)
@@ -121,8 +141,8 @@ def pii_counts(text, lang="en") -> Column:
     de = dict((n, p) for n, p, _ in P.ANON_DE)
     fields = []
     for n in names:
-        e = F.regexp_count(t, F.lit(en[n])) if n in en else F.lit(0)
-        d = F.regexp_count(t, F.lit(de[n])) if n in de else F.lit(0)
+        e = _guarded(t, n, F.regexp_count(t, F.lit(en[n])), F.lit(0)) if n in en else F.lit(0)
+        d = _guarded(t, n, F.regexp_count(t, F.lit(de[n])), F.lit(0)) if n in de else F.lit(0)
         fields.append(_by_lang(lang, en=e, de=d, other=F.lit(0)).cast("bigint").alias(n))
     return F.struct(*fields)
 
