@@ -7,8 +7,6 @@ baseline (one row per column / bin).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -52,9 +50,7 @@ def violations(df: DataFrame, base: DataFrame, ts_col: str, columns: list[str],
         F.lit(c).alias("column"), F.col(c).isNull().alias("is_null"),
         F.col(c).cast("double").alias("x")) for c in columns])).alias("_v")).select("w", "_v.*")
     g = long.groupBy("w", "column").agg(F.count(F.lit(1)).alias("rows"),
-                                        F.sum((~F.col("is_null")).cast("long")).alias("_nn"),
-                                        F.min("x").alias("_mn"), F.max("x").alias("_mx"),
-                                        F.count(F.lit(1)).alias("_c"))
+                                        F.sum((~F.col("is_null")).cast("long")).alias("_nn"))
     b = base.select("column", F.col("completeness").alias("b_completeness"), F.col("min").alias("b_min"),
                     F.col("max").alias("b_max"))
     out_of_range = long.join(F.broadcast(b), "column").where(
@@ -91,14 +87,16 @@ def drift(a: DataFrame, b: DataFrame, col: str, bins: int = 10, categorical: boo
         ka, kb = binned(a), binned(b)
     ca = ka.groupBy("bin").agg(F.count(F.lit(1)).alias("na"))
     cb = kb.groupBy("bin").agg(F.count(F.lit(1)).alias("nb"))
-    j = ca.join(cb, "bin", "full_outer").fillna(0, ["na", "nb"])
-    from pyspark.sql import Window
-    tot = Window.partitionBy()
-    p = F.greatest(F.col("na") / F.sum("na").over(tot), F.lit(floor))
-    q = F.greatest(F.col("nb") / F.sum("nb").over(tot), F.lit(floor))
-    s = j.select("bin", p.alias("p"), q.alias("q"))
-    s = s.withColumn("term", (F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q")))
-    return s.withColumn("psi", F.sum("term").over(tot))
+    j = ca.join(cb, "bin", "full_outer").fillna(0, ["na", "nb"]).withColumn("_k", F.lit(1))
+    # one-row totals joined back (broadcast) instead of a window over all bins
+    tot = j.agg(F.sum("na").alias("_ta"), F.sum("nb").alias("_tb")).withColumn("_k", F.lit(1))
+    j = j.join(F.broadcast(tot), "_k")
+    p = F.greatest(F.col("na") / F.col("_ta"), F.lit(floor))
+    q = F.greatest(F.col("nb") / F.col("_tb"), F.lit(floor))
+    s = j.select("bin", p.alias("p"), q.alias("q")).withColumn(
+        "term", (F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).withColumn("_k", F.lit(1))
+    psi = s.agg(F.sum("term").alias("psi")).withColumn("_k", F.lit(1))
+    return s.join(F.broadcast(psi), "_k").drop("_k")
 
 
 def compare_variants(df: DataFrame, id_cols, weights: dict, metrics: dict, seed=42) -> DataFrame:
@@ -116,5 +114,3 @@ def window_quality(df: DataFrame, ts_col: str, key_col: str, value_col: str, win
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key_col, "requests",
              "avg_value", "max_value", "missing")
 
-
-_ = reduce  # kept for callers composing predicates

@@ -31,8 +31,12 @@ def distribution(df: DataFrame, field: Column | str, by: list[str] | None = None
     f = F.col(field) if isinstance(field, str) else field
     g = df.groupBy(*by, F.coalesce(f.cast("string"), F.lit("unknown")).alias(name)).agg(
         F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return g.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(w), 1))
+    if by:
+        return g.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(*by)), 1))
+    # one-row total joined back (broadcast): no single-partition window over all values
+    tot = g.agg(F.sum("count").alias("_tot")).withColumn("_k", F.lit(1))
+    j = g.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k")
+    return j.select(*by, name, "count", F.round(F.col("count") * 100.0 / F.col("_tot"), 1).alias("percent"))
 
 
 def describe_lengths(df: DataFrame, length: Column | str, by: list[str] | None = None,

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import conversation as CV
 from ..operators import cost as CO
 from ..operators import infer as INF
 from ..operators import monitor as MO
@@ -284,4 +283,3 @@ def batch_predict_stub(spark, sf_dir):
     return r.select("doc_id", "response", extract_label("response").alias("label"), "error", "body")
 
 
-_ = CV
