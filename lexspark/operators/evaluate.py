@@ -93,12 +93,15 @@ def weighted_prf(df: DataFrame, t: str = "true_label", p: str = "predicted_label
                       (F.col("wf") / F.col("n")).alias("f1"))
 
 
-def confusion(df: DataFrame, t: str = "true_label", p: str = "predicted_label") -> DataFrame:
+def confusion(df: DataFrame, t: str = "true_label", p: str = "predicted_label", dense: bool = True) -> DataFrame:
     """EVL-04: long confusion matrix over the sorted union of labels, zero
-    cells included. The label list is an aggregate of distinct labels (its
-    size is the number of classes); each true label row is expanded over it."""
+    cells included (``dense``; the grid has classes² cells, so for free-text
+    labels use ``dense=False``: observed cells only). The label list is an
+    aggregate of distinct labels; each true label row is expanded over it."""
     pairs = df.groupBy(F.col(t).alias("true_label"), F.col(p).alias("predicted_label")).agg(
         F.count(F.lit(1)).alias("n"))
+    if not dense:
+        return pairs.select("true_label", "predicted_label", F.col("n").cast("bigint").alias("n"))
     labels = (pairs.select(F.explode(F.array("true_label", "predicted_label")).alias("label"))
               .agg(F.array_sort(F.collect_set("label")).alias("labels")))
     rows = labels.select(F.explode("labels").alias("true_label"), "labels")

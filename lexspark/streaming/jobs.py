@@ -23,19 +23,23 @@ BINARY_FILE_SCHEMA = TY.StructType([
 def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: str = "en",
                      checkpoint: str | None = None, available_now: bool = True, glob: str = "*.txt"):
     """STR-01: new text files → preprocess → parquet (good rows) and a
-    rejects folder (invalid UTF-8), exactly once via foreachBatch + checkpoint."""
+    rejects folder (invalid UTF-8); the checkpoint tracks processed files and
+    each epoch's output folder is overwritten on replay (idempotent sink)."""
     checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_documents"
     raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", 1000).load(in_dir)
            .select(F.col("path").alias("source_file"), F.col("content").cast("string").alias("raw")))
 
     def write(batch: DataFrame, epoch_id: int):
+        # one folder per epoch, overwritten on replay: a retried micro-batch
+        # (lost executor, restarted query) replaces its own output instead of
+        # appending duplicates
         ok = F.is_valid_utf8(F.col("raw"))
         good = batch.where(ok)
         bad = batch.where(~ok).select("source_file", F.lit("invalid UTF-8").alias("error"))
         out = preprocess(good, "raw", language).drop("raw", "normalized_text")
-        out.write.mode("append").parquet(f"{out_dir}/documents")
-        bad.write.mode("append").parquet(f"{out_dir}/rejects")
+        out.write.mode("overwrite").parquet(f"{out_dir}/documents/epoch_id={epoch_id}")
+        bad.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch_id={epoch_id}")
 
     w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
