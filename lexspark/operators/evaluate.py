@@ -56,6 +56,12 @@ def align(preds: DataFrame, refs: DataFrame, id_col: str = "id") -> DataFrame:
     return j.withColumn("status", status).drop("_has_p", "_has_r")
 
 
+def matched(preds: DataFrame, refs: DataFrame, id_col: str = "id") -> DataFrame:
+    """EVL-19 for scoring: pairs present on both sides (inner equi-join on id;
+    ``align`` reports the unmatched ones)."""
+    return refs.join(preds, id_col, "inner")
+
+
 # ---------------------------------------------------------------- classification
 
 def accuracy(df: DataFrame, t: str = "true_label", p: str = "predicted_label", by: list[str] | None = None) -> DataFrame:

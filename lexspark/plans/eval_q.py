@@ -36,7 +36,7 @@ def preds_cls(spark, sf_dir):
 
 
 def cls_pairs(spark, sf_dir):
-    j = EV.align(preds_cls(spark, sf_dir), refs_cls(spark, sf_dir), "doc_id").where(F.col("status") == "matched")
+    j = EV.matched(preds_cls(spark, sf_dir), refs_cls(spark, sf_dir), "doc_id")
     return j.select("doc_id", EV.extract_label("reference").alias("true_label"),
                     EV.extract_label("prediction").alias("predicted_label"))
 
@@ -209,7 +209,7 @@ def bleu(spark, sf_dir):
 
 def _all_pairs(spark, sf_dir):
     """Classification pairs (task 'classification') + text pairs."""
-    c = EV.align(preds_cls(spark, sf_dir), refs_cls(spark, sf_dir), "doc_id").where(F.col("status") == "matched")
+    c = EV.matched(preds_cls(spark, sf_dir), refs_cls(spark, sf_dir), "doc_id")
     c = c.select(F.col("doc_id").cast("string").alias("id"), F.lit("classification").alias("task"),
                  "reference", "prediction")
     return c.unionByName(text_pairs(spark, sf_dir))

@@ -62,10 +62,12 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     yields fewer splits than the cluster has cores (one big row group, few
     files). At scale a scan already has far more splits than cores and this
     is a no-op, so no shuffle is added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * factor)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — no RDD view (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(cores * factor) if splits < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
