@@ -105,22 +105,29 @@ def read_examples(spark: SparkSession, path: str, schema: TY.StructType = EXAMPL
     return good, bad
 
 
-def with_line_numbers(df: DataFrame, out_col: str = "line_no") -> DataFrame:
+def with_line_numbers(df: DataFrame, out_col: str = "line_no", limit: int | None = None) -> DataFrame:
     """0-based position of every row in input order (file path, split start,
     position in the split) without a global sort: rows are counted per split
     (one small row per split), split offsets come from a window over that
     table, and each row adds its position inside the split. The order key
-    must come straight from a file scan (``_metadata`` + scan order)."""
+    must come straight from a file scan (``_metadata`` + scan order).
+
+    ``limit``: keep only rows with position < limit. Splits starting at or
+    after the limit are dropped from the offsets table first, so the
+    broadcast side holds at most ``limit`` rows and the big side is never
+    shuffled (rows of dropped splits fall out in the broadcast join)."""
     d = df.withColumn("_f", F.col("_metadata.file_path")).withColumn(
         "_b", F.col("_metadata.file_block_start")).withColumn("_mid", F.monotonically_increasing_id())
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
     w = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # one row per file split (data size / split size): broadcast instead of
-    # shuffling every row by its split key
+    if limit is not None:
+        splits = splits.where(F.col("_off") < limit)
     j = d.join(F.broadcast(splits.select("_f", "_b", "_off", "_mid0")), ["_f", "_b"])
-    return j.withColumn(out_col, (F.col("_off") + F.col("_mid") - F.col("_mid0")).cast("bigint")).drop(
-        "_f", "_b", "_mid", "_off", "_mid0")
+    j = j.withColumn(out_col, (F.col("_off") + F.col("_mid") - F.col("_mid0")).cast("bigint"))
+    if limit is not None:
+        j = j.where(F.col(out_col) < limit)
+    return j.drop("_f", "_b", "_mid", "_off", "_mid0")
 
 
 def load_examples(spark: SparkSession, path: str, max_samples: int | None = None, task: str | None = None,
@@ -129,7 +136,7 @@ def load_examples(spark: SparkSession, path: str, max_samples: int | None = None
     task/language filters run (line numbers in file order, no global sort)."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), "_metadata")
     if max_samples is not None:
-        lines = with_line_numbers(lines).where(F.col("line_no") < max_samples)
+        lines = with_line_numbers(lines, limit=max_samples)
     parsed = lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("_e")).select("_e.*")
     if task is not None:
         parsed = parsed.where(F.col("metadata.task") == task)
@@ -154,7 +161,7 @@ def read_catalogue(spark: SparkSession, path: str, max_items: int | None = None)
     link are dropped."""
     df = spark.read.format("xml").option("rowTag", "item").schema(CATALOGUE_SCHEMA).load(path)
     if max_items is not None:
-        df = with_line_numbers(df.select("*", "_metadata"), "_pos").where(F.col("_pos") < max_items)
+        df = with_line_numbers(df.select("*", "_metadata"), "_pos", limit=max_items)
     out = df.select(F.when(F.col("gericht").isNull(), "Unknown").otherwise(F.col("gericht")).alias("court"),
                     F.when(F.col("entsch-datum").isNull(), "Unknown").otherwise(F.col("entsch-datum")).alias("date"),
                     F.when(F.col("aktenzeichen").isNull(), "Unknown").otherwise(F.col("aktenzeichen")).alias("case_number"),
