@@ -187,10 +187,14 @@ def gram_stats(df: DataFrame, keys: list[str], specs) -> DataFrame:
     ref_tokens_col, pred_tokens_col, ns)]. Per key row: ``{kind}_h{n}``
     (clipped matches Σ_g min(count_ref, count_pred)), ``{kind}_r{n}`` and
     ``{kind}_p{n}`` (reference / prediction n-gram counts). Empty texts keep
-    their row (explode_outer); nothing is joined back."""
+    their row (explode_outer); nothing is joined back. ``keys[0]`` must
+    identify the pair."""
     parts = []
     for kind, rt, pt, ns in specs:
         parts += [_tagged(F.col(rt), ns, kind, "r"), _tagged(F.col(pt), ns, kind, "p")]
+    # shuffle the pairs (text-sized) by id once; both aggregations below are
+    # keyed by id first, so the n-grams (several times the text) never move
+    df = df.repartition(keys[0])
     ex = df.select(*keys, F.explode_outer(F.concat(*parts)).alias("_g"))
     per_gram = ex.groupBy(*keys, F.col("_g.kind").alias("kind"), F.col("_g.n").alias("n"),
                           F.col("_g.gram").alias("gram")).agg(F.sum("_g.r").alias("cr"), F.sum("_g.p").alias("cp"))
