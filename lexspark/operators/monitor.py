@@ -16,10 +16,13 @@ from .splits import assign_variant
 _NUMERIC = (TY.ByteType, TY.ShortType, TY.IntegerType, TY.LongType, TY.FloatType, TY.DoubleType, TY.DecimalType)
 
 
-def baseline(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+def baseline(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     """MON-01: per column: completeness, distinct count, min/max/mean/std
     (numeric only) and suggested constraints (completeness ≥ observed,
-    numeric range [min, max]). ``exact=False`` uses approx_count_distinct."""
+    numeric range [min, max]). Distinct counts default to HyperLogLog
+    (``approx_count_distinct``: fixed-size state, one pass); ``exact=True``
+    counts exactly, which expands every row once per column and shuffles
+    the distinct values."""
     columns = columns or df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_n")]

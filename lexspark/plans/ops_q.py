@@ -163,7 +163,7 @@ def _round_base(b):
 @query("baseline", _baseline_sql())
 def baseline(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    return _round_base(MO.baseline(ev, [c for c, _, _ in _BASE_COLS]))
+    return _round_base(MO.baseline(ev, [c for c, _, _ in _BASE_COLS], exact=True))
 
 
 _CUT = "TIMESTAMP '2024-01-01 12:00:00'"
@@ -182,7 +182,7 @@ _CUT = "TIMESTAMP '2024-01-01 12:00:00'"
 def violations(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     cut = F.lit("2024-01-01 12:00:00").cast(ev.schema["ts"].dataType)  # same type as ts: no zone shift
-    base = _round_base(MO.baseline(ev.where(F.col("ts") < cut), [c for c, _, _ in _BASE_COLS]))
+    base = _round_base(MO.baseline(ev.where(F.col("ts") < cut), [c for c, _, _ in _BASE_COLS], exact=True))
     v = MO.violations(ev.where(F.col("ts") >= cut), base, "ts", ["event_id", "value"], "1 hour")
     return v.withColumn("completeness", F.round("completeness", 6))
 
