@@ -110,6 +110,17 @@ def split_dataset(df: DataFrame, id_cols, train: float = 0.8, val: float = 0.1,
     return assign_by_rank(df, id_cols, cuts, ["train", "validation", "test"], strata, seed)
 
 
+def hash_split(df: DataFrame, id_cols, train: float = 0.8, val: float = 0.1, test: float = 0.1,
+               seed=42, out_col: str = "split") -> DataFrame:
+    """SPL-01 approximate mode: each row's seeded hash in [0, 1) against the
+    cumulative ratios — one narrow projection, no counts and no shuffle;
+    split sizes are right in expectation rather than exactly."""
+    check_ratios(train, val, test)
+    u = unit_interval(id_cols, seed)
+    return df.withColumn(out_col, F.when(u < F.lit(float(train)), "train")
+                         .when(u < F.lit(float(train + val)), "validation").otherwise("test"))
+
+
 def check_ratios(train: float, val: float, test: float) -> None:
     """SPL-03."""
     if abs(train + val + test - 1.0) >= 1e-10:

@@ -42,6 +42,12 @@ def split_random(spark, sf_dir):
     return SP.split_dataset(_ex_en(spark, sf_dir), "id").select("id", "split")
 
 
+@query("split_hash", _sql_examples_en() + f"SELECT id, CASE WHEN {_u(_h('id'))} < 0.8 THEN 'train' "
+       f"WHEN {_u(_h('id'))} < (0.8::DOUBLE + 0.1::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM ex")
+def split_hash(spark, sf_dir):
+    return SP.hash_split(_ex_en(spark, sf_dir), "id").select("id", "split")
+
+
 @query("split_stratified", _sql_examples_en() + f"SELECT id, document_type, {_SPLIT3} AS split FROM (SELECT id, "
        f"document_type, row_number() OVER (PARTITION BY document_type ORDER BY {_h('id')}, id) AS rn, "
        "count(*) OVER (PARTITION BY document_type) AS n FROM ex)")
