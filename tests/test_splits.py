@@ -91,3 +91,11 @@ def test_bucket_by_length_batches_are_bounded(spark):
     out = SP.bucket_by_length(df, "n", "id", 8, bucket_width=100, salt_buckets=4)
     sizes = out.groupBy("length_bucket", "salt", "batch_no").agg(F.count("*").alias("c")).collect()
     assert max(r["c"] for r in sizes) <= 8 and sum(r["c"] for r in sizes) == 500
+
+
+def test_hash_split_is_narrow_and_close_to_ratios(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    out = SP.hash_split(df, "k")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    c = {r["split"]: r["count"] / 20000 for r in out.groupBy("split").count().collect()}
+    assert abs(c["train"] - 0.8) < 0.02 and abs(c["validation"] - 0.1) < 0.02 and abs(c["test"] - 0.1) < 0.02
