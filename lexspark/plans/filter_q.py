@@ -213,19 +213,22 @@ def route_by_type(spark, sf_dir):
     return _route(p, "url").select("page_id", "file_type", "error")
 
 
-_CAT = ("CASE WHEN doc_id % 3 = 0 THEN upper(coalesce(court, 'unknown')) ELSE court END")
+_CAT = "CASE WHEN quality = 1 THEN upper(coalesce(court, 'unknown')) ELSE court END"
 
 
 @query("merge_catalogue", with_legal(
     f", cat AS (SELECT case_number AS ck, {_CAT} AS c_court, date AS c_date, 'https://example.invalid/' || doc_id AS c_link "
-    "FROM legal WHERE doc_id % 2 = 0) "
+    "FROM legal JOIN labels USING (doc_id)) "
     "SELECT doc_id, CASE WHEN ck IS NOT NULL THEN c_court ELSE court END AS court, "
     "CASE WHEN ck IS NOT NULL THEN c_date ELSE date END AS date, CASE WHEN ck IS NOT NULL THEN c_link END AS link "
     "FROM (SELECT * FROM legal WHERE language = 'de') d LEFT JOIN (SELECT DISTINCT ON (ck) * FROM cat ORDER BY ck, c_link) c "
     "ON d.case_number = c.ck"))
 def merge_catalogue(spark, sf_dir):
+    """Catalogue = the labelled documents (court re-spelled where quality is
+    1), one entry per case number; it overrides parsed metadata of the German
+    documents it matches."""
     lg = legal(spark, sf_dir)
-    cat = lg.where(F.col("doc_id") % 2 == 0).selectExpr(
+    cat = lg.join(read_table(spark, sf_dir, "labels"), "doc_id").selectExpr(
         "case_number", f"{_CAT} AS court", "date", "concat('https://example.invalid/', CAST(doc_id AS STRING)) AS link")
     # one catalogue entry per case number (smallest link), like a keyed catalogue
     cat = cat.groupBy("case_number").agg(F.min_by(F.struct("court", "date", "link"), F.col("link")).alias("_c")).select(
