@@ -21,10 +21,14 @@ BINARY_FILE_SCHEMA = TY.StructType([
 
 
 def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: str = "en",
-                     checkpoint: str | None = None, available_now: bool = True, glob: str = "*.txt"):
-    """STR-01: new text files → preprocess → parquet (good rows) and a
-    rejects folder (invalid UTF-8); the checkpoint tracks processed files and
-    each epoch's output folder is overwritten on replay (idempotent sink)."""
+                     checkpoint: str | None = None, available_now: bool = True,
+                     glob: str = "*.{txt,html,htm,xml}"):
+    """STR-01: new .txt/.html/.htm/.xml files → the batch routing, decoding
+    and preprocessing → parquet (good rows) and a rejects folder (invalid
+    UTF-8, broken markup). The checkpoint tracks processed files and each
+    epoch's output folder is overwritten on replay (idempotent sink)."""
+    from ..sources.readers import decode_documents, route_by_type
+
     checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_documents"
     raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", 1000).load(in_dir)
@@ -34,10 +38,13 @@ def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: s
         # one folder per epoch, overwritten on replay: a retried micro-batch
         # (lost executor, restarted query) replaces its own output instead of
         # appending duplicates
-        ok = F.is_valid_utf8(F.col("raw"))
-        good = batch.where(ok)
-        bad = batch.where(~ok).select("source_file", F.lit("invalid UTF-8").alias("error"))
-        out = preprocess(good, "raw", language).drop("raw", "normalized_text")
+        s = route_by_type(batch).withColumn("error", F.coalesce(F.col("error"), F.when(
+            ~F.is_valid_utf8(F.col("raw")), F.lit("invalid UTF-8"))))
+        d = decode_documents(s.where(F.col("error").isNull()))
+        good = d.where(F.col("error").isNull()).drop("error", "raw")
+        bad = (s.where(F.col("error").isNotNull()).select("source_file", "error")
+               .unionByName(d.where(F.col("error").isNotNull()).select("source_file", "error")))
+        out = preprocess(good, "text", language).drop("text", "normalized_text")
         out.write.mode("overwrite").parquet(f"{out_dir}/documents/epoch_id={epoch_id}")
         bad.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch_id={epoch_id}")
 

@@ -20,6 +20,9 @@ def test_stream_documents_equals_batch(spark, scratch):
             f.write(t)
     with open(os.path.join(src, "c.txt"), "wb") as f:
         f.write(b"\xff bad")
+    with open(os.path.join(src, "d.html"), "w", encoding="utf-8") as f:
+        f.write("<p>Decision</p><script>x</script><p>held &amp; done</p>")
+    texts["d.html"] = "Decision held & done"
     out = os.path.join(scratch, "out")
     q = jobs.stream_documents(spark, src, out, "en", checkpoint=os.path.join(scratch, "ckpt"))
     q.awaitTermination(120)
