@@ -222,3 +222,14 @@ def preprocess_q(spark, sf_dir):
                      F.size("citations").cast("bigint").alias("n_citations"),
                      F.array_join("citations", " | ").alias("citations"),
                      *[F.col(c).isNotNull().alias(f"has_{c}") for c in ALL_SECTIONS])
+
+
+@query("legal_profile", _pre_sql(
+    "SELECT language, CAST(count(*) AS BIGINT) AS documents, "
+    + ", ".join(f"CAST(count({c}) AS BIGINT) AS with_{c}" for c in ALL_SECTIONS)
+    + ", CAST(sum(len(cits)) AS BIGINT) AS citations, CAST(sum(length(processed_text)) AS BIGINT) AS processed_chars "
+    "FROM p GROUP BY language"))
+def legal_profile(spark, sf_dir):
+    """The flagship (``entry``): preprocessing profile per language."""
+    from .flagship import flagship
+    return flagship(spark, sf_dir)
