@@ -303,3 +303,34 @@ def batch_predict_stub(spark, sf_dir):
     return r.select("doc_id", "response", extract_label("response").alias("label"), "error", "body")
 
 
+
+
+# ---------------------------------------------------------------- directory batch (SRC-01/04/05)
+
+def _dir_sql() -> str:
+    from . import sql_re2 as R2
+    from .legal import with_legal
+    from .text_q import _NORM, _masked_cte, _sections_cte
+    from ..operators.preprocess import ALL_SECTIONS
+    return with_legal(
+        ", docs AS (SELECT doc_id, 'en' AS language, text || chr(10) AS text FROM legal)"
+        f", n AS ({_NORM.replace('FROM legal', 'FROM docs')})"
+        f", s0 AS ({_sections_cte(False)}), s AS ({_sections_cte(True)}), m AS ({_masked_cte()})"
+        f", p AS (SELECT *, {R2.citations_sql('nt', 'language')} AS cits, "
+        f"concat_ws(chr(10) || chr(10), {', '.join(ALL_SECTIONS)}) AS processed_text FROM m) "
+        "SELECT doc_id, 'txt' AS file_type, md5(processed_text) AS processed_md5, "
+        "CAST(len(cits) AS BIGINT) AS n_citations FROM p")
+
+
+@query("process_directory", _dir_sql())
+def process_directory(spark, sf_dir):
+    """The legal documents written one file per document (text writer,
+    partitioned by doc_id, each file ends with a newline), then the directory
+    batch: routing by extension, UTF-8 check, English preprocessing."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/docs_{uuid.uuid4().hex}"
+    legal(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    good, _bad = RD.process_directory(spark, path, "en")
+    doc_id = F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint")
+    return good.select(doc_id.alias("doc_id"), "file_type",
+                       F.md5("processed_text").alias("processed_md5"),
+                       F.size("citations").cast("bigint").alias("n_citations"))
