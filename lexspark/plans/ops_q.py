@@ -14,7 +14,7 @@ from ..sources import markup as MK
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from .instruct_q import _flat_de, _sql_examples_de, examples_de
-from .legal import legal
+from .legal import legal, with_legal
 from .registry import query
 
 # ---------------------------------------------------------------- sources
@@ -334,3 +334,24 @@ def process_directory(spark, sf_dir):
     return good.select(doc_id.alias("doc_id"), "file_type",
                        F.md5("processed_text").alias("processed_md5"),
                        F.size("citations").cast("bigint").alias("n_citations"))
+
+
+# ---------------------------------------------------------------- catalogue (SRC-09)
+
+_CAT_LINK = "CASE WHEN document_type IS NOT NULL THEN concat('https://example.invalid/', CAST(doc_id AS STRING)) END"
+
+
+@query("catalogue_items", with_legal(
+    "SELECT coalesce(court, 'Unknown') AS court, coalesce(date, 'Unknown') AS date, "
+    "coalesce(case_number, 'Unknown') AS case_number, link FROM (SELECT *, " + _CAT_LINK + " AS link FROM legal "
+    "ORDER BY doc_id LIMIT 600) WHERE link IS NOT NULL AND link <> ''"))
+def catalogue_items(spark, sf_dir):
+    """A catalogue written with the XML writer (one <item> per document in id
+    order; empty fields are omitted), read back with the item cap counted
+    before the link filter."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/catalogue_{uuid.uuid4().hex}"
+    items = legal(spark, sf_dir).selectExpr("doc_id", "court AS gericht", "date AS `entsch-datum`",
+                                            "case_number AS aktenzeichen", f"{_CAT_LINK} AS link")
+    items.orderBy("doc_id").drop("doc_id").write.format("xml").option("rowTag", "item").option(
+        "rootTag", "root").save(path)
+    return RD.read_catalogue(spark, path, max_items=600)
