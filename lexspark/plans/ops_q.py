@@ -355,3 +355,36 @@ def catalogue_items(spark, sf_dir):
     items.orderBy("doc_id").drop("doc_id").write.format("xml").option("rowTag", "item").option(
         "rootTag", "root").save(path)
     return RD.read_catalogue(spark, path, max_items=600)
+
+
+# ---------------------------------------------------------------- processed documents (SRC-08)
+
+def _processed_docs_sql() -> str:
+    from . import sql_re2 as R2
+    has = ", ".join(f"regexp_matches(ft, {R2.q(p)}) AS has_{n}" for n, p in R2.SECTIONS_DE)
+    return with_legal(
+        f", d AS (SELECT doc_id, court, date, case_number, {R2.clean_german_sql('text')} AS ft FROM legal "
+        "WHERE language = 'de') SELECT CAST(doc_id AS VARCHAR) AS source_file, court, date, case_number, "
+        f"md5(ft) AS full_text_md5, {has} FROM d")
+
+
+@query("processed_docs", _processed_docs_sql())
+def processed_docs(spark, sf_dir):
+    """German decisions processed (clean text, sections without fallback),
+    written one JSON document per file, read back with the multi-line
+    reader and its declared schema."""
+    from ..functions import text as T
+    from ..operators.preprocess import with_sections
+    path = f"{checkpoint_dir(spark).rstrip('/')}/processed_{uuid.uuid4().hex}"
+    d = legal(spark, sf_dir).where(F.col("language") == "de").withColumn("full_text", T.clean_german("text"))
+    d = with_sections(d, "full_text", "de", fallback=False)
+    doc = d.select(F.col("doc_id").alias("doc_key"),
+                   F.struct("court", "date", "case_number").alias("metadata"), "full_text",
+                   F.struct("tatbestand", "gruende", "tenor", "leitsaetze").alias("sections"),
+                   F.col("doc_id").cast("string").alias("source_file"))
+    doc.write.partitionBy("doc_key").json(path)
+    r = RD.read_processed_docs(spark, path)
+    return r.select("source_file", "metadata.court", "metadata.date", "metadata.case_number",
+                    F.md5("full_text").alias("full_text_md5"),
+                    *[F.col(f"sections.{c}").isNotNull().alias(f"has_{c}")
+                      for c in ("tatbestand", "gruende", "tenor", "leitsaetze")])
