@@ -388,3 +388,36 @@ def processed_docs(spark, sf_dir):
                     F.md5("full_text").alias("full_text_md5"),
                     *[F.col(f"sections.{c}").isNotNull().alias(f"has_{c}")
                       for c in ("tatbestand", "gruende", "tenor", "leitsaetze")])
+
+
+# ---------------------------------------------------------------- prompts file and saved splits (SRC-13/14)
+
+def _prompts_sql() -> str:
+    from . import sql_re2 as R2
+    ws = R2.WS
+    return ("SELECT regexp_replace(line, " + R2.q("^" + ws + "|" + ws + "$") + ", '', 'g') AS prompt FROM "
+            "(SELECT unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line FROM benchmark)")
+
+
+@query("prompts_file", _prompts_sql())
+def prompts_file(spark, sf_dir):
+    """Benchmark passages written as a text file (one row per line group),
+    read back as one stripped prompt per line."""
+    from ..session import read_table
+    path = f"{checkpoint_dir(spark).rstrip('/')}/prompts_{uuid.uuid4().hex}"
+    read_table(spark, sf_dir, "benchmark").select("text").write.text(path)
+    return RD.read_prompts(spark, path)
+
+
+@query("saved_splits", _sql_examples_de() + (
+    "SELECT id, task FROM (SELECT id, task, CASE WHEN rn <= floor(0.9::DOUBLE * n) THEN 'train' ELSE 'validation' END AS split "
+    "FROM (SELECT id, task, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(id AS VARCHAR))), id) AS rn, "
+    "count(*) OVER () AS n FROM ex)) WHERE split = 'validation'"))
+def saved_splits(spark, sf_dir):
+    """German examples split 90/10, saved as parquet partitioned by split,
+    and the validation set read back (partition pruning)."""
+    from ..operators import splits as SP
+    path = f"{checkpoint_dir(spark).rstrip('/')}/splits_{uuid.uuid4().hex}"
+    s = SP.split_two_way(examples_de(spark, sf_dir).drop("doc_id"), "id", 0.9)
+    SK.write_splits(s, path)
+    return RD.read_splits(spark, path, "validation").select("id", F.col("metadata.task").alias("task"))

@@ -196,8 +196,9 @@ def expand_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> Data
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-13: one trimmed prompt per line."""
-    return spark.read.text(path).select(F.trim("value").alias("prompt"))
+    """SRC-13: one prompt per line, stripped of surrounding whitespace."""
+    from ..functions.text import py_strip
+    return spark.read.text(path).select(py_strip(F.col("value")).alias("prompt"))
 
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
