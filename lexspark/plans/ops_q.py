@@ -421,3 +421,30 @@ def saved_splits(spark, sf_dir):
     s = SP.split_two_way(examples_de(spark, sf_dir).drop("doc_id"), "id", 0.9)
     SK.write_splits(s, path)
     return RD.read_splits(spark, path, "validation").select("id", F.col("metadata.task").alias("task"))
+
+
+# ---------------------------------------------------------------- sinks (SNK-02, SNK-08)
+
+@query("task_example_files", _sql_examples_de() + "SELECT id, task, \"user\" AS user_content FROM ex")
+def task_example_files(spark, sf_dir):
+    """Examples written one JSON record per (document, task), partitioned by
+    task, and read back with the example schema (task from the folder)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/task_examples_{uuid.uuid4().hex}"
+    ex = examples_de(spark, sf_dir).drop("doc_id").withColumn("task", F.col("metadata.task"))
+    SK.write_task_examples(ex, path)
+    back = spark.read.schema(RD.EXAMPLE_SCHEMA).json(path)  # `task` comes back as the partition column
+    return back.select("id", "task", F.col("conversations")[1]["content"].alias("user_content"))
+
+
+@query("snapshot_copy", _sql_examples_de() + "SELECT id, task, system FROM ex")
+def snapshot_copy(spark, sf_dir):
+    """Examples saved as parquet, snapshotted to '<path>-v1' with the row
+    count and content hash verified, and the snapshot read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dataset_{uuid.uuid4().hex}"
+    ex = examples_de(spark, sf_dir).drop("doc_id")
+    ex.write.parquet(path)
+    snap = SK.snapshot(spark, path, "v1")
+    if not snap["verified"]:
+        raise RuntimeError(f"snapshot verification failed: {snap}")
+    back = spark.read.parquet(snap["target"])
+    return back.select("id", F.col("metadata.task").alias("task"), F.col("conversations")[0]["content"].alias("system"))
