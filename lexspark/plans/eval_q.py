@@ -347,3 +347,15 @@ def targets(spark, sf_dir):
         F.lit("latency_seconds").alias("metric"), "value")
     m = acc.unionByName(areas).unionByName(appr).unionByName(lat)
     return EV.check_targets(m).select("metric", F.round("value", 6).alias("value"), "op", "target", "passed")
+
+
+@query("metrics_file", _overall_sql())
+def metrics_file(spark, sf_dir):
+    """SNK-10: the overall metrics written as JSON and read back."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources import sinks as SK
+    path = f"{checkpoint_dir(spark).rstrip('/')}/metrics_{uuid.uuid4().hex}"
+    SK.write_metrics(overall_metrics(spark, sf_dir), path)
+    return spark.read.schema("metric string, value double").json(path)

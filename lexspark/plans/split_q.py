@@ -238,3 +238,20 @@ def augment_synonyms(spark, sf_dir):
     docs = _en_docs(spark, sf_dir)
     out = AU.augment_synonyms(docs, _synonyms(docs), "doc_id", "nt")
     return out.select("doc_id", F.col("nt").alias("text"))
+
+
+@query("manifest_files", _sql_examples_en() +
+       "SELECT split, CAST(sum(c) AS BIGINT) AS count, string_agg(concat(value, ':', CAST(c AS VARCHAR)), ',' ORDER BY value) "
+       "AS distribution, 'id,conversations,metadata' AS fields FROM (SELECT split, coalesce(document_type, 'unknown') AS value, "
+       f"count(*) AS c FROM {_STRAT} GROUP BY 1, 2) GROUP BY split")
+def manifest_files(spark, sf_dir):
+    """SNK-05: the split manifest written as one JSON object per split
+    folder and read back."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources import sinks as SK
+    path = f"{checkpoint_dir(spark).rstrip('/')}/manifest_{uuid.uuid4().hex}"
+    SK.write_manifest(split_manifest(spark, sf_dir), path)
+    back = spark.read.schema("count long, distribution string, fields string").json(path)
+    return back.select("split", "count", "distribution", "fields")
