@@ -448,3 +448,28 @@ def snapshot_copy(spark, sf_dir):
         raise RuntimeError(f"snapshot verification failed: {snap}")
     back = spark.read.parquet(snap["target"])
     return back.select("id", F.col("metadata.task").alias("task"), F.col("conversations")[0]["content"].alias("system"))
+
+
+@query("predictions_file", _stub_sql())
+def predictions_file(spark, sf_dir):
+    """SNK-09: stub predictions written as JSON Lines and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/predictions_{uuid.uuid4().hex}"
+    SK.write_predictions(batch_predict_stub(spark, sf_dir), path)
+    return spark.read.schema("doc_id long, response string, label string, error string, body string").json(path)
+
+
+@query("published_splits", _sql_examples_de() + (
+    "SELECT id, split FROM (SELECT id, CASE WHEN rn <= floor(0.9::DOUBLE * n) THEN 'train' ELSE 'validation' END AS split "
+    "FROM (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(id AS VARCHAR))), id) AS rn, "
+    "count(*) OVER () AS n FROM ex))"))
+def published_splits(spark, sf_dir):
+    """SNK-07: splits published under a prefix as JSON Lines; every
+    returned split URI is read back."""
+    from functools import reduce
+
+    from ..operators import splits as SP
+    base = f"{checkpoint_dir(spark).rstrip('/')}/published_{uuid.uuid4().hex}"
+    s = SP.split_two_way(examples_de(spark, sf_dir).drop("doc_id"), "id", 0.9)
+    uris = SK.publish(s, base, splits=("train", "validation"))
+    parts = [spark.read.schema(RD.EXAMPLE_SCHEMA).json(u).select("id", F.lit(k).alias("split")) for k, u in uris.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
