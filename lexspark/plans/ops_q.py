@@ -473,3 +473,20 @@ def published_splits(spark, sf_dir):
     uris = SK.publish(s, base, splits=("train", "validation"))
     parts = [spark.read.schema(RD.EXAMPLE_SCHEMA).json(u).select("id", F.lit(k).alias("split")) for k, u in uris.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# ---------------------------------------------------------------- stream ingest (STR-01)
+
+@query("stream_ingest", _dir_sql())
+def stream_ingest(spark, sf_dir):
+    """STR-01: the per-document files ingested by the Structured Streaming
+    job (availableNow, checkpointed), output read back; equals the batch."""
+    from ..streaming.jobs import stream_documents
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream_{uuid.uuid4().hex}"
+    legal(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/in")
+    q = stream_documents(spark, f"{base}/in/doc_id=*", f"{base}/out", "en", checkpoint=f"{base}/ckpt")
+    q.awaitTermination()
+    good = spark.read.parquet(f"{base}/out/documents")
+    doc_id = F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint")
+    return good.select(doc_id.alias("doc_id"), "file_type", F.md5("processed_text").alias("processed_md5"),
+                       F.size("citations").cast("bigint").alias("n_citations"))
