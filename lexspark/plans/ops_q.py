@@ -28,8 +28,9 @@ def _html_text_sql() -> str:
     ws = R2.WS[:-1]
     dec = "x"
     for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                    ("&#39;", "'"), ("&amp;", "&")):
+                    ("&#39;", "'")):
         dec = f"replace({dec}, {R2.q(ent)}, {R2.q(ch)})"
+    dec = f"regexp_replace({dec}, '&amp;?', '&', 'g')"  # last, one pass: '&amp' decodes without ';' too
     blocks = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
               r"|<!--.*?-->|<!.*?>")
     return ("SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(html, "
@@ -58,8 +59,9 @@ def _opinions_sql() -> str:
     from . import sql_re2 as R2
     dec = "x"
     for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                    ("&#39;", "'"), ("&amp;", "&")):
+                    ("&#39;", "'")):
         dec = f"replace({dec}, {R2.q(ent)}, {R2.q(ch)})"
+    dec = f"regexp_replace({dec}, '&amp;?', '&', 'g')"  # last, one pass: '&amp' decodes without ';' too
     blocks = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
               r"|<!--.*?-->|<!.*?>")
     direct = (f"array_to_string(list_transform(regexp_split_to_array(regexp_replace(html, {R2.q(blocks)}, '', 'g'), "
