@@ -61,3 +61,12 @@ def test_manifest(spark):
     m = {r["split"]: r for r in PR.manifest(df, "split", "document_type").collect()}
     assert m["train"]["count"] == 2 and m["train"]["distribution"] == "U:1,unknown:1"
     assert m["test"]["fields"] == ["id", "document_type"]
+
+
+def test_file_metadata_and_paths(spark):
+    df = spark.createDataFrame([("/data/x/2 StR 1_09.xml",), ("/data/y/readme.txt",)], "source_file string")
+    out = {r["source_file"]: r for r in FL.with_file_metadata(df, "source_file", "de").collect()}
+    assert out["/data/x/2 StR 1_09.xml"]["file_type"] == "xml" and out["/data/y/readme.txt"]["language"] == "de"
+    keys = [r["k"] for r in spark.createDataFrame([("2 StR 428/09",)], "c string").select(
+        FL.path_key("c").alias("k")).collect()]
+    assert keys == ["2 StR 428_09"]
