@@ -10,18 +10,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import simhash
+from lexspark.llm import langid, simhash
 from lexspark.llm.common import run_stages, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language (null text, no letters) go."""
+    return langid.identify(docs).filter("lang_pred != 'und'").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays."""
     return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
     ("simhash_near_dedup", near_dedup),
 ]
 
