@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import langid, simhash
+from lexspark.llm import langid, linededup, simhash
 from lexspark.llm.common import run_stages, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,6 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs).filter("lang_pred != 'und'").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier one go, and documents that consist of such lines."""
+    return linededup.drop_duplicate_lines(docs, similarity=0.8)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays."""
     return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4)
@@ -28,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dedup),
 ]
 
