@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import langid, linededup, simhash
+from lexspark.llm import langid, linededup, mixing, simhash
 from lexspark.llm.common import run_stages, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,10 +31,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: sources weigh 5, 2, 1, repeating."""
+    return mixing.mixed(docs, mixing.cycled([5, 2, 1]), share=1.5, most=2.0)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dedup),
+    ("mixing", mix_sources),
 ]
 
 #: Tokenisers and fingerprints are beyond SQL; tests hold run() against a brute-force version.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, simhash
+from . import langid, linededup, mixing, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.duplicate_lines(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), mixing.cycled([5, 2, 1]), share=1.5, most=2.0)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
