@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import langid, linededup, mixing, simhash
+from lexspark.llm import langid, linededup, mixing, packing, simhash
 from lexspark.llm.common import run_stages, table
+from lexspark.llm.queries import BYTE_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,11 +37,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, mixing.cycled([5, 2, 1]), share=1.5, most=2.0)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2,048 tokens."""
+    return packing.pack(docs, BYTE_BPE, length=2048)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dedup),
     ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Tokenisers and fingerprints are beyond SQL; tests hold run() against a brute-force version.
