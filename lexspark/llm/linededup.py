@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +29,85 @@ from .common import cut, small_batches
 BUCKETS = 1 << 16  # of the rarity histogram: words that share a bucket count as equally rare
 PART_ROWS = 1 << 17  # lines a word may be on before its postings are dealt to several parts
 RUN_ROWS = 1 << 16  # postings of one word that a task holds at once
-SHIFTS = 64  # a word's posting is compared with so many neighbours when its list is examined
+SHIFTS = 256  # a word's posting is compared with so many neighbours when its list is examined
 _LAST = (1 << 63) - 1  # order of a null id
 
 
-class _Hashes(dict):
-    """Word -> XXH64, for the words met lately."""
+SEGMENT = 1 << 20  # bytes of text looked at in one go; a longer line is looked at whole
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and their inverses."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
-def _line_sets(texts: pa.Array, hashes: _Hashes, wanted: list | None = None):
-    """Row, line number and size of every line with words, and all their word hashes, line by line."""
-    row, number, size, words = [], [], [], []
-    for r, text in enumerate(texts):
-        text = text.as_py()
-        if not text:
+
+def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """In segments of whole lines: row and line number of every line; line and hash of every word.
+
+    The hash of a word is a polynomial of its bytes, taken from running sums over the segment, so
+    that no word is handled by itself.
+    """
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    if data is None or offsets[0] == offsets[-1]:
+        return
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    breaks = np.flatnonzero(data == 10) + 1
+    lines = np.union1d(offsets[:-1], breaks)
+    lines = lines[lines < len(data)]
+    row = np.searchsorted(offsets, lines, "right") - 1
+    number = np.searchsorted(breaks, lines, "right") - np.searchsorted(breaks, offsets[row], "right")
+    first = 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(lines, lines[first] + SEGMENT, "right")) - 1)
+        if last == len(lines) - 1 and len(data) <= lines[first] + SEGMENT:
+            last = len(lines)
+        a, b = lines[first], lines[last] if last < len(lines) else len(data)
+        part, starts = data[a:b], lines[first:last] - a
+        space = _SPACE[part]
+        new = np.concatenate(([True], space[:-1]))
+        new[starts] = True
+        begin = np.flatnonzero(new & ~space)
+        old = np.concatenate((space[1:], [True]))
+        old[starts[1:] - 1] = True
+        end = np.flatnonzero(old & ~space) + 1
+        up, down = _powers(max(SEGMENT, 1 << (int(b - a) - 1).bit_length()))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[:len(part)], dtype=np.uint64)))
+        line = np.zeros(len(part), np.int64)
+        line[starts[1:]] = 1
+        yield row[first:last], number[first:last], np.cumsum(line)[begin], _mix((sums[end] - sums[begin]) * down[begin], 0)
+        first = last
+
+
+def _line_sets(texts: pa.Array, rank: np.ndarray | None = None):
+    """For each segment: row, number and size of every line with words, and the hashes of its
+    distinct words, line by line; by ``rank`` of their buckets, if given, and the rest of the hash."""
+    for row, number, line, words in _words(texts):
+        if not len(words):
             continue
-        lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-        for k in range(len(lines)) if wanted is None else wanted[r]:
-            own = set(lines[k].split())
-            if own:
-                row.append(r)
-                number.append(k)
-                size.append(len(own))
-                words.extend(map(hashes.__getitem__, own))
-    return np.array(row, np.int64), np.array(number, np.int64), np.array(size, np.int64), np.array(words, np.uint64)
+        upper = words >> np.uint64(16)
+        if rank is not None:  # one to one with the hash, like the hash itself
+            words_by = (rank[(words & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(48)) | upper
+        else:
+            words_by = words
+        key = (line.astype(np.uint64) << np.uint64(44)) | (words_by >> np.uint64(20))
+        by = np.argsort(key) if line[-1] < 1 << 20 else np.lexsort((words_by, line))
+        tied = words_by[by]
+        if (np.diff(key[by]) == 0)[np.diff(tied) != 0].any():  # the key leaves out bits that matter here
+            by = np.lexsort((words_by, line))
+        line, words = line[by], words[by]
+        new = np.concatenate(([True], (words[1:] != words[:-1]) | (line[1:] != line[:-1])))
+        line, words = line[new], words[new]
+        at, size = np.unique(line, return_counts=True)
+        yield row[at], number[at], size, words
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -78,18 +127,18 @@ def _key(size: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every line with words; at the end, rows (k1 = bucket, k2 = lines) of the histogram."""
-    hashes, histogram = _Hashes(), np.zeros(BUCKETS, np.int64)
+    histogram = np.zeros(BUCKETS, np.int64)
 
     def out(order, text_hash, number, k1, k2, kind):
         return pa.RecordBatch.from_arrays([order, text_hash, pa.array(number), pa.array(k1), pa.array(k2), pa.array(kind)],
                                           names=["doc_order", "text_hash", "line_no", "k1", "k2", "histogram"])
 
     for b in batches:
-        row, number, size, words = _line_sets(b.column("text"), hashes)
-        histogram += np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = pa.array(row)
-        yield out(b.column("doc_order").take(at), b.column("text_hash").take(at), number, _key(size, words, 1),
-                  _key(size, words, 2), np.zeros(len(row), bool))
+        for row, number, size, words in _line_sets(b.column("text")):
+            histogram += np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            at = pa.array(row)
+            yield out(b.column("doc_order").take(at), b.column("text_hash").take(at), number, _key(size, words, 1),
+                      _key(size, words, 2), np.zeros(len(row), bool))
     at = np.nonzero(histogram)[0]
     none = pa.nulls(len(at), pa.int64())
     yield out(none, none, at * 0, at, histogram[at], np.ones(len(at), bool))
@@ -114,32 +163,29 @@ def _postings(counts: np.ndarray, t: Fraction):
     parts = counts // PART_ROWS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
-            row, _, size, words = _line_sets(b.column("text"), hashes)
-            line = np.repeat(np.arange(len(size)), size)
-            bucket = (words & np.uint64(BUCKETS - 1)).astype(np.int64)
-            order = (rank[bucket] << np.uint64(48)) | (words >> np.uint64(16))  # one to one with the hash
-            sig = _sums(size, np.uint64(1) << (words >> np.uint64(58)), np.bitwise_xor)
-            cls = _key(size, words, 1)
-            by = np.lexsort((order, line))
-            pos = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-            prefix = size - -(size * -t.numerator // t.denominator) + 1
-            ok = (pos < np.repeat(prefix, size)) & np.repeat(size * t.denominator >= (size + 1) * t.numerator, size)
-            line, pos, by = line[ok], pos[ok], by[ok]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((words[by] >> np.uint64(16)).astype(np.uint32).view(np.int32)),
-                 pa.array((cls[line] % parts[bucket[by]]).astype(np.int32)), b.column("doc_order").take(pa.array(row[line])),
-                 pa.array(cls[line]), pa.array(sig[line].view(np.int64)), pa.array((size[line] << 32) | pos),
-                 pa.array(parts[bucket[by]] > 1)],
-                names=["word", "part", "doc_order", "cls", "sig", "at", "dealt"])
+            for row, _, size, words in _line_sets(b.column("text"), rank):
+                first = np.cumsum(size) - size
+                sig = _sums(size, np.uint64(1) << (words >> np.uint64(58)), np.bitwise_xor)
+                cls = _key(size, words, 1)
+                prefix = size - -(size * -t.numerator // t.denominator) + 1
+                prefix[size * t.denominator < (size + 1) * t.numerator] = 0
+                line = np.repeat(np.arange(len(size)), prefix)
+                pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                word = words[first[line] + pos]
+                deal = parts[(word & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((word >> np.uint64(16)).astype(np.uint32).view(np.int32)), pa.array((cls[line] % deal).astype(np.int32)),
+                     b.column("doc_order").take(pa.array(row[line])), pa.array(cls[line]), pa.array(sig[line].view(np.int64)),
+                     pa.array((size[line] << 32) | pos), pa.array(deal > 1)],
+                    names=["word", "part", "doc_order", "cls", "sig", "at", "dealt"])
 
     return run
 
 
 def _examine(t: Fraction):
-    """Postings sorted by word and order: whether each passes with its list's first, and, for lists
-    in which others may pass among themselves, the posting itself (``more``)."""
+    """Of postings sorted by word and order, those that pass with their list's first (``head``) or
+    may pass with another one of the list (``more``)."""
     def part(x: pa.Table, first: dict | None, whole: bool) -> pa.RecordBatch:
         word, cls, sig, at = (x.column(c).to_numpy() for c in ("word", "cls", "sig", "at"))
         dealt, order, salt = x.column("dealt").to_numpy(zero_copy_only=False), x.column("doc_order").to_numpy(), x.column("part").to_numpy()
@@ -171,15 +217,12 @@ def _examine(t: Fraction):
                 break
             ok = i[_passes(n[i + s], pos[i + s], sig[i + s], n[i], pos[i], sig[i], t)]
             more[ok] = more[ok + s] = True
-        listed = np.zeros(len(length), bool)
-        listed[run[more]] = True
-        keep = found | listed[run]
+        keep = found | more
         first_of_last = {"cls": hc[-1], "n": hn[-1], "pos": hp[-1], "sig": hs[-1]}
         return pa.RecordBatch.from_arrays(
             [pa.array(word[keep]), pa.array(order[keep]), pa.array(cls[keep]), pa.array(sig[keep].view(np.int64)),
-             pa.array(n[keep]), pa.array(pos[keep]), pa.array(hc[keep], mask=~found[keep]), pa.array(more[keep]),
-             pa.array(listed[run][keep])],
-            names=["word", "doc_order", "cls", "sig", "n", "pos", "head", "more", "listed"]), first_of_last
+             pa.array(n[keep]), pa.array(pos[keep]), pa.array(hc[keep], mask=~found[keep]), pa.array(more[keep])],
+            names=["word", "doc_order", "cls", "sig", "n", "pos", "head", "more"]), first_of_last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, None  # rows of the list under way; its first posting, if some went before
@@ -204,13 +247,18 @@ def _examine(t: Fraction):
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
+    """The word hashes of the lines whose numbers stand in ``lines``."""
     for b in batches:
-        _, _, size, words = _line_sets(b.column("text"), hashes, b.column("lines").to_pylist())
-        ends = np.concatenate(([0], np.cumsum(size)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_key(size, words, 1)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))],
-            names=["cls", "words"])
+        wanted = b.column("lines")
+        owner = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+        wanted = np.sort((owner << 40) | wanted.flatten().to_numpy())
+        for row, number, size, words in _line_sets(b.column("text")):
+            ok = np.isin((row << 40) | number, wanted)
+            words, cls = words[np.repeat(ok, size)], _key(size, words, 1)[ok]
+            ends = np.concatenate(([0], np.cumsum(size[ok])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))],
+                names=["cls", "words"])
 
 
 def _sql_passes(a: str, b: str, t: Fraction) -> Column:
@@ -256,11 +304,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     place = F.struct("doc_order", "text_hash", "line_no")
     classes = cut(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")))
 
-    listed = cut(source.mapInArrow(_postings(counts, t), "word int, part int, doc_order long, cls long, sig long, at long, dealt boolean")
+    met = cut(source.mapInArrow(_postings(counts, t), "word int, part int, doc_order long, cls long, sig long, at long, dealt boolean")
                  .repartition("word", "part").sortWithinPartitions("word", "part", "doc_order")
-                 .mapInArrow(_examine(t), "word int, doc_order long, cls long, sig long, n long, pos long, head long, more boolean, listed boolean"))
-    met = listed.select("cls").unionByName(listed.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
-    wanted = (met.join(classes.withColumnRenamed("k1", "cls"), "cls")
+                 .mapInArrow(_examine(t), "word int, doc_order long, cls long, sig long, n long, pos long, head long, more boolean"))
+    either = met.select("cls").unionByName(met.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
+    wanted = (either.join(classes.withColumnRenamed("k1", "cls"), "cls")
               .groupBy("first.doc_order", "first.text_hash").agg(F.collect_list("first.line_no").alias("lines")))
     sets = cut(source.join(wanted, ["doc_order", "text_hash"]).select("text", "lines")
                .mapInArrow(_word_sets, "cls long, words array<long>").groupBy("cls").agg(F.first("words").alias("words"))
@@ -269,9 +317,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     def ordered(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    settled = cut(_similar(listed.filter("head is not null").select(*ordered(F.col("cls"), F.col("head"))).distinct(), sets, t))
-    pool = listed.filter("listed")
-    open_ = pool.filter("more").join(settled, "cls", "left_anti")
+    settled = cut(_similar(met.filter("head is not null").select(*ordered(F.col("cls"), F.col("head"))).distinct(), sets, t))
+    pool = met.filter("more")
+    open_ = pool.join(settled, "cls", "left_anti")
     rest = (open_.alias("u").join(pool.alias("l"), (F.col("u.word") == F.col("l.word")) & (F.col("l.doc_order") <= F.col("u.doc_order"))
                                   & (F.col("u.cls") != F.col("l.cls")) & _sql_passes("u", "l", t))
             .select(*ordered(F.col("u.cls"), F.col("l.cls"))).distinct())
