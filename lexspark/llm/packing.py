@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -28,6 +29,7 @@ from .common import cut, small_batches
 END_ID = 1
 CACHE = 1 << 18  # chunks whose ids a worker keeps, of at most so many characters:
 CACHED_CHARS = 64
+GROUP = 64  # texts encoded together
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that byte-level pre-tokenisation never joins: a word with the space before it, and white space.
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -37,7 +39,9 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit numbers, by a byte-level tokeniser of ``tokenizers``.
 
     A text is encoded in chunks cut where its pre-tokenisation cuts anyway, and chunks seen before
-    come from a bounded cache. A text in which a special string stands goes to the library whole.
+    come from a bounded cache. New words are encoded together: each begins with a space after
+    another character, so they stay apart, and the bytes of their tokens tell whose a token is.
+    A text in which a special string stands goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,29 +50,38 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a token's text has a character for each byte
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._encode([text])[0]
-        chunks = _CHUNKS.findall(text)
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        words = [c for c in chunks if c[0] == " " and not c.isspace()]
+        joined = b"".join(self._encode(["".join(words[i:i + 100]) for i in range(0, len(words), 100)]))
+        rest = [c for c in chunks if c[0] != " " or c.isspace()]
+        self.known.update(zip(rest, self._encode(rest)))
+        ends = np.cumsum(self.n_bytes[np.frombuffer(joined, "<u4")])
+        stop = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in words])) + 1
+        at = [0, *(4 * stop).tolist()]
+        self.known.update((c, joined[i:j]) for c, i, j in zip(words, at, at[1:]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        chunked = [None if any(s in t for s in self.special) else _CHUNKS.findall(t) for t in texts]
+        met = set().union(*filter(None, chunked))
+        if len(self.known) > CACHE:
+            self.known.clear()
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if not new:
-            return b"".join(map(known.__getitem__, chunks))
-        if len(known) > CACHE:
-            known.clear()
-            new = list(dict.fromkeys(chunks))
-        known.update(zip(new, self._encode(new)))
-        out = b"".join(map(known.__getitem__, chunks))
-        if len(new) > CACHE:
-            known.clear()
+        new = [c for c in met if c not in known]
+        if new:
+            self._learn(new)
+        out = [self._encode([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, chunked)]
         for c in new:
             if len(c) > CACHED_CHARS:
-                known.pop(c, None)
+                del known[c]
         return out
 
 
@@ -91,12 +104,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str
         encoder, end = _encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for row, text in enumerate(b.column(1)):
-                ids = encoder.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                for at in range(0, n, length):
-                    piece = ids[4 * at:4 * (at + length)]
-                    rows.append((row, at, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
+            for first in range(0, b.num_rows, GROUP):
+                texts = [t or "" for t in b.column(1).slice(first, GROUP).to_pylist()]
+                for row, ids in enumerate(encoder.encode(texts), first):
+                    ids += end
+                    n = len(ids) // 4
+                    for at in range(0, n, length):
+                        piece = ids[4 * at:4 * (at + length)]
+                        rows.append((row, at, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
             row, *columns = zip(*rows) if rows else [()] * 6
             out = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:4])]
             yield pa.RecordBatch.from_arrays(out + [pa.array(columns[4], pa.binary())] * with_ids, names=schema.names)

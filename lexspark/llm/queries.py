@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, packing, simhash
+from . import langid, linededup, mixing, packing, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -48,3 +48,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, length=2048)
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
