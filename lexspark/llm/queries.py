@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, packing, simhash, tokencounts
+from . import langid, licences, linededup, mixing, packing, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -53,3 +53,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_license_scan"] = licences.oracle_sql()
