@@ -31,9 +31,10 @@ PART_ROWS = 1 << 17  # lines a word may be on before its postings are dealt to s
 RUN_ROWS = 1 << 16  # postings of one word that a task holds at once
 SHIFTS = 256  # a word's posting is compared with so many neighbours when its list is examined
 _LAST = (1 << 63) - 1  # order of a null id
+_LAST_ORDER = (1 << 32) - 1
 
 
-SEGMENT = 1 << 20  # bytes of text looked at in one go; a longer line is looked at whole
+SEGMENT = 1 << 17  # bytes of text looked at in one go, few enough for a processor's cache; a longer line is looked at whole
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -156,14 +157,20 @@ def _passes(n1, p1, s1, n2, p2, s2, t: Fraction):
             & (np.minimum(n1 - p1, n2 - p2) >= need) & (np.bitwise_count(s1 ^ s2) <= n1 + n2 - 2 * need))
 
 
-def _postings(counts: np.ndarray, t: Fraction):
-    """The prefix words of every set that a different set can be similar to."""
+def _postings(counts: np.ndarray, t: Fraction, shift: int):
+    """The prefix words of every set that a different set can be similar to.
+
+    slot: word (32 bits of its hash) and order of the line's document (its id without ``shift``
+    bits); a word on more than PART_ROWS lines is dealt to several slots by the set, and then
+    ``dealt`` has the word itself.
+    """
     rank = np.empty(BUCKETS, np.uint64)
     rank[np.lexsort((np.arange(BUCKETS), counts))] = np.arange(BUCKETS, dtype=np.uint64)
     parts = counts // PART_ROWS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            order = np.clip(b.column("doc_order").to_numpy() >> shift, 0, _LAST_ORDER)
             for row, _, size, words in _line_sets(b.column("text"), rank):
                 first = np.cumsum(size) - size
                 sig = _sums(size, np.uint64(1) << (words >> np.uint64(58)), np.bitwise_xor)
@@ -174,11 +181,12 @@ def _postings(counts: np.ndarray, t: Fraction):
                 pos = np.arange(len(line)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 word = words[first[line] + pos]
                 deal = parts[(word & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                word = (word >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64)
+                own = np.where(deal > 1, (word + 1 + cls[line] % deal).astype(np.int32), word)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((word >> np.uint64(16)).astype(np.uint32).view(np.int32)), pa.array((cls[line] % deal).astype(np.int32)),
-                     b.column("doc_order").take(pa.array(row[line])), pa.array(cls[line]), pa.array(sig[line].view(np.int64)),
-                     pa.array((size[line] << 32) | pos), pa.array(deal > 1)],
-                    names=["word", "part", "doc_order", "cls", "sig", "at", "dealt"])
+                    [pa.array((own << 32) | order[row[line]]), pa.array(cls[line]), pa.array(sig[line].view(np.int64)),
+                     pa.array((size[line] << 32) | pos), pa.array(word, mask=deal == 1)],
+                    names=["slot", "cls", "sig", "at", "dealt"])
 
     return run
 
@@ -186,10 +194,13 @@ def _postings(counts: np.ndarray, t: Fraction):
 def _examine(t: Fraction):
     """Of postings sorted by word and order, those that pass with their list's first (``head``) or
     may pass with another one of the list (``more``)."""
-    def part(x: pa.Table, first: dict | None, whole: bool) -> pa.RecordBatch:
-        word, cls, sig, at = (x.column(c).to_numpy() for c in ("word", "cls", "sig", "at"))
-        dealt, order, salt = x.column("dealt").to_numpy(zero_copy_only=False), x.column("doc_order").to_numpy(), x.column("part").to_numpy()
-        new = np.concatenate(([True], (word[1:] != word[:-1]) | (salt[1:] != salt[:-1])))
+    def part(x: pa.Table, first: dict | None, whole: bool) -> tuple[pa.RecordBatch, dict]:
+        slot, cls, sig, at = (x.column(c).to_numpy() for c in ("slot", "cls", "sig", "at"))
+        spread = x.column("dealt").combine_chunks()
+        dealt = spread.is_valid().to_numpy(zero_copy_only=False)
+        word = np.where(dealt, spread.fill_null(0).to_numpy(), slot >> 32)
+        order = slot & 0xFFFFFFFF
+        new = np.concatenate(([True], (slot[1:] >> 32) != (slot[:-1] >> 32)))
         run = np.cumsum(new) - 1
         by = np.lexsort((np.arange(len(cls)), cls, run))  # copies of a set: its first posting stays
         again = np.zeros(len(cls), bool)
@@ -222,7 +233,7 @@ def _examine(t: Fraction):
         return pa.RecordBatch.from_arrays(
             [pa.array(word[keep]), pa.array(order[keep]), pa.array(cls[keep]), pa.array(sig[keep].view(np.int64)),
              pa.array(n[keep]), pa.array(pos[keep]), pa.array(hc[keep], mask=~found[keep]), pa.array(more[keep])],
-            names=["word", "doc_order", "cls", "sig", "n", "pos", "head", "more"]), first_of_last
+            names=["word", "ord", "cls", "sig", "n", "pos", "head", "more"]), first_of_last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, None  # rows of the list under way; its first posting, if some went before
@@ -231,8 +242,8 @@ def _examine(t: Fraction):
             held = x if held is None else pa.concat_tables([held, x]).combine_chunks()
             if held.num_rows < RUN_ROWS:
                 continue
-            word, salt = held.column("word").to_numpy(), held.column("part").to_numpy()
-            end = int(np.nonzero((word != word[-1]) | (salt != salt[-1]))[0][-1]) + 1 if (word[0], salt[0]) != (word[-1], salt[-1]) else 0
+            list_ = held.column("slot").to_numpy() >> 32
+            end = int(np.searchsorted(list_, list_[-1]))
             if end:
                 yield part(held.slice(0, end), first, True)[0]
                 held, first = held.slice(end), None
@@ -246,19 +257,36 @@ def _examine(t: Fraction):
     return run
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of the lines whose numbers stand in ``lines``."""
-    for b in batches:
-        wanted = b.column("lines")
-        owner = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
-        wanted = np.sort((owner << 40) | wanted.flatten().to_numpy())
-        for row, number, size, words in _line_sets(b.column("text")):
-            ok = np.isin((row << 40) | number, wanted)
-            words, cls = words[np.repeat(ok, size)], _key(size, words, 1)[ok]
-            ends = np.concatenate(([0], np.cumsum(size[ok])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))],
-                names=["cls", "words"])
+def _word_sets(bits: np.ndarray):
+    """Place, key and word hashes of the lines whose bit is set."""
+    size_of = np.uint64(64 * len(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, number, size, words in _line_sets(b.column("text")):
+                cls = _key(size, words, 1)
+                bit = cls.view(np.uint64) % size_of
+                ok = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                words, ends = words[np.repeat(ok, size)], np.concatenate(([0], np.cumsum(size[ok])))
+                at = pa.array(row[ok])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_order").take(at), b.column("text_hash").take(at), pa.array(number[ok]), pa.array(cls[ok]),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))],
+                    names=["doc_order", "text_hash", "line_no", "cls", "words"])
+
+    return run
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each key modulo their number: 16 bits a key, and 4 MB at most. More keys share
+    bits then, which lets more lines pass and loses none."""
+    n = 1 << min(25, max(16, (16 * keys.count()).bit_length()))
+    bit = F.pmod(F.col("cls"), F.lit(n))  # n is a power of two: the same for signed and unsigned
+    rows = (keys.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) AS at", "shiftleft(1L, cast(bit % 64 AS int)) AS b")
+            .groupBy("at").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros(n // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("b").to_numpy()
+    return out.view(np.uint64)
 
 
 def _sql_passes(a: str, b: str, t: Fraction) -> Column:
@@ -304,15 +332,14 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     place = F.struct("doc_order", "text_hash", "line_no")
     classes = cut(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")))
 
-    met = cut(source.mapInArrow(_postings(counts, t), "word int, part int, doc_order long, cls long, sig long, at long, dealt boolean")
-                 .repartition("word", "part").sortWithinPartitions("word", "part", "doc_order")
-                 .mapInArrow(_examine(t), "word int, doc_order long, cls long, sig long, n long, pos long, head long, more boolean"))
+    top = lines.filter(F.col("doc_order") < _LAST).agg(F.max("doc_order")).first()[0] or 0
+    shift = max(0, int(top).bit_length() - 32)
+    met = cut(source.mapInArrow(_postings(counts, t, shift), "slot long, cls long, sig long, at long, dealt long")
+              .repartition(F.shiftright("slot", 32)).sortWithinPartitions("slot")
+              .mapInArrow(_examine(t), "word long, ord long, cls long, sig long, n long, pos long, head long, more boolean"))
     either = met.select("cls").unionByName(met.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
-    wanted = (either.join(classes.withColumnRenamed("k1", "cls"), "cls")
-              .groupBy("first.doc_order", "first.text_hash").agg(F.collect_list("first.line_no").alias("lines")))
-    sets = cut(source.join(wanted, ["doc_order", "text_hash"]).select("text", "lines")
-               .mapInArrow(_word_sets, "cls long, words array<long>").groupBy("cls").agg(F.first("words").alias("words"))
-               .join(classes.select(F.col("k1").alias("cls"), "first"), "cls"))
+    sets = cut(source.mapInArrow(_word_sets(_bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
+               .groupBy("cls").agg(F.first("words").alias("words"), F.min(place).alias("first")))
 
     def ordered(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -320,7 +347,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     settled = cut(_similar(met.filter("head is not null").select(*ordered(F.col("cls"), F.col("head"))).distinct(), sets, t))
     pool = met.filter("more")
     open_ = pool.join(settled, "cls", "left_anti")
-    rest = (open_.alias("u").join(pool.alias("l"), (F.col("u.word") == F.col("l.word")) & (F.col("l.doc_order") <= F.col("u.doc_order"))
+    rest = (open_.alias("u").join(pool.alias("l"), (F.col("u.word") == F.col("l.word")) & (F.col("l.ord") <= F.col("u.ord"))
                                   & (F.col("u.cls") != F.col("l.cls")) & _sql_passes("u", "l", t))
             .select(*ordered(F.col("u.cls"), F.col("l.cls"))).distinct())
     gone = cut(settled.unionByName(_similar(rest, sets, t)).distinct()).withColumn("similar", F.lit(True))
