@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 from .common import cut, small_batches
 
 END_ID = 1
-CACHE = 1 << 18  # chunks whose ids a worker keeps, of at most so many characters:
+CACHE = 1 << 19  # words whose ids a worker keeps, and as many older ones, of at most so many characters:
 CACHED_CHARS = 64
 GROUP = 64  # texts encoded together
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that byte-level pre-tokenisation never joins: a word with the space before it, and white space.
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Texts without such a run are words with a single space or line feed between them.
+_NOT_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[{_SPACE.replace('\t-\r ', '\t\x0b-\r')}]")
 
 
 class ChunkEncoder:
@@ -54,7 +56,10 @@ class ChunkEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a token's text has a character for each byte
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks
+        self.spaced: dict[str, bytes] = {}  # words, with the space before them
+        self.older: dict[str, bytes] = {}
+        self.feed = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,19 +74,47 @@ class ChunkEncoder:
         at = [0, *(4 * stop).tolist()]
         self.known.update((c, joined[i:j]) for c, i, j in zip(words, at, at[1:]))
 
+    def _plain(self, lines: list[list[str]]) -> bytes:
+        """Ids of the words of a text's lines, the first of a line without a space before it."""
+        spaced, known = self.spaced, self.known
+        return self.feed.join([known[words[0]] + b"".join(map(spaced.__getitem__, words[1:])) if words[0] else
+                               b"".join(map(spaced.__getitem__, words[1:])) for words in lines])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [None if any(s in t for s in self.special) else _CHUNKS.findall(t) for t in texts]
-        met = set().union(*filter(None, chunked))
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = [c for c in met if c not in known]
-        if new:
-            self._learn(new)
-        out = [self._encode([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, chunked)]
+        if len(self.spaced) > CACHE:  # words still in use come back from the older generation
+            self.older, self.spaced = self.spaced, {}
+        parts: list = []
+        chunks: set[str] = set()
+        words: set[str] = set()
+        for t in texts:
+            if any(s in t for s in self.special):
+                parts.append(t)
+            elif _NOT_PLAIN.search(t):
+                parts.append(_CHUNKS.findall(t))
+                chunks.update(parts[-1])
+            else:
+                parts.append([line.split(" ") for line in t.split("\n")])
+                for line in parts[-1]:
+                    words.update(line[1:])
+                    chunks.add(line[0])
+        chunks.discard("")
+        new = [c for c in chunks if c not in self.known]
+        new_words = words.difference(self.spaced)
+        back = new_words.intersection(self.older)
+        self.spaced.update((w, self.older[w]) for w in back)
+        new_words = list(new_words - back)
+        self._learn([*new, *(" " + w for w in new_words)])
+        self.spaced.update((w, self.known[" " + w] if " " + w in chunks else self.known.pop(" " + w)) for w in new_words)
+        out = [self._encode([p])[0] if isinstance(p, str) else b"".join(map(self.known.__getitem__, p)) if p and isinstance(p[0], str)
+               else self._plain(p) for p in parts]
         for c in new:
             if len(c) > CACHED_CHARS:
-                del known[c]
+                del self.known[c]
+        for w in new_words:
+            if len(w) > CACHED_CHARS:
+                del self.spaced[w]
         return out
 
 
