@@ -36,6 +36,8 @@ _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Texts without such a run are words with a single space or line feed between them.
 _NOT_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[{_SPACE.replace('\t-\r ', '\t\x0b-\r')}]")
 
+_TAILS = ".,;:!?"  # after a word of letters, one of these is a unit of its own
+
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit numbers, by a byte-level tokeniser of ``tokenizers``.
@@ -59,6 +61,7 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}  # chunks
         self.spaced: dict[str, bytes] = {}  # words, with the space before them
         self.older: dict[str, bytes] = {}
+        self.tails = dict(zip(_TAILS, self._encode(list(_TAILS))))
         self.feed = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -101,18 +104,24 @@ class ChunkEncoder:
                     chunks.add(line[0])
         chunks.discard("")
         new = [c for c in chunks if c not in self.known]
-        new_words = words.difference(self.spaced)
-        back = new_words.intersection(self.older)
+        new_words = {w for w in words if w not in self.spaced}
+        back = {w for w in new_words if w in self.older}
+        self.spaced.update((w, self.older[w]) for w in back)
+        new_words -= back
+        stems = {w: w[:-1] for w in new_words if w[-1:] in _TAILS and w[:-1].isalpha() and max(w) < "\u0250"}
+        more = {w for w in stems.values() if w not in self.spaced and w not in new_words}
+        back = {w for w in more if w in self.older}
         self.spaced.update((w, self.older[w]) for w in back)
-        new_words = list(new_words - back)
+        new_words = [*(new_words.difference(stems) | (more - back))]
         self._learn([*new, *(" " + w for w in new_words)])
         self.spaced.update((w, self.known[" " + w] if " " + w in chunks else self.known.pop(" " + w)) for w in new_words)
+        self.spaced.update((w, self.spaced[stem] + self.tails[w[-1]]) for w, stem in stems.items())
         out = [self._encode([p])[0] if isinstance(p, str) else b"".join(map(self.known.__getitem__, p)) if p and isinstance(p[0], str)
                else self._plain(p) for p in parts]
         for c in new:
             if len(c) > CACHED_CHARS:
                 del self.known[c]
-        for w in new_words:
+        for w in [*new_words, *stems]:
             if len(w) > CACHED_CHARS:
                 del self.spaced[w]
         return out
