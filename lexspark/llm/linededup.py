@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-BUCKETS = 1 << 16  # of the rarity histogram: words that share a bucket count as equally rare
+_BITS = 18
+BUCKETS = 1 << _BITS  # of the rarity histogram: words that share a bucket count as equally rare
+_ROW = 1024  # buckets to a row of it
 PART_ROWS = 1 << 17  # lines a word may be on before its postings are dealt to several parts
 RUN_ROWS = 1 << 16  # postings of one word that a task holds at once
-SHIFTS = 256  # a word's posting is compared with so many neighbours when its list is examined
+SHIFTS = 2048  # a word's posting is compared with so many neighbours when its list is examined
 _LAST = (1 << 63) - 1  # order of a null id
 _LAST_ORDER = (1 << 32) - 1
 
@@ -94,9 +96,8 @@ def _line_sets(texts: pa.Array, rank: np.ndarray | None = None):
     for row, number, line, words in _words(texts):
         if not len(words):
             continue
-        upper = words >> np.uint64(16)
         if rank is not None:  # one to one with the hash, like the hash itself
-            words_by = (rank[(words & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(48)) | upper
+            words_by = (rank[(words & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(64 - _BITS)) | (words >> np.uint64(_BITS))
         else:
             words_by = words
         key = (line.astype(np.uint64) << np.uint64(44)) | (words_by >> np.uint64(20))
@@ -127,22 +128,21 @@ def _key(size: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every line with words; at the end, rows (k1 = bucket, k2 = lines) of the histogram."""
+    """A row for every line with words; at the end, the task's histogram: rows of ``_ROW`` buckets,
+    numbered in k1, with the lines on which words of each stand."""
     histogram = np.zeros(BUCKETS, np.int64)
-
-    def out(order, text_hash, number, k1, k2, kind):
-        return pa.RecordBatch.from_arrays([order, text_hash, pa.array(number), pa.array(k1), pa.array(k2), pa.array(kind)],
-                                          names=["doc_order", "text_hash", "line_no", "k1", "k2", "histogram"])
-
+    names = ["doc_order", "text_hash", "line_no", "k1", "k2", "counts"]
     for b in batches:
         for row, number, size, words in _line_sets(b.column("text")):
             histogram += np.bincount((words & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             at = pa.array(row)
-            yield out(b.column("doc_order").take(at), b.column("text_hash").take(at), number, _key(size, words, 1),
-                      _key(size, words, 2), np.zeros(len(row), bool))
-    at = np.nonzero(histogram)[0]
-    none = pa.nulls(len(at), pa.int64())
-    yield out(none, none, at * 0, at, histogram[at], np.ones(len(at), bool))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_order").take(at), b.column("text_hash").take(at), pa.array(number), pa.array(_key(size, words, 1)),
+                 pa.array(_key(size, words, 2)), pa.nulls(len(row), pa.list_(pa.int64()))], names=names)
+    n = BUCKETS // _ROW
+    none = pa.nulls(n, pa.int64())
+    counts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * _ROW, pa.int32()), pa.array(histogram))
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(n)), none, counts], names=names)
 
 
 def _alpha(a, b, t: Fraction):
@@ -191,6 +191,10 @@ def _postings(counts: np.ndarray, t: Fraction, shift: int):
     return run
 
 
+_NOTHING = pa.RecordBatch.from_pydict(
+    {c: pa.array([], pa.bool_() if c == "more" else pa.int64()) for c in ("word", "ord", "cls", "sig", "n", "pos", "head", "more")})
+
+
 def _examine(t: Fraction):
     """Of postings sorted by word and order, those that pass with their list's first (``head``) or
     may pass with another one of the list (``more``)."""
@@ -202,6 +206,15 @@ def _examine(t: Fraction):
         order = slot & 0xFFFFFFFF
         new = np.concatenate(([True], (slot[1:] >> 32) != (slot[:-1] >> 32)))
         run = np.cumsum(new) - 1
+        keep = dealt | ~(new & np.concatenate((new[1:], [True])))  # a word alone meets nothing
+        if first is not None:
+            keep |= run == 0
+        if not whole:
+            keep |= run == run[-1]
+        if not keep.any():
+            return _NOTHING, {}
+        word, cls, sig, at, dealt, order, run, new = (v[keep] for v in (word, cls, sig, at, dealt, order, run, new))
+        run = np.cumsum(new) - 1
         by = np.lexsort((np.arange(len(cls)), cls, run))  # copies of a set: its first posting stays
         again = np.zeros(len(cls), bool)
         again[by[1:]] = (cls[by][1:] == cls[by][:-1]) & (run[by][1:] == run[by][:-1])
@@ -324,11 +337,12 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     t = Fraction(str(similarity))
     small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
-    read = cut(source.mapInArrow(_lines, "doc_order long, text_hash long, line_no long, k1 long, k2 long, histogram boolean"))
+    read = cut(source.mapInArrow(_lines, "doc_order long, text_hash long, line_no long, k1 long, k2 long, counts array<long>"))
+    sums = (read.filter("counts is not null").select("k1", F.posexplode("counts").alias("at", "n")).filter("n > 0")
+            .groupBy((F.col("k1") * _ROW + F.col("at")).alias("bucket")).agg(F.sum("n").alias("n")).toArrow())  # at most BUCKETS rows
     counts = np.zeros(BUCKETS, np.int64)
-    for bucket, n in read.filter("histogram").groupBy("k1").agg(F.sum("k2")).collect():  # at most BUCKETS rows
-        counts[bucket] = n
-    lines = read.filter("not histogram").drop("histogram")
+    counts[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    lines = read.filter("counts is null").drop("counts")
     place = F.struct("doc_order", "text_hash", "line_no")
     classes = cut(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")))
 
