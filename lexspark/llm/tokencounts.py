@@ -7,16 +7,15 @@ ones, and a text that is to be cut to a budget, or counted up to any place, isn'
 
 Pieces of the model hold the mark of a space at their start only (or nothing else), so nothing
 merges across the start of a run of spaces: a text is a row of chunks (spaces, then other
-characters) whose prefix counts are independent, and those of chunks met before are kept in a
-bounded cache, as are the states at their prefixes. Merges of equal score can depend on what follows:
-for a new chunk that holds a piece whose score is not its own, the library checks the count, and
-where it differs counts the chunk's prefixes one by one.
+characters) whose prefix counts are independent. The state at a chunk's prefix, its count and the
+length of its last token, depends on that prefix alone and is kept for later chunks that begin
+alike, in a bounded cache. Merges of equal score can depend on what follows: the library counts
+the prefixes of chunks that hold a piece whose score is not its own (runs of spaces).
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from functools import cache
 
@@ -27,12 +26,35 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-CACHE = 1 << 18  # chunks, and pairs of tokens, that a worker keeps
-CACHED_CHARS = 64  # a longer chunk is counted anew each time
+CACHE = 1 << 19  # prefixes whose states a worker keeps, and as many older ones
+KEPT = 1 << 18  # words whose counts it keeps, and as many older ones; pairs of tokens
+CACHED_CHARS = 64  # states of a longer chunk are dropped when it is done
+GROUP = 64  # texts counted together
 _MARK = "▁"
 _CHUNKS = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
 
 
+class Kept(dict):
+    """A bounded cache of two generations: what is still in use comes back from the older one."""
+
+    def __init__(self, size: int):
+        self.size, self.older = size, {}
+
+    def find(self, key):
+        found = self.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self[key] = found
+        return found
+
+    def put(self, key, value):
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -40,15 +62,15 @@ class PrefixCounter:
         self.library = m = SentencePieceProcessor(model_file=path)
         ids = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
         self.score = {m.id_to_piece(i): m.get_score(i) for i in ids}
-        if any(_MARK in p.lstrip(_MARK) for p in self.score):
-            raise ValueError("pieces that reach across a space are beyond this counter")
+        if any(_MARK in p.lstrip(_MARK) or "\n" in p for p in self.score):
+            raise ValueError("pieces that reach across a space or a line feed are beyond this counter")
         self.longest = max(map(len, self.score))
         met = Counter(x for p, x in self.score.items() if len(p) > 1)
         self.tied = [p for p, x in self.score.items() if len(p) > 1 and met[x] > 1]
-        self.begun: dict[str, tuple[list[str], array]] = {}
         self.tokens = {p for p in self.score if self.merged(p) == [p]}  # others never result from merges
-        self.stays: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, array] = {}
+        self.states = Kept(CACHE)  # prefix of a chunk -> count * 64 + length of its last token
+        self.stays = Kept(KEPT)
+        self.spaced, self.bare = Kept(KEPT), Kept(KEPT)  # counts of words, with a mark before them or without
 
     def merged(self, text: str) -> list[str]:
         """The text's tokens: ever the neighbours whose union scores best are merged, the first at a tie."""
@@ -62,83 +84,122 @@ class PrefixCounter:
         return parts
 
     def _stay(self, a: str, b: str) -> bool:
-        found = self.stays.get((a, b))
+        found = self.stays.find((a, b))
         if found is None:
-            if len(self.stays) > CACHE:
-                self.stays.clear()
-            found = self.stays[a, b] = self.merged(a + b) == [a, b]
+            found = self.merged(a + b) == [a, b]
+            self.stays.put((a, b), found)
         return found
 
-    def _count(self, chunk: str) -> array:
-        """Counts at the chunk's prefixes; those of prefixes it shares with earlier chunks are there."""
+    def _state(self, chunk: str, i: int, states: Kept | dict) -> int:
+        """Of the prefix of i characters; those of shorter prefixes are worked out on the way."""
+        find = states.find if isinstance(states, Kept) else states.get
+        known = i
+        while known and find(chunk[:known]) is None:
+            known -= 1
         tokens, longest = self.tokens, self.longest
-        i = len(chunk)
-        while i and chunk[:i] not in self.begun:
-            i -= 1
-        last, counts = (x[:i + 1] for x in self.begun[chunk[:i]]) if i else ([""], array("I", [0]))
-        for i in range(i + 1, len(chunk) + 1):
-            for j in range(max(0, i - longest), i):
-                piece = chunk[j:i]
-                if (piece in tokens or i - j == 1) and (j == 0 or self._stay(last[j], piece)):
-                    last.append(piece)
-                    counts.append(counts[j] + (1 if piece in tokens else len(piece.encode("utf-8", "surrogatepass"))))
+        for k in range(known + 1, i + 1):
+            for j in range(max(0, k - longest), k):
+                piece = chunk[j:k]
+                if piece in tokens or k - j == 1:
+                    before = 0
+                    if j:
+                        before = find(chunk[:j])
+                        if before is None:
+                            before = self._state(chunk, j, states)
+                        if not self._stay(chunk[j - before % 64:j], piece):
+                            continue
+                    count = before // 64 + (1 if piece in tokens else len(piece.encode("utf-8", "surrogatepass")))
+                    if isinstance(states, Kept):
+                        states.put(chunk[:k], count * 64 + k - j)
+                    else:
+                        states[chunk[:k]] = count * 64 + k - j
                     break
             else:
-                return self._encoded(chunk)
-        if any(p in chunk for p in self.tied) and counts[-1] != len(self.library.encode(chunk[1:] if chunk[0] == _MARK else chunk)):
-            return self._encoded(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            for k in range(len(chunk), 0, -1):
-                if chunk[:k] in self.begun:
+                raise ValueError(f"no token ends the prefix {chunk[:k]!r}")
+        return find(chunk[:i]) or 0
+
+    def _long(self, chunk: str) -> list[int]:
+        """The states at the prefixes of a long chunk, by position: its prefixes aren't kept."""
+        states = [0]
+        for k in range(1, len(chunk) + 1):
+            for j in range(max(0, k - self.longest), k):
+                piece = chunk[j:k]
+                if (piece in self.tokens or k - j == 1) and (j == 0 or self._stay(chunk[j - states[j] % 64:j], piece)):
+                    states.append((states[j] // 64 + (1 if piece in self.tokens else len(piece.encode("utf-8", "surrogatepass")))) * 64 + k - j)
                     break
-                self.begun[chunk[:k]] = last, counts
-        return counts
-
-    def _encoded(self, chunk: str) -> array:
-        """Counts of a chunk's prefixes by the library, which itself puts a mark in front."""
-        return array("I", [0, *(len(self.library.encode(chunk[1:i])) or 1 for i in range(1, len(chunk) + 1))])
-
-    def chunks(self, text: str) -> list[array]:
-        """Prefix counts of the chunks of the text with the mark the library puts in front."""
-        if not text:
-            return []
-        known, out = self.known, []
-        for c in _CHUNKS.findall(_MARK + text.replace(" ", _MARK)):
-            counts = known.get(c)
-            if counts is None:
-                counts = self._count(c)
-                if len(c) <= CACHED_CHARS:
-                    if len(known) > CACHE:
-                        known.clear()
-                        self.begun.clear()
-                    known[c] = counts
-            out.append(counts)
+        return states
+
+    def _total(self, chunk: str) -> int:
+        if any(p in chunk for p in self.tied):
+            return len(self.library.encode(chunk[1:]))  # it begins with a mark, which the library adds itself
+        return (self._state(chunk, len(chunk), self.states) if len(chunk) <= CACHED_CHARS else self._long(chunk)[-1]) // 64
+
+    def _counts(self, chunk: str) -> list[int]:
+        """At the chunk's prefixes, from one character on."""
+        if any(p in chunk for p in self.tied):
+            return [len(self.library.encode(chunk[1:i])) or 1 for i in range(1, len(chunk) + 1)]
+        if len(chunk) > CACHED_CHARS:
+            return [x // 64 for x in self._long(chunk)[1:]]
+        return [self._state(chunk, i, self.states) // 64 for i in range(1, len(chunk) + 1)]
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """With the mark that the library puts in front."""
+        return _CHUNKS.findall(_MARK + text.replace(" ", _MARK)) if text else []
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The count at the last prefix of each text. Where single spaces separate words, each word
+        is a chunk (line feeds merge with nothing and part chunks)."""
+        plain = [bool(t) and t[0] != " " and "  " not in t and _MARK not in t for t in texts]
+        lines = [[line.split(" ") for line in t.split("\n")] if p else None for t, p in zip(texts, plain)]
+        spaced, bare = set(), set()
+        for rows in filter(None, lines):
+            spaced.add(rows[0][0])
+            bare.update(words[0] for words in rows[1:])
+            for words in rows:
+                spaced.update(words[1:])
+        for found, kept, mark in ((spaced, self.spaced, _MARK), (bare, self.bare, "")):
+            if len(kept) > KEPT:
+                kept.older = dict(kept)
+                kept.clear()
+            older = kept.older
+            for w in found:
+                if w not in kept:
+                    n = older.get(w)
+                    kept[w] = (self._total(mark + w) if mark or w else 0) if n is None else n
+        out = []
+        for t, rows in zip(texts, lines):
+            if rows is None:
+                out.append(sum(map(self._total, self._chunks(t))))
+            else:
+                n = len(rows) - 1 + self.spaced[rows[0][0]] + sum(self.bare[words[0]] for words in rows[1:])
+                out.append(n + sum([sum(map(self.spaced.__getitem__, words[1:])) for words in rows]))
+        for found, kept in ((spaced, self.spaced), (bare, self.bare)):
+            for w in found:
+                if len(w) > CACHED_CHARS:
+                    del kept[w]
         return out
 
-    def total(self, text: str) -> int:
-        return sum([c[-1] for c in self.chunks(text)])
-
     def prefixes(self, text: str) -> np.ndarray:
         """The token counts of ``text[:0]``, ``text[:1]`` and so on to the whole text."""
-        parts = self.chunks(text)
-        if not parts:
-            return np.zeros(1, np.int64)
-        before = np.concatenate(([0], np.cumsum([c[-1] for c in parts])))
-        out = np.concatenate([np.frombuffer(c, np.uint32)[1:].astype(np.int64) + b for c, b in zip(parts, before)])
-        out[0] = 0  # the mark in front alone: the library gives an empty text no token
-        return out
+        out, done = [], 0
+        for chunk in self._chunks(text):
+            counts = self._counts(chunk)
+            out.extend([c + done for c in counts])
+            done = out[-1]
+        return np.array([0, *out[1:]], np.int64)  # the mark in front alone: the library gives an empty text no token
 
     def fitting(self, text: str, limit: int) -> int:
         """Characters of the longest prefix with at most ``limit`` tokens."""
         done = used = 0
-        for c in self.chunks(text):
+        for chunk in self._chunks(text):
             if used + 1 > limit:
                 break
-            if used + c[-1] > limit:
-                inside = np.nonzero(np.frombuffer(c, np.uint32)[1:] + used <= limit)[0]
-                done += int(inside[-1]) + 1 if len(inside) else 0
+            counts = self._counts(chunk)
+            if used + counts[-1] > limit:
+                done += max((i for i, c in enumerate(counts, 1) if used + c <= limit), default=0)
                 break
-            done, used = done + len(c) - 1, used + c[-1]
+            done, used = done + len(chunk), used + counts[-1]
         return max(0, done - 1)
 
 
@@ -153,7 +214,10 @@ def n_tokens(text: Column, model_path: str) -> Column:
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         counter = _counter(model_path)
-        return pd.Series([counter.total(t) if t else 0 for t in texts], dtype="int64")
+        out: list[int] = []
+        for at in range(0, len(texts), GROUP):
+            out += counter.totals([t or "" for t in texts[at:at + GROUP]])
+        return pd.Series(out, dtype="int64")
 
     return run(text)
 
