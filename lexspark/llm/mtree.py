@@ -69,9 +69,9 @@ def _descend(upper: Upper, rings: dict[str, np.ndarray]):
     (``first``), otherwise all others within it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _lifted(matrix(b.column("v")), None) if b.num_rows else np.zeros((0, 1))
             if not b.num_rows:
                 continue
+            q = _lifted(matrix(b.column("v")), None)
             d = _distances(q, upper.objects)[:, rings["cell"]]
             low = np.maximum(0, np.maximum(d - rings["high"], rings["low"] - d)) * (1 - _SLACK)
             first = low.argmin(axis=1)
@@ -97,13 +97,12 @@ def _visit(k: int):
         out: list[tuple[np.ndarray, ...]] = []
         if page.num_rows and asked.num_rows:
             page = page.sort_by("to_object")
-            vid, x, e, lift = page.column("vid").to_numpy(), matrix(page.column("v")), page.column("to_object").to_numpy(), page.column("lifted").to_numpy()
+            vid, x, e = page.column("vid").to_numpy(), matrix(page.column("v")), page.column("to_object").to_numpy()
             q, d = matrix(asked.column("v")), asked.column("to_object").to_numpy()
             bound = asked.column("bound").to_numpy(zero_copy_only=False)
             bound = np.where(np.isnan(bound), np.inf, bound)
             wide = d * _SLACK + bound
             begin, end = np.searchsorted(e, d - wide), np.searchsorted(e, d + wide, "right")
-            del lift
             for i, (a, b) in enumerate(zip(begin, end)):
                 if a < b:
                     s = x[a:b] @ q[i]  # whole numbers below 2**53: exact
@@ -113,3 +112,69 @@ def _visit(k: int):
         return pa.table(columns, names=["qvid", "vid", "s"])
 
     return run
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+           scale: float = 256.0) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k largest integer inner products of
+    floor(``scale`` * x), for every row whose id is divisible by ``every``, among all rows but its
+    own (all, if there are fewer; ties to smaller ids).
+
+    Null and empty vectors, those with null or non-finite components and those with a null id take
+    no part; zero vectors do. Equal vectors are searched once and answer with all their ids; rows
+    that repeat id and vector count once. An empty table gives an empty result; further columns
+    are ignored. Vectors are of one length, and their products below 2**53.
+    """
+    rows = usable(vectors, id_col, vec_col, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
+    data = distinct(rows, k + 1)
+    n, top = data.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    top = top or 0.0
+    sample = data.orderBy(F.xxhash64("vid"), "vid").limit(max(1, min(ROUTES, n // CELL))).select("v").toArrow()  # at most ROUTES rows
+    upper = Upper(_lifted(matrix(sample.column("v")), top)) if n else None
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell, far = upper.nearest(_lifted(matrix(b.column("v")), top))
+                yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("v"), pa.array(cell), pa.array(far)],
+                                                 names=["vid", "v", "cell", "to_object"])
+
+    hung = cut(data.select("vid", "v").mapInArrow(hang, "vid long, v array<double>, cell long, to_object double"))
+    # rings of equal width, as many as the object's vectors fill; at most ROUTES * RINGS rows
+    span = hung.groupBy("cell").agg(F.min("to_object").alias("least"), F.max("to_object").alias("most"), F.count("*").alias("n"))
+    n_rings = F.least(F.lit(RINGS), F.ceil(F.col("n") / PAGE)).cast("int")
+    span = F.broadcast(span.withColumn("rings", n_rings))
+    width = (F.col("most") - F.col("least")) / F.col("rings")
+    ring = F.when(width > 0, F.least(F.col("rings") - 1, F.floor((F.col("to_object") - F.col("least")) / width).cast("int"))).otherwise(F.lit(0))
+    placed = cut(hung.join(span, "cell").withColumn("ring", ring.cast("long")).select("vid", "v", "cell", "ring", "to_object"))
+    directory = cut(placed.groupBy("cell", "ring").agg(F.min("to_object").alias("low"), F.max("to_object").alias("high"),
+                                                       F.ceil(F.count("*") / PAGE).cast("int").alias("pages")))
+    at = directory.toArrow()  # at most ROUTES * RINGS rows
+    rings = {c: at.column(c).to_numpy() for c in ("cell", "ring", "low", "high")}
+
+    queries = cut(rows.filter(F.col("vec_id") % every == 0).distinct().join(data.select("v", "vid"), "v")
+                  .select(F.col("vec_id").alias("query_id"), F.col("vid").alias("qvid"), "v"))
+    asked = cut(queries.groupBy("qvid").agg(F.first("v").alias("v")))
+    q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    pages = F.broadcast(directory.select("cell", "ring", "pages"))
+    paged = (placed.join(pages, ["cell", "ring"]).withColumn("page", F.pmod(F.xxhash64("vid"), F.col("pages")).cast("int"))
+             .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).drop("pages"))
+
+    def wave(q: DataFrame) -> DataFrame:
+        if upper is None:
+            return q.select("qvid", F.col("qvid").alias("vid"), F.lit(0).cast("long").alias("s"))  # no rows
+        visits = (q.mapInArrow(_descend(upper, rings), "qvid long, v array<double>, bound double, cell long, ring long, to_object double")
+                  .join(pages, ["cell", "ring"]).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+                  .withColumn("q_block", F.pmod(F.xxhash64("qvid"), F.lit(q_blocks)).cast("int")).drop("pages"))
+        keys = ["cell", "ring", "page", "q_block"]
+        return paged.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_visit(k + 1), "qvid long, vid long, s long")
+
+    first = cut(best_of(wave(asked.withColumn("bound", F.lit(None).cast("double"))), k + 1))
+    # the distance that k + 1 vectors are within, from its inner product: |q|^2 + top^2 - 2 s
+    reached = first.groupBy("qvid").agg(F.min("s").alias("s"), F.count("*").alias("n"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    far = F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(float(top) ** 2) - 2 * F.col("s")))
+    bounded = (asked.join(reached, "qvid", "left")
+               .withColumn("bound", F.when(F.col("n") > k, far * (1 + _SLACK) + _SLACK).otherwise(F.lit(float("inf")))).select("qvid", "v", "bound"))
+    found = best_of(first.unionByName(wave(cut(bounded))), k + 1)
+    return answers(found, data, queries.select("query_id", "qvid"), k, F.col("s"))

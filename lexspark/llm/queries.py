@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, linededup, mixing, packing, simhash, tokencounts
+from . import langid, licences, linededup, mixing, mtree, packing, permutation, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -61,3 +61,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_license_scan"] = licences.oracle_sql()
+
+
+@query
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op9_ann_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
