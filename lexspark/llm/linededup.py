@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
+from .words import bit_set, bits, mix, words_of
 
 _BITS = 18
 BUCKETS = 1 << _BITS  # of the rarity histogram: words that share a bucket count as equally rare
@@ -36,64 +36,10 @@ _LAST = (1 << 63) - 1  # order of a null id
 _LAST_ORDER = (1 << 32) - 1
 
 
-SEGMENT = 1 << 17  # bytes of text looked at in one go, few enough for a processor's cache; a longer line is looked at whole
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and their inverses."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """In segments of whole lines: row and line number of every line; line and hash of every word.
-
-    The hash of a word is a polynomial of its bytes, taken from running sums over the segment, so
-    that no word is handled by itself.
-    """
-    wide = pa.types.is_large_string(texts.type)
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    if data is None or offsets[0] == offsets[-1]:
-        return
-    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
-    breaks = np.flatnonzero(data == 10) + 1
-    lines = np.union1d(offsets[:-1], breaks)
-    lines = lines[lines < len(data)]
-    row = np.searchsorted(offsets, lines, "right") - 1
-    number = np.searchsorted(breaks, lines, "right") - np.searchsorted(breaks, offsets[row], "right")
-    first = 0
-    while first < len(lines):
-        last = max(first + 1, int(np.searchsorted(lines, lines[first] + SEGMENT, "right")) - 1)
-        if last == len(lines) - 1 and len(data) <= lines[first] + SEGMENT:
-            last = len(lines)
-        a, b = lines[first], lines[last] if last < len(lines) else len(data)
-        part, starts = data[a:b], lines[first:last] - a
-        space = _SPACE[part]
-        new = np.concatenate(([True], space[:-1]))
-        new[starts] = True
-        begin = np.flatnonzero(new & ~space)
-        old = np.concatenate((space[1:], [True]))
-        old[starts[1:] - 1] = True
-        end = np.flatnonzero(old & ~space) + 1
-        up, down = _powers(max(SEGMENT, 1 << (int(b - a) - 1).bit_length()))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[:len(part)], dtype=np.uint64)))
-        line = np.zeros(len(part), np.int64)
-        line[starts[1:]] = 1
-        yield row[first:last], number[first:last], np.cumsum(line)[begin], _mix((sums[end] - sums[begin]) * down[begin], 0)
-        first = last
-
-
 def _line_sets(texts: pa.Array, rank: np.ndarray | None = None):
     """For each segment: row, number and size of every line with words, and the hashes of its
     distinct words, line by line; by ``rank`` of their buckets, if given, and the rest of the hash."""
-    for row, number, line, words in _words(texts):
+    for row, number, line, words in words_of(texts):
         if not len(words):
             continue
         if rank is not None:  # one to one with the hash, like the hash itself
@@ -112,19 +58,12 @@ def _line_sets(texts: pa.Array, rank: np.ndarray | None = None):
         yield row[at], number[at], size, words
 
 
-def _mix(h: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser, so that sums over sets of hashes don't cancel."""
-    h = (h ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 def _sums(size: np.ndarray, values: np.ndarray, how=np.add) -> np.ndarray:
     return how.reduceat(values, np.concatenate(([0], np.cumsum(size)[:-1]))) if len(size) else values[:0]
 
 
 def _key(size: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
-    return _sums(size, _mix(words, seed)).astype(np.int64)
+    return _sums(size, mix(words, seed)).astype(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,16 +209,13 @@ def _examine(t: Fraction):
     return run
 
 
-def _word_sets(bits: np.ndarray):
+def _word_sets(wanted: np.ndarray):
     """Place, key and word hashes of the lines whose bit is set."""
-    size_of = np.uint64(64 * len(bits))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, number, size, words in _line_sets(b.column("text")):
                 cls = _key(size, words, 1)
-                bit = cls.view(np.uint64) % size_of
-                ok = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                ok = bit_set(wanted, cls)
                 words, ends = words[np.repeat(ok, size)], np.concatenate(([0], np.cumsum(size[ok])))
                 at = pa.array(row[ok])
                 yield pa.RecordBatch.from_arrays(
@@ -290,18 +226,6 @@ def _word_sets(bits: np.ndarray):
     return run
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bit for each key modulo their number: 16 bits a key, and 4 MB at most. More keys share
-    bits then, which lets more lines pass and loses none."""
-    n = 1 << min(25, max(16, (16 * keys.count()).bit_length()))
-    bit = F.pmod(F.col("cls"), F.lit(n))  # n is a power of two: the same for signed and unsigned
-    rows = (keys.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) AS at", "shiftleft(1L, cast(bit % 64 AS int)) AS b")
-            .groupBy("at").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros(n // 64, np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
 def _sql_passes(a: str, b: str, t: Fraction) -> Column:
     """``_passes`` for rows a and b of a join."""
     n1, n2, p1, p2 = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
@@ -352,7 +276,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
               .repartition(F.shiftright("slot", 32)).sortWithinPartitions("slot")
               .mapInArrow(_examine(t), "word long, ord long, cls long, sig long, n long, pos long, head long, more boolean"))
     either = met.select("cls").unionByName(met.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
-    sets = cut(source.mapInArrow(_word_sets(_bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
+    sets = cut(source.mapInArrow(_word_sets(bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
                .groupBy("cls").agg(F.first("words").alias("words"), F.min(place).alias("first")))
 
     def ordered(a: Column, b: Column) -> list[Column]:

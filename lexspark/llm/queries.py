@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, linededup, mixing, mtree, packing, permutation, simhash, tokencounts
+from . import langid, licences, linededup, mixing, mtree, packing, passages, permutation, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -71,3 +71,8 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ann_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), similarity=0.8, min_words=15)
