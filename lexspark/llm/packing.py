@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import cut, small_batches
 
 END_ID = 1
-CACHE = 1 << 19  # words whose ids a worker keeps, and as many older ones, of at most so many characters:
+CACHE = 1 << 20  # words whose ids a worker keeps, and as many older ones, of at most so many characters:
 CACHED_CHARS = 64
 GROUP = 64  # texts encoded together
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
