@@ -174,8 +174,12 @@ def _examine(t: Fraction):
         if first is not None:
             more |= run == 0
         more |= (length > SHIFTS)[run]
-        for s in range(1, min(SHIFTS, length.max(initial=0))):
-            i = np.nonzero((run[s:] == run[:-s]) & (head[s:] != np.arange(len(run) - s)) & ~((length > SHIFTS)[run[s:]]))[0]
+        i = np.flatnonzero(~new & ~(length > SHIFTS)[run])  # rows after their list's first, to be compared with s rows on
+        left = (np.cumsum(length) - 1)[run] - np.arange(len(run))
+        s = 0
+        while True:
+            s += 1
+            i = i[left[i] >= s]
             if not len(i):
                 break
             ok = i[_passes(n[i + s], pos[i + s], sig[i + s], n[i], pos[i], sig[i], t)]
@@ -188,23 +192,25 @@ def _examine(t: Fraction):
             names=["word", "ord", "cls", "sig", "n", "pos", "head", "more"]), first_of_last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, None  # rows of the list under way; its first posting, if some went before
+        held, size, first = [], 0, None  # rows at hand; the first posting of the list under way, if some of it went before
         for b in batches:
-            x = pa.Table.from_batches([b])
-            held = x if held is None else pa.concat_tables([held, x]).combine_chunks()
-            if held.num_rows < RUN_ROWS:
+            held.append(b)
+            size += b.num_rows
+            if size < RUN_ROWS:
                 continue
-            list_ = held.column("slot").to_numpy() >> 32
+            x = pa.Table.from_batches(held).combine_chunks()
+            list_ = x.column("slot").to_numpy() >> 32
             end = int(np.searchsorted(list_, list_[-1]))
             if end:
-                yield part(held.slice(0, end), first, True)[0]
-                held, first = held.slice(end), None
-            if held.num_rows >= RUN_ROWS:
-                out, first = part(held, first, False)
+                yield part(x.slice(0, end), first, True)[0]
+                x, first = x.slice(end), None
+            if x.num_rows >= RUN_ROWS:
+                out, first = part(x, first, False)
                 yield out
-                held = None
-        if held is not None and held.num_rows:
-            yield part(held, first, True)[0]
+                x = x.slice(x.num_rows)
+            held, size = x.to_batches(), x.num_rows
+        if size:
+            yield part(pa.Table.from_batches(held).combine_chunks(), first, True)[0]
 
     return run
 
