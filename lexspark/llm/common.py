@@ -35,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")  # once the rows are written, the shuffles that made them are of no use
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # the setting counts when a frame is made
     finally:
         spark.conf.set(key, before)
 
