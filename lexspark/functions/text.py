@@ -63,6 +63,28 @@ def normalize_flags(text, lowercase=False, remove_accents=False, strip=True) ->
     return c
 
 
+_LOCAL = "[a-zA-Z0-9._%+-]"
+
+
+def linear(pattern: str) -> str:
+    """A form of a citation or masking pattern with the same matches in linear time: a run is
+    entered where it begins (or where the last match ended), not again at each of its characters."""
+    if pattern.startswith(r"\d+"):  # no match ends within a run of digits
+        return r"(?<!\d)\d++" + pattern[3:]
+    if pattern == P.EMAIL:
+        return rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++" + pattern[len(_LOCAL) + 1:]
+    return pattern
+
+
+def _all_matches(text: Column, pattern: str) -> Column:
+    court = pattern.split("(")[0]
+    if court not in ("BGH", "BVerfG"):
+        return F.regexp_extract_all(text, F.lit(linear(pattern)), F.lit(0))
+    # where no citation follows a court's name, none follows a later one on the line: skip the rest of it
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})|{court}.*"), F.lit(1))
+    return F.filter(found, lambda x: x != "")
+
+
 def _first_group(text: Column, pattern: str, group: int) -> Column:
     """First match's group, NULL when the pattern does not match (an empty
     group of a real match stays '')."""
@@ -72,25 +94,13 @@ def _first_group(text: Column, pattern: str, group: int) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
-def sections_en(text) -> Column:
-    """SEC-01..03: STRUCT<header, body, conclusion>; absent = NULL."""
-    t = _col(text)
-    return F.struct(*[F.trim(_first_group(t, p, g)).alias(n) for n, p, g in P.SECTIONS_EN])
-
-
-def sections_de(text) -> Column:
-    """SEC-04..07: STRUCT<tatbestand, gruende, tenor, leitsaetze>."""
-    t = _col(text)
-    return F.struct(*[F.trim(_first_group(t, p, g)).alias(n) for n, p, g in P.SECTIONS_DE])
-
-
 def citations(text, lang="en") -> Column:
     """CIT-01..09: matches concatenated pattern by pattern, then by position;
     duplicates kept. Languages other than en/de → empty array."""
     t = _col(text)
 
     def all_of(pats):
-        return F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in pats])
+        return F.concat(*[_all_matches(t, p) for p in pats])
 
     empty = F.when(t.isNotNull(), F.array().cast("array<string>"))
     return _by_lang(lang, en=all_of(P.CITATIONS_EN), de=all_of(P.CITATIONS_DE), other=empty)
@@ -123,7 +133,7 @@ def anonymize(text, lang="en") -> Column:
     def chain(rules):
         c = t
         for _, pat, rep in rules:
-            c = F.regexp_replace(c, pat, rep)
+            c = F.regexp_replace(c, linear(pat), rep)
         return c
 
     return _by_lang(lang, en=chain(P.ANON_EN), de=chain(P.ANON_DE), other=t)
@@ -141,8 +151,8 @@ def pii_counts(text, lang="en") -> Column:
     de = dict((n, p) for n, p, _ in P.ANON_DE)
     fields = []
     for n in names:
-        e = _guarded(t, n, F.regexp_count(t, F.lit(en[n])), F.lit(0)) if n in en else F.lit(0)
-        d = _guarded(t, n, F.regexp_count(t, F.lit(de[n])), F.lit(0)) if n in de else F.lit(0)
+        e = _guarded(t, n, F.regexp_count(t, F.lit(linear(en[n]))), F.lit(0)) if n in en else F.lit(0)
+        d = _guarded(t, n, F.regexp_count(t, F.lit(linear(de[n]))), F.lit(0)) if n in de else F.lit(0)
         fields.append(_by_lang(lang, en=e, de=d, other=F.lit(0)).cast("bigint").alias(n))
     return F.struct(*fields)
 
@@ -172,4 +182,4 @@ def standardize_citation(col) -> Column:
 def py_strip(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing (Unicode) whitespace."""
     ws = P.WS[:-1]  # the class without the trailing '+'
-    return F.regexp_replace(_col(col), f"^{ws}+|{ws}+$", "")
+    return F.regexp_replace(_col(col), f"^{ws}+|(?<!{ws}){ws}+$", "")

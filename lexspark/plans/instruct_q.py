@@ -319,7 +319,7 @@ def parse_requests(spark, sf_dir):
 
 
 _MODEL_OUT = ("CASE turn % 3 WHEN 0 THEN concat('<think>', text, '</think>', chr(10), '<answer>', "
-              "substring(text, 1, 20), '</answer>') WHEN 1 THEN concat('<think>', text) ELSE text END")
+              "text, '</answer>') WHEN 1 THEN concat('<think>', text) ELSE text END")
 
 
 @query("parse_reasoning",

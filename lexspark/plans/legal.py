@@ -28,11 +28,11 @@ _TEXT = """CASE
       CASE WHEN doc_id % 5 = 0 THEN 'LEITSÄTZE Satz eins. ' ELSE '' END,
       CASE WHEN doc_id % 2 = 0 THEN 'Tenor ' ELSE 'Beschluss ' END, '§ ', cast(doc_id % 300 + 1 AS string), 'a Abs. ', cast(doc_id % 4 + 1 AS string), ' Satz 2 StGB, Art. ', cast(doc_id % 20 + 1 AS string), ' Abs. 1 GG. Herr Meier und Frau Schulz, 12 Hauptstraße, 0221/1234567, anna', cast(doc_id AS string), '@kanzlei.de ',
       CASE WHEN doc_id % 2 = 0 THEN 'Tatbestand ' ELSE '' END, substring(text, 1, 1500),
-      CASE WHEN doc_id % 3 = 0 THEN ' ENTSCHEIDUNGSGRÜNDE BGH, Urteil vom 10.6.2009 ' WHEN doc_id % 3 = 1 THEN ' Gründe BVerfG, Beschluss vom 1.12.2011 ' ELSE ' ' END, substring(text, 1501, 500), ' III. Ende')
+      CASE WHEN doc_id % 3 = 0 THEN ' ENTSCHEIDUNGSGRÜNDE BGH, Urteil vom 10.6.2009 ' WHEN doc_id % 3 = 1 THEN ' Gründe BVerfG, Beschluss vom 1.12.2011 ' ELSE ' ' END, substring(text, 1501), ' III. Ende')
     ELSE concat('Case ', cast(doc_id AS string), chr(160), 'Mr. Smith, Ms. Jones and Mrs. Brown at 12 Main Street, (555) 123-4567, 555-987-6543, clerk', cast(doc_id AS string), '@court.gov under the jurisdiction of ',
       CASE WHEN doc_id % 4 = 0 THEN 'federal' WHEN doc_id % 4 = 1 THEN 'state' ELSE 'international' END, ' law in ', cast(2010 + doc_id % 14 AS string), ' ',
       CASE WHEN doc_id % 2 = 0 THEN 'OPINION' ELSE 'Decision' END, ' see ', cast(doc_id % 500 + 1 AS string), ' U.S. ', cast(doc_id % 90 + 1 AS string), ', ', cast(doc_id % 50 + 1 AS string), ' S.Ct. 12, ', cast(doc_id % 40 + 1 AS string), ' F.2d 77, ', cast(doc_id % 30 + 1 AS string), ' F.Supp.2d 9 ', substring(text, 1, 1500),
-      CASE WHEN doc_id % 3 = 0 THEN ' CONCLUSION affirmed ' WHEN doc_id % 3 = 1 THEN ' It is so ORDERed ' ELSE ' ' END, substring(text, 1501, 500))
+      CASE WHEN doc_id % 3 = 0 THEN ' CONCLUSION affirmed ' WHEN doc_id % 3 = 1 THEN ' It is so ORDERed ' ELSE ' ' END, substring(text, 1501))
   END"""
 
 LEGAL_COLUMNS = [

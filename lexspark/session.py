@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,6 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Inferred IS NOT NULL filters get pushed below projections and re-inline
-    # expensive derived columns (regex chains over whole documents); for this
-    # text-heavy workload that doubles the regex work, so skip the inference.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -39,40 +36,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only when it is unset (local tests) a scratch folder is created and set.
-    """
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, on a
+    local master only, a scratch folder is created and set; a cluster must name one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lexspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 — sessions without a SparkContext handle only need the path
-        pass
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Give CPU-heavy row work (regexes, parsers) every core when the scan
-    yields fewer splits than the cluster has cores (one big row group, few
-    files). At scale a scan already has far more splits than cores and this
-    is a no-op, so no shuffle is added there."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 — no RDD view (e.g. a Connect session): leave the scan as is
-        return df
-    return df.repartition(cores * factor) if splits < cores else df
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``checkpoint_dir`` that goes with the session's JVM."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
