@@ -352,10 +352,9 @@ def targets(spark, sf_dir):
 @query("metrics_file", _overall_sql())
 def metrics_file(spark, sf_dir):
     """SNK-10: the overall metrics written as JSON and read back."""
-    import uuid
 
-    from ..session import checkpoint_dir
+    from ..session import scratch_folder
     from ..sources import sinks as SK
-    path = f"{checkpoint_dir(spark).rstrip('/')}/metrics_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "metrics")
     SK.write_metrics(overall_metrics(spark, sf_dir), path)
     return spark.read.schema("metric string, value double").json(path)

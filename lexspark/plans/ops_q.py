@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import cost as CO
 from ..operators import infer as INF
 from ..operators import monitor as MO
-from ..session import checkpoint_dir, read_table
+from ..session import read_table, scratch_folder
 from ..sources import markup as MK
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -112,7 +110,7 @@ def decisions_from_xml(spark, sf_dir):
 def round_trip_jsonl(spark, sf_dir):
     """Write the German examples as JSONL to the shared scratch folder, read
     them back with the tolerant reader, flatten."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/round_trip_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "round_trip")
     SK.write_examples(examples_de(spark, sf_dir).drop("doc_id"), path)
     good, _bad = RD.read_examples(spark, path)
     return _flat_de(good)
@@ -123,7 +121,7 @@ def round_trip_jsonl(spark, sf_dir):
 def load_examples_limit(spark, sf_dir):
     """SRC-07: examples written as JSONL in id order; the first 300 *lines*
     are read, then the task filter runs (cap before filter)."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/load_limit_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "load_limit")
     SK.write_examples(examples_de(spark, sf_dir).drop("doc_id").orderBy("id"), path)
     ex = RD.load_examples(spark, path, max_samples=300, task="classification")
     return ex.select("id", F.col("metadata.task").alias("task"))
@@ -329,7 +327,7 @@ def process_directory(spark, sf_dir):
     """The legal documents written one file per document (text writer,
     partitioned by doc_id, each file ends with a newline), then the directory
     batch: routing by extension, UTF-8 check, English preprocessing."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/docs_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "docs")
     legal(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
     good, _bad = RD.process_directory(spark, path, "en")
     doc_id = F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint")
@@ -351,7 +349,7 @@ def catalogue_items(spark, sf_dir):
     """A catalogue written with the XML writer (one <item> per document in id
     order; empty fields are omitted), read back with the item cap counted
     before the link filter."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/catalogue_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "catalogue")
     items = legal(spark, sf_dir).selectExpr("doc_id", "court AS gericht", "date AS `entsch-datum`",
                                             "case_number AS aktenzeichen", f"{_CAT_LINK} AS link")
     items.orderBy("doc_id").drop("doc_id").write.format("xml").option("rowTag", "item").option(
@@ -377,7 +375,7 @@ def processed_docs(spark, sf_dir):
     reader and its declared schema."""
     from ..functions import text as T
     from ..operators.preprocess import with_sections
-    path = f"{checkpoint_dir(spark).rstrip('/')}/processed_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "processed")
     d = legal(spark, sf_dir).where(F.col("language") == "de").withColumn("full_text", T.clean_german("text"))
     d = with_sections(d, "full_text", "de", fallback=False)
     doc = d.select(F.col("doc_id").alias("doc_key"),
@@ -406,7 +404,7 @@ def prompts_file(spark, sf_dir):
     """Benchmark passages written as a text file (one row per line group),
     read back as one stripped prompt per line."""
     from ..session import read_table
-    path = f"{checkpoint_dir(spark).rstrip('/')}/prompts_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "prompts")
     read_table(spark, sf_dir, "benchmark").select("text").write.text(path)
     return RD.read_prompts(spark, path)
 
@@ -419,7 +417,7 @@ def saved_splits(spark, sf_dir):
     """German examples split 90/10, saved as parquet partitioned by split,
     and the validation set read back (partition pruning)."""
     from ..operators import splits as SP
-    path = f"{checkpoint_dir(spark).rstrip('/')}/splits_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "splits")
     s = SP.split_two_way(examples_de(spark, sf_dir).drop("doc_id"), "id", 0.9)
     SK.write_splits(s, path)
     return RD.read_splits(spark, path, "validation").select("id", F.col("metadata.task").alias("task"))
@@ -431,7 +429,7 @@ def saved_splits(spark, sf_dir):
 def task_example_files(spark, sf_dir):
     """Examples written one JSON record per (document, task), partitioned by
     task, and read back with the example schema (task from the folder)."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/task_examples_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "task_examples")
     ex = examples_de(spark, sf_dir).drop("doc_id").withColumn("task", F.col("metadata.task"))
     SK.write_task_examples(ex, path)
     back = spark.read.schema(RD.EXAMPLE_SCHEMA).json(path)  # `task` comes back as the partition column
@@ -442,7 +440,7 @@ def task_example_files(spark, sf_dir):
 def snapshot_copy(spark, sf_dir):
     """Examples saved as parquet, snapshotted to '<path>-v1' with the row
     count and content hash verified, and the snapshot read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/dataset_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "dataset")
     ex = examples_de(spark, sf_dir).drop("doc_id")
     ex.write.parquet(path)
     snap = SK.snapshot(spark, path, "v1")
@@ -455,7 +453,7 @@ def snapshot_copy(spark, sf_dir):
 @query("predictions_file", _stub_sql())
 def predictions_file(spark, sf_dir):
     """SNK-09: stub predictions written as JSON Lines and read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/predictions_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "predictions")
     SK.write_predictions(batch_predict_stub(spark, sf_dir), path)
     return spark.read.schema("doc_id long, response string, label string, error string, body string").json(path)
 
@@ -470,7 +468,7 @@ def published_splits(spark, sf_dir):
     from functools import reduce
 
     from ..operators import splits as SP
-    base = f"{checkpoint_dir(spark).rstrip('/')}/published_{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "published")
     s = SP.split_two_way(examples_de(spark, sf_dir).drop("doc_id"), "id", 0.9)
     uris = SK.publish(s, base, splits=("train", "validation"))
     parts = [spark.read.schema(RD.EXAMPLE_SCHEMA).json(u).select("id", F.lit(k).alias("split")) for k, u in uris.items()]
@@ -484,7 +482,7 @@ def stream_ingest(spark, sf_dir):
     """STR-01: the per-document files ingested by the Structured Streaming
     job (availableNow, checkpointed), output read back; equals the batch."""
     from ..streaming.jobs import stream_documents
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream_{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     legal(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/in")
     q = stream_documents(spark, f"{base}/in/doc_id=*", f"{base}/out", "en", checkpoint=f"{base}/ckpt")
     q.awaitTermination()

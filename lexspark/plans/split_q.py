@@ -247,11 +247,10 @@ def augment_synonyms(spark, sf_dir):
 def manifest_files(spark, sf_dir):
     """SNK-05: the split manifest written as one JSON object per split
     folder and read back."""
-    import uuid
 
-    from ..session import checkpoint_dir
+    from ..session import scratch_folder
     from ..sources import sinks as SK
-    path = f"{checkpoint_dir(spark).rstrip('/')}/manifest_{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "manifest")
     SK.write_manifest(split_manifest(spark, sf_dir), path)
     back = spark.read.schema("count long, distribution string, fields string").json(path)
     return back.select("split", "count", "distribution", "fields")

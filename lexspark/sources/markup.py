@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html.parser
 import xml.etree.ElementTree as ET
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import types as TY
 
 from ..functions import patterns as P
 
-_SKIP = {"script", "style", "template"}
+_SKIP = frozenset({"script", "style", "template"})
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
          "track", "wbr"}
 
@@ -39,22 +40,27 @@ class _TreeBuilder(html.parser.HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("[document]", {}, None)
         self.cur = self.root
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         n = _Node(tag, dict(attrs), self.cur)
         self.cur.children.append(n)
         if tag not in _VOID:
             self.cur = n
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.cur.children.append(_Node(tag, dict(attrs), self.cur))
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         n = self.cur
-        while n is not None and n.tag != tag:
+        while n.tag != tag:
+            self.open[n.tag] -= 1
             n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
+        self.open[tag] -= 1
+        self.cur = n.parent
 
     def handle_data(self, data):
         self.cur.children.append(data)
@@ -67,12 +73,23 @@ def _parse_html(doc: str) -> _Node:
     return b.root
 
 
-def _strings(node: _Node, visible_only: bool = True):
-    for ch in node.children:
-        if isinstance(ch, str):
+def _walk(node: _Node, skip: frozenset[str] = frozenset()):
+    """Everything below a node in document order, texts and elements; those of ``skip`` left out
+    with all below them. The way back up is a list, so that depth is no limit."""
+    todo = [iter(node.children)]
+    while todo:
+        ch = next(todo[-1], None)
+        if ch is None:
+            todo.pop()
+        elif isinstance(ch, str):
             yield ch
-        elif not (visible_only and ch.tag in _SKIP):
-            yield from _strings(ch, visible_only)
+        elif ch.tag not in skip:
+            yield ch
+            todo.append(iter(ch.children))
+
+
+def _strings(node: _Node):
+    return (x for x in _walk(node, _SKIP) if isinstance(x, str))
 
 
 def html_text(doc: str | None) -> str | None:
@@ -83,12 +100,13 @@ def html_text(doc: str | None) -> str | None:
     return " ".join(s.strip() for s in _strings(_parse_html(doc)) if s.strip())
 
 
+def _element_text(el: ET.Element) -> str:
+    return " ".join(t for t in map(str.strip, el.itertext()) if t)
+
+
 def xml_text(doc: str | None) -> str | None:
     """Same text rule for XML (comments and processing instructions dropped)."""
-    if doc is None:
-        return None
-    root = ET.fromstring(doc)
-    return " ".join(s.strip() for s in root.itertext() if s.strip())
+    return None if doc is None else _element_text(ET.fromstring(doc))
 
 
 def _safe(fn):
@@ -133,37 +151,32 @@ DECISION_SCHEMA = TY.StructType(
     + [TY.StructField("raw_text", TY.StringType()), TY.StructField("error", TY.StringType())])
 
 
+def _first_elements(root: ET.Element, names: set[str]) -> dict[str, ET.Element]:
+    """The first element of each wanted local name (namespaces don't matter), in one walk."""
+    found: dict[str, ET.Element] = {}
+    for el in root.iter():
+        name = el.tag.rpartition("}")[2] if isinstance(el.tag, str) else ""
+        if name in names:
+            found.setdefault(name, el)
+    return found
+
+
 def parse_decision(doc: str | None) -> dict:
-    """SRC-11 (Python part): metadata tags → English names; text of the first
-    occurrence of each content tag, in list order, each followed by a space;
-    all text when those are blank."""
-    out = {e: None for e in _META}
-    out.update(raw_text=None, error=None)
+    """SRC-11 (Python part): metadata by English name; the text is that of the
+    content elements in the order of their list, each followed by a space, or
+    all text if those are blank. A document that can't be read has ``error``."""
+    record = dict.fromkeys([*_META, "raw_text", "error"])
     if doc is None:
-        out["error"] = "no content"
-        return out
+        return record | {"error": "no content"}
     try:
         root = ET.fromstring(doc)
     except ET.ParseError as e:
-        out["error"] = f"ParseError: {e}"
-        return out
-
-    def first(tag):
-        return next(root.iter(tag), None)
-
-    for de, en in P.DECISION_META_TAGS:
-        el = first(de)
-        if el is not None:
-            out[en] = "".join(el.itertext()).strip()
-    text = ""
-    for tag in P.DECISION_CONTENT_TAGS:
-        el = first(tag)
-        if el is not None:
-            text += " ".join(s.strip() for s in el.itertext() if s.strip()) + " "
-    if not text.strip():
-        text = " ".join(s.strip() for s in root.itertext() if s.strip())
-    out["raw_text"] = text
-    return out
+        return record | {"error": f"ParseError: {e}"}
+    names = dict(P.DECISION_META_TAGS)
+    found = _first_elements(root, {*names, *P.DECISION_CONTENT_TAGS})
+    record |= {names[n]: "".join(el.itertext()).strip() for n, el in found.items() if n in names}
+    content = "".join(_element_text(found[n]) + " " for n in P.DECISION_CONTENT_TAGS if n in found)
+    return record | {"raw_text": content if content.strip() else _element_text(root)}
 
 
 @F.pandas_udf(DECISION_SCHEMA)
@@ -186,58 +199,34 @@ def parse_decisions(df: DataFrame, xml_col: str = "xml", source_col: str = "sour
 
 # ---------------------------------------------------------------- opinions
 
-OPINION_SCHEMA = "page_id long, ordinal int, title string, text string, date string"
-
-
-def _classes(n: _Node):
-    return (n.attrs.get("class") or "").split()
-
+OPINION_SCHEMA = "page_id long, ordinal int, title string, text string, date string, error string"
 
-def _find(node: _Node, tag: str, cls: str | None = None):
-    for ch in node.children:
-        if isinstance(ch, str):
-            continue
-        if ch.tag == tag and (cls is None or cls in _classes(ch)):
-            return ch
-        hit = _find(ch, tag, cls)
-        if hit is not None:
-            return hit
-    return None
 
-
-def _find_all(node: _Node, tag: str, cls: str):
-    for ch in node.children:
-        if isinstance(ch, str):
-            continue
-        if ch.tag == tag and cls in _classes(ch):
-            yield ch
-        yield from _find_all(ch, tag, cls)
+def _elements(node: _Node, tag: str, cls: str | None = None):
+    return (x for x in _walk(node) if not isinstance(x, str) and x.tag == tag
+            and (cls is None or cls in (x.attrs.get("class") or "").split()))
 
 
 def opinions(doc: str):
     """``div.opinion`` → (h3 text, div.opinion-text text, span.date text);
     a missing part gives NULL."""
-    root = _parse_html(doc)
-
-    def text_of(n):
-        return None if n is None else "".join(_strings(n))
-
-    for div in _find_all(root, "div", "opinion"):
-        yield (text_of(_find(div, "h3")), text_of(_find(div, "div", "opinion-text")),
-               text_of(_find(div, "span", "date")))
+    for div in _elements(_parse_html(doc), "div", "opinion"):
+        parts = [next(_elements(div, *q), None) for q in (("h3",), ("div", "opinion-text"), ("span", "date"))]
+        yield tuple(None if n is None else "".join(_strings(n)) for n in parts)
 
 
 def extract_opinions(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """SRC-12: one row per opinion (1 → N rows with ``mapInPandas``)."""
+    """SRC-12: one row per opinion (1 → N rows with ``mapInPandas``); a page
+    that can't be parsed gives one row with ``error``."""
 
     def run(batches):
         for b in batches:
             rows = []
             for pid, doc in zip(b[id_col], b[html_col]):
-                if doc is None:
-                    continue
-                for i, (t, x, d) in enumerate(opinions(doc)):
-                    rows.append((pid, i, t, x, d))
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "title", "text", "date"])
+                found, error = _safe(lambda x: list(opinions(x)))(doc) if doc is not None else ([], None)
+                rows.extend((pid, i, *x, None) for i, x in enumerate(found or []))
+                if error:
+                    rows.append((pid, None, None, None, None, error))
+            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "title", "text", "date", "error"]).astype({"ordinal": "Int32"})
 
     return df.select(F.col(id_col).cast("long").alias(id_col), html_col).mapInPandas(run, OPINION_SCHEMA)
