@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.arrays import explode_rows
+from .skew import salted_join
 from .splits import hash_key
 
 _VARIANT = "struct<variant:string,text:string,jurisdiction:string,year:int>"
@@ -67,16 +68,15 @@ def augment_synonyms(df: DataFrame, synonyms: DataFrame, id_col: str, text_col:
     d = df.withColumn("_w", F.when(F.trim(F.col(text_col)) == "", F.array().cast("array<string>"))
                       .otherwise(words))
     # rank positions per row in seeded order and keep the first n (per-row sort, no shuffle)
-    keyed = F.transform(F.sequence(F.lit(0), F.size("_w") - 1),
-                        lambda i: F.struct(hash_key([F.col(id_col), i], seed).alias("h"), i.alias("pos")))
+    keyed = F.transform("_w", lambda w, i: F.struct(hash_key([F.col(id_col), i], seed).alias("h"), i.alias("pos"), w.alias("word")))
     chosen = F.slice(F.array_sort(keyed), 1, n_words)
-    picks = (explode_rows(d, F.when(F.size("_w") > 0, chosen), "_c", [id_col, "_w"])
-             .select(id_col, F.col("_c.pos").alias("pos"), F.element_at("_w", F.col("_c.pos") + 1).alias("word")))
+    picks = (explode_rows(d, F.when(F.size("_w") > 0, chosen), "_c", [id_col])
+             .select(id_col, F.col("_c.pos").alias("pos"), F.col("_c.word").alias("word")))
     u = F.conv(F.substring(hash_key([F.col(id_col), F.col("pos"), F.lit("p")], seed), 1, 8), 16, 10
                ).cast("bigint") / F.lit(4294967296.0)
     picks = picks.where((F.length("word") >= min_len) & (u <= F.lit(p_replace)))
     syn = synonyms.groupBy("word").agg(F.array_sort(F.collect_set("synonym")).alias("_syn"))
-    j = picks.join(syn, "word")
+    j = salted_join(picks, syn, "word", [id_col, "pos"])
     v = F.conv(F.substring(hash_key([F.col(id_col), F.col("pos"), F.lit("s")], seed), 1, 8), 16, 10
                ).cast("bigint")
     j = j.withColumn("replacement", F.element_at("_syn", (v % F.size("_syn")).cast("int") + 1))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
+from .skew import salted_join
 
 
 def citation_table(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citations") -> DataFrame:
@@ -42,11 +43,10 @@ def top_authorities(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citat
 def co_citation_profile(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citations") -> DataFrame:
     """Per document: distinct authorities, Σ(in_degree − 1) = number of
     (partner doc, shared authority) incidences, and the largest partner set
-    of one authority. The join of edges with per-authority stats is a
-    many-to-one join; AQE splits a hot authority's partition (skew join)."""
+    of one authority. Edges of a hot authority are dealt to several tasks."""
     e = citation_edges(df, id_col, cit_col).select(id_col, "authority")
     s = e.groupBy("authority").agg(F.count(F.lit(1)).alias("in_degree"))
-    j = e.join(s, "authority")
+    j = salted_join(e, s, "authority", [id_col])
     return j.groupBy(id_col).agg(
         F.count(F.lit(1)).alias("n_authorities"),
         F.sum(F.col("in_degree") - 1).alias("shared_incidences"),

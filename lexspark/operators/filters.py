@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .skew import salted_join
 
 
 def _c(c) -> Column:
@@ -93,10 +94,11 @@ def with_file_metadata(df: DataFrame, path_col: str = "source_file", language: s
 
 def merge_catalogue(docs: DataFrame, catalogue: DataFrame, key: str,
                     fields: list[str]) -> DataFrame:
-    """PRJ-03: catalogue values overwrite parsed metadata for matched docs."""
+    """PRJ-03: catalogue values overwrite parsed metadata for matched docs.
+    Documents that share a key are dealt to several tasks."""
     cat = catalogue.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_cat_{f}") for f in fields],
                            F.lit(True).alias("_matched"))
-    j = docs.join(cat, docs[key] == cat["_k"], "left")
+    j = salted_join(docs.withColumn("_k", F.col(key)), cat, "_k", docs.columns[:1], "left")
     for f in fields:
         base = F.col(f) if f in docs.columns else F.lit(None).cast("string")
         j = j.withColumn(f, F.when(F.col("_matched"), F.col(f"_cat_{f}")).otherwise(base))

@@ -184,15 +184,17 @@ def bucket_by_length(df: DataFrame, length: Column | str, id_cols, batch_size: i
 
 def mix(df: DataFrame, id_cols, category_col: str, shares: dict, seed=42) -> DataFrame:
     """SPL-07: keep floor(N·share_c) rows of each category c (seeded order),
-    N = the largest total every category can fill = min_c floor(count_c/share_c).
-    Categories without a share are dropped."""
+    N = the largest total every category can fill = min_c floor(count_c/share_c),
+    0 if a category of ``shares`` has no rows. Categories without a share are dropped."""
     d = df.where(F.col(category_col).isin(list(shares)))
     share = F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v)))]),
                          F.col(category_col))
 
     def quota(offs):
         # offsets table: one row per (category, bucket) — small; N over all categories
-        n_fill = F.min(F.floor(F.col("_n") / share)).over(Window.partitionBy())
+        every = Window.partitionBy()
+        present = F.size(F.collect_set(category_col).over(every))
+        n_fill = F.when(present == len(shares), F.min(F.floor(F.col("_n") / share)).over(every)).otherwise(0)
         return offs.withColumn("_quota", F.floor(n_fill * share))
 
     r = assign_by_rank(d, id_cols, lambda n: [F.col("_quota")], ["keep", "drop"], [category_col], seed,

@@ -1,12 +1,16 @@
 """Structured Streaming jobs (STR-01/02).
 
 Both reuse the batch operators unchanged, so a stream run with
-``trigger(availableNow=True)`` equals the batch result. Checkpoints go to
-the cluster's shared ``spark.checkpoint.dir`` (set only when unset).
+``trigger(availableNow=True)`` equals the batch result. Unless the caller
+names one, a stream's checkpoint lies below the cluster's shared
+``spark.checkpoint.dir``, in a folder of its input and output.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -20,24 +24,36 @@ BINARY_FILE_SCHEMA = TY.StructType([
     TY.StructField("length", TY.LongType()), TY.StructField("content", TY.BinaryType())])
 
 
+def _checkpoint(spark: SparkSession, job: str, in_dir: str, out_dir: str) -> str:
+    key = hashlib.md5(f"{in_dir}\n{out_dir}".encode()).hexdigest()
+    return f"{checkpoint_dir(spark).rstrip('/')}/{job}-{key}"
+
+
 def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: str = "en",
                      checkpoint: str | None = None, available_now: bool = True,
-                     glob: str = "*.{txt,html,htm,xml}"):
+                     glob: str = "*.{txt,html,htm,xml}", max_files: int = 1000):
     """STR-01: new .txt/.html/.htm/.xml files → the batch routing, decoding
     and preprocessing → parquet (good rows) and a rejects folder (invalid
-    UTF-8, broken markup). The checkpoint tracks processed files and each
-    epoch's output folder is overwritten on replay (idempotent sink)."""
+    UTF-8, broken markup). The checkpoint tracks processed files; each epoch
+    of each checkpoint has an output folder of its own, which a replay
+    overwrites (idempotent sink). ``max_files`` bounds a micro-batch."""
     from ..sources.readers import decode_documents, route_by_type
 
-    checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_documents"
+    checkpoint = checkpoint or _checkpoint(spark, "stream_documents", in_dir, out_dir)
     raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
-           .option("maxFilesPerTrigger", 1000).load(in_dir)
+           .option("maxFilesPerTrigger", max_files).load(in_dir)
            .select(F.col("path").alias("source_file"), F.col("content").cast("string").alias("raw")))
 
+    def query_id() -> str:
+        """Of the query this checkpoint belongs to: written before its first epoch runs."""
+        return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
     def write(batch: DataFrame, epoch_id: int):
         # one folder per epoch, overwritten on replay: a retried micro-batch
         # (lost executor, restarted query) replaces its own output instead of
-        # appending duplicates
+        # appending duplicates; epochs start anew with every checkpoint, so
+        # the query's id, which the checkpoint keeps, is part of the name
+        run = f"{query_id()}-{epoch_id}"
         s = route_by_type(batch).withColumn("error", F.coalesce(F.col("error"), F.when(
             ~F.is_valid_utf8(F.col("raw")), F.lit("invalid UTF-8"))))
         d = decode_documents(s.where(F.col("error").isNull()))
@@ -45,8 +61,8 @@ def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: s
         bad = (s.where(F.col("error").isNotNull()).select("source_file", "error")
                .unionByName(d.where(F.col("error").isNotNull()).select("source_file", "error")))
         out = preprocess(good, "text", language).drop("text", "normalized_text")
-        out.write.mode("overwrite").parquet(f"{out_dir}/documents/epoch_id={epoch_id}")
-        bad.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch_id={epoch_id}")
+        out.write.mode("overwrite").parquet(f"{out_dir}/documents/epoch_id={run}")
+        bad.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch_id={run}")
 
     w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -71,10 +87,17 @@ def stream_quality(events: DataFrame, ts_col: str = "ts", key_col: str = "event_
                     "requests", "avg_value", "max_value", "missing"))
 
 
-def run_quality_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str | None = None):
-    """Parquet event files → STR-02 → parquet sink (availableNow)."""
-    checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream_quality"
+def run_quality_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str | None = None,
+                       flush: bool = True):
+    """Parquet event files → STR-02 → parquet sink (availableNow).
+
+    Append mode emits a window once the watermark has passed its end, so the
+    newest windows stay open when the files run out. With ``flush`` they come
+    out as well: each epoch overwrites a table of all windows so far
+    (complete mode). A stream that goes on should set it to False."""
+    checkpoint = checkpoint or _checkpoint(spark, "stream_quality", events_dir, out_dir)
     ev = spark.readStream.schema(EVENT_SCHEMA).parquet(events_dir)
-    q = (stream_quality(ev).writeStream.outputMode("append").format("parquet")
-         .option("path", out_dir).option("checkpointLocation", checkpoint).trigger(availableNow=True))
-    return q.start()
+    w = stream_quality(ev).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if not flush:
+        return w.outputMode("append").format("parquet").option("path", out_dir).start()
+    return w.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out_dir)).start()
