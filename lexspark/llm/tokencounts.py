@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 CACHE = 1 << 19  # prefixes whose states a worker keeps, and as many older ones
-KEPT = 1 << 18  # words whose counts it keeps, and as many older ones; pairs of tokens
+KEPT = 1 << 19  # words whose counts it keeps, and pairs of tokens, and as many older ones
 CACHED_CHARS = 64  # states of a longer chunk are dropped when it is done
 GROUP = 64  # texts counted together
 _MARK = "▁"
@@ -40,6 +40,12 @@ class Kept(dict):
     def __init__(self, size: int):
         self.size, self.older = size, {}
 
+    def turn(self) -> None:
+        """Called now and then: a full generation becomes the older one."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+
     def find(self, key):
         found = self.get(key)
         if found is None:
@@ -48,12 +54,6 @@ class Kept(dict):
                 self[key] = found
         return found
 
-    def put(self, key, value):
-        if len(self) > self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
 
 class PrefixCounter:
     def __init__(self, path: str):
@@ -86,37 +86,38 @@ class PrefixCounter:
     def _stay(self, a: str, b: str) -> bool:
         found = self.stays.find((a, b))
         if found is None:
-            found = self.merged(a + b) == [a, b]
-            self.stays.put((a, b), found)
+            found = self.stays[a, b] = self.merged(a + b) == [a, b]
         return found
 
-    def _state(self, chunk: str, i: int, states: Kept | dict) -> int:
+    def _state(self, chunk: str, i: int) -> int:
         """Of the prefix of i characters; those of shorter prefixes are worked out on the way."""
-        find = states.find if isinstance(states, Kept) else states.get
+        states, older, tokens, stays = self.states, self.states.older, self.tokens, self.stays
         known = i
-        while known and find(chunk[:known]) is None:
+        while known and states.find(chunk[:known]) is None:
             known -= 1
-        tokens, longest = self.tokens, self.longest
         for k in range(known + 1, i + 1):
-            for j in range(max(0, k - longest), k):
+            for j in range(max(0, k - self.longest), k):
                 piece = chunk[j:k]
-                if piece in tokens or k - j == 1:
-                    before = 0
-                    if j:
-                        before = find(chunk[:j])
+                if piece not in tokens and k - j > 1:
+                    continue
+                count = 0
+                if j:
+                    before = states.get(chunk[:j])
+                    if before is None:
+                        before = older.get(chunk[:j])
                         if before is None:
-                            before = self._state(chunk, j, states)
-                        if not self._stay(chunk[j - before % 64:j], piece):
-                            continue
-                    count = before // 64 + (1 if piece in tokens else len(piece.encode("utf-8", "surrogatepass")))
-                    if isinstance(states, Kept):
-                        states.put(chunk[:k], count * 64 + k - j)
-                    else:
-                        states[chunk[:k]] = count * 64 + k - j
-                    break
+                            before = self._state(chunk, j)
+                    last = chunk[j - before % 64:j]
+                    stay = stays.get((last, piece))
+                    if not (self._stay(last, piece) if stay is None else stay):
+                        continue
+                    count = before // 64
+                count += 1 if piece in tokens else len(piece.encode("utf-8", "surrogatepass"))
+                states[chunk[:k]] = count * 64 + k - j
+                break
             else:
                 raise ValueError(f"no token ends the prefix {chunk[:k]!r}")
-        return find(chunk[:i]) or 0
+        return states[chunk[:i]] if i else 0
 
     def _long(self, chunk: str) -> list[int]:
         """The states at the prefixes of a long chunk, by position: its prefixes aren't kept."""
@@ -132,7 +133,7 @@ class PrefixCounter:
     def _total(self, chunk: str) -> int:
         if any(p in chunk for p in self.tied):
             return len(self.library.encode(chunk[1:]))  # it begins with a mark, which the library adds itself
-        return (self._state(chunk, len(chunk), self.states) if len(chunk) <= CACHED_CHARS else self._long(chunk)[-1]) // 64
+        return (self._state(chunk, len(chunk)) if len(chunk) <= CACHED_CHARS else self._long(chunk)[-1]) // 64
 
     def _counts(self, chunk: str) -> list[int]:
         """At the chunk's prefixes, from one character on."""
@@ -140,7 +141,7 @@ class PrefixCounter:
             return [len(self.library.encode(chunk[1:i])) or 1 for i in range(1, len(chunk) + 1)]
         if len(chunk) > CACHED_CHARS:
             return [x // 64 for x in self._long(chunk)[1:]]
-        return [self._state(chunk, i, self.states) // 64 for i in range(1, len(chunk) + 1)]
+        return [self._state(chunk, i) // 64 for i in range(1, len(chunk) + 1)]
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -152,6 +153,8 @@ class PrefixCounter:
         is a chunk (line feeds merge with nothing and part chunks)."""
         plain = [bool(t) and t[0] != " " and "  " not in t and _MARK not in t for t in texts]
         lines = [[line.split(" ") for line in t.split("\n")] if p else None for t, p in zip(texts, plain)]
+        self.states.turn()
+        self.stays.turn()
         spaced, bare = set(), set()
         for rows in filter(None, lines):
             spaced.add(rows[0][0])
@@ -159,9 +162,7 @@ class PrefixCounter:
             for words in rows:
                 spaced.update(words[1:])
         for found, kept, mark in ((spaced, self.spaced, _MARK), (bare, self.bare, "")):
-            if len(kept) > KEPT:
-                kept.older = dict(kept)
-                kept.clear()
+            kept.turn()
             older = kept.older
             for w in found:
                 if w not in kept:
@@ -183,6 +184,8 @@ class PrefixCounter:
     def prefixes(self, text: str) -> np.ndarray:
         """The token counts of ``text[:0]``, ``text[:1]`` and so on to the whole text."""
         out, done = [], 0
+        self.states.turn()
+        self.stays.turn()
         for chunk in self._chunks(text):
             counts = self._counts(chunk)
             out.extend([c + done for c in counts])
@@ -192,6 +195,8 @@ class PrefixCounter:
     def fitting(self, text: str, limit: int) -> int:
         """Characters of the longest prefix with at most ``limit`` tokens."""
         done = used = 0
+        self.states.turn()
+        self.stays.turn()
         for chunk in self._chunks(text):
             if used + 1 > limit:
                 break
