@@ -66,7 +66,8 @@ class PrefixCounter:
             raise ValueError("pieces that reach across a space or a line feed are beyond this counter")
         self.longest = max(map(len, self.score))
         met = Counter(x for p, x in self.score.items() if len(p) > 1)
-        self.tied = [p for p, x in self.score.items() if len(p) > 1 and met[x] > 1]
+        tied = [p for p, x in self.score.items() if len(p) > 1 and met[x] > 1]
+        self.tied = [p for p in tied if not any(q in p for q in tied if q != p)]  # the rest hold one of these
         self.tokens = {p for p in self.score if self.merged(p) == [p]}  # others never result from merges
         self.states = Kept(CACHE)  # prefix of a chunk -> count * 64 + length of its last token
         self.stays = Kept(KEPT)
