@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch of whole texts: keeps a Python worker's memory bounded when texts are long.
@@ -40,9 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def text_of(df: DataFrame, col: str = "text") -> DataFrame:
-    """Null texts as empty ones."""
-    return df.withColumn(col, F.coalesce(F.col(col), F.lit("")))
+def as_row(df: DataFrame) -> Column:
+    """All columns as one, so that names of an operator's own can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def from_row(df: DataFrame, row: str = "row", **changed: Column) -> list[Column]:
+    """The columns of ``df`` out of ``as_row``, some of them changed."""
+    return [changed.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in df.columns]
 
 
 def shared_folder(spark: SparkSession) -> str:

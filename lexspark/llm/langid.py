@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import as_row, from_row, small_batches
 
 DIM = 1024
 SEED = 7
@@ -161,6 +161,6 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, folds: int =
     stays empty.
     """
     langs, model = profiles(learned_rows(docs if learn_from is None else learn_from, folds=folds), dim=dim)
-    out = docs.drop("held_out", "lang_pred", "score").withColumn("_p", predict(F.col("text"), langs, model))
-    return out.withColumns({"held_out": held_out(F.col("doc_id"), folds), "lang_pred": F.col("_p.lang_pred"),
-                            "score": F.col("_p.score")}).drop("_p")
+    kept = docs.drop("held_out", "lang_pred", "score")
+    rows = kept.select(as_row(kept).alias("row"), held_out(F.col("doc_id"), folds).alias("held_out"), predict(F.col("text"), langs, model).alias("p"))
+    return rows.select(*from_row(kept), "held_out", "p.lang_pred", "p.score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import as_row, cut, from_row, small_batches
 from .words import bit_set, bits, mix, words_of
 
 _BITS = 18
@@ -323,9 +323,11 @@ def drop_duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str =
             out.append(x)
         return type(text)(out, dtype=object)
 
-    keyed = docs.withColumns({"_o": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_h": F.xxhash64(text_col)})
-    kept = keyed.join(by_doc, ["_o", "_h"], "left").filter("_n is null or size(_gone) < _n")
-    out = kept.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_gone"))))
+    rows = docs.select(as_row(docs).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_o"), F.xxhash64(text_col).alias("_h"))
+    kept = rows.join(by_doc, ["_o", "_h"], "left").filter("_n is null or size(_gone) < _n")
+    text = F.col(f"row.{text_col}")
+    kept = kept.select("row", F.when(F.col("_gone").isNull(), text).otherwise(without(text, F.col("_gone"))).alias("text"))
+    changed = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*from_row(docs, **changed))

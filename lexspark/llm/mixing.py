@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import as_row, cut, from_row
 
 LEVEL_BITS = 12  # of the hash a histogram looks at: 4,096 buckets for each source
 
@@ -59,7 +59,7 @@ def _chosen(column: Column, values: dict, default) -> Column:
 
 
 def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c in docs.columns])
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _hash(id_: Column, row_hash: Column) -> Column:
@@ -105,8 +105,8 @@ def mixed(docs: DataFrame, weights: Callable[[list], dict], share: float = 1.5,
     """``docs`` with every row as often as ``mix`` takes it, by a filter: no row is shuffled."""
     _, _, _, copies = plan(docs, weights, share, most, id_col, source_col, text_col)
     times = copies(F.col(source_col), _hash(F.col(id_col), _row_hash(docs)))
-    return (docs.withColumn("_n", times).filter("_n > 0")
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
+    rows = docs.select(as_row(docs).alias("row"), times.alias("n")).filter("n > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*from_row(docs))
 
 
 def _rank(h: Column) -> Column:
@@ -149,5 +149,5 @@ def _thresholds(sized: DataFrame, budgets: dict) -> dict:
 def mixed(docs: DataFrame, weights: Callable[[list], dict], share: float = 1.5, most: float = 2.0, **columns) -> DataFrame:
     """``docs`` with every row as often as ``mix`` takes it: rows taken 0 times go."""
     plan = mix(docs, weights, share, most, **columns).select("row_hash", "copies").filter("copies > 0").distinct()
-    rows = docs.withColumn("_h", F.xxhash64(*[F.col(c) for c in docs.columns])).join(cut(plan).withColumnRenamed("row_hash", "_h"), "_h")
+    rows = docs.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).join(cut(plan).withColumnRenamed("row_hash", "_h"), "_h")
     return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

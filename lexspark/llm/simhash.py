@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import as_row, cut, from_row, small_batches
 from .components import components
 
 _BLOCK = 1 << 14  # hashes whose bits are unpacked at once
@@ -126,7 +126,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, i
                          text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id (a null id comes
     last; ties go to the smallest hash of the whole row). Of repeated rows one stays."""
-    own = F.xxhash64(*[F.col(c) for c in docs.columns])
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     prints = fingerprints(docs, shingle, id_col, text_col, {"row_hash": own})
     found = classes(prints, max_bits).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash"))
@@ -135,8 +135,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, i
     kept = cut(kept.alias("k").join(alike.alias("r"), F.col("k.doc_id").eqNullSafe(F.col("r.doc_id"))
                                     & (F.col("k.row_hash") == F.col("r.row_hash")), "left")
                .select("k.doc_id", "k.row_hash", F.col("r.n").isNotNull().alias("several")))
-    rows = docs.withColumn("_h", own).alias("d").join(
-        kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id")) & (F.col("d._h") == F.col("k.row_hash")))
-    out = rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], "d._h", "k.several")
-    single = out.filter("not several").select(*docs.columns)
-    return single.unionByName(out.filter("several").dropDuplicates([id_col, "_h"]).select(*docs.columns))
+    rows = docs.select(as_row(docs).alias("row"), own.alias("h")).join(
+        kept, F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")))
+    single = rows.filter("not several").select("row")
+    return single.unionByName(rows.filter("several").dropDuplicates(["doc_id", "row_hash"]).select("row")).select(*from_row(docs))
