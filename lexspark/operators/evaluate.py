@@ -85,25 +85,25 @@ def label_counts(df: DataFrame, t: str = "true_label", p: str = "predicted_label
 
 def weighted_prf(df: DataFrame, t: str = "true_label", p: str = "predicted_label",
                  by: list[str] | None = None) -> DataFrame:
-    """EVL-03: support-weighted precision, recall, F1 (0/0 = 0)."""
+    """EVL-03: support-weighted precision, recall, F1 (0/0 = 0), and accuracy
+    from the same label counts."""
     by = by or []
     lc = label_counts(df, t, p, by)
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
-    s = lc.select(*by, "support", prec.alias("p"), rec.alias("r"), f1.alias("f"))
+    s = lc.select(*by, "support", "tp", prec.alias("p"), rec.alias("r"), f1.alias("f"))
     agg = s.groupBy(*by).agg(F.sum("support").alias("n"), F.sum(F.col("support") * F.col("p")).alias("wp"),
                              F.sum(F.col("support") * F.col("r")).alias("wr"),
-                             F.sum(F.col("support") * F.col("f")).alias("wf"))
+                             F.sum(F.col("support") * F.col("f")).alias("wf"), F.sum("tp").alias("tp"))
     return agg.select(*by, (F.col("wp") / F.col("n")).alias("precision"), (F.col("wr") / F.col("n")).alias("recall"),
-                      (F.col("wf") / F.col("n")).alias("f1"))
+                      (F.col("wf") / F.col("n")).alias("f1"), (F.col("tp") / F.col("n")).alias("accuracy"))
 
 
-def confusion(df: DataFrame, t: str = "true_label", p: str = "predicted_label", dense: bool = True) -> DataFrame:
-    """EVL-04: long confusion matrix over the sorted union of labels, zero
-    cells included (``dense``; the grid has classes² cells, so for free-text
-    labels use ``dense=False``: observed cells only). The label list is an
-    aggregate of distinct labels; each true label row is expanded over it."""
+def confusion(df: DataFrame, t: str = "true_label", p: str = "predicted_label", dense: bool = False) -> DataFrame:
+    """EVL-04: long confusion matrix, the observed cells. ``dense`` adds zero
+    cells over the sorted union of labels: a grid of classes² cells, expanded
+    from one row with all labels, for the few labels of a classification."""
     pairs = df.groupBy(F.col(t).alias("true_label"), F.col(p).alias("predicted_label")).agg(
         F.count(F.lit(1)).alias("n"))
     if not dense:
@@ -116,20 +116,16 @@ def confusion(df: DataFrame, t: str = "true_label", p: str = "predicted_label",
             .select("true_label", "predicted_label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def auc(df: DataFrame, score: str = "score", label: str = "label", buckets: int = 1024) -> DataFrame:
+def auc(df: DataFrame, score: str = "score", label: str = "label", buckets: int = 256) -> DataFrame:
     """EVL-11: ROC AUC = P(score⁺ > score⁻) + ½·P(tie) (rank-sum with average
     ranks). Scores are first aggregated to distinct values (a hot value is
     one row); the running count of negatives below each value is computed
-    with quantile buckets (approxQuantile → Bucketizer, ≤ ``buckets`` rows
-    broadcast) so no single task sorts the whole table."""
-    from pyspark.ml.feature import Bucketizer
-
+    with quantile buckets (cut points from a scalar subquery, ≤ ``buckets``
+    rows broadcast) so no single task sorts the whole table."""
     agg = df.groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("_pos"), F.sum((F.col(label) != 1).cast("long")).alias("_neg"))
-    qs = agg.approxQuantile("_s", [i / buckets for i in range(1, buckets)], 0.001)
-    splits = sorted(set(qs))
-    splits = [float("-inf")] + splits + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_s", outputCol="_bk", handleInvalid="keep").transform(agg)
+    cuts = agg.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 10000)).scalar()
+    b = agg.withColumn("_cuts", cuts).withColumn("_bk", F.size(F.filter("_cuts", lambda c: c <= F.col("_s")))).drop("_cuts")
     tot = b.groupBy("_bk").agg(F.sum("_neg").alias("_bneg"))
     tot = tot.withColumn("_boff", F.coalesce(F.sum("_bneg").over(
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -293,16 +289,20 @@ GENERIC_TASKS_METRICS = ["rouge1", "rouge2", "rougeL"]
 
 
 def score_pairs(df: DataFrame, id_col: str = "id", task_col: str = "task", ref: str = "reference",
-                pred: str = "prediction", lang: str = "en", with_rouge_l: bool = True, stemmer=None) -> DataFrame:
+                pred: str = "prediction", lang: str | Column = "en", with_rouge_l: bool = True, stemmer=None) -> DataFrame:
     """EVL-09 per row: classification rows get labels; every other task gets
-    ROUGE-1/2(/L); summarization also BLEU. One plan: the classification
+    ROUGE-1/2(/L); summarization also BLEU. ``lang`` may be a column. One plan: the classification
     part is a narrow projection, the text part one n-gram pass (ROUGE and
     BLEU grams tagged in the same explode) whose aggregation also carries
     the per-row ROUGE-L; the two parts are unioned, nothing is joined."""
+    def label(text: str) -> Column:
+        if isinstance(lang, str):
+            return extract_label(F.col(text), lang)
+        return F.when(lang == "de", extract_label(F.col(text), "de")).otherwise(extract_label(F.col(text), "en"))
+
     cls = F.col(task_col) == "classification"
     labels = df.where(cls).select(
-        id_col, task_col, extract_label(F.col(ref), lang).alias("true_label"),
-        extract_label(F.col(pred), lang).alias("predicted_label"),
+        id_col, task_col, label(ref).alias("true_label"), label(pred).alias("predicted_label"),
         *[F.lit(None).cast("double").alias(c) for c in ("rouge1", "rouge2", "rougeL", "bleu")])
     summ = F.col(task_col) == "summarization"
     t = df.where(~cls).select(id_col, task_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"),
@@ -326,10 +326,7 @@ def evaluate_by_task(scored: DataFrame, task_col: str = "task") -> DataFrame:
     """EVL-09/10: metric means per task in the long D14 form
     (metric = '<task>_<name>', value). A metric with no rows is absent."""
     cls = scored.where(F.col(task_col) == "classification")
-    acc = accuracy(cls, by=[task_col])
-    prf = weighted_prf(cls, by=[task_col])
-    c = acc.join(prf, task_col).select(task_col, F.col("accuracy"), F.col("precision"), F.col("recall"), F.col("f1"))
-    c_long = c.unpivot([task_col], ["accuracy", "precision", "recall", "f1"], "name", "value")
+    c_long = weighted_prf(cls, by=[task_col]).unpivot([task_col], ["accuracy", "precision", "recall", "f1"], "name", "value")
     cols = [x for x in ["rouge1", "rouge2", "rougeL", "bleu"] if x in scored.columns]
     g = scored.where(F.col(task_col) != "classification").groupBy(task_col).agg(
         *[F.avg(x).alias(x) for x in cols])

@@ -7,7 +7,7 @@ baseline (one row per column / bin).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
@@ -52,17 +52,14 @@ def violations(df: DataFrame, base: DataFrame, ts_col: str, columns: list[str],
     long = df.select(w.alias("w"), F.explode(F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(c).isNull().alias("is_null"),
         F.col(c).cast("double").alias("x")) for c in columns])).alias("_v")).select("w", "_v.*")
-    g = long.groupBy("w", "column").agg(F.count(F.lit(1)).alias("rows"),
-                                        F.sum((~F.col("is_null")).cast("long")).alias("_nn"))
-    b = base.select("column", F.col("completeness").alias("b_completeness"), F.col("min").alias("b_min"),
-                    F.col("max").alias("b_max"))
-    out_of_range = long.join(F.broadcast(b), "column").where(
-        (F.col("x") < F.col("b_min")) | (F.col("x") > F.col("b_max"))).groupBy("w", "column").agg(
-        F.count(F.lit(1)).alias("out_of_range"))
-    j = g.join(F.broadcast(b), "column").join(out_of_range, ["w", "column"], "left")
-    return j.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "column", "rows",
-                    (F.col("_nn") / F.col("rows")).alias("completeness"),
-                    F.coalesce("out_of_range", F.lit(0)).cast("bigint").alias("out_of_range"),
+    b = base.where(F.col("column").isin(columns)).select(  # a row per column
+        "column", F.col("completeness").alias("b_completeness"), F.col("min").alias("b_min"), F.col("max").alias("b_max"))
+    outside = (F.col("x") < F.col("b_min")) | (F.col("x") > F.col("b_max"))
+    g = long.join(F.broadcast(b), "column").groupBy("w", "column", "b_completeness").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum((~F.col("is_null")).cast("long")).alias("_nn"),
+        F.count(F.when(outside, 1)).alias("out_of_range"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "column", "rows",
+                    (F.col("_nn") / F.col("rows")).alias("completeness"), "out_of_range",
                     ((F.col("_nn") / F.col("rows")) < F.col("b_completeness")).alias("completeness_violation"))
 
 
@@ -72,34 +69,26 @@ def drift(a: DataFrame, b: DataFrame, col: str, bins: int = 10, categorical: boo
     (reference) and b, over equal-width bins of a's range (or categories);
     shares floored at 1e-6. Output: per-bin shares plus the total as
     ``psi`` on every row."""
+    x = F.col(col).cast("string") if categorical else F.col(col).cast("double")
+    both = (a.select(x.alias("_x"), F.lit(1).alias("_a")).unionByName(b.select(x.alias("_x"), F.lit(0).alias("_a"))))
     if categorical:
-        ka = a.select(F.col(col).cast("string").alias("bin"))
-        kb = b.select(F.col(col).cast("string").alias("bin"))
+        binned = both.select("_a", F.col("_x").alias("bin"))
     else:
-        mm = a.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi")).withColumn(
-            "_k", F.lit(1))
-
-        def binned(d):
-            x = d.select(F.col(col).cast("double").alias("_x"), F.lit(1).alias("_k")).where(F.col("_x").isNotNull())
-            x = x.join(F.broadcast(mm), "_k")  # one-row side
-            width = (F.col("_hi") - F.col("_lo")) / bins
-            bn = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(
-                F.least(F.greatest(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(0)), F.lit(bins - 1)))
-            return x.select(bn.cast("string").alias("bin"))
-
-        ka, kb = binned(a), binned(b)
-    ca = ka.groupBy("bin").agg(F.count(F.lit(1)).alias("na"))
-    cb = kb.groupBy("bin").agg(F.count(F.lit(1)).alias("nb"))
-    j = ca.join(cb, "bin", "full_outer").fillna(0, ["na", "nb"]).withColumn("_k", F.lit(1))
-    # one-row totals joined back (broadcast) instead of a window over all bins
-    tot = j.agg(F.sum("na").alias("_ta"), F.sum("nb").alias("_tb")).withColumn("_k", F.lit(1))
-    j = j.join(F.broadcast(tot), "_k")
-    p = F.greatest(F.col("na") / F.col("_ta"), F.lit(floor))
-    q = F.greatest(F.col("nb") / F.col("_tb"), F.lit(floor))
-    s = j.select("bin", p.alias("p"), q.alias("q")).withColumn(
-        "term", (F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).withColumn("_k", F.lit(1))
-    psi = s.agg(F.sum("term").alias("psi")).withColumn("_k", F.lit(1))
-    return s.join(F.broadcast(psi), "_k").drop("_k")
+        span = a.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+        binned = both.where(F.col("_x").isNotNull()).select("_a", _bin(F.col("_x"), span, bins).cast("string").alias("bin"))
+    counts = binned.groupBy("bin").agg(F.sum("_a").alias("na"), F.sum(1 - F.col("_a")).alias("nb"))
+    totals = counts.agg(F.struct(F.sum("na").alias("a"), F.sum("nb").alias("b"))).scalar()
+    s = counts.select("bin", F.greatest(F.col("na") / totals["a"], F.lit(floor)).alias("p"),
+                      F.greatest(F.col("nb") / totals["b"], F.lit(floor)).alias("q"))
+    s = s.withColumn("term", (F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q")))
+    return s.withColumn("psi", s.agg(F.sum("term")).scalar())
+
+
+def _bin(x: Column, span: Column, bins: int) -> Column:
+    """Number of the equal-width bin; values outside the span belong to its ends."""
+    width = (span["hi"] - span["lo"]) / bins
+    return F.when(span["hi"] == span["lo"], 0).otherwise(
+        F.least(F.greatest(F.floor((x - span["lo"]) / width), F.lit(0)), F.lit(bins - 1)))
 
 
 def compare_variants(df: DataFrame, id_cols, weights: dict, metrics: dict, seed=42) -> DataFrame:

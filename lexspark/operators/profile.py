@@ -33,10 +33,8 @@ def distribution(df: DataFrame, field: Column | str, by: list[str] | None = None
         F.count(F.lit(1)).alias("count"))
     if by:
         return g.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(*by)), 1))
-    # one-row total joined back (broadcast): no single-partition window over all values
-    tot = g.agg(F.sum("count").alias("_tot")).withColumn("_k", F.lit(1))
-    j = g.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k")
-    return j.select(*by, name, "count", F.round(F.col("count") * 100.0 / F.col("_tot"), 1).alias("percent"))
+    total = g.agg(F.sum("count")).scalar()  # no window over all values in one task
+    return g.select(*by, name, "count", F.round(F.col("count") * 100.0 / total, 1).alias("percent"))
 
 
 def describe_lengths(df: DataFrame, length: Column | str, by: list[str] | None = None,
@@ -62,21 +60,14 @@ def describe_lengths(df: DataFrame, length: Column | str, by: list[str] | None =
 
 
 def length_histogram(df: DataFrame, length: Column | str, bins: int = 20) -> DataFrame:
-    """AGG-06: equal-width bins between min and max; the last bin is closed.
-    min/max come from a one-row aggregate joined back (broadcast, 1 row)."""
+    """AGG-06: equal-width bins between min and max (a scalar subquery); the last bin is closed."""
     x = (F.col(length) if isinstance(length, str) else length).cast("double")
-    d = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    mm = d.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).withColumn("_k", F.lit(1))
-    j = d.withColumn("_k", F.lit(1)).join(F.broadcast(mm), "_k")  # one-row side
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    h = j.select(b.alias("bin"), "_lo", "_hi").groupBy("bin", "_lo", "_hi").agg(
-        F.count(F.lit(1)).alias("count"))
-    return h.select("bin",
-                    (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"),
-                    (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_end"),
-                    "count")
+    span = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    width = (span["hi"] - span["lo"]) / bins
+    b = F.when(span["hi"] == span["lo"], F.lit(0)).otherwise(F.least(F.floor((x - span["lo"]) / width), F.lit(bins - 1))).cast("int")
+    h = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return h.select("bin", (span["lo"] + F.col("bin") * (span["hi"] - span["lo"]) / bins).alias("bin_start"),
+                    (span["lo"] + (F.col("bin") + 1) * (span["hi"] - span["lo"]) / bins).alias("bin_end"), "count")
 
 
 def section_counts(df: DataFrame, sections: list[str]) -> DataFrame:

@@ -54,6 +54,17 @@ def extract_label(spark, sf_dir):
     return cls_pairs(spark, sf_dir)
 
 
+_DE_TEXT = ("CASE doc_id % 4 WHEN 0 THEN concat('Basierend auf meiner Analyse fällt dieses Dokument in die Kategorie ', source, ', weil ', text) "
+            "WHEN 1 THEN concat(text, ' Dieses Dokument fällt in die Kategorie ', lang, '.') ELSE text END")
+
+
+@query("extract_label_de", f"SELECT doc_id, CASE WHEN l = '' THEN 'unknown' ELSE l END AS label FROM (SELECT doc_id, "
+       f"coalesce(regexp_extract({_DE_TEXT}, '(?:Dokument fällt|fällt dieses Dokument) in die Kategorie ([\\pL\\pN_]+)', 1), '') AS l FROM documents)")
+def extract_label_de(spark, sf_dir):
+    """German label phrases of both word orders in whole texts."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", EV.extract_label(F.expr(_DE_TEXT), "de").alias("label"))
+
+
 @query("accuracy", f"WITH {_CLS_SQL} SELECT round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM lab2")
 def accuracy(spark, sf_dir):
     return EV.accuracy(cls_pairs(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
@@ -79,7 +90,7 @@ def weighted_prf(spark, sf_dir):
        "CAST(count(l.doc_id) AS BIGINT) AS n FROM labs a CROSS JOIN labs b LEFT JOIN lab2 l ON l.true_label = a.label "
        "AND l.predicted_label = b.label GROUP BY 1, 2")
 def confusion(spark, sf_dir):
-    return EV.confusion(cls_pairs(spark, sf_dir))
+    return EV.confusion(cls_pairs(spark, sf_dir), dense=True)
 
 
 @query("align_unmatched", f"SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN p.doc_id IS NULL THEN "

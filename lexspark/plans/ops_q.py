@@ -82,6 +82,14 @@ def _escape_xml(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def _decision_xml():
+    """A decision of the legal view as XML, in a namespace."""
+    return F.concat(F.lit("<dokument xmlns='urn:decision'><Gericht>"), _escape_xml(F.coalesce("court", F.lit(""))),
+                    F.lit("</Gericht><Datum>"), _escape_xml(F.col("date")), F.lit("</Datum><Aktenzeichen>"),
+                    _escape_xml(F.col("case_number")), F.lit("</Aktenzeichen><text>"), _escape_xml(F.col("text")),
+                    F.lit("</text></dokument>"))
+
+
 def _decisions_sql() -> str:
     from . import sql_re2 as R2
     from .legal import with_legal
@@ -96,11 +104,7 @@ def _decisions_sql() -> str:
 @query("decisions_from_xml", _decisions_sql())
 def decisions_from_xml(spark, sf_dir):
     lg = legal(spark, sf_dir).where(F.col("language") == "de")
-    xml = F.concat(F.lit("<dokument><Gericht>"), _escape_xml(F.coalesce("court", F.lit(""))),
-                   F.lit("</Gericht><Datum>"), _escape_xml(F.col("date")), F.lit("</Datum><Aktenzeichen>"),
-                   _escape_xml(F.col("case_number")), F.lit("</Aktenzeichen><text>"), _escape_xml(F.col("text")),
-                   F.lit("</text></dokument>"))
-    d = lg.select(F.col("doc_id").cast("string").alias("source_file"), xml.alias("xml"))
+    d = lg.select(F.col("doc_id").cast("string").alias("source_file"), _decision_xml().alias("xml"))
     out = MK.parse_decisions(d, "xml", "source_file")
     return out.select("source_file", "court", "date", "case_number", "error", F.md5("full_text").alias("full_text_md5"),
                       *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("tatbestand", "gruende", "tenor", "leitsaetze")])
@@ -307,33 +311,89 @@ def batch_predict_stub(spark, sf_dir):
 
 # ---------------------------------------------------------------- directory batch (SRC-01/04/05)
 
-def _dir_sql() -> str:
+def _dir_sql(select: str = "SELECT doc_id, 'txt' AS file_type, md5(processed_text) AS processed_md5, "
+                           "CAST(len(cits) AS BIGINT) AS n_citations FROM p", docs: str = "", ending: str = " || chr(10)") -> str:
     from . import sql_re2 as R2
     from .legal import with_legal
     from .text_q import _NORM, _masked_cte, _sections_cte
     from ..operators.preprocess import ALL_SECTIONS
     return with_legal(
-        ", docs AS (SELECT doc_id, 'en' AS language, text || chr(10) AS text FROM legal)"
+        f", docs AS (SELECT doc_id, 'en' AS language, text{ending} AS text FROM legal{docs})"
         f", n AS ({_NORM.replace('FROM legal', 'FROM docs')})"
         f", s0 AS ({_sections_cte(False)}), s AS ({_sections_cte(True)}), m AS ({_masked_cte()})"
         f", p AS (SELECT *, {R2.citations_sql('nt', 'language')} AS cits, "
-        f"concat_ws(chr(10) || chr(10), {', '.join(ALL_SECTIONS)}) AS processed_text FROM m) "
-        "SELECT doc_id, 'txt' AS file_type, md5(processed_text) AS processed_md5, "
-        "CAST(len(cits) AS BIGINT) AS n_citations FROM p")
+        f"concat_ws(chr(10) || chr(10), {', '.join(ALL_SECTIONS)}) AS processed_text FROM m) " + select)
+
 
+# the type of a document's file; some files are of no supported type, not UTF-8 or not closed
+_EXT = "CASE WHEN doc_id % 50 = 12 THEN 'pdf' WHEN doc_id % 5 = 3 THEN 'html' WHEN doc_id % 5 = 4 THEN 'xml' ELSE 'txt' END"
+_REJECT = ("CASE WHEN doc_id % 50 = 12 THEN 'Unsupported file format' WHEN doc_id % 50 = 7 THEN 'invalid UTF-8' "
+           "WHEN doc_id % 50 = 24 THEN 'ParseError' END")
 
-@query("process_directory", _dir_sql())
+
+@query("process_directory", _dir_sql(
+    f"SELECT doc_id, {_EXT} AS file_type, md5(processed_text) AS processed_md5, CAST(len(cits) AS BIGINT) AS n_citations, "
+    f"CAST(NULL AS VARCHAR) AS error FROM p UNION ALL SELECT doc_id, {_EXT}, NULL, NULL, {_REJECT} FROM legal "
+    f"WHERE {_REJECT} IS NOT NULL", f" WHERE {_REJECT} IS NULL", ""))
 def process_directory(spark, sf_dir):
-    """The legal documents written one file per document (text writer,
-    partitioned by doc_id, each file ends with a newline), then the directory
-    batch: routing by extension, UTF-8 check, English preprocessing."""
-    path = scratch_folder(spark, "docs")
-    legal(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    good, _bad = RD.process_directory(spark, path, "en")
-    doc_id = F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint")
-    return good.select(doc_id.alias("doc_id"), "file_type",
-                       F.md5("processed_text").alias("processed_md5"),
-                       F.size("citations").cast("bigint").alias("n_citations"))
+    """The directory batch over rows (path, bytes) made of the legal
+    documents: text, HTML and XML files and such as have to be rejected."""
+    lg = legal(spark, sf_dir)
+    ext, reject, text = F.expr(_EXT), F.expr(_REJECT), F.col("text")
+    marked = (F.when(ext == "html", F.concat(F.lit("<html><body><script>no</script><p>"), _escape_xml(text), F.lit("</p></body></html>")))
+              .when(reject == "ParseError", F.concat(F.lit("<d><t>"), _escape_xml(text)))
+              .when(ext == "xml", F.concat(F.lit("<d><t>"), _escape_xml(text), F.lit("</t></d>"))).otherwise(text))
+    content = F.encode(marked, "UTF-8")
+    content = F.when(reject == "invalid UTF-8", F.concat(F.unhex(F.lit("FF")), content)).otherwise(content)
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    good, bad = RD.process_files(lg.select(path.alias("source_file"), content.alias("content")), "en")
+    doc_id = F.regexp_extract("source_file", r"/in/(\d+)", 1).cast("bigint").alias("doc_id")
+    kind = F.regexp_extract("error", r"^(Unsupported file format|invalid UTF-8|ParseError)", 1)
+    return good.select(doc_id, "file_type", F.md5("processed_text").alias("processed_md5"), F.size("citations").cast("bigint").alias("n_citations"),
+                       F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select(doc_id, "file_type", F.lit(None).cast("string").alias("processed_md5"), F.lit(None).cast("bigint").alias("n_citations"),
+                   kind.alias("error")))
+
+
+# ---------------------------------------------------------------- archives (SRC-10)
+
+def _archived_sql() -> str:
+    return (f"SELECT concat(source_file, '.zip') AS source_file, * EXCLUDE (source_file) FROM ({_decisions_sql()}) "
+            f"WHERE CAST(source_file AS BIGINT) % 20 <> 3")
+
+
+@query("archive_decisions", "SELECT source_file, court, date, case_number, full_text_md5, error FROM ("
+       + _archived_sql() + ") UNION ALL SELECT concat(CAST(doc_id AS VARCHAR), '.zip'), NULL, NULL, NULL, NULL, 'no XML member' "
+       "FROM documents WHERE lang = 'de' AND doc_id % 20 = 3")
+def archive_decisions(spark, sf_dir):
+    """Each German decision in a ZIP of its own (some without an XML member),
+    expanded and parsed; archives that can't be read are rejects."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    lg = legal(spark, sf_dir).where(F.col("language") == "de")
+
+    def zipped(batches):
+        for b in batches:
+            rows = []
+            for doc_id, xml in zip(b["doc_id"], b["xml"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("readme.txt", "no decision")
+                    if doc_id % 20 != 3:
+                        z.writestr(f"{doc_id}.xml", xml)
+                rows.append((f"{doc_id}.zip", out.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    files = lg.select("doc_id", _decision_xml().alias("xml")).mapInPandas(zipped, "path string, content binary")
+    expanded = RD.expand_archive_rows(files)
+    out = MK.parse_decisions(expanded.where("error is null"), "xml", "source_file")
+    bad = expanded.where("error is not null")
+    columns = ["source_file", "court", "date", "case_number"]
+    return out.select(*columns, F.md5("full_text").alias("full_text_md5"), "error").unionByName(bad.select(
+        "source_file", *[F.lit(None).cast("string").alias(c) for c in (*columns[1:], "full_text_md5")], "error"))
 
 
 # ---------------------------------------------------------------- catalogue (SRC-09)

@@ -67,14 +67,20 @@ def decode_documents(df: DataFrame, raw_col: str = "raw", type_col: str = "file_
 
 def process_directory(spark: SparkSession, path: str, language: str = "en",
                       anonymize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """SRC-05: one directory level, four extensions, invalid UTF-8 or broken
-    markup rejected per file; returns (processed, rejects)."""
-    from ..operators.preprocess import preprocess
-
+    """SRC-05: one directory level, four extensions; ``process_files`` on its files."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,html,htm,xml}")
            .option("recursiveFileLookup", "false").load(path)
            .select(F.col("path").alias("source_file"), "content"))
-    s = raw.select("source_file", F.col("content").cast("string").alias("raw"))
+    return process_files(raw, language, anonymize)
+
+
+def process_files(files: DataFrame, language: str = "en", anonymize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows (source_file, content as bytes), from a directory or any table:
+    unsupported types, invalid UTF-8 and broken markup are rejected file by
+    file; returns (processed, rejects)."""
+    from ..operators.preprocess import preprocess
+
+    s = files.select("source_file", F.col("content").cast("string").alias("raw"))
     s = route_by_type(s).withColumn("error", F.coalesce(F.col("error"), F.when(
         ~F.is_valid_utf8(F.col("raw")), F.lit("invalid UTF-8"))))
     # rows rejected so far never reach a parser
@@ -175,8 +181,11 @@ ARCHIVE_SCHEMA = "source_file string, member string, xml string, error string"
 def expand_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     """SRC-10: first ``*.xml`` member of each ZIP (in archive order), decoded
     as UTF-8; archives without one get ``error`` (reject, not failure)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return expand_archive_rows(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+
 
+def expand_archive_rows(files: DataFrame) -> DataFrame:
+    """``expand_archives`` for rows (path, content as bytes) of any table."""
     def run(batches):
         for b in batches:
             rows = []
@@ -192,7 +201,7 @@ def expand_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> Data
                     rows.append((p, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["source_file", "member", "xml", "error"])
 
-    return raw.mapInPandas(run, ARCHIVE_SCHEMA)
+    return files.select("path", "content").mapInPandas(run, ARCHIVE_SCHEMA)
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

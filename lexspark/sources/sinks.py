@@ -74,7 +74,7 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK-10: the long (metric, value) table."""
-    df.coalesce(1).write.mode(mode).json(path)  # a handful of rows
+    df.repartition(1).write.mode(mode).json(path)  # a handful of rows; what makes them keeps its tasks
 
 
 __all__ = ["write_docs", "write_task_examples", "write_examples", "write_splits_jsonl", "write_manifest",

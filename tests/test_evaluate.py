@@ -63,7 +63,7 @@ def test_classification_metrics(spark):
     assert w["precision"] == pytest.approx((3 * 1 + 1 / 3) / 5)
     assert w["recall"] == pytest.approx((3 * 2 / 3 + 1) / 5)
     assert w["f1"] == pytest.approx((3 * 0.8 + 0.5) / 5)
-    cm = {(r["true_label"], r["predicted_label"]): r["n"] for r in EV.confusion(df).collect()}
+    cm = {(r["true_label"], r["predicted_label"]): r["n"] for r in EV.confusion(df, dense=True).collect()}
     assert len(cm) == 9 and cm[("C", "C")] == 0 and cm[("A", "A")] == 2 and cm[("C", "B")] == 1
 
 
