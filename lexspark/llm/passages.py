@@ -177,13 +177,20 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int =
     again = cut(met.filter("repeated").select("cls").distinct())
     found = cut(source.mapInArrow(_occurrences(bits(again.unionByName(paired).distinct()), bits(paired)),
                                   "doc_order long, text_hash long, number long, start_word long, n_words long, cls long, shingles array<long>"))
-    sets = cut(found.filter("size(shingles) > 0").groupBy("cls").agg(F.first("shingles").alias("shingles")))
+    sets = found.filter("size(shingles) > 0").groupBy("cls").agg(F.array_distinct(F.first("shingles")).alias("shingles"))
+    parity = F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+    sets = cut(sets.select("cls", "shingles", F.size("shingles").alias("n"), parity.alias("sig")))
 
     links = cut(_verified(star, sets, t))
     linked = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    crowd = met.filter("crowd").select("bucket", "cls").distinct()
+    crowd = cut(met.filter("crowd").select("bucket", "cls").distinct().join(sets.select("cls", "n", "sig"), "cls"))
     open_ = crowd.join(linked, "cls", "left_anti")
-    rest = (open_.alias("u").join(crowd.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & (F.col("u.cls") != F.col("c.cls")))
+    # sets of Jaccard t or more are of like size and differ in few shingles, so in few bits of their parities
+    both = F.col("u.n") + F.col("c.n")
+    differ = both - 2 * F.ceil(both * t.numerator / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
+    rest = (open_.alias("u").join(crowd.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & (F.col("u.cls") != F.col("c.cls"))
+                                  & (F.least("u.n", "c.n") * t.denominator >= F.greatest("u.n", "c.n") * t.numerator)
+                                  & (F.bit_count(F.col("u.sig").bitwiseXOR(F.col("c.sig"))) <= differ))
             .select(F.least("u.cls", "c.cls").alias("a"), F.greatest("u.cls", "c.cls").alias("b")).distinct())
     roots = components(links.unionByName(_verified(rest, sets, t)))
 
