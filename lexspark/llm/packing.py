@@ -29,13 +29,10 @@ from .common import cut, small_batches
 END_ID = 1
 CACHE = 1 << 20  # words whose ids a worker keeps, and as many older ones, of at most so many characters:
 CACHED_CHARS = 64
-GROUP = 64  # texts encoded together
+GROUP = 256  # texts encoded together
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that byte-level pre-tokenisation never joins: a word with the space before it, and white space.
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Texts without such a run are words with a single space or line feed between them.
-_NOT_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[{_SPACE.replace('\t-\r ', '\t\x0b-\r')}]")
-
 _TAILS = ".,;:!?"  # after a word of letters, one of these is a unit of its own
 
 
@@ -80,8 +77,7 @@ class ChunkEncoder:
     def _plain(self, lines: list[list[str]]) -> bytes:
         """Ids of the words of a text's lines, the first of a line without a space before it."""
         spaced, known = self.spaced, self.known
-        return self.feed.join([known[words[0]] + b"".join(map(spaced.__getitem__, words[1:])) if words[0] else
-                               b"".join(map(spaced.__getitem__, words[1:])) for words in lines])
+        return self.feed.join([known[words[0]] + b"".join(map(spaced.__getitem__, words[1:])) for words in lines])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
@@ -94,15 +90,17 @@ class ChunkEncoder:
         for t in texts:
             if any(s in t for s in self.special):
                 parts.append(t)
-            elif _NOT_PLAIN.search(t):
-                parts.append(_CHUNKS.findall(t))
-                chunks.update(parts[-1])
-            else:
-                parts.append([line.split(" ") for line in t.split("\n")])
-                for line in parts[-1]:
+                continue
+            # plain texts: between n words stand n - 1 spaces or line feeds, and no more white space
+            lines, bare = [line.split(" ") for line in t.split("\n")], t.split()
+            if sum(map(len, lines)) == len(bare) == len(t) - sum(map(len, bare)) + 1:
+                parts.append(lines)
+                for line in lines:
                     words.update(line[1:])
                     chunks.add(line[0])
-        chunks.discard("")
+            else:
+                parts.append(_CHUNKS.findall(t))
+                chunks.update(parts[-1])
         new = [c for c in chunks if c not in self.known]
         new_words = {w for w in words if w not in self.spaced}
         back = {w for w in new_words if w in self.older}
