@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, scratch_folder
+
 #: Rows of one Arrow batch of whole texts: keeps a Python worker's memory bounded when texts are long.
 TEXT_BATCH_ROWS = "1000"
 
@@ -30,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     scratch folder serves, on a ``local`` master only."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")  # once the rows are written, the shuffles that made them are of no use
@@ -50,19 +49,10 @@ def from_row(df: DataFrame, row: str = "row", **changed: Column) -> list[Column]
     return [changed.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in df.columns]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, on a local master, a scratch one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lexspark-ckpt-")
-    return folder
-
-
 def run_stages(spark: SparkSession, stages, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written as Parquet to the shared folder and read again by the next."""
-    base = f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    """Each stage's rows are written as Parquet to the shared folder and read again by the next; the
+    files go with the session."""
+    base = scratch_folder(spark, "stages")
     for k, (_, stage) in enumerate(stages):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
