@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,28 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _no_shuffles_left(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # the setting counts when a frame is made
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a compressed table in the shared folder, which goes with the session: for
+    larger frames than ``cut``, whose checkpoints are not compressed."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    with _no_shuffles_left(spark):
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _no_shuffles_left(spark: SparkSession):
+    """Once the rows are written, the shuffles that made them are of no use."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")  # once the rows are written, the shuffles that made them are of no use
+    spark.conf.set(key, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # the setting counts when a frame is made
+        yield
     finally:
         spark.conf.set(key, before)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, cut, from_row, small_batches
+from .common import as_row, cut, from_row, small_batches, written
 from .words import bit_set, bits, mix, words_of
 
 _BITS = 18
@@ -267,14 +267,14 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     t = Fraction(str(similarity))
     small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
-    read = cut(source.mapInArrow(_lines, "doc_order long, text_hash long, line_no long, k1 long, k2 long, counts array<long>"))
+    read = written(source.mapInArrow(_lines, "doc_order long, text_hash long, line_no long, k1 long, k2 long, counts array<long>"), "lines")
     sums = (read.filter("counts is not null").select("k1", F.posexplode("counts").alias("at", "n")).filter("n > 0")
             .groupBy((F.col("k1") * _ROW + F.col("at")).alias("bucket")).agg(F.sum("n").alias("n")).toArrow())  # at most BUCKETS rows
     counts = np.zeros(BUCKETS, np.int64)
     counts[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     lines = read.filter("counts is null").drop("counts")
     place = F.struct("doc_order", "text_hash", "line_no")
-    classes = cut(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")))
+    classes = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")), "classes")
 
     top = lines.filter(F.col("doc_order") < _LAST).agg(F.max("doc_order")).first()[0] or 0
     shift = max(0, int(top).bit_length() - 32)
@@ -282,8 +282,8 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
               .repartition(F.shiftright("slot", 32)).sortWithinPartitions("slot")
               .mapInArrow(_examine(t), "word long, ord long, cls long, sig long, n long, pos long, head long, more boolean"))
     either = met.select("cls").unionByName(met.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
-    sets = cut(source.mapInArrow(_word_sets(bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
-               .groupBy("cls").agg(F.first("words").alias("words"), F.min(place).alias("first")))
+    sets = written(source.mapInArrow(_word_sets(bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
+                   .groupBy("cls").agg(F.first("words").alias("words"), F.min(place).alias("first")), "sets")
 
     def ordered(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -296,7 +296,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
             .select(*ordered(F.col("u.cls"), F.col("l.cls"))).distinct())
     gone = cut(settled.unionByName(_similar(rest, sets, t)).distinct()).withColumn("similar", F.lit(True))
 
-    own = cut(classes.join(gone.withColumnRenamed("cls", "k1"), "k1", "left").select("k1", "k2", "first", "similar"))
+    own = written(classes.join(gone.withColumnRenamed("cls", "k1"), "k1", "left").select("k1", "k2", "first", "similar"), "removals")
     unknown = F.lit(_LAST)
     return (lines.distinct().join(own, ["k1", "k2"])
             .select(F.nullif("doc_order", unknown).alias("doc_id"), "text_hash", "line_no",
