@@ -29,10 +29,12 @@ from .common import cut, small_batches
 END_ID = 1
 CACHE = 1 << 20  # words whose ids a worker keeps, and as many older ones, of at most so many characters:
 CACHED_CHARS = 64
-GROUP = 256  # texts encoded together
+GROUP = 64  # texts encoded together
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that byte-level pre-tokenisation never joins: a word with the space before it, and white space.
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Texts without such a run are words with a single space or line feed between them.
+_NOT_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[{_SPACE.replace('\t-\r ', '\t\x0b-\r')}]")
 _TAILS = ".,;:!?"  # after a word of letters, one of these is a unit of its own
 
 
@@ -40,9 +42,10 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit numbers, by a byte-level tokeniser of ``tokenizers``.
 
     A text is encoded in chunks cut where its pre-tokenisation cuts anyway, and chunks seen before
-    come from a bounded cache. New words are encoded together: each begins with a space after
-    another character, so they stay apart, and the bytes of their tokens tell whose a token is.
-    A text in which a special string stands goes to the library whole.
+    come from bounded caches. In a plain text they are words, with the space or line feed before
+    them. New words are encoded together: each begins with white space after another character, so
+    they stay apart, and the bytes of their tokens tell whose a token is. A text in which a special
+    string stands goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,75 +58,76 @@ class ChunkEncoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a token's text has a character for each byte
-        self.known: dict[str, bytes] = {}  # chunks
-        self.spaced: dict[str, bytes] = {}  # words, with the space before them
+        self.feed, *tails = self._encode(["\n", *_TAILS])
+        self.tails = dict(zip(_TAILS, tails))
+        self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails = dict(zip(_TAILS, self._encode(list(_TAILS))))
-        self.feed = self._encode(["\n"])[0]
+        self._new_words({})
+
+    def _new_words(self, older: dict[str, bytes]) -> None:
+        """Words are known by themselves, or with the line feed before them."""
+        self.older, self.words = older, dict(zip(["", "\n"], self._encode([" ", "\n"])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        words = [c for c in chunks if c[0] == " " and not c.isspace()]
-        joined = b"".join(self._encode(["".join(words[i:i + 100]) for i in range(0, len(words), 100)]))
-        rest = [c for c in chunks if c[0] != " " or c.isspace()]
-        self.known.update(zip(rest, self._encode(rest)))
+    def _learn(self, missing: set[str]) -> None:
+        words, older = self.words, self.older
+        stems = {w: w[:-1] for w in missing if w[-1] in _TAILS and w[:-1].lstrip("\n").isalpha() and max(w) < "\u0250"}
+        new = []
+        for w in {*missing.difference(stems), *stems.values()}:
+            if w not in words:
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    words[w] = ids
+        texts = [w if w[0] == "\n" else " " + w for w in new]
+        joined = b"".join(self._encode(["".join(texts[i:i + 100]) for i in range(0, len(texts), 100)]))
         ends = np.cumsum(self.n_bytes[np.frombuffer(joined, "<u4")])
-        stop = np.searchsorted(ends, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in words])) + 1
+        stop = np.searchsorted(ends, np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])) + 1
         at = [0, *(4 * stop).tolist()]
-        self.known.update((c, joined[i:j]) for c, i, j in zip(words, at, at[1:]))
-
-    def _plain(self, lines: list[list[str]]) -> bytes:
-        """Ids of the words of a text's lines, the first of a line without a space before it."""
-        spaced, known = self.spaced, self.known
-        return self.feed.join([known[words[0]] + b"".join(map(spaced.__getitem__, words[1:])) for words in lines])
+        words.update((w, joined[i:j]) for w, i, j in zip(new, at, at[1:]))
+        words.update((w, words[stem] + self.tails[w[-1]]) for w, stem in stems.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        if len(self.spaced) > CACHE:  # words still in use come back from the older generation
-            self.older, self.spaced = self.spaced, {}
+        if len(self.chunks) > CACHE:
+            self.chunks = {}
+        if len(self.words) > CACHE:  # words still in use come back from the older generation
+            self._new_words(self.words)
         parts: list = []
-        chunks: set[str] = set()
-        words: set[str] = set()
+        missing: set[str] = set()
+        known = self.words.get
         for t in texts:
             if any(s in t for s in self.special):
                 parts.append(t)
-                continue
-            # plain texts: between n words stand n - 1 spaces or line feeds, and no more white space
-            lines, bare = [line.split(" ") for line in t.split("\n")], t.split()
-            if sum(map(len, lines)) == len(bare) == len(t) - sum(map(len, bare)) + 1:
-                parts.append(lines)
-                for line in lines:
-                    words.update(line[1:])
-                    chunks.add(line[0])
-            else:
-                parts.append(_CHUNKS.findall(t))
-                chunks.update(parts[-1])
-        new = [c for c in chunks if c not in self.known]
-        new_words = {w for w in words if w not in self.spaced}
-        back = {w for w in new_words if w in self.older}
-        self.spaced.update((w, self.older[w]) for w in back)
-        new_words -= back
-        stems = {w: w[:-1] for w in new_words if w[-1:] in _TAILS and w[:-1].isalpha() and max(w) < "\u0250"}
-        more = {w for w in stems.values() if w not in self.spaced and w not in new_words}
-        back = {w for w in more if w in self.older}
-        self.spaced.update((w, self.older[w]) for w in back)
-        new_words = [*(new_words.difference(stems) | (more - back))]
-        self._learn([*new, *(" " + w for w in new_words)])
-        self.spaced.update((w, self.known[" " + w] if " " + w in chunks else self.known.pop(" " + w)) for w in new_words)
-        self.spaced.update((w, self.spaced[stem] + self.tails[w[-1]]) for w, stem in stems.items())
-        out = [self._encode([p])[0] if isinstance(p, str) else b"".join(map(self.known.__getitem__, p)) if p and isinstance(p[0], str)
-               else self._plain(p) for p in parts]
-        for c in new:
-            if len(c) > CACHED_CHARS:
-                del self.known[c]
-        for w in [*new_words, *stems]:
+            elif _NOT_PLAIN.search(t):
+                parts.append((_CHUNKS.findall(t), None))
+            else:  # as if a line feed stood in front
+                words = ("\n" + t).replace("\n", " \n").split(" ")
+                del words[0]
+                ids = list(map(known, words))
+                if None in ids:
+                    missing.update([w for w, i in zip(words, ids) if i is None])
+                parts.append((words, ids))
+        if missing:
+            self._learn(missing)
+        out = [self._encode([p])[0] if isinstance(p, str) else self._joined(*p) for p in parts]
+        for w in missing:
             if len(w) > CACHED_CHARS:
-                del self.spaced[w]
+                del self.words[w]
         return out
 
+    def _joined(self, words: list[str], ids: list | None) -> bytes:
+        if ids is None:
+            new = list({*words}.difference(self.chunks))
+            found = dict(zip(new, self._encode(new)))
+            self.chunks.update((c, i) for c, i in found.items() if len(c) <= CACHED_CHARS)
+            return b"".join([found[c] if c in found else self.chunks[c] for c in words])
+        if None in ids:
+            return b"".join(map(self.words.__getitem__, words))[len(self.feed):]
+        return b"".join(ids)[len(self.feed):]
+
 
 @cache
 def _encoder(path: str) -> ChunkEncoder:
