@@ -145,6 +145,21 @@ def upgrade_templates(spark, sf_dir):
                      CV.first_of_role(F.col("conversations"), "assistant").alias("assistant"))
 
 
+# the reasoning templates that the default mapping leaves out
+_OTHER_UPGRADE = dict(zip(("classification", "summarization", "case_analysis"),
+                          sorted({n for n, _ in I.REASONING_TEMPLATES} - set(I.DEFAULT_UPGRADE.values()))))
+
+
+@query("upgrade_templates_other", _sql_examples_de()
+       + "SELECT id, task, CASE " + " ".join(
+           f"WHEN task = {q(t)} THEN {q(dict(I.REASONING_TEMPLATES)[n])}" for t, n in _OTHER_UPGRADE.items())
+       + " ELSE assistant END AS assistant FROM ex")
+def upgrade_templates_other(spark, sf_dir):
+    df = I.upgrade_templates(examples_de(spark, sf_dir), _OTHER_UPGRADE)
+    return df.select("id", F.col("metadata.task").alias("task"),
+                     CV.first_of_role(F.col("conversations"), "assistant").alias("assistant"))
+
+
 # ---------------------------------------------------------------- conversations
 
 _FIRST = ("SELECT conv_id, "

@@ -142,6 +142,19 @@ def hourly_quality(spark, sf_dir):
     return r.withColumn("avg_value", F.round("avg_value", 6))
 
 
+@query("stream_quality",
+       "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, "
+       "event_type, CAST(count(*) AS BIGINT) AS requests, round(avg(value), 6) AS avg_value, max(value) AS max_value, "
+       "CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM events GROUP BY 1, 2, 3")
+def stream_quality(spark, sf_dir):
+    """STR-02 as a stream over the events file, all windows closed at its end."""
+    from ..streaming.jobs import run_quality_stream
+    base = scratch_folder(spark, "stream_quality")
+    q = run_quality_stream(spark, sf_dir, f"{base}/out", checkpoint=f"{base}/ckpt", glob="events.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumn("avg_value", F.round("avg_value", 6))
+
+
 _BASE_COLS = [("event_id", "bigint", True), ("user_id", "bigint", True), ("event_type", "string", False),
               ("value", "double", True)]
 
@@ -309,6 +322,16 @@ def batch_predict_stub(spark, sf_dir):
 
 
 
+@query("batch_predict_failures", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'ValueError: generation failed' END AS error, "
+       "CASE WHEN doc_id % 9 = 0 THEN '{\"error\":\"ValueError: generation failed\"}' END AS error_body FROM documents")
+def batch_predict_failures(spark, sf_dir):
+    """INF-02: a failing prompt becomes its row's error; the others of its batch are answered."""
+    d = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" FAIL"))).otherwise(F.col("text")).alias("text"))
+    r = INF.encode_response(INF.batch_predict(d, INF.stub_generator_factory, "text", "classification"))
+    return r.select("doc_id", "error", F.when(F.col("error").isNotNull() | F.col("response").isNull(), F.col("body")).alias("error_body"))
+
+
 # ---------------------------------------------------------------- directory batch (SRC-01/04/05)
 
 def _dir_sql(select: str = "SELECT doc_id, 'txt' AS file_type, md5(processed_text) AS processed_md5, "
@@ -483,6 +506,41 @@ def saved_splits(spark, sf_dir):
     return RD.read_splits(spark, path, "validation").select("id", F.col("metadata.task").alias("task"))
 
 
+# ---------------------------------------------------------------- text files, documents and splits as JSON (SRC-01, PRJ-02, SNK-01, SNK-04)
+
+@query("text_files", "SELECT item_id, md5(concat(text, chr(10))) AS raw_md5, 'txt' AS file_type, 'en' AS language FROM benchmark")
+def text_files(spark, sf_dir):
+    """Benchmark passages in a text file each, read whole, with file metadata."""
+    from ..operators.filters import with_file_metadata
+    path = scratch_folder(spark, "text_files")
+    read_table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    r = with_file_metadata(RD.read_text_docs(spark, f"{path}/*", "*.txt"), "source_file", "en")
+    return r.select(F.regexp_extract("source_file", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), F.md5("raw").alias("raw_md5"),
+                    "file_type", "language")
+
+
+@query("written_docs", "SELECT concat(CAST(doc_id AS VARCHAR), '.txt.json') AS doc_key, md5(text) AS text_md5, n_chars FROM documents")
+def written_docs(spark, sf_dir):
+    path = scratch_folder(spark, "written_docs")
+    d = read_table(spark, sf_dir, "documents")
+    SK.write_docs(d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), "text", "n_chars"), path)
+    back = spark.read.schema("doc_key string, text string, n_chars long").json(path)
+    return back.select("doc_key", F.md5("text").alias("text_md5"), "n_chars")
+
+
+@query("splits_jsonl", _sql_examples_de() + (
+    "SELECT id, CASE WHEN rn <= floor(0.9::DOUBLE * n) THEN 'train' ELSE 'validation' END AS split, md5(\"user\") AS user_md5 "
+    "FROM (SELECT id, \"user\", row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(id AS VARCHAR))), id) AS rn, "
+    "count(*) OVER () AS n FROM ex)"))
+def splits_jsonl(spark, sf_dir):
+    """German examples split 90/10, as JSON Lines by split, and read back."""
+    from ..operators import splits as SP
+    path = scratch_folder(spark, "splits_jsonl")
+    SK.write_splits_jsonl(SP.split_two_way(examples_de(spark, sf_dir).drop("doc_id"), "id", 0.9), path)
+    back = spark.read.schema(RD.EXAMPLE_SCHEMA).json(path)
+    return back.select("id", "split", F.md5(F.col("conversations")[1]["content"]).alias("user_md5"))
+
+
 # ---------------------------------------------------------------- sinks (SNK-02, SNK-08)
 
 @query("task_example_files", _sql_examples_de() + "SELECT id, task, \"user\" AS user_content FROM ex")

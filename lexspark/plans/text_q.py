@@ -8,6 +8,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import citations as C
 from ..operators.preprocess import ALL_SECTIONS, preprocess, with_sections
+from ..session import read_table
 from . import sql_re2 as R
 from .legal import legal, with_legal
 from .registry import query
@@ -64,6 +65,13 @@ def normalize_de(spark, sf_dir):
     return legal(spark, sf_dir).select("doc_id", T.normalize("text", "de").alias("normalized"))
 
 
+@query("normalize_other", f"SELECT doc_id, lang, {R.normalize_sql('text', 'lang')} AS normalized FROM documents WHERE lang IN ('fr', 'es')")
+def normalize_other(spark, sf_dir):
+    """Languages with no rule of their own: white space collapsed, ends trimmed."""
+    df = read_table(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "es"))
+    return df.select("doc_id", "lang", T.normalize("text", F.col("lang")).alias("normalized"))
+
+
 @query("clean_german", with_legal(f"SELECT doc_id, {R.clean_german_sql('text')} AS cleaned FROM legal WHERE language = 'de'"))
 def clean_german(spark, sf_dir):
     df = legal(spark, sf_dir).where(F.col("language") == "de")

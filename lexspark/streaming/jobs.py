@@ -88,7 +88,7 @@ def stream_quality(events: DataFrame, ts_col: str = "ts", key_col: str = "event_
 
 
 def run_quality_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str | None = None,
-                       flush: bool = True):
+                       flush: bool = True, glob: str = "*.parquet"):
     """Parquet event files → STR-02 → parquet sink (availableNow).
 
     Append mode emits a window once the watermark has passed its end, so the
@@ -96,7 +96,7 @@ def run_quality_stream(spark: SparkSession, events_dir: str, out_dir: str, check
     out as well: each epoch overwrites a table of all windows so far
     (complete mode). A stream that goes on should set it to False."""
     checkpoint = checkpoint or _checkpoint(spark, "stream_quality", events_dir, out_dir)
-    ev = spark.readStream.schema(EVENT_SCHEMA).parquet(events_dir)
+    ev = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).parquet(events_dir)
     w = stream_quality(ev).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if not flush:
         return w.outputMode("append").format("parquet").option("path", out_dir).start()
