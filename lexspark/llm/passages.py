@@ -7,9 +7,10 @@ Their MinHash signature is cut into bands; two rows of a band, and five bands, f
 0.8 with probability 0.994 and copies always. Colliding paragraphs are verified by exact Jaccard.
 Similar paragraphs form components; in each, the first occurrence stays and the others go.
 
-As in the line deduplication, a first round verifies every paragraph of a bucket against one of
-them, and a second one pairs what is still unlinked with the whole bucket: groups of near copies
-aren't spelled out in pairs.
+A first round verifies every paragraph of a bucket against one of them, the next ones against one
+that has no link yet, and the last pairs what is still unlinked with the whole bucket: groups of near
+copies aren't spelled out in pairs. Every paragraph that has a link among its collisions gets one;
+two groups that have links of their own aren't searched for a bridge between them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -29,6 +30,7 @@ from .words import bit_set, bits, mix, words_of
 SHINGLE = 5
 REACH = 5  # paragraphs have 6 words at least, but at a text's ends, and 11 on average
 BANDS, ROWS = 5, 2
+STARS = 3  # further rounds
 RUN_ROWS = 1 << 16  # rows of one bucket that a task holds at once
 _FACTORS = np.random.default_rng(23).integers(1, 1 << 62, BANDS * ROWS + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = (1 << 63) - 1  # order of a null id
@@ -182,17 +184,26 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int =
     sets = cut(sets.select("cls", "shingles", F.size("shingles").alias("n"), parity.alias("sig")))
 
     links = cut(_verified(star, sets, t))
-    linked = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     crowd = cut(met.filter("crowd").select("bucket", "cls").distinct().join(sets.select("cls", "n", "sig"), "cls"))
-    open_ = crowd.join(linked, "cls", "left_anti")
-    # sets of Jaccard t or more are of like size and differ in few shingles, so in few bits of their parities
-    both = F.col("u.n") + F.col("c.n")
-    differ = both - 2 * F.ceil(both * t.numerator / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
-    rest = (open_.alias("u").join(crowd.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & (F.col("u.cls") != F.col("c.cls"))
-                                  & (F.least("u.n", "c.n") * t.denominator >= F.greatest("u.n", "c.n") * t.numerator)
-                                  & (F.bit_count(F.col("u.sig").bitwiseXOR(F.col("c.sig"))) <= differ))
-            .select(F.least("u.cls", "c.cls").alias("a"), F.greatest("u.cls", "c.cls").alias("b")).distinct())
-    roots = components(links.unionByName(_verified(rest, sets, t)))
+
+    def like(u: str, c: str) -> Column:
+        """Sets of Jaccard t or more are of like size and differ in few shingles, so in few bits of their parities."""
+        both = F.col(f"{u}.n") + F.col(f"{c}.n")
+        differ = both - 2 * F.ceil(both * t.numerator / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
+        return ((F.col(f"{u}.cls") != F.col(f"{c}.cls")) & (F.least(f"{u}.n", f"{c}.n") * t.denominator >= F.greatest(f"{u}.n", f"{c}.n") * t.numerator)
+                & (F.bit_count(F.col(f"{u}.sig").bitwiseXOR(F.col(f"{c}.sig"))) <= differ))
+
+    def unlinked() -> DataFrame:
+        return crowd.join(links.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_anti")
+
+    def pairs(u: DataFrame, c: DataFrame) -> DataFrame:
+        met_ = u.alias("u").join(c.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & like("u", "c"))
+        return met_.select(F.least("u.cls", "c.cls").alias("a"), F.greatest("u.cls", "c.cls").alias("b")).distinct()
+
+    for _ in range(STARS):
+        heads = cut(unlinked().groupBy("bucket").agg(F.min(F.struct("cls", "n", "sig")).alias("h")).select("bucket", "h.*"))
+        links = cut(links.unionByName(_verified(pairs(crowd, heads), sets, t)))
+    roots = components(links.unionByName(_verified(pairs(unlinked(), crowd), sets, t)))
 
     place = F.struct("doc_order", "text_hash", "start_word")
     known = cut(again.join(roots.withColumnRenamed("node", "cls"), "cls", "full").select("cls", F.coalesce("root", "cls").alias("root")))
