@@ -62,6 +62,14 @@ def _sums(size: np.ndarray, values: np.ndarray, how=np.add) -> np.ndarray:
     return how.reduceat(values, np.concatenate(([0], np.cumsum(size)[:-1]))) if len(size) else values[:0]
 
 
+def _parities(size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's bitmap: for each of 128 numbers a word can have, whether an odd number of words has it."""
+    bit = words >> np.uint64(57)
+    flip = np.uint64(1) << (bit & np.uint64(63))
+    none = np.uint64(0)
+    return _sums(size, np.where(bit < 64, flip, none), np.bitwise_xor), _sums(size, np.where(bit < 64, none, flip), np.bitwise_xor)
+
+
 def _key(size: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
     return _sums(size, mix(words, seed)).astype(np.int64)
 
@@ -89,11 +97,11 @@ def _alpha(a, b, t: Fraction):
     return -((a + b) * -t.numerator // (t.numerator + t.denominator))
 
 
-def _passes(n1, p1, s1, n2, p2, s2, t: Fraction):
-    """Length, positional and bitmap filter for postings of one word at positions p1 and p2."""
+def _passes(n1, p1, s1, z1, n2, p2, s2, z2, t: Fraction):
+    """Length, positional and bitmap filter for postings of one word at positions p1 and p2, with bitmaps (s1, z1) and (s2, z2)."""
     need = _alpha(n1, n2, t)
     return ((np.minimum(n1, n2) * t.denominator >= np.maximum(n1, n2) * t.numerator)
-            & (np.minimum(n1 - p1, n2 - p2) >= need) & (np.bitwise_count(s1 ^ s2) <= n1 + n2 - 2 * need))
+            & (np.minimum(n1 - p1, n2 - p2) >= need) & (np.bitwise_count(s1 ^ s2).astype(np.int64) + np.bitwise_count(z1 ^ z2) <= n1 + n2 - 2 * need))
 
 
 def _postings(counts: np.ndarray, t: Fraction, shift: int):
@@ -112,7 +120,7 @@ def _postings(counts: np.ndarray, t: Fraction, shift: int):
             order = np.clip(b.column("doc_order").to_numpy() >> shift, 0, _LAST_ORDER)
             for row, _, size, words in _line_sets(b.column("text"), rank):
                 first = np.cumsum(size) - size
-                sig = _sums(size, np.uint64(1) << (words >> np.uint64(58)), np.bitwise_xor)
+                sig = _parities(size, words)
                 cls = _key(size, words, 1)
                 prefix = size - -(size * -t.numerator // t.denominator) + 1
                 prefix[size * t.denominator < (size + 1) * t.numerator] = 0
@@ -123,22 +131,22 @@ def _postings(counts: np.ndarray, t: Fraction, shift: int):
                 word = (word >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64)
                 own = np.where(deal > 1, (word + 1 + cls[line] % deal).astype(np.int32), word)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((own << 32) | order[row[line]]), pa.array(cls[line]), pa.array(sig[line].view(np.int64)),
+                    [pa.array((own << 32) | order[row[line]]), pa.array(cls[line]), *(pa.array(x[line].view(np.int64)) for x in sig),
                      pa.array((size[line] << 32) | pos), pa.array(word, mask=deal == 1)],
-                    names=["slot", "cls", "sig", "at", "dealt"])
+                    names=["slot", "cls", "sig", "sig2", "at", "dealt"])
 
     return run
 
 
 _NOTHING = pa.RecordBatch.from_pydict(
-    {c: pa.array([], pa.bool_() if c == "more" else pa.int64()) for c in ("word", "ord", "cls", "sig", "n", "pos", "head", "more")})
+    {c: pa.array([], pa.bool_() if c == "more" else pa.int64()) for c in ("word", "ord", "cls", "sig", "sig2", "n", "pos", "head", "more")})
 
 
 def _examine(t: Fraction):
     """Of postings sorted by word and order, those that pass with their list's first (``head``) or
     may pass with another one of the list (``more``)."""
-    def part(x: pa.Table, first: dict | None, whole: bool) -> tuple[pa.RecordBatch, dict]:
-        slot, cls, sig, at = (x.column(c).to_numpy() for c in ("slot", "cls", "sig", "at"))
+    def part(x: pa.Table, first: list | None, whole: bool) -> tuple[pa.RecordBatch, list]:
+        slot, cls, sig, sig2, at = (x.column(c).to_numpy() for c in ("slot", "cls", "sig", "sig2", "at"))
         spread = x.column("dealt").combine_chunks()
         dealt = spread.is_valid().to_numpy(zero_copy_only=False)
         word = np.where(dealt, spread.fill_null(0).to_numpy(), slot >> 32)
@@ -151,22 +159,22 @@ def _examine(t: Fraction):
         if not whole:
             keep |= run == run[-1]
         if not keep.any():
-            return _NOTHING, {}
-        word, cls, sig, at, dealt, order, run, new = (v[keep] for v in (word, cls, sig, at, dealt, order, run, new))
+            return _NOTHING, []
+        word, cls, sig, sig2, at, dealt, order, run, new = (v[keep] for v in (word, cls, sig, sig2, at, dealt, order, run, new))
         run = np.cumsum(new) - 1
         by = np.lexsort((np.arange(len(cls)), cls, run))  # copies of a set: its first posting stays
         again = np.zeros(len(cls), bool)
         again[by[1:]] = (cls[by][1:] == cls[by][:-1]) & (run[by][1:] == run[by][:-1])
         if again.any():
             keep = ~again
-            word, cls, sig, at, dealt, order, run, new = (v[keep] for v in (word, cls, sig, at, dealt, order, run, new))
-        n, pos, sig = at >> 32, at & 0xFFFFFFFF, sig.view(np.uint64)
+            word, cls, sig, sig2, at, dealt, order, run, new = (v[keep] for v in (word, cls, sig, sig2, at, dealt, order, run, new))
+        n, pos, sig, sig2 = at >> 32, at & 0xFFFFFFFF, sig.view(np.uint64), sig2.view(np.uint64)
         head = np.nonzero(new)[0][run]
-        hc, hn, hp, hs = cls[head], n[head], pos[head], sig[head]
+        heads = [v[head] for v in (cls, n, pos, sig, sig2)]
         if first is not None:  # the list goes on from an earlier part
-            own = run == 0
-            hc, hn, hp, hs = (np.where(own, first[k], v) for k, v in (("cls", hc), ("n", hn), ("pos", hp), ("sig", hs)))
-        found = _passes(n, pos, sig, hn, hp, hs, t) & (cls != hc)
+            heads = [np.where(run == 0, f, v) for f, v in zip(first, heads)]
+        hc, *rest = heads
+        found = _passes(n, pos, sig, sig2, *rest, t) & (cls != hc)
         length = np.bincount(run)
         more = dealt.copy()
         if not whole:
@@ -182,14 +190,13 @@ def _examine(t: Fraction):
             i = i[left[i] >= s]
             if not len(i):
                 break
-            ok = i[_passes(n[i + s], pos[i + s], sig[i + s], n[i], pos[i], sig[i], t)]
+            ok = i[_passes(*(v[i + s] for v in (n, pos, sig, sig2)), *(v[i] for v in (n, pos, sig, sig2)), t)]
             more[ok] = more[ok + s] = True
         keep = found | more
-        first_of_last = {"cls": hc[-1], "n": hn[-1], "pos": hp[-1], "sig": hs[-1]}
         return pa.RecordBatch.from_arrays(
             [pa.array(word[keep]), pa.array(order[keep]), pa.array(cls[keep]), pa.array(sig[keep].view(np.int64)),
-             pa.array(n[keep]), pa.array(pos[keep]), pa.array(hc[keep], mask=~found[keep]), pa.array(more[keep])],
-            names=["word", "ord", "cls", "sig", "n", "pos", "head", "more"]), first_of_last
+             pa.array(sig2[keep].view(np.int64)), pa.array(n[keep]), pa.array(pos[keep]), pa.array(hc[keep], mask=~found[keep]), pa.array(more[keep])],
+            names=list(_NOTHING.schema.names)), [v[-1] for v in heads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, first = [], 0, None  # rows at hand; the first posting of the list under way, if some of it went before
@@ -238,7 +245,7 @@ def _sql_passes(a: str, b: str, t: Fraction) -> Column:
     total = n1 + n2
     need = F.ceil(total * t.numerator / F.lit(t.numerator + t.denominator) - F.lit(1e-9)).cast("long")
     return ((F.least(n1, n2) * t.denominator >= F.greatest(n1, n2) * t.numerator) & (F.least(n1 - p1, n2 - p2) >= need)
-            & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= total - 2 * need))
+            & (sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("sig", "sig2")) <= total - 2 * need))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -278,9 +285,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
     top = lines.filter(F.col("doc_order") < _LAST).agg(F.max("doc_order")).first()[0] or 0
     shift = max(0, int(top).bit_length() - 32)
-    met = cut(source.mapInArrow(_postings(counts, t, shift), "slot long, cls long, sig long, at long, dealt long")
+    met = cut(source.mapInArrow(_postings(counts, t, shift), "slot long, cls long, sig long, sig2 long, at long, dealt long")
               .repartition(F.shiftright("slot", 32)).sortWithinPartitions("slot")
-              .mapInArrow(_examine(t), "word long, ord long, cls long, sig long, n long, pos long, head long, more boolean"))
+              .mapInArrow(_examine(t), "word long, ord long, cls long, sig long, sig2 long, n long, pos long, head long, more boolean"))
     either = met.select("cls").unionByName(met.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
     sets = written(source.mapInArrow(_word_sets(bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
                    .groupBy("cls").agg(F.first("words").alias("words"), F.min(place).alias("first")), "sets")
