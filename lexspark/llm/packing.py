@@ -33,8 +33,15 @@ GROUP = 64  # texts encoded together
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that byte-level pre-tokenisation never joins: a word with the space before it, and white space.
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Texts without such a run are words with a single space or line feed between them.
 _NOT_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[{_SPACE.replace('\t-\r ', '\t\x0b-\r')}]")
+_NOT_PLAIN_ASCII = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+
+
+def _plain(text: str) -> bool:
+    """Words with a single space or line feed between them."""
+    return not (any(x in text for x in _NOT_PLAIN_ASCII) if text.isascii() else _NOT_PLAIN.search(text))
+
+
 _TAILS = ".,;:!?"  # after a word of letters, one of these is a unit of its own
 
 
@@ -95,38 +102,40 @@ class ChunkEncoder:
             self.chunks = {}
         if len(self.words) > CACHE:  # words still in use come back from the older generation
             self._new_words(self.words)
-        parts: list = []
+        out: list[bytes] = []
+        later: list[tuple[int, list[str]]] = []
         missing: set[str] = set()
         known = self.words.get
         for t in texts:
             if any(s in t for s in self.special):
-                parts.append(t)
-            elif _NOT_PLAIN.search(t):
-                parts.append((_CHUNKS.findall(t), None))
+                out.append(self._encode([t])[0])
+            elif not _plain(t):
+                out.append(self._by_chunks(_CHUNKS.findall(t)))
             else:  # as if a line feed stood in front
                 words = ("\n" + t).replace("\n", " \n").split(" ")
                 del words[0]
                 ids = list(map(known, words))
-                if None in ids:
-                    missing.update([w for w, i in zip(words, ids) if i is None])
-                parts.append((words, ids))
+                new = [w for w, i in zip(words, ids) if i is None]
+                if new:
+                    missing.update(new)
+                    later.append((len(out), words))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(ids)[len(self.feed):])
         if missing:
             self._learn(missing)
-        out = [self._encode([p])[0] if isinstance(p, str) else self._joined(*p) for p in parts]
+        for at, words in later:
+            out[at] = b"".join(map(self.words.__getitem__, words))[len(self.feed):]
         for w in missing:
             if len(w) > CACHED_CHARS:
                 del self.words[w]
         return out
 
-    def _joined(self, words: list[str], ids: list | None) -> bytes:
-        if ids is None:
-            new = list({*words}.difference(self.chunks))
-            found = dict(zip(new, self._encode(new)))
-            self.chunks.update((c, i) for c, i in found.items() if len(c) <= CACHED_CHARS)
-            return b"".join([found[c] if c in found else self.chunks[c] for c in words])
-        if None in ids:
-            return b"".join(map(self.words.__getitem__, words))[len(self.feed):]
-        return b"".join(ids)[len(self.feed):]
+    def _by_chunks(self, chunks: list[str]) -> bytes:
+        new = list({*chunks}.difference(self.chunks))
+        found = dict(zip(new, self._encode(new)))
+        self.chunks.update((c, i) for c, i in found.items() if len(c) <= CACHED_CHARS)
+        return b"".join([found[c] if c in found else self.chunks[c] for c in chunks])
 
 
 @cache
