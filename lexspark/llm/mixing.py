@@ -144,10 +144,3 @@ def _thresholds(sized: DataFrame, budgets: dict) -> dict:
                 found[s] = ((found[s] >> (bits + LEVEL_BITS)) + 1) << (bits + LEVEL_BITS)
                 del left[s]
     return found
-
-
-def mixed(docs: DataFrame, weights: Callable[[list], dict], share: float = 1.5, most: float = 2.0, **columns) -> DataFrame:
-    """``docs`` with every row as often as ``mix`` takes it: rows taken 0 times go."""
-    plan = mix(docs, weights, share, most, **columns).select("row_hash", "copies").filter("copies > 0").distinct()
-    rows = docs.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).join(cut(plan).withColumnRenamed("row_hash", "_h"), "_h")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
