@@ -8,9 +8,9 @@ Their MinHash signature is cut into bands; two rows of a band, and five bands, f
 Similar paragraphs form components; in each, the first occurrence stays and the others go.
 
 A first round verifies every paragraph of a bucket against one of them, the next ones against one
-that has no link yet, and the last pairs what is still unlinked with the whole bucket: groups of near
-copies aren't spelled out in pairs. Every paragraph that has a link among its collisions gets one;
-two groups that have links of their own aren't searched for a bridge between them.
+outside the component that has the bucket's least root, and the last pairs all paragraphs of a bucket
+that are still in different components: groups of near copies aren't spelled out in pairs, and only
+links within one component are left out, which change no component.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from .words import bit_set, bits, mix, words_of
 SHINGLE = 5
 REACH = 5  # paragraphs have 6 words at least, but at a text's ends, and 11 on average
 BANDS, ROWS = 5, 2
-STARS = 3  # further rounds
+STARS = 2  # further rounds
+PARITIES = 4  # 64-bit bitmaps of a set
 RUN_ROWS = 1 << 16  # rows of one bucket that a task holds at once
 _FACTORS = np.random.default_rng(23).integers(1, 1 << 62, BANDS * ROWS + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = (1 << 63) - 1  # order of a null id
@@ -180,30 +181,43 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int =
     found = cut(source.mapInArrow(_occurrences(bits(again.unionByName(paired).distinct()), bits(paired)),
                                   "doc_order long, text_hash long, number long, start_word long, n_words long, cls long, shingles array<long>"))
     sets = found.filter("size(shingles) > 0").groupBy("cls").agg(F.array_distinct(F.first("shingles")).alias("shingles"))
-    parity = F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    sets = cut(sets.select("cls", "shingles", F.size("shingles").alias("n"), parity.alias("sig")))
+    sig = [f"sig{w}" for w in range(PARITIES)]
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def parity(w: int) -> Column:
+        """Bit x % 64 of the shingles x whose next two bits are w."""
+        return F.aggregate("shingles", zero, lambda a, x: a.bitwiseXOR(
+            F.when(F.shiftright(x, 6).bitwiseAND(PARITIES - 1) == w, F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(zero)))
+
+    sets = cut(sets.select("cls", "shingles", F.size("shingles").alias("n"), *[parity(w).alias(c) for w, c in enumerate(sig)]))
 
     links = cut(_verified(star, sets, t))
-    crowd = cut(met.filter("crowd").select("bucket", "cls").distinct().join(sets.select("cls", "n", "sig"), "cls"))
+    crowd = cut(met.filter("crowd").select("bucket", "cls").distinct().join(sets.select("cls", "n", *sig), "cls"))
 
     def like(u: str, c: str) -> Column:
         """Sets of Jaccard t or more are of like size and differ in few shingles, so in few bits of their parities."""
         both = F.col(f"{u}.n") + F.col(f"{c}.n")
         differ = both - 2 * F.ceil(both * t.numerator / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
-        return ((F.col(f"{u}.cls") != F.col(f"{c}.cls")) & (F.least(f"{u}.n", f"{c}.n") * t.denominator >= F.greatest(f"{u}.n", f"{c}.n") * t.numerator)
-                & (F.bit_count(F.col(f"{u}.sig").bitwiseXOR(F.col(f"{c}.sig"))) <= differ))
-
-    def unlinked() -> DataFrame:
-        return crowd.join(links.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_anti")
-
-    def pairs(u: DataFrame, c: DataFrame) -> DataFrame:
-        met_ = u.alias("u").join(c.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & like("u", "c"))
+        return ((F.least(f"{u}.n", f"{c}.n") * t.denominator >= F.greatest(f"{u}.n", f"{c}.n") * t.numerator)
+                & (sum(F.bit_count(F.col(f"{u}.{x}").bitwiseXOR(F.col(f"{c}.{x}"))) for x in sig) <= differ))
+
+    def labelled() -> DataFrame:
+        """The buckets that hold several components (root), with the least of them (low)."""
+        roots = components(links).withColumnRenamed("node", "cls")
+        own = crowd.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        several = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket", "low")
+        return cut(own.join(several, "bucket"))
+
+    def pairs(u: DataFrame, c: DataFrame, apart: Column) -> DataFrame:
+        met_ = u.alias("u").join(c.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & apart & like("u", "c"))
         return met_.select(F.least("u.cls", "c.cls").alias("a"), F.greatest("u.cls", "c.cls").alias("b")).distinct()
 
     for _ in range(STARS):
-        heads = cut(unlinked().groupBy("bucket").agg(F.min(F.struct("cls", "n", "sig")).alias("h")).select("bucket", "h.*"))
-        links = cut(links.unionByName(_verified(pairs(crowd, heads), sets, t)))
-    roots = components(links.unionByName(_verified(pairs(unlinked(), crowd), sets, t)))
+        several = labelled()
+        heads = cut(several.filter("root != low").groupBy("bucket").agg(F.min(F.struct("cls", "n", *sig, "root")).alias("h")).select("bucket", "h.*"))
+        links = cut(links.unionByName(_verified(pairs(several, heads, F.col("u.root") != F.col("c.root")), sets, t)))
+    several = labelled()
+    roots = components(links.unionByName(_verified(pairs(several, several, F.col("u.root") < F.col("c.root")), sets, t)))
 
     place = F.struct("doc_order", "text_hash", "start_word")
     known = cut(again.join(roots.withColumnRenamed("node", "cls"), "cls", "full").select("cls", F.coalesce("root", "cls").alias("root")))

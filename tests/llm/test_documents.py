@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexspark.llm import langid, licences, linededup, mixing, packing, passages, simhash, tokencounts
+from lexspark.llm.words import mix, words_of
 from tests.llm.conftest import values
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -179,6 +181,59 @@ def test_similar_paragraphs_link(spark):
     assert {r["doc_id"] for r in found} == {0, 1}
 
 
+def _uncut(rng, n):
+    """Words none of which begins a paragraph, but the first: the hashes that are compared rise."""
+    vocabulary = [f"w{i}" for i in rng.choice(10**6, 3000, replace=False)]
+    h = next(words_of(pa.array([" ".join(vocabulary)])))[3]
+    out, low = [int(rng.integers(3000))], np.uint64(0)
+    while len(out) < n:
+        pair = mix(h[out[-1:]] * passages._FACTORS[0] + h * passages._FACTORS[1], 5)
+        pair[pair <= low] = np.iinfo(np.uint64).max
+        out.append(int(pair.argmin()))
+        low = pair.min()
+    return [vocabulary[i] for i in out]
+
+
+def _all_components(texts):
+    """Root of every paragraph key: all pairs that share a band, by Jaccard."""
+    _, _, _, _, key, each, shingle = passages._paragraphs(pa.array(texts))
+    sets = dict(zip(key.tolist(), map(frozenset, np.split(shingle, np.cumsum(each)[:-1]))))
+    buckets = defaultdict(set)
+    for b in passages._banded(iter([pa.RecordBatch.from_pydict({"text": texts})])):
+        for r in b.to_pylist():
+            buckets[r["bucket"]].add(r["cls"])
+    near = {k: {k} for k in sets}
+    for bucket in buckets.values():
+        for a, b in itertools.combinations(bucket, 2):
+            if near[a] is not near[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                merged = near[a] | near[b]
+                for k in merged:
+                    near[k] = merged
+    return {k: min(v) for k, v in near.items()}
+
+
+def test_passages_of_version_chains(spark):
+    """Each version lacks the first word of the one before and has a word more: only neighbours are similar."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for length in (20, 30, 40, 60) * 3:
+        words = _uncut(rng, 150)
+        texts += [" ".join(words[k:k + length]) for k in range(0, 150 - length, 1 + length // 45)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    root = _all_components(texts)
+    row, _, first, size, key, _, _ = passages._paragraphs(pa.array(texts))
+    assert len(row) == len(texts) and size.min() >= 15
+    lowest = {}
+    for i, f, k in zip(row.tolist(), first.tolist(), key.tolist()):
+        lowest.setdefault(root[k], (i, f))
+    counts = Counter(root[k] for k in key.tolist())
+    want = {(i, f, *lowest[root[k]], (i, f) != lowest[root[k]]) for i, f, k in zip(row.tolist(), first.tolist(), key.tolist()) if counts[root[k]] > 1}
+    assert max(counts.values()) > 50
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = passages.repeated_passages(d).select("doc_id", "start_word", "first_doc_id", "first_start_word", "removed")
+    assert {tuple(r) for r in found.collect()} == want
+
+
 # ------------------------------------------------------------------ mixing
 
 def _targets(sizes, weights, total, most):
