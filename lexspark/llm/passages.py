@@ -7,6 +7,10 @@ Their MinHash signature is cut into bands; two rows of a band, and five bands, f
 0.8 with probability 0.994 and copies always. Colliding paragraphs are verified by exact Jaccard.
 Similar paragraphs form components; in each, the first occurrence stays and the others go.
 
+Words copied exactly are found word by word besides, so that neither the rims of a passage nor one
+without a whole paragraph is left: of every ``min_words`` words the five with the smallest hash are
+looked for in other documents first, and then the words themselves (``repeated_runs``).
+
 A first round verifies every paragraph of a bucket against one of them, the next ones against one
 outside the component that has the bucket's least root, and the last pairs all paragraphs of a bucket
 that are still in different components: groups of near copies aren't spelled out in pairs, and only
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, written
 from .components import components
 from .words import bit_set, bits, mix, words_of
 
@@ -148,6 +152,52 @@ def _occurrences(wanted: np.ndarray, paired: np.ndarray):
     return run
 
 
+def _windows(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """Row, first word, hash and anchor of all runs of ``length`` words: the anchor is the smallest
+    hash of SHINGLE words in the run, so equal runs have the same."""
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for row, _, line, words in words_of(texts):
+        rows.append(row[line])
+        hashes.append(words)
+    row, h = np.concatenate(rows), np.concatenate(hashes)
+    least = min(SHINGLE, length)
+    grams = max(0, len(h) - least + 1)
+    gram = mix(sum((h[j:j + grams] * _FACTORS[BANDS * ROWS + j] for j in range(least)), np.zeros(grams, np.uint64)), 13)
+    n = max(0, len(h) - length + 1)
+    whole, anchor = np.zeros(n, np.uint64), np.full(n, np.iinfo(np.uint64).max)
+    for j in range(length):
+        whole = whole * _FACTORS[0] + h[j:j + n]
+    for j in range(length - least + 1):
+        anchor = np.minimum(anchor, gram[j:j + n])
+    first = np.arange(n) - np.searchsorted(row, row[:n])
+    ok = row[:n] == row[len(row) - n:]
+    return row[:n][ok], first[ok], mix(whole, 21)[ok].view(np.int64), anchor[ok].view(np.int64)
+
+
+def _anchors(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, _, _, anchor = _windows(b.column("text"), length)
+            new = np.ones(len(row), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), b.column("doc").take(pa.array(row[new]))], names=["cls", "doc"])
+
+    return run
+
+
+def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray | None = None):
+    """The runs whose anchor's bit is set, and their own in ``shared``, if given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, first, whole, anchor = _windows(b.column("text"), length)
+            ok = bit_set(wanted, anchor) & (True if shared is None else bit_set(shared, whole))
+            at = pa.array(row[ok])
+            yield pa.RecordBatch.from_arrays([b.column("doc_order").take(at), b.column("text_hash").take(at), pa.array(first[ok]), pa.array(whole[ok])],
+                                             names=["doc_order", "text_hash", "start_word", "run"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
@@ -156,8 +206,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both * t.denominator >= either * t.numerator).select("a", "b")
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_order"), F.xxhash64(text_col).alias("text_hash"),
+                       F.col(text_col).alias("text"))
+
+
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = 15, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
+    """The rows of ``repeated_paragraphs`` and ``repeated_runs``, which may overlap: a word goes if
+    a row that has it is ``removed``."""
+    runs = repeated_runs(docs, min_words, id_col, text_col)  # first: it leaves little on disk
+    return repeated_paragraphs(docs, similarity, min_words, id_col, text_col).unionByName(runs)
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for every run of ``min_words`` words or more that stands alike in another document,
+    with the columns of ``repeated_paragraphs``; the passage is the run. All such words have a row.
+    Where the first occurrences of a run's parts lie elsewhere, the parts have rows of their own,
+    which overlap."""
+    small_batches(docs.sparkSession)
+    source = _source(docs, id_col, text_col)
+    several = (source.select(F.xxhash64("doc_order", "text_hash").alias("doc"), "text").mapInArrow(_anchors(min_words), "cls long, doc long")
+               .groupBy("cls").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high").select("cls"))
+    wanted, schema = bits(cut(several)), "doc_order long, text_hash long, start_word long, run long"
+    place = F.struct("doc_order", "text_hash", "start_word")
+    firsts = written(source.mapInArrow(_anchored(wanted, min_words), schema)
+                     .groupBy("run").agg(F.min(place).alias("first"), F.max(F.struct("doc_order", "text_hash")).alias("high"))
+                     .filter("struct(first.doc_order, first.text_hash) != high").select("run", "first"), "firsts")
+    runs = source.mapInArrow(_anchored(wanted, min_words, bits(firsts.select(F.col("run").alias("cls")))), schema)
+    shift = F.col("start_word") - F.col("first.start_word")
+    own = ["doc_order", "text_hash", "first_order", "first_hash", "shift"]
+    met = (runs.join(firsts, "run").select("doc_order", "text_hash", "start_word", F.col("first.doc_order").alias("first_order"),
+                                           F.col("first.text_hash").alias("first_hash"), shift.alias("shift")))
+    length = F.max("start_word") - F.min("start_word") + F.lit(min_words)
+    rows = written(met.withColumn("island", F.col("start_word") - F.dense_rank().over(Window.partitionBy(*own).orderBy("start_word")))
+                   .groupBy(*own, "island").agg(F.min("start_word").alias("start_word"), length.alias("n_words")), "runs")
+    return rows.select(F.nullif("doc_order", F.lit(_LAST)).alias("doc_id"), "text_hash", "start_word", "n_words", F.col("start_word").alias("passage_start"),
+                       F.col("n_words").alias("passage_words"), F.nullif("first_order", F.lit(_LAST)).alias("first_doc_id"),
+                       (F.col("start_word") - F.col("shift")).alias("first_start_word"),
+                       ((F.col("doc_order") != F.col("first_order")) | (F.col("text_hash") != F.col("first_hash")) | (F.col("shift") != 0)).alias("removed"))
+
+
+def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, min_words: int = 15, id_col: str = "doc_id",
+                        text_col: str = "text") -> DataFrame:
     """A row for every paragraph that stands, alike or similar, in another document as part of a
     passage of ``min_words`` words or more: doc_id, text_hash, start_word (from 0), n_words,
     passage_start and passage_words (of the run of such paragraphs), first_doc_id and
@@ -170,8 +261,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int =
     """
     t = Fraction(str(similarity))
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_order"), F.xxhash64(text_col).alias("text_hash"),
-                         F.col(text_col).alias("text"))
+    source = _source(docs, id_col, text_col)
     met = cut(source.select("text").mapInArrow(_banded, "bucket long, cls long, n long")
               .repartition("bucket").sortWithinPartitions("bucket", "cls")
               .mapInArrow(_collide, "bucket long, cls long, head long, repeated boolean, crowd boolean"))

@@ -230,10 +230,42 @@ def test_passages_of_version_chains(spark):
     want = {(i, f, *lowest[root[k]], (i, f) != lowest[root[k]]) for i, f, k in zip(row.tolist(), first.tolist(), key.tolist()) if counts[root[k]] > 1}
     assert max(counts.values()) > 50
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    found = passages.repeated_passages(d).select("doc_id", "start_word", "first_doc_id", "first_start_word", "removed")
+    found = passages.repeated_paragraphs(d).select("doc_id", "start_word", "first_doc_id", "first_start_word", "removed")
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_all_words_of_copied_runs_have_rows(spark):
+    """Against all runs of 15 words: short passages, their rims, one repeated word, overlapping sources."""
+    rng = np.random.default_rng(8)
+
+    def new(n):
+        return [f"n{i}" for i in rng.choice(10**9, n)]
+
+    shared = [new(n) for n in (14, 15, 16, 20, 30, 51, 120)]
+    texts = [new(9) + shared[k % 7] + new(int(rng.integers(0, 30))) for k in range(28)]
+    texts += [new(5) + shared[6][:40] + new(4) + shared[6][30:], ["the"] * 40, new(3) + ["the"] * 25, shared[5] + shared[4], [], shared[1]]
+    places = defaultdict(list)
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 14):
+            places[tuple(t[k:k + 15])].append((i, k))
+    marked, gone = set(), set()
+    for found in places.values():
+        if len({i for i, _ in found}) > 1:
+            for i, k in found:
+                words = {(i, k + j) for j in range(15)}
+                marked |= words
+                gone |= words if (i, k) != min(found) else set()
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    exact = passages.repeated_runs(d).collect()
+    assert {(r["doc_id"], r["start_word"] + j) for r in exact for j in range(r["n_words"])} == marked
+    assert {(r["doc_id"], r["start_word"] + j) for r in exact if r["removed"] for j in range(r["n_words"])} == gone
+    for r in exact:
+        f, n = r["first_start_word"], r["n_words"]
+        assert texts[r["first_doc_id"]][f:f + n] == texts[r["doc_id"]][r["start_word"]:r["start_word"] + n] and n >= 15
+    both = passages.repeated_passages(d).collect()
+    assert {(r["doc_id"], r["start_word"] + j) for r in both if r["removed"] for j in range(r["n_words"])} >= gone
+
+
 # ------------------------------------------------------------------ mixing
 
 def _targets(sizes, weights, total, most):
