@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: Tokenisers and fingerprints are beyond SQL; tests hold run() against a brute-force version.
+#: Tokenisers and fingerprints are beyond SQL; tests hold run() against the same operators called in a row.
 ORACLE_SQL: str | None = None
 
 
