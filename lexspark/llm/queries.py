@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, linededup, mixing, mtree, packing, passages, permutation, simhash, tokencounts
+from . import collocations, langid, licences, linededup, mixing, mtree, packing, passages, permutation, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -76,3 +76,11 @@ def op9_ann_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"), similarity=0.8, min_words=15)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(table(spark, sf_dir, "documents"), top=2000, least=10, cover=50)
+
+
+ORACLES["op12_collocations"] = collocations.oracle_sql()
