@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, langid, licences, linededup, mixing, mtree, packing, passages, permutation, simhash, tokencounts
+from . import collocations, fptree, langid, licences, linededup, mixing, mtree, packing, passages, permutation, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -84,3 +84,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_collocations"] = collocations.oracle_sql()
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op11_lexical_search"] = fptree.oracle_sql()
