@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, fptree, langid, licences, linededup, mixing, mtree, packing, passages, permutation, simhash, tokencounts
+from . import collocations, fptree, langid, licences, linededup, mixing, mtree, packing, passages, permutation, pitmanyor, simhash, tokencounts
 from .common import table
 
 #: Vocabulary files, the same path on all executors.
@@ -92,3 +92,8 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_lexical_search"] = fptree.oracle_sql()
+
+
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf_dir, "documents"), folds=10)
