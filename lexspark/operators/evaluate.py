@@ -283,6 +283,16 @@ def rouge_l(df: DataFrame, id_col: str, ref: str, pred: str, stemmer=None) -> Da
     return d.select(id_col, _rouge_l_udf("_rt", "_pt").alias("rougeL"))
 
 
+def rouge(df: DataFrame, id_col: str, ref: str, pred: str, stemmer=None) -> DataFrame:
+    """EVL-05..07 together: rouge1, rouge2 and rougeL of each pair; tokens are
+    made (and stemmed) once, and the LCS goes through the n-gram aggregation."""
+    d = df.select(id_col, rouge_tokens(ref).alias("_rt"), rouge_tokens(pred).alias("_pt"))
+    if stemmer is not None:
+        d = stemmer(d, ["_rt", "_pt"])
+    st = gram_stats(d.withColumn("rougeL", _rouge_l_udf("_rt", "_pt")), [id_col, "rougeL"], [("rg", "_rt", "_pt", (1, 2))])
+    return st.select(id_col, _rouge_col("rg", 1).alias("rouge1"), _rouge_col("rg", 2).alias("rouge2"), "rougeL")
+
+
 # ---------------------------------------------------------------- dispatch
 
 GENERIC_TASKS_METRICS = ["rouge1", "rouge2", "rougeL"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import porter as PO
 from ..functions import text as T
 from ..operators import evaluate as EV
 from ..operators import splits as SP
@@ -145,21 +146,43 @@ def _grams(tok: str, n: int) -> str:
             f"lambda i: array_to_string({tok}[i + 1:i + {n}], ' ')) ELSE []::VARCHAR[] END")
 
 
-def _hits_sql(src: str, tok_fn, ns) -> str:
-    """CTE body: (id, n, hits) from table ``src`` with reference/prediction."""
+def _hits_sql(src: str, tok_fn, ns, tk: str | None = None) -> str:
+    """CTE body: (id, n, hits) from table ``src`` with reference/prediction; ``tk``: its own CTEs of tokens."""
+    tk = tk or f"tk AS (SELECT id, {tok_fn('reference')} AS tk_r, {tok_fn('prediction')} AS tk_p FROM {src})"
     parts = []
     for n in ns:
         for side, col in (("r", "reference"), ("p", "prediction")):
             parts.append(f"SELECT id, {n} AS n, '{side}' AS side, unnest({_grams('tk_' + side, n)}) AS gram FROM tk")
     grams = " UNION ALL ".join(parts)
-    return (f"tk AS (SELECT id, {tok_fn('reference')} AS tk_r, {tok_fn('prediction')} AS tk_p FROM {src}), "
+    return (f"{tk}, "
             f"g AS ({grams}), "
             "gc AS (SELECT id, n, gram, sum(CASE WHEN side = 'r' THEN 1 ELSE 0 END) AS cr, "
             "sum(CASE WHEN side = 'p' THEN 1 ELSE 0 END) AS cp FROM g GROUP BY id, n, gram), "
             "hits AS (SELECT id, n, sum(least(cr, cp)) AS hits FROM gc GROUP BY id, n)")
 
 
-def _rouge_sql(src: str, ns=(1, 2)) -> str:
+def _stemmed_tk(src: str) -> str:
+    """Tokens of the pairs, each distinct one stemmed once; the stemmer's steps as a chain of CTEs."""
+    last = len(PO.steps())
+    chain = [f"p{k + 1} AS (SELECT word, {new} AS w FROM (SELECT *, {suffix} AS s FROM (SELECT word, w, {PO._cv()} AS cv FROM p{k})))" for k, (suffix, new) in enumerate(PO.steps())]
+    sides = " UNION ALL ".join(f"SELECT id, '{side}' AS side, unnest(tk_{side}) AS t, generate_subscripts(tk_{side}, 1) AS i FROM raw" for side in "rp")
+    return (f"raw AS (SELECT id, {_tok_rouge('reference')} AS tk_r, {_tok_rouge('prediction')} AS tk_p FROM {src}), tokens AS ({sides}), "
+            f"p0 AS (SELECT DISTINCT t AS word, t AS w FROM tokens), {', '.join(chain)}, "
+            f"stems AS (SELECT word, coalesce({PO.irregular()}, CASE WHEN length(word) < {PO.SHORTEST} THEN word ELSE w END) AS stem FROM p{last}), "
+            f"st AS (SELECT id, side, list(CASE WHEN length(t) < {PO.SHORTEST} THEN t ELSE stem END ORDER BY i) AS l FROM tokens JOIN stems ON word = t GROUP BY id, side), "
+            "tk AS (SELECT raw.id, coalesce(a.l, []) AS tk_r, coalesce(b.l, []) AS tk_p FROM raw LEFT JOIN st a ON a.id = raw.id AND a.side = 'r' "
+            "LEFT JOIN st b ON b.id = raw.id AND b.side = 'p')")
+
+
+#: Longest common subsequences of ``tk``: a row of the dynamic program for each token of the prediction.
+_LCS_SQL = ("dp AS (SELECT id, 0 AS i, j, 0 AS v FROM (SELECT id, unnest(range(0, len(tk_r) + 1)) AS j FROM tk) AS z UNION ALL "
+            "SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) FROM (SELECT d.id, d.i + 1 AS i, d.j, greatest(d.v, CASE WHEN d.j > 0 AND tk_r[d.j] = tk_p[d.i + 1] "
+            "THEN lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + 1 ELSE 0 END) AS c FROM dp d JOIN tk USING (id) WHERE d.i < len(tk_p)) AS n), "
+            "lcs AS (SELECT id, max(v) AS l FROM dp GROUP BY id), "
+            "rl AS (SELECT id, CASE WHEN l > 0 THEN 2 * (l / len(tk_p)) * (l / len(tk_r)) / (l / len(tk_p) + l / len(tk_r)) ELSE 0.0 END AS rougeL FROM lcs JOIN tk USING (id))")
+
+
+def _rouge_sql(src: str, ns=(1, 2), tk: str | None = None) -> str:
     cols = []
     for n in ns:
         h = f"coalesce((SELECT hits FROM hits h WHERE h.id = tk.id AND h.n = {n}), 0)"
@@ -168,7 +191,7 @@ def _rouge_sql(src: str, ns=(1, 2)) -> str:
         p = f"({h} / greatest({pc}, 1))"
         r = f"({h} / greatest({rc}, 1))"
         cols.append(f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END AS rouge{n}")
-    return f"{_hits_sql(src, _tok_rouge, ns)}, rg AS (SELECT id, {', '.join(cols)} FROM tk)"
+    return f"{_hits_sql(src, _tok_rouge, ns, tk)}, rg AS (SELECT id, {', '.join(cols)} FROM tk)"
 
 
 def _bleu_sql(src: str) -> str:
@@ -196,17 +219,23 @@ def rouge2(spark, sf_dir):
     return r.select("id", F.round("rouge2", 6).alias("rouge2"))
 
 
-@query("rouge_stemmed")
+@query("rouge_stemmed", f"WITH RECURSIVE {_PAIRS_SQL}, {_rouge_sql('pairs', (1, 2), _stemmed_tk('pairs'))}, {_LCS_SQL} "
+       "SELECT id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougeL, 6) AS rougeL FROM rg JOIN rl USING (id)")
 def rouge_stemmed(spark, sf_dir):
-    """ROUGE-1/2/L with the Porter stemmer on tokens longer than 3 chars."""
-    from ..functions.porter import stem_tokens
-    p = text_pairs(spark, sf_dir)
-    r = EV.rouge_n(p, "id", "reference", "prediction", (1, 2), stemmer=stem_tokens)
-    rl = EV.rouge_l(p, "id", "reference", "prediction", stemmer=stem_tokens)
-    return r.join(rl, "id").select("id", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+    """ROUGE-1/2/L over stems of tokens longer than 3 letters, all from one pass over the stemmed pairs."""
+    r = EV.rouge(text_pairs(spark, sf_dir), "id", "reference", "prediction", stemmer=PO.stem_tokens)
+    return r.select("id", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
 
 
-@query("rouge_l")
+@query("stem_dictionary", f"WITH {_PAIRS_SQL}, {_stemmed_tk('pairs')} SELECT word, stem FROM stems")
+def stem_dictionary(spark, sf_dir):
+    """The stem of every distinct token of the pairs."""
+    p = text_pairs(spark, sf_dir).select(F.explode(F.array("reference", "prediction")).alias("t"))
+    return PO.stems(p.select(F.explode(EV.rouge_tokens("t")).alias("word")).distinct())
+
+
+@query("rouge_l", f"WITH RECURSIVE {_PAIRS_SQL}, tk AS (SELECT id, {_tok_rouge('reference')} AS tk_r, {_tok_rouge('prediction')} AS tk_p FROM pairs), {_LCS_SQL} "
+       "SELECT id, round(rougeL, 6) AS rougeL FROM rl")
 def rouge_l(spark, sf_dir):
     r = EV.rouge_l(text_pairs(spark, sf_dir), "id", "reference", "prediction")
     return r.select("id", F.round("rougeL", 6).alias("rougeL"))
@@ -226,17 +255,9 @@ def _all_pairs(spark, sf_dir):
     return c.unionByName(text_pairs(spark, sf_dir))
 
 
-@query("evaluate_by_task")
-def evaluate_by_task(spark, sf_dir):
-    """The reference's dispatch, with its stemmed ROUGE."""
-    from ..functions.porter import stem_tokens
-    s = EV.score_pairs(_all_pairs(spark, sf_dir), "id", "task", "reference", "prediction", stemmer=stem_tokens)
-    return EV.evaluate_by_task(s).select("metric", F.round("value", 6).alias("value"))
-
-
-def _overall_sql() -> str:
-    src = (f"WITH {_CLS_SQL}, {_PAIRS_SQL}, {_PRF_SQL.lstrip(', ')}, "
-           f"{_rouge_sql('pairs', (1, 2)).replace('tk AS', 'tk AS', 1)}")
+def _overall_sql(stemmed: bool = False) -> str:
+    src = (f"WITH RECURSIVE {_CLS_SQL}, {_PAIRS_SQL}, {_PRF_SQL.lstrip(', ')}, "
+           f"{_rouge_sql('pairs', (1, 2), _stemmed_tk('pairs') if stemmed else None)}{f', {_LCS_SQL}' if stemmed else ''}")
     # BLEU over summarization pairs with its own CTE names
     b = _bleu_sql("(SELECT * FROM pairs WHERE task = 'summarization')")
     for a, z in (("tk", "btk"), ("g AS", "bg AS"), ("gc", "bgc"), ("hits", "bhits"), ("FROM g ", "FROM bg ")):
@@ -250,6 +271,8 @@ def _overall_sql() -> str:
         "UNION ALL SELECT concat(task, '_rouge1'), avg(rouge1) FROM rg JOIN pairs USING (id) GROUP BY task "
         "UNION ALL SELECT concat(task, '_rouge2'), avg(rouge2) FROM rg JOIN pairs USING (id) GROUP BY task "
         "UNION ALL SELECT 'summarization_bleu', avg(bleu) FROM bl")
+    if stemmed:
+        metrics += " UNION ALL SELECT concat(task, '_rougeL'), avg(rougeL) FROM rl JOIN pairs USING (id) GROUP BY task"
     return f"{src}, {b} SELECT metric, round(value, 6) AS value FROM ({metrics}) WHERE value IS NOT NULL"
 
 
@@ -259,6 +282,13 @@ def overall_metrics(spark, sf_dir):
     return EV.evaluate_by_task(s).select("metric", F.round("value", 6).alias("value"))
 
 
+@query("evaluate_by_task", _overall_sql(stemmed=True))
+def evaluate_by_task(spark, sf_dir):
+    """The reference's dispatch, with its stemmed ROUGE."""
+    s = EV.score_pairs(_all_pairs(spark, sf_dir), "id", "task", "reference", "prediction", stemmer=PO.stem_tokens)
+    return EV.evaluate_by_task(s).select("metric", F.round("value", 6).alias("value"))
+
+
 # ---------------------------------------------------------------- other metrics
 
 _SCORE = "CAST(n_chars AS DOUBLE) / 1000.0"
