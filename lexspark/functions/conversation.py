@@ -87,9 +87,9 @@ def marker_positions(tokens) -> Column:
     tk = _c(tokens)
     pos = F.sequence(F.lit(0), F.greatest(F.size(tk) - 1, F.lit(0)))
     return F.struct(
-        F.filter(pos, lambda i: F.coalesce(F.element_at(tk, i + 1), F.lit("")).endswith(
+        F.filter(pos, lambda i: F.coalesce(F.try_element_at(tk, i + 1), F.lit("")).endswith(
             f"{P.IM_START}assistant")).alias("starts"),
-        F.filter(pos, lambda i: F.coalesce(F.element_at(tk, i + 1), F.lit("")).contains(P.IM_END)).alias("ends"))
+        F.filter(pos, lambda i: F.coalesce(F.try_element_at(tk, i + 1), F.lit("")).contains(P.IM_END)).alias("ends"))
 
 
 def loss_mask(tokens, markers) -> Column:

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.arrays import explode_rows
 from ..operators import instruct as I
+from ..operators import segments as SG
 from ..session import read_table
 from . import sql_re2 as R
 from .legal import legal, with_legal
@@ -217,9 +218,40 @@ def assistant_contents(spark, sf_dir):
        f"coalesce(list_sum(list_transform(cs[1:i], lambda x: length(x) + {len(P.ASSISTANT_MARKER) + len(P.IM_END)})), 0) "
        f"+ {len(P.ASSISTANT_MARKER)} AS s FROM (SELECT conv_id, cs, ps, unnest(range(len(cs))) AS i FROM c))")
 def assistant_spans(spark, sf_dir):
-    r = rendered(spark, sf_dir)
-    s = explode_rows(r, CV.assistant_spans(F.col("text")), "sp", ["conv_id"], pos_alias="span_no")
-    return s.select("conv_id", "span_no", F.col("sp.start").alias("start"), F.col("sp.end").alias("end"))
+    """From segments: no conversation is collected."""
+    turns = SG.assistant_turns(SG.segments(read_table(spark, sf_dir, "conversations")))
+    return turns.select("conv_id", *[F.col(c).cast("int").alias(c) for c in ("span_no", "start", "end")])
+
+
+_PIECE = (f"SELECT conv_id, turn, role, text, CASE WHEN role IN ('system', 'user', 'assistant') AND text IS NOT NULL "
+          f"THEN concat('<|im_start|>', role, {NL}, text, {NL}, '<|im_end|>', {NL}) ELSE '' END AS piece FROM conversations")
+
+
+@query("conversation_segments",
+       f"SELECT conv_id, turn, role, md5(piece) AS piece_md5, CAST(e - length(piece) AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM "
+       f"(SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS e FROM ({_PIECE}))")
+def conversation_segments(spark, sf_dir):
+    """Every turn's place in its rendered conversation."""
+    s = SG.segments(read_table(spark, sf_dir, "conversations"))
+    return s.select("conv_id", "turn", "role", F.md5("piece").alias("piece_md5"), "start", "end")
+
+
+@query("assistant_turns",
+       f"WITH r AS (SELECT conv_id, coalesce(text, '') AS text FROM ({_RENDER})) SELECT conv_id, CAST(i AS BIGINT) AS span_no, c AS content FROM "
+       f"(SELECT conv_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM (SELECT conv_id, regexp_extract_all(text, {q(_SPAN_RE2)}, 1) AS cs FROM r))")
+def assistant_turns(spark, sf_dir):
+    """Contents of all assistant regions, a row each."""
+    return SG.assistant_turns(SG.segments(read_table(spark, sf_dir, "conversations"))).select("conv_id", "span_no", "content")
+
+
+@query("subword_tokens")
+def subword_tokens(spark, sf_dir):
+    """Sub-word tokens of every segment, cut at 2,048 a conversation, and those that a loss counts."""
+    import public_tokenizers
+
+    t = SG.subword_tokens(SG.segments(read_table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return t.select("conv_id", "turn", "token_start", "n_tokens", F.size("ids").alias("n_kept"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_loss"),
+                    F.crc32(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_crc32"))
 
 
 _WS = q(R.WS)
@@ -251,11 +283,9 @@ def _loss_mask_sql() -> str:
 
 @query("loss_mask", _loss_mask_sql())
 def loss_mask(spark, sf_dir):
-    df = rendered(spark, sf_dir).withColumn("tk", CV.whitespace_tokens(F.col("text")))
-    df = df.withColumn("mk", CV.marker_positions("tk"))
-    m = CV.loss_mask("tk", "mk")
-    return df.select("conv_id", F.size("tk").alias("n_tokens"),
-                     F.aggregate(m, F.lit(0), lambda a, x: a + x).alias("n_assistant_tokens"))
+    """From segments: a region ends in the segment in which it begins."""
+    words = SG.word_mask(SG.segments(read_table(spark, sf_dir, "conversations")))
+    return words.groupBy("conv_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), F.sum("n_loss").cast("int").alias("n_assistant_tokens"))
 
 
 @query("extract_response",
