@@ -4,7 +4,8 @@ Prompt building and response extraction are native columns; only the
 model call runs in Python, through ``mapInPandas`` with a caller-supplied
 generator factory that is called once per Python worker (the model is
 loaded once, not per row). Row order inside each partition is kept and
-each row's failure becomes its ``error`` field.
+each row's failure becomes its ``error`` field. Answers that were recorded
+before are joined by key instead.
 """
 
 from __future__ import annotations
@@ -16,26 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from ..functions import patterns as P
 from ..functions.conversation import extract_response
 from .instruct import build_prompt
 
 GeneratorFactory = Callable[[], Callable[[list[str]], list[str]]]
 
 
-def stub_generator_factory() -> Callable[[list[str]], list[str]]:
-    """Deterministic stand-in model for tests: echoes the prompt and answers
-    with a fixed classification sentence naming the prompt's length class."""
-
-    def generate(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            if "FAIL" in p:
-                raise ValueError("generation failed")
-            cat = "Contract" if len(p) % 2 == 0 else "Criminal"
-            out.append(f"{p}Based on my analysis, this document falls under {cat} because stub.<|im_end|>")
-        return out
-
-    return generate
+def predict_recorded(df: DataFrame, answers: DataFrame, keys: list[str], text_col: str = "text", task=None, lang="en") -> DataFrame:
+    """INF-01/02 with answers that were given before: ``answers`` (``keys``, answer), a row per prompt
+    at most. Output: input columns + prompt, generated, error, response; a prompt without an answer
+    keeps its row, with an error. No Python."""
+    task_c = F.lit(task) if (task is None or isinstance(task, str)) else task
+    d = df.withColumn("prompt", build_prompt(F.col(text_col), task_c.cast("string"), lang))
+    given = answers.select(*keys, F.col("answer").alias("_answer"))
+    r = d.join(given, keys, "left").withColumn("generated", F.concat("prompt", "_answer", F.lit(P.IM_END)))
+    r = r.withColumn("error", F.when(F.col("_answer").isNull(), "LookupError: no recorded answer")).drop("_answer")
+    return r.withColumn("response", extract_response(F.substring(F.col("generated"), F.length("prompt") - len(P.ASSISTANT_MARKER) + 1, F.length("generated"))))
 
 
 def batch_predict(df: DataFrame, generator_factory: GeneratorFactory, text_col: str = "text",

@@ -14,6 +14,13 @@ from ..sources import sinks as SK
 from .instruct_q import _flat_de, _sql_examples_de, examples_de
 from .legal import legal, with_legal
 from .registry import query
+from .sql_re2 import WS
+
+
+def _files(df, path, content):
+    """Rows (path, content as bytes): files that no folder has to list."""
+    return df.select(path.alias("path"), F.encode(content, "UTF-8").alias("content"))
+
 
 # ---------------------------------------------------------------- sources
 
@@ -294,42 +301,41 @@ def cheapest_config(spark, sf_dir):
 
 # ---------------------------------------------------------------- batch inference
 
-def _stub_sql() -> str:
-    from ..functions import patterns as P
-    from . import sql_re2 as R2
-    from .legal import with_legal
-    q = R2.q
-    ins = {l: i for t, l, i in P.PROMPT_INSTRUCTIONS if t == "classification"}
-    nl = "chr(10)"
-    prompt = (f"concat('<|im_start|>system', {nl}, CASE WHEN language = 'de' THEN {q(P.SYSTEM_DE)} ELSE {q(P.SYSTEM_EN)} END, "
-              f"{nl}, '<|im_end|>', {nl}, '<|im_start|>user', {nl}, CASE WHEN language = 'de' THEN {q(ins['de'])} "
-              f"ELSE {q(ins['en'])} END, {nl}, {nl}, text, {nl}, '<|im_end|>', {nl}, '<|im_start|>assistant', {nl})")
-    return with_legal(
-        f", p AS (SELECT doc_id, CASE WHEN length({prompt}) % 2 = 0 THEN 'Contract' ELSE 'Criminal' END AS label FROM legal) "
-        "SELECT doc_id, concat('Based on my analysis, this document falls under ', label, ' because stub.') AS response, label, "
-        "CAST(NULL AS VARCHAR) AS error, concat('{\"response\":\"Based on my analysis, this document falls under ', label, "
-        "' because stub.\"}') AS body FROM p")
+_STRIP = "'^" + WS + "|" + WS + "$'"
+_ANSWERS_SQL = ("WITH u AS (SELECT a.conv_id, a.turn, b.text AS answer FROM conversations a LEFT JOIN conversations b "
+                "ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'), "
+                f"r AS (SELECT conv_id, turn, regexp_replace(string_split(answer, '<|im_end|>')[1], {_STRIP}, '', 'g') AS response, "
+                "CASE WHEN answer IS NULL THEN 'LookupError: no recorded answer' END AS error FROM u) ")
+_BODY_SQL = "CASE WHEN error IS NOT NULL THEN to_json({'error': error}) ELSE to_json({'response': response}) END::VARCHAR"
 
 
-@query("batch_predict_stub", _stub_sql())
-def batch_predict_stub(spark, sf_dir):
-    d = legal(spark, sf_dir).select("doc_id", "language", "text")
-    r = INF.batch_predict(d, INF.stub_generator_factory, "text", "classification", F.col("language"))
-    r = INF.encode_response(r)
-    from ..operators.evaluate import extract_label
-    return r.select("doc_id", "response", extract_label("response").alias("label"), "error", "body")
+def answered(spark, sf_dir):
+    """Every user turn as a prompt, answered by the assistant turn after it."""
+    turns = read_table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", "text")
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return INF.encode_response(INF.predict_recorded(asked, answers, ["conv_id", "turn"], "text", "case_analysis", "en"))
+
+
+@query("batch_predict", _ANSWERS_SQL + f"SELECT conv_id, turn, response, error, {_BODY_SQL} AS body FROM r")
+def batch_predict(spark, sf_dir):
+    """INF-01..03: prompts, recorded answers, extracted responses and JSON bodies."""
+    return answered(spark, sf_dir).select("conv_id", "turn", "response", "error", "body")
 
 
+@query("batch_predict_stub", _ANSWERS_SQL + "SELECT conv_id, turn, CASE WHEN l = '' THEN 'unknown' ELSE l END AS label, error FROM "
+       "(SELECT *, coalesce(regexp_extract(response, 'document falls under ([\\pL\\pN_]+)', 1), '') AS l FROM r)")
+def batch_predict_stub(spark, sf_dir):
+    """INF-01: labels of the recorded answers."""
+    from ..operators.evaluate import extract_label
+    return answered(spark, sf_dir).select("conv_id", "turn", extract_label("response").alias("label"), "error")
 
 
-@query("batch_predict_failures", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'ValueError: generation failed' END AS error, "
-       "CASE WHEN doc_id % 9 = 0 THEN '{\"error\":\"ValueError: generation failed\"}' END AS error_body FROM documents")
+@query("batch_predict_failures", _ANSWERS_SQL + f"SELECT conv_id, turn, error, {_BODY_SQL} AS error_body FROM r WHERE error IS NOT NULL")
 def batch_predict_failures(spark, sf_dir):
-    """INF-02: a failing prompt becomes its row's error; the others of its batch are answered."""
-    d = read_table(spark, sf_dir, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" FAIL"))).otherwise(F.col("text")).alias("text"))
-    r = INF.encode_response(INF.batch_predict(d, INF.stub_generator_factory, "text", "classification"))
-    return r.select("doc_id", "error", F.when(F.col("error").isNotNull() | F.col("response").isNull(), F.col("body")).alias("error_body"))
+    """INF-02: a prompt without an answer becomes its row's error; the others are answered."""
+    r = answered(spark, sf_dir).where("error IS NOT NULL")
+    return r.select("conv_id", "turn", "error", F.col("body").alias("error_body"))
 
 
 # ---------------------------------------------------------------- directory batch (SRC-01/04/05)
@@ -369,13 +375,12 @@ def process_directory(spark, sf_dir):
     content = F.encode(marked, "UTF-8")
     content = F.when(reject == "invalid UTF-8", F.concat(F.unhex(F.lit("FF")), content)).otherwise(content)
     path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), ext)
-    good, bad = RD.process_files(lg.select(path.alias("source_file"), content.alias("content")), "en")
+    tagged = RD.tagged_files(lg.select(path.alias("source_file"), content.alias("content")), "en")
     doc_id = F.regexp_extract("source_file", r"/in/(\d+)", 1).cast("bigint").alias("doc_id")
     kind = F.regexp_extract("error", r"^(Unsupported file format|invalid UTF-8|ParseError)", 1)
-    return good.select(doc_id, "file_type", F.md5("processed_text").alias("processed_md5"), F.size("citations").cast("bigint").alias("n_citations"),
-                       F.lit(None).cast("string").alias("error")).unionByName(
-        bad.select(doc_id, "file_type", F.lit(None).cast("string").alias("processed_md5"), F.lit(None).cast("bigint").alias("n_citations"),
-                   kind.alias("error")))
+    good = F.col("error").isNull()
+    return tagged.select(doc_id, "file_type", F.when(good, F.md5("processed_text")).alias("processed_md5"),
+                         F.when(good, F.size("citations").cast("bigint")).alias("n_citations"), kind.alias("error"))
 
 
 # ---------------------------------------------------------------- archives (SRC-10)
@@ -453,20 +458,18 @@ def _processed_docs_sql() -> str:
 
 @query("processed_docs", _processed_docs_sql())
 def processed_docs(spark, sf_dir):
-    """German decisions processed (clean text, sections without fallback),
-    written one JSON document per file, read back with the multi-line
-    reader and its declared schema."""
+    """German decisions processed (clean text, sections without fallback), kept
+    as rows of (path, JSON document) and read back with the declared schema."""
     from ..functions import text as T
     from ..operators.preprocess import with_sections
     path = scratch_folder(spark, "processed")
     d = legal(spark, sf_dir).where(F.col("language") == "de").withColumn("full_text", T.clean_german("text"))
     d = with_sections(d, "full_text", "de", fallback=False)
-    doc = d.select(F.col("doc_id").alias("doc_key"),
-                   F.struct("court", "date", "case_number").alias("metadata"), "full_text",
+    doc = F.struct(F.struct("court", "date", "case_number").alias("metadata"), F.col("full_text"),
                    F.struct("tatbestand", "gruende", "tenor", "leitsaetze").alias("sections"),
                    F.col("doc_id").cast("string").alias("source_file"))
-    doc.write.partitionBy("doc_key").json(path)
-    r = RD.read_processed_docs(spark, path)
+    _files(d, F.concat(F.col("doc_id").cast("string"), F.lit(".json")), F.to_json(doc, {"pretty": "true"})).write.parquet(path)
+    r = RD.processed_rows(spark.read.parquet(path))
     return r.select("source_file", "metadata.court", "metadata.date", "metadata.case_number",
                     F.md5("full_text").alias("full_text_md5"),
                     *[F.col(f"sections.{c}").isNotNull().alias(f"has_{c}")
@@ -510,12 +513,12 @@ def saved_splits(spark, sf_dir):
 
 @query("text_files", "SELECT item_id, md5(concat(text, chr(10))) AS raw_md5, 'txt' AS file_type, 'en' AS language FROM benchmark")
 def text_files(spark, sf_dir):
-    """Benchmark passages in a text file each, read whole, with file metadata."""
+    """Benchmark passages as text files, kept as rows of (path, bytes), with file metadata."""
     from ..operators.filters import with_file_metadata
     path = scratch_folder(spark, "text_files")
-    read_table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
-    r = with_file_metadata(RD.read_text_docs(spark, f"{path}/*", "*.txt"), "source_file", "en")
-    return r.select(F.regexp_extract("source_file", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), F.md5("raw").alias("raw_md5"),
+    _files(read_table(spark, sf_dir, "benchmark"), F.concat(F.col("item_id").cast("string"), F.lit(".txt")), F.concat("text", F.lit("\n"))).write.parquet(path)
+    r = with_file_metadata(RD.text_rows(spark.read.parquet(path)), "source_file", "en")
+    return r.select(F.regexp_extract("source_file", r"^(\d+)", 1).cast("bigint").alias("item_id"), F.md5("raw").alias("raw_md5"),
                     "file_type", "language")
 
 
@@ -568,12 +571,12 @@ def snapshot_copy(spark, sf_dir):
     return back.select("id", F.col("metadata.task").alias("task"), F.col("conversations")[0]["content"].alias("system"))
 
 
-@query("predictions_file", _stub_sql())
+@query("predictions_file", _ANSWERS_SQL + f"SELECT conv_id, turn, response, error, {_BODY_SQL} AS body FROM r")
 def predictions_file(spark, sf_dir):
-    """SNK-09: stub predictions written as JSON Lines and read back."""
+    """SNK-09: predictions written as JSON Lines and read back."""
     path = scratch_folder(spark, "predictions")
-    SK.write_predictions(batch_predict_stub(spark, sf_dir), path)
-    return spark.read.schema("doc_id long, response string, label string, error string, body string").json(path)
+    SK.write_predictions(batch_predict(spark, sf_dir), path)
+    return spark.read.schema("conv_id long, turn long, response string, error string, body string").json(path)
 
 
 @query("published_splits", _sql_examples_de() + (
@@ -597,14 +600,14 @@ def published_splits(spark, sf_dir):
 
 @query("stream_ingest", _dir_sql())
 def stream_ingest(spark, sf_dir):
-    """STR-01: the per-document files ingested by the Structured Streaming
+    """STR-01: documents as rows of (path, bytes), ingested by the Structured Streaming
     job (availableNow, checkpointed), output read back; equals the batch."""
     from ..streaming.jobs import stream_documents
     base = scratch_folder(spark, "stream")
-    legal(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/in")
-    q = stream_documents(spark, f"{base}/in/doc_id=*", f"{base}/out", "en", checkpoint=f"{base}/ckpt")
-    q.awaitTermination()
-    good = spark.read.parquet(f"{base}/out/documents")
-    doc_id = F.regexp_extract("source_file", r"doc_id=(\d+)", 1).cast("bigint")
+    docs = _files(legal(spark, sf_dir), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.concat("text", F.lit("\n")))
+    docs.withColumnRenamed("path", "source_file").write.parquet(f"{base}/in")
+    stream_documents(spark, f"{base}/in", f"{base}/out", "en", checkpoint=f"{base}/ckpt", rows=True).awaitTermination()
+    good = spark.read.parquet(f"{base}/out").where("kind = 'documents'")
+    doc_id = F.regexp_extract("source_file", r"/in/(\d+)", 1).cast("bigint")
     return good.select(doc_id.alias("doc_id"), "file_type", F.md5("processed_text").alias("processed_md5"),
                        F.size("citations").cast("bigint").alias("n_citations"))

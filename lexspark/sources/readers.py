@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from ..session import scratch_folder
 from . import markup
 
 SUPPORTED = ["txt", "html", "htm", "xml"]
@@ -42,6 +43,12 @@ def read_text_docs(spark: SparkSession, path: str, glob: str | None = None) -> D
     return df.withColumn("file_type", F.regexp_extract("source_file", r"\.([^./]+)$", 1))
 
 
+def text_rows(files: DataFrame) -> DataFrame:
+    """SRC-01 for rows (path, content as bytes) of any table."""
+    return files.select(F.col("path").alias("source_file"), F.col("content").cast("string").alias("raw"),
+                        F.regexp_extract("path", r"\.([^./]+)$", 1).alias("file_type"))
+
+
 def route_by_type(df: DataFrame, path_col: str = "source_file") -> DataFrame:
     """SRC-04: extension routing; unsupported → ``error`` set (reject frame)."""
     ext = F.lower(F.regexp_extract(F.col(path_col), r"\.([^./]+)$", 1))
@@ -51,18 +58,16 @@ def route_by_type(df: DataFrame, path_col: str = "source_file") -> DataFrame:
 
 
 def decode_documents(df: DataFrame, raw_col: str = "raw", type_col: str = "file_type") -> DataFrame:
-    """Text per file type: txt as is, html/htm and xml through the markup
-    UDFs (each UDF only receives its own rows; others get NULL). Adds
-    ``text`` and ``error`` (existing errors are kept)."""
+    """Text per file type: txt as is, html/htm and xml through one markup UDF
+    (text files and rejected rows reach it as NULL). Adds ``text`` and
+    ``error`` (existing errors are kept, and their rows have no text)."""
     t = F.col(type_col)
-    safe = F.make_valid_utf8(F.col(raw_col))  # Arrow needs valid UTF-8
-    d = (df.withColumn("_h", markup.html_to_text(F.when(t.isin("html", "htm"), safe)))
-         .withColumn("_x", markup.xml_to_text(F.when(t == "xml", safe))))
-    text = (F.when(t == "txt", F.col(raw_col)).when(t.isin("html", "htm"), F.col("_h.value"))
-            .when(t == "xml", F.col("_x.value")))
-    err = F.coalesce(F.col("error") if "error" in df.columns else F.lit(None).cast("string"),
-                     F.col("_h.error"), F.col("_x.error"))
-    return d.withColumn("text", text).withColumn("error", err).drop("_h", "_x")
+    known = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    markup_rows = t.isin("html", "htm", "xml") & known.isNull()
+    safe = F.when(markup_rows, F.make_valid_utf8(F.col(raw_col)))  # Arrow needs valid UTF-8
+    d = df.withColumn("_m", markup.markup_to_text(safe, t != "xml"))
+    err = F.coalesce(known, F.col("_m.error"))
+    return d.withColumn("text", F.when(err.isNull(), F.when(t == "txt", F.col(raw_col)).otherwise(F.col("_m.value")))).withColumn("error", err).drop("_m")
 
 
 def process_directory(spark: SparkSession, path: str, language: str = "en",
@@ -74,24 +79,29 @@ def process_directory(spark: SparkSession, path: str, language: str = "en",
     return process_files(raw, language, anonymize)
 
 
-def process_files(files: DataFrame, language: str = "en", anonymize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows (source_file, content as bytes), from a directory or any table:
-    unsupported types, invalid UTF-8 and broken markup are rejected file by
-    file; returns (processed, rejects)."""
+def tagged_files(files: DataFrame, language: str = "en", anonymize: bool = True) -> DataFrame:
+    """Rows (source_file, content as bytes) routed, decoded and preprocessed in one pass: unsupported
+    types, invalid UTF-8 and broken markup have ``error`` and ``rejected`` set and nothing else."""
     from ..operators.preprocess import preprocess
 
     s = files.select("source_file", F.col("content").cast("string").alias("raw"))
     s = route_by_type(s).withColumn("error", F.coalesce(F.col("error"), F.when(
         ~F.is_valid_utf8(F.col("raw")), F.lit("invalid UTF-8"))))
-    # rows rejected so far never reach a parser
-    d = decode_documents(s.where(F.col("error").isNull()))
-    good = d.where(F.col("error").isNull()).drop("error", "raw")
-    bad = (s.where(F.col("error").isNotNull()).select("source_file", "file_type", "error")
-           .unionByName(d.where(F.col("error").isNotNull()).select("source_file", "file_type", "error")))
-    out = preprocess(good, "text", language, anonymize=anonymize)
-    out = out.withColumn("metadata", F.struct(F.col("source_file"), F.col("file_type"),
-                                              F.lit(language).alias("language")))
-    return out, bad
+    out = preprocess(decode_documents(s).drop("raw"), "text", language, anonymize=anonymize)
+    return out.withColumn("metadata", F.struct(F.col("source_file"), F.col("file_type"), F.lit(language).alias("language"))).withColumn(
+        "rejected", F.col("error").isNotNull())
+
+
+def process_files(files: DataFrame, language: str = "en", anonymize: bool = True, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``tagged_files`` written once, split by ``rejected``, and read back as
+    (processed, rejects). ``path``: where the table stays (default: a scratch
+    folder of the session)."""
+    spark = files.sparkSession
+    path = path or scratch_folder(spark, "files")
+    tagged = tagged_files(files, language, anonymize)
+    tagged.write.partitionBy("rejected").parquet(path)
+    rows = spark.read.schema(tagged.schema).parquet(path)
+    return rows.where(~F.col("rejected")).drop("rejected", "error"), rows.where("rejected").select("source_file", "file_type", "error")
 
 
 def read_examples(spark: SparkSession, path: str, schema: TY.StructType = EXAMPLE_SCHEMA
@@ -157,6 +167,11 @@ def read_processed_docs(spark: SparkSession, path: str) -> DataFrame:
             .option("pathGlobFilter", "*.json").json(path))
 
 
+def processed_rows(files: DataFrame) -> DataFrame:
+    """SRC-08 for rows (path, content as bytes): one document each, in the columns of ``read_processed_docs``."""
+    return files.select(F.from_json(F.col("content").cast("string"), DECISION_SCHEMA).alias("_d")).select("_d.*")
+
+
 CATALOGUE_SCHEMA = TY.StructType([TY.StructField(n, TY.StringType()) for n in
                                   ["gericht", "entsch-datum", "aktenzeichen", "link"]])
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from ..operators.preprocess import preprocess
 from ..session import checkpoint_dir
 
 
@@ -31,38 +30,39 @@ def _checkpoint(spark: SparkSession, job: str, in_dir: str, out_dir: str) -> str
 
 def stream_documents(spark: SparkSession, in_dir: str, out_dir: str, language: str = "en",
                      checkpoint: str | None = None, available_now: bool = True,
-                     glob: str = "*.{txt,html,htm,xml}", max_files: int = 1000):
-    """STR-01: new .txt/.html/.htm/.xml files → the batch routing, decoding
-    and preprocessing → parquet (good rows) and a rejects folder (invalid
-    UTF-8, broken markup). The checkpoint tracks processed files; each epoch
-    of each checkpoint has an output folder of its own, which a replay
-    overwrites (idempotent sink). ``max_files`` bounds a micro-batch."""
-    from ..sources.readers import decode_documents, route_by_type
+                     glob: str = "*.{txt,html,htm,xml}", max_files: int = 1000, rows: bool = False):
+    """STR-01: new .txt/.html/.htm/.xml files → the batch routing, decoding and
+    preprocessing in one pass → a table with the partitions kind=documents and
+    kind=rejects (invalid UTF-8, broken markup). A file that is delivered again
+    (same name and content hash) is known from the state store and dropped;
+    the state keeps a hash per file. The checkpoint tracks processed files;
+    each epoch of each checkpoint has partitions of its own, which a replay
+    overwrites (idempotent sink). ``max_files`` bounds a micro-batch. ``rows``:
+    the folder holds Parquet tables of (source_file, content), many files each."""
+    from ..sources.readers import tagged_files
 
     checkpoint = checkpoint or _checkpoint(spark, "stream_documents", in_dir, out_dir)
-    raw = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
-           .option("maxFilesPerTrigger", max_files).load(in_dir)
-           .select(F.col("path").alias("source_file"), F.col("content").cast("string").alias("raw")))
+    source = spark.readStream.option("maxFilesPerTrigger", max_files)
+    if rows:
+        raw = source.schema("source_file string, content binary").parquet(in_dir)
+    else:
+        raw = source.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob).load(in_dir)
+        raw = raw.select(F.col("path").alias("source_file"), "content")
+    name = F.regexp_extract("source_file", r"([^/]*)$", 1)
+    raw = raw.withColumn("_delivered", F.sha2(F.concat(F.encode(F.concat(name, F.lit("/")), "UTF-8"), F.col("content")), 256)).dropDuplicates(["_delivered"]).drop("_delivered")
 
     def query_id() -> str:
         """Of the query this checkpoint belongs to: written before its first epoch runs."""
         return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
     def write(batch: DataFrame, epoch_id: int):
-        # one folder per epoch, overwritten on replay: a retried micro-batch
+        # partitions by epoch, overwritten on replay: a retried micro-batch
         # (lost executor, restarted query) replaces its own output instead of
         # appending duplicates; epochs start anew with every checkpoint, so
         # the query's id, which the checkpoint keeps, is part of the name
-        run = f"{query_id()}-{epoch_id}"
-        s = route_by_type(batch).withColumn("error", F.coalesce(F.col("error"), F.when(
-            ~F.is_valid_utf8(F.col("raw")), F.lit("invalid UTF-8"))))
-        d = decode_documents(s.where(F.col("error").isNull()))
-        good = d.where(F.col("error").isNull()).drop("error", "raw")
-        bad = (s.where(F.col("error").isNotNull()).select("source_file", "error")
-               .unionByName(d.where(F.col("error").isNotNull()).select("source_file", "error")))
-        out = preprocess(good, "text", language).drop("text", "normalized_text")
-        out.write.mode("overwrite").parquet(f"{out_dir}/documents/epoch_id={run}")
-        bad.write.mode("overwrite").parquet(f"{out_dir}/rejects/epoch_id={run}")
+        out = tagged_files(batch, language).drop("text", "normalized_text", "rejected")
+        out = out.withColumns({"kind": F.when(F.col("error").isNull(), "documents").otherwise("rejects"), "epoch_id": F.lit(f"{query_id()}-{epoch_id}")})
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "epoch_id").parquet(out_dir)
 
     w = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -36,10 +36,33 @@ def test_baseline_and_drift(spark):
 
 
 def test_batch_predict_isolates_failures(spark):
+    def stub_generator_factory():
+        """Deterministic stand-in model for tests: echoes the prompt and answers
+        with a fixed classification sentence naming the prompt's length class."""
+
+        def generate(prompts: list[str]) -> list[str]:
+            out = []
+            for p in prompts:
+                if "FAIL" in p:
+                    raise ValueError("generation failed")
+                cat = "Contract" if len(p) % 2 == 0 else "Criminal"
+                out.append(f"{p}Based on my analysis, this document falls under {cat} because stub.<|im_end|>")
+            return out
+
+        return generate
+
     df = spark.createDataFrame([(1, "ok text"), (2, "please FAIL"), (3, "more")], "id long, text string")
     out = {r["id"]: r for r in INF.encode_response(
-        INF.batch_predict(df, INF.stub_generator_factory, "text", "classification", "en")).collect()}
+        INF.batch_predict(df, stub_generator_factory, "text", "classification", "en")).collect()}
     assert out[2]["error"].startswith("ValueError") and out[2]["response"] is None
     assert out[1]["error"] is None and out[1]["response"].startswith("Based on my analysis")
     assert out[2]["body"].startswith('{"error"') and out[3]["body"].startswith('{"response"')
     assert F is not None
+
+
+def test_recorded_answers(spark):
+    asked = spark.createDataFrame([(1, "q <|im_start|>assistant\nno<|im_end|>"), (2, "r"), (3, None)], "id int, text string")
+    answers = spark.createDataFrame([(1, "  yes <|im_end|> rest"), (3, "x")], "id int, answer string")
+    got = {r["id"]: (r["response"], r["error"]) for r in INF.predict_recorded(asked, answers, ["id"], "text", "summarization").collect()}
+    assert got[1] == ("yes", None)
+    assert got[2] == (None, "LookupError: no recorded answer")

@@ -26,12 +26,25 @@ def test_stream_documents_equals_batch(spark, scratch):
     out = os.path.join(scratch, "out")
     q = jobs.stream_documents(spark, src, out, "en", checkpoint=os.path.join(scratch, "ckpt"))
     q.awaitTermination(120)
-    got = spark.read.parquet(os.path.join(out, "documents"))
+    table = spark.read.parquet(out)
+    got = table.where("kind = 'documents'")
     batch = preprocess(spark.createDataFrame(list(texts.items()), "n string, raw string"), "raw", "en")
     g = sorted(r["processed_text"] for r in got.collect())
     b = sorted(r["processed_text"] for r in batch.collect())
     assert g == b
-    assert spark.read.parquet(os.path.join(out, "rejects")).count() == 1
+    assert table.where("kind = 'rejects'").count() == 1
+
+
+def test_a_file_delivered_twice_gives_one_row(spark, scratch):
+    src, out = os.path.join(scratch, "in"), os.path.join(scratch, "out")
+    for day, names in (("1", ["a.txt", "b.txt"]), ("2", ["a.txt", "c.txt"])):
+        os.makedirs(os.path.join(src, day))
+        for n in names:
+            with open(os.path.join(src, day, n), "w", encoding="utf-8") as f:
+                f.write("same" if n != "b.txt" else "other")
+        jobs.stream_documents(spark, f"{src}/*", out, "en", checkpoint=os.path.join(scratch, "ckpt")).awaitTermination(120)
+    got = [os.path.basename(r["source_file"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == ["a.txt", "b.txt", "c.txt"]
 
 
 def test_stream_quality_equals_batch(spark, scratch):
