@@ -7,11 +7,14 @@ aggregated result, never from a driver round trip.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import explode_rows
+from .quantiles import exact_quantiles
 
 
 def pii_report(df: DataFrame, text_col: str, lang, by: list[str]) -> DataFrame:
@@ -41,22 +44,19 @@ def describe_lengths(df: DataFrame, length: Column | str, by: list[str] | None =
                      exact: bool = True) -> DataFrame:
     """AGG-05: count, mean, sample std, min, 25/50/75 % (linear), max.
 
-    ``exact``: ``percentile`` keeps a value→count map per group, merged
-    map-side; for lengths (integers up to the longest document) that map is
-    bounded by the number of distinct lengths, not by the row count.
-    ``exact=False`` uses ``percentile_approx`` (fixed-size sketch) for
-    continuous values."""
+    ``exact``: selection by refined histograms (``quantiles.exact_quantiles``), whose
+    state is bounded however many distinct values there are. ``exact=False``
+    uses ``percentile_approx`` (fixed-size sketch) in one pass."""
     by = by or []
     x = F.col(length) if isinstance(length, str) else length
     x = x.cast("double")
+    names = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    q = [] if exact else [F.percentile_approx(x, p, 10000).cast("double").alias(n) for n, p in names.items()]
+    rows = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *q)
     if exact:
-        q = [F.percentile(x, p) for p in (0.25, 0.5, 0.75)]
-    else:
-        q = [F.percentile_approx(x, p, 10000).cast("double") for p in (0.25, 0.5, 0.75)]
-    return df.groupBy(*by).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
-        F.max(x).alias("max"))
+        found = exact_quantiles(df, x, by, list(names.values()), list(names))
+        rows = rows.join(found.select(*by, *names), reduce(lambda a, b: a & b, [rows[k].eqNullSafe(found[k]) for k in by], F.lit(True)), "left").select(*[rows[c] for c in rows.columns], *names)
+    return rows.select(*by, "count", "mean", "std", "min", *names, "max")
 
 
 def length_histogram(df: DataFrame, length: Column | str, bins: int = 20) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ["text_q", "filter_q", "instruct_q", "split_q", "eval_q", "ops_q", "vocab_q"]
+_MODULES = ["text_q", "filter_q", "instruct_q", "split_q", "eval_q", "ops_q", "vocab_q", "sketch_q"]
 
 
 def load_all():
