@@ -9,7 +9,7 @@ back by document id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -63,25 +63,25 @@ def augment_synonyms(df: DataFrame, synonyms: DataFrame, id_col: str, text_col:
     order); a chosen word of ≥ ``min_len`` chars is replaced with
     probability ``p_replace`` by one of its synonyms (seeded pick from the
     sorted list); words are re-joined by single spaces.
-    ``synonyms``: (word, synonym) rows supplied by the caller."""
+    ``synonyms``: (word, synonym) rows supplied by the caller; ids are distinct and not null."""
     words = F.split(F.trim(F.regexp_replace(F.col(text_col), P.WS, " ")), " ")
-    d = df.withColumn("_w", F.when(F.trim(F.col(text_col)) == "", F.array().cast("array<string>"))
-                      .otherwise(words))
+    d = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("_row"), F.col(id_col).alias("_id"),
+                  F.when(F.trim(F.col(text_col)) == "", F.array().cast("array<string>")).otherwise(words).alias("_w"))
     # rank positions per row in seeded order and keep the first n (per-row sort, no shuffle)
-    keyed = F.transform("_w", lambda w, i: F.struct(hash_key([F.col(id_col), i], seed).alias("h"), i.alias("pos"), w.alias("word")))
-    chosen = F.slice(F.array_sort(keyed), 1, n_words)
-    picks = (explode_rows(d, F.when(F.size("_w") > 0, chosen), "_c", [id_col])
-             .select(id_col, F.col("_c.pos").alias("pos"), F.col("_c.word").alias("word")))
-    u = F.conv(F.substring(hash_key([F.col(id_col), F.col("pos"), F.lit("p")], seed), 1, 8), 16, 10
-               ).cast("bigint") / F.lit(4294967296.0)
-    picks = picks.where((F.length("word") >= min_len) & (u <= F.lit(p_replace)))
+    keyed = F.transform("_w", lambda w, i: F.struct(hash_key([F.col("_id"), i], seed).alias("h"), i.alias("pos"), w.alias("word")))
+
+    def draw(pos: Column, what: str) -> Column:
+        return F.conv(F.substring(hash_key([F.col("_id"), pos, F.lit(what)], seed), 1, 8), 16, 10).cast("bigint")
+
+    chosen = F.filter(F.slice(F.array_sort(keyed), 1, n_words),
+                      lambda c: (F.length(c["word"]) >= min_len) & (draw(c["pos"], "p") / F.lit(4294967296.0) <= F.lit(p_replace)))
+    # a row travels with the first of its chosen words, so that its text is read once
+    picks = d.select("_id", F.struct("_row", "_w").alias("_all"), F.posexplode_outer(chosen).alias("_k", "_c"))
+    picks = picks.select("_id", F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("_all")).alias("_all"), F.col("_c.pos").alias("pos"), F.col("_c.word").alias("word"))
     syn = synonyms.groupBy("word").agg(F.array_sort(F.collect_set("synonym")).alias("_syn"))
-    j = salted_join(picks, syn, "word", [id_col, "pos"])
-    v = F.conv(F.substring(hash_key([F.col(id_col), F.col("pos"), F.lit("s")], seed), 1, 8), 16, 10
-               ).cast("bigint")
-    j = j.withColumn("replacement", F.element_at("_syn", (v % F.size("_syn")).cast("int") + 1))
-    rep = j.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "replacement"))).alias("_rep"))
-    out = d.join(rep, id_col, "left")
-    new = F.transform("_w", lambda w, i: F.coalesce(F.try_element_at(F.col("_rep"), i), w))
-    return out.withColumn(text_col, F.array_join(F.when(F.col("_rep").isNull(), F.col("_w")).otherwise(new), " ")
-                          ).drop("_w", "_rep")
+    j = salted_join(picks, syn, "word", ["_id", "pos"], "left")
+    pick = F.element_at("_syn", (draw(F.col("pos"), "s") % F.size("_syn")).cast("int") + 1)
+    j = j.withColumn("_r", F.when(F.col("_syn").isNotNull(), F.struct("pos", pick.alias("w"))))
+    rows = j.groupBy("_id").agg(F.first("_all", ignorenulls=True).alias("_all"), F.map_from_entries(F.collect_list("_r")).alias("_rep"))
+    new = F.transform("_all._w", lambda w, i: F.coalesce(F.try_element_at(F.col("_rep"), i), w))
+    return rows.select(*[(F.array_join(new, " ") if c == text_col else F.col(f"_all._row.{c}")).alias(c) for c in df.columns])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
+from ..session import kept
 from .skew import salted_join
 
 
@@ -43,8 +44,9 @@ def top_authorities(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citat
 def co_citation_profile(df: DataFrame, id_col: str = "doc_id", cit_col: str = "citations") -> DataFrame:
     """Per document: distinct authorities, Σ(in_degree − 1) = number of
     (partner doc, shared authority) incidences, and the largest partner set
-    of one authority. Edges of a hot authority are dealt to several tasks."""
-    e = citation_edges(df, id_col, cit_col).select(id_col, "authority")
+    of one authority. Edges are kept as a table, so that the texts are read
+    once; those of a hot authority are dealt to several tasks."""
+    e = kept(citation_edges(df, id_col, cit_col).select(id_col, "authority"), "edges")
     s = e.groupBy("authority").agg(F.count(F.lit(1)).alias("in_degree"))
     j = salted_join(e, s, "authority", [id_col])
     return j.groupBy(id_col).agg(

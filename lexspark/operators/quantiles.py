@@ -12,17 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_folder
+from ..session import kept
 
 BUCKETS = 4096
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    path = scratch_folder(df.sparkSession, "ranks")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _bucket(x: Column, lo: Column, hi: Column) -> Column:
     """Number of the part of [lo, hi] that holds x, rising with x."""
     def part(y: Column, a: Column, b: Column) -> Column:
@@ -47,7 +41,7 @@ def order_statistics(df: DataFrame, x: Column | str, by: list[str], ranks: DataF
     x = F.col(x) if isinstance(x, str) else x
     rows = df.select(*by, x.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     ends = rows.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    open_ = _kept(ranks.join(ends, _on(ranks, ends, by)).select(*[ranks[k] for k in by], ranks["rank"], ranks["rank"].alias("_left"), "_lo", "_hi"))
+    open_ = kept(ranks.join(ends, _on(ranks, ends, by)).select(*[ranks[k] for k in by], ranks["rank"], ranks["rank"].alias("_left"), "_lo", "_hi"), "ranks")
     done = None
     while True:
         found = open_.where("_lo = _hi").select(*by, "rank", F.col("_lo").alias("value"))
@@ -60,7 +54,7 @@ def order_statistics(df: DataFrame, x: Column | str, by: list[str], ranks: DataF
         counts = inside.groupBy(*by, "rank", "_left", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("_before", before).where((F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_n")))
-        open_ = _kept(counts.select(*by, "rank", (F.col("_left") - F.col("_before")).alias("_left"), "_lo", "_hi"))
+        open_ = kept(counts.select(*by, "rank", (F.col("_left") - F.col("_before")).alias("_left"), "_lo", "_hi"), "ranks")
 
 
 def exact_quantiles(df: DataFrame, x: Column | str, by: list[str], quantiles: list[float], names: list[str]) -> DataFrame:
@@ -68,7 +62,7 @@ def exact_quantiles(df: DataFrame, x: Column | str, by: list[str], quantiles: li
     without values has no row."""
     x = F.col(x) if isinstance(x, str) else x
     value = x.cast("double")
-    sizes = _kept(df.groupBy(*by).agg(F.count(F.when(~F.isnan(value), value)).alias("n")).where("n > 0"))
+    sizes = kept(df.groupBy(*by).agg(F.count(F.when(~F.isnan(value), value)).alias("n")).where("n > 0"), "ranks")
     at = [F.lit(q) * (F.col("n") - 1) for q in quantiles]
     ranks = sizes.select(*by, F.explode(F.array_distinct(F.array(*[f(p).cast("long") for p in at for f in (F.floor, F.ceil)]))).alias("rank"))
     values = order_statistics(df, x, by, ranks)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
-from ..session import scratch_folder
+from ..session import kept
 from .skew import salted_join
 
 # fixed values: abbreviations of German and European courts
@@ -77,13 +77,6 @@ def key_terms(df: DataFrame, id_col: str, text_col: str, domain: Column, kind: s
     return _best(keyness(term_counts(df, id_col, text_col, domain, kind)), k)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table of the session's scratch folder, for several uses."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def part_edges(words: DataFrame, min_part: int = MIN_PART, least: int = LEAST_COUNT, longest: int = LONGEST) -> DataFrame:
     """word, size, i, j, part, n: letters i to j of a word are a word of ``min_part`` letters or more
     that occurs ``least`` times or more, as they are or, but at the end, without a linking sound; of
@@ -104,7 +97,7 @@ def compounds(words: DataFrame, min_part: int = MIN_PART, least: int = LEAST_COU
     into two to ``most_parts`` parts beats the word itself. The score is the mean log count of the
     parts; it is added up in whole millionths, so that ties are exact: they go to fewer parts, then
     to the first by letters."""
-    edges = _kept(part_edges(words, min_part, least, longest), "edges")
+    edges = kept(part_edges(words, min_part, least, longest), "edges")
     log = F.round(F.ln(F.col("n").cast("double")) * MICRO).cast("long")
     common = math.lcm(*range(2, most_parts + 1))  # means over two, three, ... parts as whole numbers
     path = edges.filter("i = 0").select("word", "size", F.col("j").alias("at"), log.alias("score"), F.col("part").alias("parts"))
@@ -122,6 +115,6 @@ def compounds(words: DataFrame, min_part: int = MIN_PART, least: int = LEAST_COU
 
 def key_compounds(df: DataFrame, id_col: str, text_col: str, domain: Column, k: int = 5000, **options) -> DataFrame:
     """The ``k`` compounds of the domain with the highest keyness, and their parts."""
-    counts = _kept(term_counts(df, id_col, text_col, domain, "word"), "words")
+    counts = kept(term_counts(df, id_col, text_col, domain, "word"), "words")
     split = compounds(counts.filter("term IS NOT NULL AND term_freq > 0").select(F.col("term").alias("word"), F.col("term_freq").alias("n")), **options)
     return _best(keyness(counts).join(split.withColumnRenamed("word", "term"), "term"), k)

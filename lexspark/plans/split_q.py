@@ -10,7 +10,7 @@ from ..functions.arrays import explode_rows
 from ..operators import augment as AU
 from ..operators import profile as PR
 from ..operators import splits as SP
-from ..session import read_table
+from ..session import kept, read_table
 from . import sql_re2 as R
 from .instruct_q import _sql_examples_en, examples_en
 from .legal import legal, with_legal
@@ -235,7 +235,7 @@ def _syn_sql() -> str:
 
 @query("augment_synonyms", _syn_sql())
 def augment_synonyms(spark, sf_dir):
-    docs = _en_docs(spark, sf_dir)
+    docs = kept(_en_docs(spark, sf_dir), "en_docs")  # the synonyms are made of them, too
     out = AU.augment_synonyms(docs, _synonyms(docs), "doc_id", "nt")
     return out.select("doc_id", F.col("nt").alias("text"))
 

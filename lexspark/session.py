@@ -56,5 +56,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table of the session's scratch folder, for several uses: what made it runs once."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
