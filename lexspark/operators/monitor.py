@@ -44,10 +44,9 @@ def baseline(df: DataFrame, columns: list[str] | None = None, exact: bool = Fals
     return one.select(F.col("_n").alias("rows"), rows.alias("_r")).select("rows", "_r.*")
 
 
-def violations(df: DataFrame, base: DataFrame, ts_col: str, columns: list[str],
-               window: str = "1 hour") -> DataFrame:
-    """MON-02: per time window and column: rows, completeness, values out of
-    the baseline range, and whether completeness fell below the baseline."""
+def violation_counts(df: DataFrame, base: DataFrame, ts_col: str, columns: list[str], window: str = "1 hour") -> DataFrame:
+    """w, column, b_completeness, rows, nn, out_of_range: the counts behind ``violations``, of a
+    table or of a stream (a stream-static join with the baseline)."""
     w = F.window(F.col(ts_col), window)
     long = df.select(w.alias("w"), F.explode(F.array(*[F.struct(
         F.lit(c).alias("column"), F.col(c).isNull().alias("is_null"),
@@ -55,12 +54,22 @@ def violations(df: DataFrame, base: DataFrame, ts_col: str, columns: list[str],
     b = base.where(F.col("column").isin(columns)).select(  # a row per column
         "column", F.col("completeness").alias("b_completeness"), F.col("min").alias("b_min"), F.col("max").alias("b_max"))
     outside = (F.col("x") < F.col("b_min")) | (F.col("x") > F.col("b_max"))
-    g = long.join(F.broadcast(b), "column").groupBy("w", "column", "b_completeness").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum((~F.col("is_null")).cast("long")).alias("_nn"),
+    return long.join(F.broadcast(b), "column").groupBy("w", "column", "b_completeness").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum((~F.col("is_null")).cast("long")).alias("nn"),
         F.count(F.when(outside, 1)).alias("out_of_range"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "column", "rows",
-                    (F.col("_nn") / F.col("rows")).alias("completeness"), "out_of_range",
-                    ((F.col("_nn") / F.col("rows")) < F.col("b_completeness")).alias("completeness_violation"))
+
+
+def violation_result(counts: DataFrame) -> DataFrame:
+    share = F.col("nn") / F.col("rows")
+    return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "column", "rows",
+                         share.alias("completeness"), "out_of_range", (share < F.col("b_completeness")).alias("completeness_violation"))
+
+
+def violations(df: DataFrame, base: DataFrame, ts_col: str, columns: list[str],
+               window: str = "1 hour") -> DataFrame:
+    """MON-02: per time window and column: rows, completeness, values out of
+    the baseline range, and whether completeness fell below the baseline."""
+    return violation_result(violation_counts(df, base, ts_col, columns, window))
 
 
 def drift(a: DataFrame, b: DataFrame, col: str, bins: int = 10, categorical: bool = False,

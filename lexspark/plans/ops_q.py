@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cost as CO
 from ..operators import infer as INF
 from ..operators import monitor as MO
-from ..session import read_table, scratch_folder
+from ..session import kept, read_table, scratch_folder
 from ..sources import markup as MK
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -155,11 +155,11 @@ def hourly_quality(spark, sf_dir):
        "CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM events GROUP BY 1, 2, 3")
 def stream_quality(spark, sf_dir):
     """STR-02 as a stream over the events file, all windows closed at its end."""
-    from ..streaming.jobs import run_quality_stream
+    from ..streaming.jobs import close_quality, run_quality_stream
     base = scratch_folder(spark, "stream_quality")
-    q = run_quality_stream(spark, sf_dir, f"{base}/out", checkpoint=f"{base}/ckpt", glob="events.parquet")
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").withColumn("avg_value", F.round("avg_value", 6))
+    run_quality_stream(spark, sf_dir, f"{base}/out", checkpoint=f"{base}/ckpt", glob="events.parquet").awaitTermination()
+    close_quality(spark, f"{base}/ckpt", f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("epoch_id").withColumn("avg_value", F.round("avg_value", 6))
 
 
 _BASE_COLS = [("event_id", "bigint", True), ("user_id", "bigint", True), ("event_type", "string", False),
@@ -193,7 +193,7 @@ def baseline(spark, sf_dir):
 _CUT = "TIMESTAMP '2024-01-01 12:00:00'"
 
 
-@query("violations",
+_VIOLATIONS_SQL = (
        f"WITH b AS ({_baseline_sql('WHERE ts < ' + _CUT)}), ev AS (SELECT * FROM events WHERE ts >= {_CUT}), "
        "l AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS ws, c.name AS col, c.x AS x, c.is_null AS is_null FROM ev, "
        "LATERAL (VALUES ('event_id', CAST(event_id AS DOUBLE), event_id IS NULL), ('value', value, value IS NULL)) "
@@ -203,6 +203,9 @@ _CUT = "TIMESTAMP '2024-01-01 12:00:00'"
        "CAST(sum(CASE WHEN x < b.min OR x > b.max THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range, "
        "sum(CASE WHEN NOT is_null THEN 1 ELSE 0 END) / count(*) < max(b.completeness) AS completeness_violation "
        "FROM l JOIN b ON b.\"column\" = l.col GROUP BY 1, 2, 3")
+
+
+@query("violations", _VIOLATIONS_SQL)
 def violations(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     cut = F.lit("2024-01-01 12:00:00").cast(ev.schema["ts"].dataType)  # same type as ts: no zone shift
@@ -211,6 +214,20 @@ def violations(spark, sf_dir):
     return v.withColumn("completeness", F.round("completeness", 6))
 
 
+@query("stream_violations", _VIOLATIONS_SQL)
+def stream_violations(spark, sf_dir):
+    """MON-02 as a stream over the later events against a kept baseline of the earlier ones."""
+    from ..streaming.jobs import close_violations, run_violations_stream
+    folder = scratch_folder(spark, "stream_violations")
+    ev = read_table(spark, sf_dir, "events")
+    cut = F.lit("2024-01-01 12:00:00").cast(ev.schema["ts"].dataType)
+    base = kept(_round_base(MO.baseline(ev.where(F.col("ts") < cut), [c for c, _, _ in _BASE_COLS], exact=True)), "baseline")
+    ev.where(F.col("ts") >= cut).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
+    run_violations_stream(spark, f"{folder}/in", base, f"{folder}/out", ["event_id", "value"], checkpoint=f"{folder}/ckpt").awaitTermination()
+    close_violations(spark, f"{folder}/ckpt", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").drop("epoch_id").withColumn("completeness", F.round("completeness", 6))
+
+
 @query("drift_psi",
        f"WITH a AS (SELECT value FROM events WHERE ts < {_CUT}), b AS (SELECT value FROM events WHERE ts >= {_CUT}), "
        "m AS (SELECT min(value) AS lo, max(value) AS hi FROM a), "

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from ..operators.monitor import violation_counts, violation_result
 from ..session import checkpoint_dir
 
 
@@ -87,17 +88,57 @@ def stream_quality(events: DataFrame, ts_col: str = "ts", key_col: str = "event_
                     "requests", "avg_value", "max_value", "missing"))
 
 
+def stream_violations(events: DataFrame, base: DataFrame, columns: list[str], ts_col: str = "ts", window: str = "1 hour",
+                      watermark: str = "1 hour") -> DataFrame:
+    """MON-02 as a stream: windowed counts of the events, joined to the baseline table; rows later
+    than the watermark are dropped, and append mode emits each window once."""
+    return violation_result(violation_counts(events.withWatermark(ts_col, watermark), base, ts_col, columns, window))
+
+
+def _append(spark: SparkSession, windows: DataFrame, out_dir: str, checkpoint: str):
+    """Closed windows of each epoch in a folder of its own, which a replay overwrites."""
+    def write(batch: DataFrame, epoch_id: int):
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch_id={epoch_id}")
+
+    return windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def _close(spark: SparkSession, checkpoint: str, value: str) -> DataFrame:
+    """The windows that are open in the state store: key columns, and ``value`` as the aggregates' fields."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", F.col("value").cast(f"struct<{value}>").alias("_v")).select("*", "_v.*").drop("_v")
+
+
+def _events(spark: SparkSession, events_dir: str, glob: str, max_files: int) -> DataFrame:
+    return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).parquet(events_dir)
+
+
 def run_quality_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str | None = None,
-                       flush: bool = True, glob: str = "*.parquet"):
-    """Parquet event files → STR-02 → parquet sink (availableNow).
+                       glob: str = "*.parquet", max_files: int = 1000):
+    """Parquet event files → STR-02 → a table of closed windows, partitioned by epoch (availableNow).
 
-    Append mode emits a window once the watermark has passed its end, so the
-    newest windows stay open when the files run out. With ``flush`` they come
-    out as well: each epoch overwrites a table of all windows so far
-    (complete mode). A stream that goes on should set it to False."""
+    A window closes once the watermark has passed its end, so that state holds the open windows
+    only and the newest stay open when the files run out: ``close_quality`` adds them when no more
+    events will come."""
     checkpoint = checkpoint or _checkpoint(spark, "stream_quality", events_dir, out_dir)
-    ev = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).parquet(events_dir)
-    w = stream_quality(ev).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if not flush:
-        return w.outputMode("append").format("parquet").option("path", out_dir).start()
-    return w.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out_dir)).start()
+    return _append(spark, stream_quality(_events(spark, events_dir, glob, max_files)), out_dir, checkpoint)
+
+
+def close_quality(spark: SparkSession, checkpoint: str, out_dir: str, key_col: str = "event_type") -> None:
+    """The windows still open in a stream that has ended, from its state store (epoch_id=end)."""
+    rows = _close(spark, checkpoint, "requests: long, s: double, n: long, max_value: double, missing: long")
+    rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key_col, "requests",
+                (F.col("s") / F.col("n")).alias("avg_value"), "max_value", "missing").write.mode("overwrite").parquet(f"{out_dir}/epoch_id=end")
+
+
+def run_violations_stream(spark: SparkSession, events_dir: str, base: DataFrame, out_dir: str, columns: list[str], checkpoint: str | None = None,
+                          glob: str = "*.parquet", max_files: int = 1000):
+    """Parquet event files → MON-02 against ``base`` → a table of closed windows, partitioned by epoch."""
+    checkpoint = checkpoint or _checkpoint(spark, "stream_violations", events_dir, out_dir)
+    return _append(spark, stream_violations(_events(spark, events_dir, glob, max_files), base, columns), out_dir, checkpoint)
+
+
+def close_violations(spark: SparkSession, checkpoint: str, out_dir: str) -> None:
+    """The windows still open in a violations stream that has ended (epoch_id=end)."""
+    rows = _close(spark, checkpoint, "rows: long, nn: long, out_of_range: long")
+    violation_result(rows).write.mode("overwrite").parquet(f"{out_dir}/epoch_id=end")

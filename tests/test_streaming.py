@@ -53,14 +53,40 @@ def test_stream_quality_equals_batch(spark, scratch):
         os.path.join(SF0001, "events.parquet")) else (os.makedirs(src), shutil.copy(
             os.path.join(SF0001, "events.parquet"), src))
     out = os.path.join(scratch, "q")
-    q = jobs.run_quality_stream(spark, src, out, checkpoint=os.path.join(scratch, "ck2"))
-    q.awaitTermination(120)
-    streamed = spark.read.parquet(out)
+    ck = os.path.join(scratch, "ck2")
+    jobs.run_quality_stream(spark, src, out, checkpoint=ck).awaitTermination(120)
     ev = spark.read.parquet(src)
-    batch = window_quality(ev, "ts", "event_type", "value")
-    # append mode emits a window once the watermark passes it: all but the last hour
-    last = ev.agg(F.max("ts")).first()[0]
-    b = {(r["window_start"], r["event_type"]): r["requests"] for r in batch.collect()
-         if r["window_end"].timestamp() <= last.timestamp() - 3600}
-    s = {(r["window_start"], r["event_type"]): r["requests"] for r in streamed.collect()}
-    assert b and all(s.get(k) == v for k, v in b.items())
+    last = ev.agg(F.max("ts")).first()[0].timestamp()
+    batch = {(r["window_start"], r["event_type"]): r["requests"] for r in window_quality(ev, "ts", "event_type", "value").collect()}
+
+    def seen():
+        rows = [((r["window_start"], r["event_type"]), r["requests"]) for r in spark.read.parquet(out).collect()]
+        assert len(rows) == len(dict(rows))  # each window once
+        return dict(rows)
+
+    closed = seen()  # those whose end the watermark has passed
+    assert closed and closed == {k: v for k, v in batch.items() if k[0].timestamp() + 3600 <= last - 3600}
+    for _ in range(2):
+        jobs.close_quality(spark, ck, out)
+        assert seen() == batch
+
+
+def _event_file(spark, folder, name, rows):
+    df = spark.createDataFrame([(i, f"2026-01-01 {t}", 1, "a", v, "") for i, (t, v) in enumerate(rows)], "event_id long, t string, user_id long, event_type string, value double, props string")
+    df.select("event_id", F.to_timestamp("t").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(os.path.join(folder, name))
+
+
+def test_stream_violations(spark, scratch):
+    src, out, ck = (os.path.join(scratch, x) for x in ("in", "out", "ck"))
+    os.makedirs(src)
+    base = spark.createDataFrame([("value", 1.0, 0.0, 10.0), ("event_id", 1.0, 0.0, 1.0)], "column string, completeness double, min double, max double")
+    days = [[("01:10:00", 5.0), ("01:20:00", None), ("02:30:00", 50.0)], [("05:00:00", 1.0)], [("01:30:00", 99.0), ("05:10:00", -1.0)]]  # 01:30 is late by then
+    for k, rows in enumerate(days):
+        _event_file(spark, src, f"d{k}", rows)
+        jobs.run_violations_stream(spark, f"{src}/*", base, out, ["value", "event_id"], checkpoint=ck).awaitTermination(120)
+    before = {(r["window_start"].hour, r["column"]) for r in spark.read.parquet(out).collect()}
+    assert before == {(1, "value"), (2, "value"), (1, "event_id"), (2, "event_id")}
+    jobs.close_violations(spark, ck, out)
+    got = {(r["window_start"].hour, r["column"]): (r["rows"], r["completeness"], r["out_of_range"], r["completeness_violation"]) for r in spark.read.parquet(out).collect()}
+    assert got[1, "value"] == (2, 0.5, 0, True) and got[2, "value"] == (1, 1.0, 1, False) and got[5, "value"] == (2, 1.0, 1, False)
+    assert got[1, "event_id"] == (2, 1.0, 0, False) and len(got) == 6
