@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +183,40 @@ def bucket_by_length(df: DataFrame, length: Column | str, id_cols, batch_size: i
             .drop("_len"))
 
 
+def _budget_plan(budget: int):
+    """For every length, longest first: where its rows go. A batch that begins with a row of
+    some length takes ``budget // length`` rows (one at least), shorter ones too."""
+    def run(parts):
+        counts = [(int(a), int(b)) for p in parts for a, b in zip(p["_len"], p["_n"])]
+        rows, room, batches = [], 0, 0
+        for size, count in sorted(counts, reverse=True):
+            carried = min(room, count)
+            most = max(1, budget // max(1, size))
+            begun = -(-(count - carried) // most)
+            rows.append((size, carried, batches - 1, batches, most))
+            room = begun * most - (count - carried) if begun else room - carried
+            batches += begun
+        yield pd.DataFrame(rows, columns=["_len", "_carried", "_open", "_first", "_most"])
+
+    return run
+
+
+def batch_by_budget(df: DataFrame, length: Column | str, id_cols, budget: int, seed=42) -> DataFrame:
+    """SPL-10: batches of similar length whose padded size (rows times longest row) is ``budget`` at
+    most, or a single longer row: rows go by falling length, equal lengths in seeded order, and every
+    batch but the last is full. Null lengths count as 0.
+
+    Ranks come from the histogram of lengths (a row per distinct length, which one task turns into a
+    plan) and from counts by length and hash bucket, so rows of a hot length lie in many tasks."""
+    ln = F.col(length) if isinstance(length, str) else length
+    d = df.withColumn("_len", F.greatest(F.coalesce(ln.cast("long"), F.lit(0)), F.lit(0)))
+    plan = (d.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).coalesce(1)
+            .mapInPandas(_budget_plan(budget), "_len long, _carried long, _open long, _first long, _most long"))
+    ranked = global_rank(d, id_cols, seed, ["_len"], "_rank").join(plan, "_len")
+    batch = F.when(F.col("_rank") < F.col("_carried"), F.col("_open")).otherwise(F.col("_first") + F.floor((F.col("_rank") - F.col("_carried")) / F.col("_most")))
+    return ranked.select(*df.columns, batch.cast("bigint").alias("batch_id"))
+
+
 def mix(df: DataFrame, id_cols, category_col: str, shares: dict, seed=42) -> DataFrame:
     """SPL-07: keep floor(N·share_c) rows of each category c (seeded order),
     N = the largest total every category can fill = min_c floor(count_c/share_c),

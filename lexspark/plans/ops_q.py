@@ -576,15 +576,16 @@ def task_example_files(spark, sf_dir):
 
 @query("snapshot_copy", _sql_examples_de() + "SELECT id, task, system FROM ex")
 def snapshot_copy(spark, sf_dir):
-    """Examples saved as parquet, snapshotted to '<path>-v1' with the row
-    count and content hash verified, and the snapshot read back."""
+    """Examples saved as parquet, snapshotted twice with the row count and
+    content hash verified (the second copies no file), and read back."""
     path = scratch_folder(spark, "dataset")
     ex = examples_de(spark, sf_dir).drop("doc_id")
     ex.write.parquet(path)
-    snap = SK.snapshot(spark, path, "v1")
-    if not snap["verified"]:
-        raise RuntimeError(f"snapshot verification failed: {snap}")
-    back = spark.read.parquet(snap["target"])
+    for version in ("v1", "v2"):
+        snap = SK.snapshot(spark, path, version)
+        if not snap["verified"] or (version == "v2" and snap["copied"]):
+            raise RuntimeError(f"snapshot verification failed: {snap}")
+    back = SK.read_snapshot(spark, path, "v2")
     return back.select("id", F.col("metadata.task").alias("task"), F.col("conversations")[0]["content"].alias("system"))
 
 

@@ -149,6 +149,16 @@ def length_buckets(spark, sf_dir):
     return d.select("doc_id", "n_chars", "length_bucket", "salt", "batch_no")
 
 
+@query("token_budget_batches",
+       f"WITH RECURSIVE r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, {_h('doc_id')}, doc_id) AS rn FROM documents), "
+       "s AS (SELECT CAST(0 AS BIGINT) AS batch_id, CAST(1 AS BIGINT) AS a, (SELECT greatest(1, 65536 // greatest(1, n_chars)) FROM r WHERE rn = 1) AS m UNION ALL "
+       "SELECT s.batch_id + 1, r.rn, greatest(1, 65536 // greatest(1, r.n_chars)) FROM s JOIN r ON r.rn = s.a + s.m) "
+       "SELECT doc_id, n_chars, batch_id FROM r JOIN s ON rn >= a AND rn < a + m")
+def token_budget_batches(spark, sf_dir):
+    """Documents in batches of at most 65,536 padded characters."""
+    return SP.batch_by_budget(read_table(spark, sf_dir, "documents"), "n_chars", "doc_id", 65536).select("doc_id", "n_chars", "batch_id")
+
+
 @query("batch_ids", f"SELECT conv_id, turn, CAST(floor((row_number() OVER (ORDER BY {_h('conv_id', 'turn')}, conv_id, turn) - 1) / 100) AS BIGINT) "
        "AS batch_id FROM conversations")
 def batch_ids(spark, sf_dir):

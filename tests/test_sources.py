@@ -127,7 +127,12 @@ def test_split_sinks_round_trip_and_snapshot(spark, scratch):
     SK.write_splits(df, path)
     assert RD.read_splits(spark, path, "test").count() == 10
     snap = SK.snapshot(spark, path, "v1")
-    assert snap["verified"] and snap["rows"] == 30
+    assert snap["verified"] and snap["rows"] == 30 and snap["copied"] > 0
+    assert SK.snapshot(spark, path, "v2")["copied"] == 0
+    spark.createDataFrame([(99, "new")], "id long, split string").write.mode("append").partitionBy("split").parquet(path)
+    assert SK.snapshot(spark, path, "v3") == {"version": "v3", "rows": 31, "copied": 1, "verified": True}
+    assert [SK.read_snapshot(spark, path, v).count() for v in ("v1", "v2", "v3")] == [30, 30, 31]
+    assert sorted(tuple(r) for r in SK.read_snapshot(spark, path, "v1").select("id", "split").collect()) == sorted(tuple(r) for r in df.collect())
     uris = SK.publish(df, os.path.join(scratch, "pub"))
     assert uris["train"].endswith("split=train")
     SK.write_docs(spark.createDataFrame([("/x/a.txt", "t")], "source_file string, t string"),
@@ -146,3 +151,23 @@ def test_line_numbers_follow_file_order_across_splits(spark, scratch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(int(r["id"]) for r in out) == list(range(1234))
+
+
+def test_a_reader_sees_the_old_version_or_the_new_one(spark, scratch):
+    uri = os.path.join(scratch, "pub")
+    assert SK.published(spark, uri) is None
+    df = spark.createDataFrame([(i, "train") for i in range(5)], "id long, split string")
+    SK.publish(df, uri)
+    old = SK.published(spark, uri)
+    broken = df.withColumn("id", F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long"))
+    try:
+        SK.publish(broken, uri)
+        raise AssertionError("published")
+    except Exception as e:  # noqa: BLE001
+        assert "no" in str(e)
+    assert SK.published(spark, uri) == old and spark.read.json(old).count() == 5
+    SK.publish(df.limit(2), uri)
+    assert SK.published(spark, uri) != old
+    assert spark.read.json(SK.published(spark, uri)).count() == 2 and spark.read.json(old).count() == 5
+    manifest = spark.read.json(old.replace("/data", "/manifest")).collect()
+    assert manifest and all(r["file"].startswith("split=train/part-") and len(r["sha256"]) == 64 for r in manifest)

@@ -3,6 +3,7 @@ sort of the seeded hash."""
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,23 @@ def test_hash_split_is_narrow_and_close_to_ratios(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     c = {r["split"]: r["count"] / 20000 for r in out.groupBy("split").count().collect()}
     assert abs(c["train"] - 0.8) < 0.02 and abs(c["validation"] - 0.1) < 0.02 and abs(c["test"] - 0.1) < 0.02
+
+
+def test_batches_by_budget(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0, 1, 7, 7, 7, 7, 30, 64, 65, 1000])) for i in range(700)] + [(700, None)]
+    df = spark.createDataFrame(rows, "id long, n long")
+    got = SP.batch_by_budget(df, "n", "id", 64).collect()
+    assert len(got) == 701
+    batches = {}
+    for r in got:
+        batches.setdefault(r["batch_id"], []).append(r["n"] or 0)
+    assert sorted(batches) == list(range(len(batches)))
+    short = 0
+    for b, ns in sorted(batches.items()):
+        most = max(1, 64 // max(1, max(ns)))
+        assert len(ns) <= most
+        short += len(ns) < most
+        assert b == 0 or max(ns) <= min(batches[b - 1])
+    assert short <= 1
+    assert SP.batch_by_budget(df.limit(0), "n", "id", 64).collect() == []
