@@ -441,6 +441,20 @@ def archive_decisions(spark, sf_dir):
         "source_file", *[F.lit(None).cast("string").alias(c) for c in (*columns[1:], "full_text_md5")], "error"))
 
 
+@query("archive_members", f"SELECT source_file, court, date, case_number, full_text_md5, error FROM ({_decisions_sql()})")
+def archive_members(spark, sf_dir):
+    """German decisions as members of a few archives, read through the archive source and parsed."""
+    from ..sources import archives as AR
+    folder = scratch_folder(spark, "archives")
+    lg = legal(spark, sf_dir).where(F.col("language") == "de")
+    AR.write_archives(lg.select(F.format_string("%d.zip", F.col("doc_id") % 4).alias("archive"), F.format_string("%d.xml", F.col("doc_id")).alias("member"),
+                                _decision_xml().alias("content")), folder)
+    AR.register(spark)
+    members = spark.read.format("archive").option("path", folder).option("partitionBytes", 1 << 16).load()
+    out = MK.parse_decisions(members.select(F.regexp_extract("member", r"^(\d+)", 1).alias("source_file"), F.col("content").alias("xml")), "xml", "source_file")
+    return out.select("source_file", "court", "date", "case_number", F.md5("full_text").alias("full_text_md5"), "error")
+
+
 # ---------------------------------------------------------------- catalogue (SRC-09)
 
 _CAT_LINK = "CASE WHEN document_type IS NOT NULL THEN concat('https://example.invalid/', CAST(doc_id AS STRING)) END"
