@@ -179,6 +179,17 @@ def co_citations(spark, sf_dir):
     return C.co_citation_profile(_pre(spark, sf_dir, keep_sections=False), "doc_id", "citations")
 
 
+@query("nearest_by_authorities", _pre_sql(
+    ", ne AS (SELECT DISTINCT doc_id, citation FROM (SELECT doc_id, unnest(cits) AS citation FROM p)), "
+    "nw AS (SELECT citation, CAST(floor(1000 * ln(CAST((SELECT count(DISTINCT doc_id) FROM ne) + 1 AS DOUBLE) / count(*))) AS BIGINT) AS w FROM ne GROUP BY citation), "
+    "ns AS (SELECT a.doc_id, b.doc_id AS partner, CAST(sum(w) AS BIGINT) AS score FROM ne a JOIN ne b ON a.citation = b.citation AND a.doc_id <> b.doc_id JOIN nw ON nw.citation = a.citation GROUP BY 1, 2) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, partner) AS INTEGER) AS rank, partner, score FROM ns WHERE score > 0 QUALIFY rank <= 3").replace(" , ne AS", ", ne AS"))
+def nearest_by_authorities(spark, sf_dir):
+    """The three nearest documents of each by shared authorities."""
+    from ..operators.neighbours import nearest_by_authorities as nearest
+    return nearest(_pre(spark, sf_dir, keep_sections=False), 3, "doc_id", "citations", most=100)
+
+
 # ---------------------------------------------------------------- masking
 
 @query("anonymize_en", with_legal(
