@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_row, cut, from_row, small_batches, written
+from .ranges import Held, dealt, flat, ranges_for
 from .words import bit_set, bits, mix, words_of
 
 _BITS = 18
@@ -104,18 +105,24 @@ def _passes(n1, p1, s1, z1, n2, p2, s2, z2, t: Fraction):
             & (np.minimum(n1 - p1, n2 - p2) >= need) & (np.bitwise_count(s1 ^ s2).astype(np.int64) + np.bitwise_count(z1 ^ z2) <= n1 + n2 - 2 * need))
 
 
-def _postings(counts: np.ndarray, t: Fraction, shift: int):
+def _postings(counts: np.ndarray, t: Fraction, shift: int, ranges: int):
     """The prefix words of every set that a different set can be similar to.
 
     slot: word (32 bits of its hash) and order of the line's document (its id without ``shift``
     bits); a word on more than PART_ROWS lines is dealt to several slots by the set, and then
-    ``dealt`` has the word itself.
+    ``dealt`` has the word itself, else ``_ALONE``. Postings of a slot's word are of one range.
     """
     rank = np.empty(BUCKETS, np.uint64)
     rank[np.lexsort((np.arange(BUCKETS), counts))] = np.arange(BUCKETS, dtype=np.uint64)
     parts = counts // PART_ROWS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(_POSTING)
+
+        def out() -> pa.RecordBatch:
+            columns = held.take()
+            return dealt(columns["slot"] >> 32, columns, ranges)
+
         for b in batches:
             order = np.clip(b.column("doc_order").to_numpy() >> shift, 0, _LAST_ORDER)
             for row, _, size, words in _line_sets(b.column("text"), rank):
@@ -130,20 +137,22 @@ def _postings(counts: np.ndarray, t: Fraction, shift: int):
                 deal = parts[(word & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 word = (word >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64)
                 own = np.where(deal > 1, (word + 1 + cls[line] % deal).astype(np.int32), word)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((own << 32) | order[row[line]]), pa.array(cls[line]), *(pa.array(x[line].view(np.int64)) for x in sig),
-                     pa.array((size[line] << 32) | pos), pa.array(word, mask=deal == 1)],
-                    names=["slot", "cls", "sig", "sig2", "at", "dealt"])
+                if held.add((own << 32) | order[row[line]], cls[line], *(x[line].view(np.int64) for x in sig), (size[line] << 32) | pos, np.where(deal > 1, word, _ALONE)):
+                    yield out()
+        if held.rows:
+            yield out()
 
     return run
 
 
+_POSTING = ["slot", "cls", "sig", "sig2", "at", "dealt"]
+_ALONE = 1 << 40  # no word has that number
 _NOTHING = pa.RecordBatch.from_pydict(
     {c: pa.array([], pa.bool_() if c == "more" else pa.int64()) for c in ("word", "ord", "cls", "sig", "sig2", "n", "pos", "head", "more")})
 
 
 def _examine(t: Fraction):
-    """Of postings sorted by word and order, those that pass with their list's first (``head``) or
+    """Of a range's postings, by word and order, those that pass with their list's first (``head``) or
     may pass with another one of the list (``more``)."""
     def part(x: pa.Table, first: list | None, whole: bool) -> tuple[pa.RecordBatch, list]:
         slot, cls, sig, sig2, at = (x.column(c).to_numpy() for c in ("slot", "cls", "sig", "sig2", "at"))
@@ -219,7 +228,15 @@ def _examine(t: Fraction):
         if size:
             yield part(pa.Table.from_batches(held).combine_chunks(), first, True)[0]
 
-    return run
+    def examine(rows: pa.Table) -> pa.Table:
+        columns = {c: flat(rows, c) for c in _POSTING}
+        order = np.argsort(columns["slot"], kind="stable")
+        columns = {c: x[order] for c, x in columns.items()}
+        alone = columns["dealt"] == _ALONE
+        postings = pa.table([pa.array(x, mask=alone if c == "dealt" else None) for c, x in columns.items()], names=_POSTING)
+        return pa.Table.from_batches(run(iter(postings.to_batches(max_chunksize=RUN_ROWS))), _NOTHING.schema)
+
+    return examine
 
 
 def _word_sets(wanted: np.ndarray):
@@ -283,11 +300,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     place = F.struct("doc_order", "text_hash", "line_no")
     classes = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")), "classes")
 
-    top = lines.filter(F.col("doc_order") < _LAST).agg(F.max("doc_order")).first()[0] or 0
+    top, n = lines.agg(F.coalesce(F.max(F.when(F.col("doc_order") < _LAST, F.col("doc_order"))), F.lit(0)), F.count("*")).first()
+    ranges = ranges_for(int(n + counts.sum() * (1 - t)))  # no set has more postings than this share of its words, and one
     shift = max(0, int(top).bit_length() - 32)
-    met = cut(source.mapInArrow(_postings(counts, t, shift), "slot long, cls long, sig long, sig2 long, at long, dealt long")
-              .repartition(F.shiftright("slot", 32)).sortWithinPartitions("slot")
-              .mapInArrow(_examine(t), "word long, ord long, cls long, sig long, sig2 long, n long, pos long, head long, more boolean"))
+    postings = source.mapInArrow(_postings(counts, t, shift, ranges), "range long, " + ", ".join(f"{c} array<long>" for c in _POSTING))
+    met = cut(postings.groupBy("range").applyInArrow(_examine(t), "word long, ord long, cls long, sig long, sig2 long, n long, pos long, head long, more boolean"))
     either = met.select("cls").unionByName(met.filter("head is not null").select(F.col("head").alias("cls"))).distinct()
     sets = written(source.mapInArrow(_word_sets(bits(either)), "doc_order long, text_hash long, line_no long, cls long, words array<long>")
                    .groupBy("cls").agg(F.first("words").alias("words"), F.min(place).alias("first")), "sets")
