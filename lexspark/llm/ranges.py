@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from .words import mix
 
-HELD = 1 << 20  # numbers of a column that a task holds before it hands them on
-RANGE = 1 << 20  # of a range
+HELD = 1 << 19  # numbers of a column that a task holds before it hands them on
+RANGE = 1 << 19  # of a range
 
 
 def ranges_for(rows: int) -> int:
