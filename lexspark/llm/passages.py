@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches, written
 from .components import components
+from .ranges import Held, dealt, flat, ranges_for
 from .words import bit_set, bits, mix, words_of
 
 SHINGLE = 5
@@ -75,22 +76,55 @@ def _paragraphs(texts: pa.Array):
     return row[at][long_], number[long_], (at - text_at)[long_], size[long_], key[long_].view(np.int64), each[long_], mix(shingle, 13)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_ranges(made, names: list[str], ranges: int):
+    """What ``made`` makes of each batch, columns of ``names``, dealt by ranges of the first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(names)
+        for b in batches:
+            for columns in made(b):
+                if held.add(*columns):
+                    part = held.take()
+                    yield dealt(part[names[0]].view(np.uint64), part, ranges)
+        if held.rows:
+            part = held.take()
+            yield dealt(part[names[0]].view(np.uint64), part, ranges)
+
+    return run
+
+
+def _lists(names: list[str]) -> str:
+    return "range long, " + ", ".join(f"{c} array<long>" for c in names)
+
+
+_BANDED = ["bucket", "cls", "n"]
+
+
+def _banded(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """(bucket, cls, n): a row for each band of each distinct paragraph of a batch. The lowest bits
     of a bucket are its band."""
-    for b in batches:
-        _, _, _, _, key, each, shingle = _paragraphs(b.column("text"))
-        if not len(key):
-            continue
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        start = (np.cumsum(each) - each)
-        least = [np.minimum.reduceat(shingle * f ^ (shingle >> np.uint64(31)), start)[first] for f in _FACTORS[:BANDS * ROWS]]
-        for band in range(BANDS):
-            bucket = np.zeros(len(key), np.uint64)
-            for r in range(ROWS):
-                bucket = mix(bucket + least[band * ROWS + r], 17 + band)
-            bucket = (bucket & ~np.uint64(7)) | np.uint64(band)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(key), pa.array(n)], names=["bucket", "cls", "n"])
+    _, _, _, _, key, each, shingle = _paragraphs(b.column("text"))
+    if not len(key):
+        return
+    key, first, n = np.unique(key, return_index=True, return_counts=True)
+    start = (np.cumsum(each) - each)
+    least = [np.minimum.reduceat(shingle * f ^ (shingle >> np.uint64(31)), start)[first] for f in _FACTORS[:BANDS * ROWS]]
+    for band in range(BANDS):
+        bucket = np.zeros(len(key), np.uint64)
+        for r in range(ROWS):
+            bucket = mix(bucket + least[band * ROWS + r], 17 + band)
+        bucket = (bucket & ~np.uint64(7)) | np.uint64(band)
+        yield bucket.view(np.int64), key, n
+
+
+_MET = pa.schema([("bucket", pa.int64()), ("cls", pa.int64()), ("head", pa.int64()), ("repeated", pa.bool_()), ("crowd", pa.bool_())])
+
+
+def _collide_range(rows: pa.Table) -> pa.Table:
+    """``_collide`` for the rows of one range."""
+    x = {c: flat(rows, c) for c in _BANDED}
+    order = np.lexsort((x["cls"], x["bucket"]))
+    table = pa.table([v[order] for v in x.values()], names=_BANDED)
+    return pa.Table.from_batches([b.cast(_MET) for b in _collide(iter(table.to_batches(max_chunksize=RUN_ROWS)))], _MET)
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,22 +209,46 @@ def _windows(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, _, _, anchor = _windows(b.column("text"), length)
-            new = np.ones(len(row), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), b.column("doc").take(pa.array(row[new]))], names=["cls", "doc"])
+    def made(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        row, _, _, anchor = _windows(b.column("text"), length)
+        new = np.ones(len(row), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        yield anchor[new], b.column("doc").to_numpy()[row[new]]
+
+    return made
+
+
+def _several(rows: pa.Table) -> pa.Table:
+    """Anchors of a range that stand in several documents."""
+    cls, doc = flat(rows, "cls"), flat(rows, "doc")
+    order = np.lexsort((doc, cls))
+    cls, doc = cls[order], doc[order]
+    apart = (cls[1:] == cls[:-1]) & (doc[1:] != doc[:-1])
+    return pa.table([np.unique(cls[1:][apart])], names=["cls"])
+
+
+_RUN = ["run", "doc_order", "text_hash", "start_word"]
 
-    return run
 
+def _firsts(rows: pa.Table) -> pa.Table:
+    """The first place of every run of a range that stands in several documents."""
+    run, doc, text, word = (flat(rows, c) for c in _RUN)
+    order = np.lexsort((word, text, doc, run))
+    run, doc, text, word = run[order], doc[order], text[order], word[order]
+    new = np.concatenate((np.ones(min(1, len(run)), bool), run[1:] != run[:-1]))
+    other = ~new
+    other[1:] &= (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    group = np.cumsum(new) - 1
+    at = np.flatnonzero(new)[np.bincount(group, other, minlength=int(new.sum())) > 0]
+    return pa.table([run[at], doc[at], text[at], word[at]], names=_RUN)
 
-def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray | None = None):
-    """The runs whose anchor's bit is set, and their own in ``shared``, if given."""
+
+def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray):
+    """The runs whose anchor's bit is set, and their own in ``shared``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, first, whole, anchor = _windows(b.column("text"), length)
-            ok = bit_set(wanted, anchor) & (True if shared is None else bit_set(shared, whole))
+            ok = bit_set(wanted, anchor) & bit_set(shared, whole)
             at = pa.array(row[ok])
             yield pa.RecordBatch.from_arrays([b.column("doc_order").take(at), b.column("text_hash").take(at), pa.array(first[ok]), pa.array(whole[ok])],
                                              names=["doc_order", "text_hash", "start_word", "run"])
@@ -198,6 +256,15 @@ def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray | None = None)
     return run
 
 
+def _run_places(wanted: np.ndarray, length: int):
+    def made(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        row, first, whole, anchor = _windows(b.column("text"), length)
+        ok = bit_set(wanted, anchor)
+        yield whole[ok], b.column("doc_order").to_numpy()[row[ok]], b.column("text_hash").to_numpy()[row[ok]], first[ok]
+
+    return made
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
@@ -211,6 +278,10 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).alias("text"))
 
 
+def _bytes(source: DataFrame) -> int:
+    return source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = 15, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """The rows of ``repeated_paragraphs`` and ``repeated_runs``, which may overlap: a word goes if
@@ -226,13 +297,12 @@ def repeated_runs(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id",
     which overlap."""
     small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
-    several = (source.select(F.xxhash64("doc_order", "text_hash").alias("doc"), "text").mapInArrow(_anchors(min_words), "cls long, doc long")
-               .groupBy("cls").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high").select("cls"))
-    wanted, schema = bits(cut(several)), "doc_order long, text_hash long, start_word long, run long"
-    place = F.struct("doc_order", "text_hash", "start_word")
-    firsts = written(source.mapInArrow(_anchored(wanted, min_words), schema)
-                     .groupBy("run").agg(F.min(place).alias("first"), F.max(F.struct("doc_order", "text_hash")).alias("high"))
-                     .filter("struct(first.doc_order, first.text_hash) != high").select("run", "first"), "firsts")
+    ranges = ranges_for(_bytes(source) // 12)  # an anchor and a run for each few words
+    anchors = source.select(F.xxhash64("doc_order", "text_hash").alias("doc"), "text").mapInArrow(_in_ranges(_anchors(min_words), ["cls", "doc"], ranges), _lists(["cls", "doc"]))
+    wanted, schema = bits(cut(anchors.groupBy("range").applyInArrow(_several, "cls long"))), "doc_order long, text_hash long, start_word long, run long"
+    places = source.mapInArrow(_in_ranges(_run_places(wanted, min_words), _RUN, ranges), _lists(_RUN))
+    firsts = written(places.groupBy("range").applyInArrow(_firsts, "run long, doc_order long, text_hash long, start_word long")
+                     .select("run", F.struct("doc_order", "text_hash", "start_word").alias("first")), "firsts")
     runs = source.mapInArrow(_anchored(wanted, min_words, bits(firsts.select(F.col("run").alias("cls")))), schema)
     shift = F.col("start_word") - F.col("first.start_word")
     own = ["doc_order", "text_hash", "first_order", "first_hash", "shift"]
@@ -262,9 +332,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, min_words: int
     t = Fraction(str(similarity))
     small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
-    met = cut(source.select("text").mapInArrow(_banded, "bucket long, cls long, n long")
-              .repartition("bucket").sortWithinPartitions("bucket", "cls")
-              .mapInArrow(_collide, "bucket long, cls long, head long, repeated boolean, crowd boolean"))
+    ranges = ranges_for(_bytes(source) // 12)  # five bands for a paragraph of eleven words
+    met = cut(source.select("text").mapInArrow(_in_ranges(_banded, _BANDED, ranges), _lists(_BANDED))
+              .groupBy("range").applyInArrow(_collide_range, "bucket long, cls long, head long, repeated boolean, crowd boolean"))
     star = cut(met.filter("head is not null").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct())
     paired = cut(star.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(met.filter("crowd").select("cls")).distinct())
     again = cut(met.filter("repeated").select("cls").distinct())

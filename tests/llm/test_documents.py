@@ -199,9 +199,9 @@ def _all_components(texts):
     _, _, _, _, key, each, shingle = passages._paragraphs(pa.array(texts))
     sets = dict(zip(key.tolist(), map(frozenset, np.split(shingle, np.cumsum(each)[:-1]))))
     buckets = defaultdict(set)
-    for b in passages._banded(iter([pa.RecordBatch.from_pydict({"text": texts})])):
-        for r in b.to_pylist():
-            buckets[r["bucket"]].add(r["cls"])
+    for bucket, cls, _ in passages._banded(pa.RecordBatch.from_pydict({"text": texts})):
+        for b, c in zip(bucket.tolist(), cls.tolist()):
+            buckets[b].add(c)
     near = {k: {k} for k in sets}
     for bucket in buckets.values():
         for a, b in itertools.combinations(bucket, 2):
