@@ -1,9 +1,10 @@
 """Approximate nearest neighbours (largest inner product) by a permutation index.
 
-A vector is represented by its nearest pivots in order. Each block of vectors keeps an inverted
-file: for every pivot, the places it has in the vectors' orders. A query adds up, over the files of
-its own nearest pivots, how much nearer each vector comes by footrule distance; the best share of
-every block is scored exactly.
+A vector is represented by its nearest pivots in order. Each block of vectors keeps inverted files:
+for every pivot, the vectors that have it in their orders, and where. A query adds up, over the files
+of its own nearest pivots, how much nearer each vector posted there comes by footrule distance; the
+best share of every block is scored exactly. Vectors are sent to their block once; the queries pass
+by them in batches.
 
 Vectors get one more component, so that all have the largest norm (queries: zero); the nearest by
 distance are then those of the largest inner product, whatever the norms.
@@ -19,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import answers, best_of, distinct, matrix, usable
+from .vectors import answers, beside, best_of, distinct, matrix, rows_of, sampled, usable
 
 PIVOTS = 256  # sampled vectors, by the smallest hashes of their ids
 NEAREST = 64  # of them in a vector's order
 SHARE = 0.15  # of a block's vectors that are scored exactly, and at least so many:
 LEAST = 128
-BLOCK, QUERY_BLOCK = 8192, 1024
+MEGABYTES = 32  # of vectors in a block
 
 
 def _lifted(x: np.ndarray, top: float | None) -> np.ndarray:
@@ -40,29 +41,46 @@ def _orders(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :nearest].astype(np.uint16)
 
 
-def _search(k: int, share: float, least: int, n_pivots: int):
-    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-        vid, x, order = block.column("vid").to_numpy(), matrix(block.column("v")), matrix(block.column("pivots")).astype(np.int64)
-        q_vid, q, q_order = asked.column("qvid").to_numpy(), matrix(asked.column("v")), matrix(asked.column("pivots")).astype(np.int64)
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(vid) and len(q_vid):
-            n, nearest = order.shape
-            take = min(n, max(least, int(np.ceil(share * n))))
-            posted = np.zeros((n_pivots, n), np.uint16)  # the inverted file: nearest less the pivot's place, 0 if it is not there
-            posted[order, np.arange(n)[:, None]] = nearest - np.arange(nearest, dtype=np.uint16)
-            for j in range(len(q_vid)):
-                # footrule over both orders, absent pivots in place ``nearest``: a constant less twice this sum
-                near = np.zeros(n, np.uint32)
-                for place, p in enumerate(q_order[j]):
-                    near += np.minimum(posted[p], np.uint16(nearest - place))
-                at = np.argpartition(near, n - take)[n - take:]
-                cut_off = near[at].min()
-                at = np.flatnonzero(near >= cut_off)  # all that tie with the last
-                s = np.einsum("ij,j->i", x[at], q[j])
-                best = np.lexsort((vid[at], -s))[:k + 1]
-                out.append((np.full(len(best), q_vid[j]), vid[at][best], s[best]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(columns, names=["qvid", "vid", "s"])
+class Block:
+    """Vectors of a block with the inverted files of the pivots in their orders."""
+
+    def __init__(self, vid: np.ndarray, x: np.ndarray, order: np.ndarray, n_pivots: int):
+        self.vid, self.x = vid, x
+        self.nearest = order.shape[1]
+        by_pivot = np.argsort(order.ravel(), kind="stable")
+        self.rows = (by_pivot // self.nearest).astype(np.int32)
+        self.gain = (self.nearest - by_pivot % self.nearest).astype(np.uint16)  # nearest less the pivot's place
+        self.begin = np.searchsorted(order.ravel()[by_pivot], np.arange(n_pivots + 1))
+
+    def nearness(self, order: np.ndarray) -> np.ndarray:
+        """Footrule distance of every vector's order to this one, pivots absent from one in place
+        ``nearest``: it is nearest * (nearest + 1) less twice this sum."""
+        near = np.zeros(len(self.vid), np.uint32)
+        for place, p in enumerate(order):
+            a, b = self.begin[p], self.begin[p + 1]
+            near[self.rows[a:b]] += np.minimum(self.gain[a:b], np.uint16(self.nearest - place))
+        return near
+
+    def best(self, q: np.ndarray, order: np.ndarray, k: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best of the ``take`` nearest, and of all that tie with the last of these."""
+        near = self.nearness(order)
+        at = np.flatnonzero(near >= np.partition(near, len(near) - take)[len(near) - take])
+        s = np.einsum("ij,j->i", self.x[at], q)
+        first = np.lexsort((self.vid[at], -s))[:k]
+        return at[first], s[first]
+
+
+def _built(n_pivots: int):
+    return lambda t: Block(t.column("vid").to_numpy(), matrix(t.column("v")), matrix(t.column("pivots")).astype(np.int64), n_pivots)
+
+
+def _answered(k: int, share: float, least: int):
+    def run(block: Block, asked: pa.RecordBatch) -> pa.RecordBatch:
+        take = min(len(block.vid), max(least, int(np.ceil(share * len(block.vid)))))
+        found = [block.best(q, order, k, take) for q, order in zip(matrix(asked.column("v")), matrix(asked.column("pivots")).astype(np.int64))]
+        at, s = (np.concatenate(c) for c in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(asked.column("vid").to_numpy(), [len(f[0]) for f in found])),
+                                           pa.array(block.vid[at]), pa.array(s)], names=["qvid", "vid", "s"])
 
     return run
 
@@ -80,9 +98,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     """
     rows = usable(vectors, id_col, vec_col, zero=False)
     data = distinct(rows, k + 1)
-    sample = data.orderBy(F.xxhash64("vid"), "vid").limit(n_pivots).select("v").toArrow()  # n_pivots rows
-    top = data.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0.0
-    pivots = _lifted(matrix(sample.column("v")), top)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    n, top, width = data.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
+    sample = sampled(data, n, n_pivots).select("v").toArrow()  # n_pivots rows
+    pivots = _lifted(matrix(sample.column("v")), top or 0.0)
     near = min(nearest, max(1, len(pivots) // 2))
 
     def ordered(lift: float | None):
@@ -91,20 +110,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
                 if b.num_rows:
                     order = _orders(_lifted(matrix(b.column("v")), lift), pivots, near)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1) * near, pa.int32()), pa.array(order.ravel().astype(np.int16)))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column("v"), lists], names=[b.schema.names[0], "v", "pivots"])
+                    yield pa.RecordBatch.from_arrays([b.column("vid"), b.column("v"), lists], names=["vid", "v", "pivots"])
 
         return run
 
     queries = cut(rows.filter(F.col("vec_id") % every == 0).distinct().join(data.select("v", "vid"), "v")
                   .select(F.col("vec_id").alias("query_id"), F.col("vid").alias("qvid"), "v"))
-    asked = queries.groupBy("qvid").agg(F.first("v").alias("v"))
-    n, n_asked = data.count(), asked.count()
-    blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
-    schema = "{0} long, v array<double>, pivots array<short>"
-    left = (data.select("vid", "v").mapInArrow(ordered(top), schema.format("vid"))
-            .withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(blocks))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
-    right = (asked.select("qvid", "v").mapInArrow(ordered(None), schema.format("qvid"))
-             .withColumn("q_block", F.pmod(F.xxhash64("qvid"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
-    found = (left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block"))
-             .applyInArrow(_search(k, share, least, len(pivots)), "qvid long, vid long, s double"))
+    asked = queries.groupBy(F.col("qvid").alias("vid")).agg(F.first("v").alias("v"))
+    blocks = max(1, -(-n // rows_of(MEGABYTES, width or 1)))
+    schema = "vid long, v array<double>, pivots array<short>"
+    left = (data.select("vid", "v").mapInArrow(ordered(top or 0.0), schema)
+            .withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(blocks))))
+    right = (asked.select("vid", "v").mapInArrow(ordered(None), schema)
+             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
+    found = beside(left, right, ["block"], [], _built(len(pivots)), _answered(k + 1, share, least), "qvid long, vid long, s double")
     return answers(best_of(found, k + 1), data, queries.select("query_id", "qvid"), k, F.col("s"))

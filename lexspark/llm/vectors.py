@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +31,47 @@ def distinct(rows: DataFrame, keep: int) -> DataFrame:
     return cut(first.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("vid", F.col("ids")[0]))
 
 
+def sampled(data: DataFrame, n: int, size: int) -> DataFrame:
+    """The ``size`` of the ``n`` distinct vectors whose ids have the smallest hashes. A threshold on the
+    hash keeps about twice as many (64 more) before they are ordered, whatever the table's size."""
+    h, span = F.pmod(F.xxhash64("vid"), F.lit(1 << 30)), 1 << 30
+    least = min(span, -(-(2 * size + 64) * span // max(1, n)))
+    return data.filter(h < least).orderBy(h, "vid").limit(size)
+
+
+def rows_of(megabytes: int, width: int) -> int:
+    """How many vectors of so many doubles fit."""
+    return max(1, (megabytes << 20) // (8 * max(1, width)))
+
+
+def beside(held: DataFrame, asked: DataFrame, keys: list[str], order: list[str], build: Callable, answer: Callable,
+           schema: str) -> DataFrame:
+    """Rows ``held`` of a key come first and are kept, as ``build`` makes them of their table; those
+    ``asked`` of it then pass by in batches, each given to ``answer`` with what was built. So held
+    rows are sent once, however many ask, and a task holds one key's and a batch."""
+    rows = held.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, built = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*keys, "asks"]])
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
+            for begin, end in zip(starts, np.r_[starts[1:], len(at)]):
+                key, asks = tuple(at[begin, :-1]), bool(at[begin, -1])
+                if key != current:
+                    current, parts, built = key, [], None
+                if not asks:
+                    parts.append(b.slice(begin, end - begin))
+                elif parts or built is not None:
+                    if built is None:
+                        built, parts = build(pa.Table.from_batches(parts)), []
+                    yield answer(built, b.slice(begin, end - begin))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "asks", *order).mapInArrow(run, schema)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     if isinstance(column, pa.ChunkedArray):

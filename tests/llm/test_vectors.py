@@ -3,9 +3,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lexspark.llm import mtree, permutation
+from lexspark.llm.vectors import sampled
 from tests.llm.conftest import values
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -33,9 +36,10 @@ def brute(rows, every, k, score, zero):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_exact_topk(spark, monkeypatch, small):
-    if small:  # many routing objects, rings and pages
-        for name, value in (("CELL", 20), ("PAGE", 8), ("QUERY_BLOCK", 5)):
+    if small:  # many routing objects, several subtrees below one, deep ones
+        for name, value in (("CELL", 20), ("PAGE", 4), ("FAN", 3), ("AHEAD", 2), ("SLICE", 3)):
             monkeypatch.setattr(mtree, name, value)
+        monkeypatch.setattr(mtree, "rows_of", lambda megabytes, width: 10)
     rows = vectors()
     d = spark.createDataFrame(rows, SCHEMA).repartition(4)
     want = brute(rows, 50, 5, lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b)), zero=True)
@@ -47,6 +51,52 @@ def test_exact_topk_of_few_rows(spark):
     assert values(mtree.search(d)) == [(0, 1, 7, 128 * 256), (0, 2, 50, 128 * 256), (50, 1, 0, 128 * 256), (50, 2, 7, 2 * 128 * 128)]
 
 
+def test_clustered_vectors_spare_computations():
+    """Nodes have radii, entries their distances: on clusters, few are computed, and none is missed."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-2000, 2000, (40, 16))
+    v = np.unique((centres[rng.integers(0, 40, 8000)] + rng.integers(-40, 41, (8000, 16))).astype(float), axis=0)
+    top = float(np.sqrt((v * v).sum(axis=1).max()))
+    rows = pa.table({"vid": np.arange(len(v)), "v": list(v)})
+    made = mtree._grown(top, permutation._lifted(v[:1], top))((pa.scalar(0), pa.scalar(0)), rows).sort_by("node")
+    tree = mtree._built(top)(made)
+    assert sorted(made.filter(pc.equal(made["child"], -1))["vid"].to_pylist()) == list(range(len(v)))
+    for e in made.to_pylist():  # a radius covers all vectors below
+        if e["child"] >= 0:
+            below, todo = [], [e["child"]]
+            while todo:
+                n = todo.pop()
+                for i in range(tree.begin[n], tree.begin[n + 1]):
+                    (below if tree.child[i] < 0 else todo).append(tree.vid[i] if tree.child[i] < 0 else tree.child[i])
+            far = np.linalg.norm(permutation._lifted(v[below], top) - permutation._lifted(np.array([e["v"]]), top), axis=1)
+            assert far.max() <= e["radius"] + 1e-6
+    asked = v[::200]
+    for q in asked:
+        far = mtree._distances(permutation._lifted(q[None], None), permutation._lifted(v[:1], top))[0, 0]
+        vid, s = tree.best(q, far, np.inf, 6)
+        want = sorted((-float(q @ x), i) for i, x in enumerate(v))[:6]
+        assert [(-a, b) for a, b in zip(s, vid)] == want
+    assert tree.computed < 0.5 * len(v) * len(asked)
+
+
+def test_footrule_by_inverted_files():
+    """Sums over the files are the footrule distances of the orders."""
+    rng = np.random.default_rng(2)
+    order = np.array([rng.permutation(20)[:8] for _ in range(50)])
+    block = permutation.Block(np.arange(50), np.zeros((50, 2)), order, 20)
+    for q in order[:10]:
+        near = block.nearness(q)
+        for i, o in enumerate(order):
+            place = lambda x, p: list(x).index(p) if p in x else 8
+            assert sum(abs(place(q, p) - place(o, p)) for p in range(20)) == 8 * 9 - 2 * int(near[i])
+
+
+@pytest.mark.parametrize("n", [1, 40, 5000])
+def test_sample_by_hash(spark, n):
+    d = spark.range(n).withColumnRenamed("id", "vid")
+    assert sampled(d, n, 30).count() == min(n, 30)
+
+
 def test_nearest_of_all_candidates_is_exact(spark):
     """With every vector scored the answers are those of brute force, ties and copies included."""
     rows = vectors()
