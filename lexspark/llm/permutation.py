@@ -26,7 +26,7 @@ PIVOTS = 256  # sampled vectors, by the smallest hashes of their ids
 NEAREST = 64  # of them in a vector's order
 SHARE = 0.15  # of a block's vectors that are scored exactly, and at least so many:
 LEAST = 128
-MEGABYTES = 32  # of vectors in a block
+MEGABYTES = 8  # of vectors in a block
 
 
 def _lifted(x: np.ndarray, top: float | None) -> np.ndarray:
@@ -48,7 +48,7 @@ class Block:
         self.vid, self.x = vid, x
         self.nearest = order.shape[1]
         by_pivot = np.argsort(order.ravel(), kind="stable")
-        self.rows = (by_pivot // self.nearest).astype(np.int32)
+        self.rows = by_pivot // self.nearest
         self.gain = (self.nearest - by_pivot % self.nearest).astype(np.uint16)  # nearest less the pivot's place
         self.begin = np.searchsorted(order.ravel()[by_pivot], np.arange(n_pivots + 1))
 
