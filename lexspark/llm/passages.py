@@ -2,14 +2,17 @@
 
 A passage can be copied into the middle of another line, so paragraphs are cut by content: before a
 word whose hash, taken with the next word's, is the smallest within ``REACH`` words on either side.
-A copy is cut alike wherever it stands, but for its rims. Paragraphs are sets of five-word shingles.
-Their MinHash signature is cut into bands; two rows of a band, and five bands, find a pair of Jaccard
-0.8 with probability 0.994 and copies always. Colliding paragraphs are verified by exact Jaccard.
+A copy is cut alike wherever it stands, but for its rims. Paragraphs are sets of five-word shingles,
+long enough that one with a word changed is still similar. Their MinHash signature is cut into bands;
+three rows of a band, and eight bands, find a pair of Jaccard 0.8 with probability 0.997 and copies
+always. Colliding paragraphs are verified by exact Jaccard.
 Similar paragraphs form components; in each, the first occurrence stays and the others go.
 
 Words copied exactly are found word by word besides, so that neither the rims of a passage nor one
 without a whole paragraph is left: of every ``min_words`` words the five with the smallest hash are
-looked for in other documents first, and then the words themselves (``repeated_runs``).
+looked for in other documents first, and then the words themselves (``repeated_runs``). Runs that
+follow each other in a document and in its source are joined over the changed words between them, up
+to the same dissimilarity in edits (``_joined``).
 
 A first round verifies every paragraph of a bucket against one of them, the next ones against one
 outside the component that has the bucket's least root, and the last pairs all paragraphs of a bucket
@@ -33,8 +36,8 @@ from .ranges import Held, dealt, flat, ranges_for
 from .words import bit_set, bits, mix, words_of
 
 SHINGLE = 5
-REACH = 5  # paragraphs have 6 words at least, but at a text's ends, and 11 on average
-BANDS, ROWS = 5, 2
+REACH = 25  # paragraphs have 26 words at least, but at a text's ends, and 51 on average
+BANDS, ROWS = 8, 3
 STARS = 2  # further rounds
 PARITIES = 4  # 64-bit bitmaps of a set
 RUN_ROWS = 1 << 16  # rows of one bucket that a task holds at once
@@ -284,17 +287,24 @@ def _bytes(source: DataFrame) -> int:
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, min_words: int = 15, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """The rows of ``repeated_paragraphs`` and ``repeated_runs``, which may overlap: a word goes if
-    a row that has it is ``removed``."""
-    runs = repeated_runs(docs, min_words, id_col, text_col)  # first: it leaves little on disk
-    return repeated_paragraphs(docs, similarity, min_words, id_col, text_col).unionByName(runs)
+    """The rows of ``repeated_paragraphs``, ``repeated_runs`` and ``_joined``, which may overlap: a word
+    goes if a row that has it is ``removed``. Nulls, empty texts, repeated rows, an empty table and
+    further columns: as in ``repeated_paragraphs``."""
+    runs = _runs(docs, min_words, id_col, text_col)  # first: it leaves little on disk
+    paragraphs = repeated_paragraphs(docs, similarity, min_words, id_col, text_col)
+    return paragraphs.unionByName(_shown(runs)).unionByName(_shown(_joined(runs, similarity)))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every run of ``min_words`` words or more that stands alike in another document,
     with the columns of ``repeated_paragraphs``; the passage is the run. All such words have a row.
     Where the first occurrences of a run's parts lie elsewhere, the parts have rows of their own,
-    which overlap."""
+    which overlap. Words and runs are known by 64-bit hashes. Nulls, empty texts, repeated rows, an
+    empty table and further columns: as in ``repeated_paragraphs``."""
+    return _shown(_runs(docs, min_words, id_col, text_col))
+
+
+def _runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
     ranges = ranges_for(_bytes(source) // 12)  # an anchor and a run for each few words
@@ -305,12 +315,34 @@ def repeated_runs(docs: DataFrame, min_words: int = 15, id_col: str = "doc_id",
                      .select("run", F.struct("doc_order", "text_hash", "start_word").alias("first")), "firsts")
     runs = source.mapInArrow(_anchored(wanted, min_words, bits(firsts.select(F.col("run").alias("cls")))), schema)
     shift = F.col("start_word") - F.col("first.start_word")
-    own = ["doc_order", "text_hash", "first_order", "first_hash", "shift"]
+    own = [*_PAIR, "shift"]
     met = (runs.join(firsts, "run").select("doc_order", "text_hash", "start_word", F.col("first.doc_order").alias("first_order"),
                                            F.col("first.text_hash").alias("first_hash"), shift.alias("shift")))
     length = F.max("start_word") - F.min("start_word") + F.lit(min_words)
-    rows = written(met.withColumn("island", F.col("start_word") - F.dense_rank().over(Window.partitionBy(*own).orderBy("start_word")))
+    return written(met.withColumn("island", F.col("start_word") - F.dense_rank().over(Window.partitionBy(*own).orderBy("start_word")))
                    .groupBy(*own, "island").agg(F.min("start_word").alias("start_word"), length.alias("n_words")), "runs")
+
+
+_PAIR = ["doc_order", "text_hash", "first_order", "first_hash"]
+
+
+def _joined(runs: DataFrame, similarity: float) -> DataFrame:
+    """Runs of one document and its source that follow each other in both, with what stands between
+    them, where the words from the first to the last differ from the source's in at most
+    1 - ``similarity`` of them: the edit distance is at most the longer gap, as the runs are alike."""
+    t = Fraction(str(similarity))
+    follow = Window.partitionBy(*_PAIR).orderBy("start_word", "shift")
+    before = F.lag(F.struct("start_word", "n_words", "shift")).over(follow)
+    own = F.col("start_word") - F.col("p.start_word") - F.col("p.n_words")  # words between them here
+    source = own - F.col("shift") + F.col("p.shift")  # and there
+    gap = F.greatest(own, source)
+    close = gap * t.denominator <= (F.col("p.n_words") + F.col("n_words") + gap) * (t.denominator - t.numerator)
+    found = runs.withColumn("p", before).filter(F.col("p").isNotNull() & (own >= 0) & (source >= 0) & close)
+    return found.select(*_PAIR, F.col("p.shift").alias("shift"), F.col("p.start_word").alias("start_word"),
+                        (F.col("start_word") + F.col("n_words") - F.col("p.start_word")).alias("n_words"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
     return rows.select(F.nullif("doc_order", F.lit(_LAST)).alias("doc_id"), "text_hash", "start_word", "n_words", F.col("start_word").alias("passage_start"),
                        F.col("n_words").alias("passage_words"), F.nullif("first_order", F.lit(_LAST)).alias("first_doc_id"),
                        (F.col("start_word") - F.col("shift")).alias("first_start_word"),
@@ -332,7 +364,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, min_words: int
     t = Fraction(str(similarity))
     small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
-    ranges = ranges_for(_bytes(source) // 12)  # five bands for a paragraph of eleven words
+    ranges = ranges_for(_bytes(source) // 12)  # no more rows than that: eight bands for a paragraph of 51 words
     met = cut(source.select("text").mapInArrow(_in_ranges(_banded, _BANDED, ranges), _lists(_BANDED))
               .groupBy("range").applyInArrow(_collide_range, "bucket long, cls long, head long, repeated boolean, crowd boolean"))
     star = cut(met.filter("head is not null").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct())

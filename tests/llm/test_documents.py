@@ -266,6 +266,43 @@ def test_all_words_of_copied_runs_have_rows(spark):
     assert {(r["doc_id"], r["start_word"] + j) for r in both if r["removed"] for j in range(r["n_words"])} >= gone
 
 
+def test_joined_runs_are_whole_near_copies(spark):
+    """Copies with words changed, put in or left out every 20 words go whole, by an edit distance of
+    their own; with half of the words between two runs new they don't."""
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in rng.choice(10**9, 205)]
+    new = iter(f"c{i}" for i in rng.choice(10**9, 400))
+
+    def edited(size):
+        out = base[:20]
+        for k in range(20, 200, 20):
+            kind = k // 20 % 3
+            put = [next(new) for _ in range(0 if kind == 2 else size)]
+            out += put + base[k + (0 if kind == 1 else size):k + 20]
+        return out
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    few, many = edited(2), [w for k in range(0, 200, 20) for w in base[k:k + 20] + [next(new) for _ in range(30)]]
+    texts = [base, few, many]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    found = [r for r in passages.repeated_passages(d).collect() if r["removed"]]
+    gone = {(r["doc_id"], r["start_word"] + j) for r in found for j in range(r["n_words"])}
+    assert {w for i, w in gone if i == 1} == set(range(len(few)))
+    assert {w for i, w in gone if i == 2} == {i for i, w in enumerate(many) if w in set(base)}
+    for r in passages._joined(passages._runs(d, 15, "doc_id", "text"), 0.8).collect():
+        a = texts[r["doc_order"]][r["start_word"]:r["start_word"] + r["n_words"]]
+        f = texts[r["first_order"]]
+        begin = r["start_word"] - r["shift"]
+        assert min(distance(a, f[begin:end]) for end in range(begin + 1, len(f) + 1)) <= 0.2 * r["n_words"]
+
+
 # ------------------------------------------------------------------ mixing
 
 def _targets(sizes, weights, total, most):
