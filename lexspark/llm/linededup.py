@@ -331,7 +331,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 def drop_duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that ``duplicate_lines`` removes; a document all of whose lines
     with words go is dropped, one without such lines stays as it is. Kept lines, blank ones too,
-    are unchanged; ``n_chars``, where there is one, follows the new text."""
+    are unchanged; ``n_chars``, where there is one, follows the new text. Null and empty texts stay
+    as they are; rows alike in id and text count as one document, so both of two such rows stay. An
+    empty table gives an empty result."""
     found = duplicate_lines(docs, similarity, id_col, text_col)
     by_doc = (found.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("_o"), F.col("text_hash").alias("_h"))
               .agg(F.collect_list(F.when(F.col("removed"), F.col("line_no"))).alias("_gone"), F.count("*").alias("_n"))

@@ -125,7 +125,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id (a null id comes
-    last; ties go to the smallest hash of the whole row). Of repeated rows one stays."""
+    last; ties go to the smallest hash of the whole row). Of repeated rows one stays. Texts without words,
+    null ones too, form one class, with those of fingerprints near zero. An empty table gives an empty
+    result."""
     own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     prints = fingerprints(docs, shingle, id_col, text_col, {"row_hash": own})
     found = classes(prints, max_bits).select("fp", "root")
