@@ -43,6 +43,23 @@ PARITIES = 4  # 64-bit bitmaps of a set
 RUN_ROWS = 1 << 16  # rows of one bucket that a task holds at once
 _FACTORS = np.random.default_rng(23).integers(1, 1 << 62, BANDS * ROWS + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = (1 << 63) - 1  # order of a null id
+_MOST = np.iinfo(np.uint64).max
+
+
+def _least(x: np.ndarray, length: int) -> np.ndarray:
+    """The smallest of ``length`` places from each on; doubled spans take few passes."""
+    span = 1
+    while 2 * span <= length:
+        x = np.minimum(x[:len(x) - span], x[span:])
+        span *= 2
+    rest = length - span
+    return np.minimum(x[:len(x) - rest], x[rest:]) if rest else x
+
+
+def _grams(h: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words, also across texts."""
+    n = max(0, len(h) - length + 1)
+    return mix(sum((h[j:j + n] * _FACTORS[BANDS * ROWS + j] for j in range(length)), np.zeros(n, np.uint64)), 13)
 
 
 def _paragraphs(texts: pa.Array):
@@ -57,11 +74,12 @@ def _paragraphs(texts: pa.Array):
     pair = h * _FACTORS[0]
     pair[:-1] += np.where(row[1:] == row[:-1], h[1:], np.uint64(0)) * _FACTORS[1]
     pair = mix(pair, 5)
-    begin = np.ones(n, bool)
-    for s in range(1, min(REACH, n - 1) + 1):
-        same = row[s:] == row[:-s]
-        begin[s:] &= ~same | (pair[s:] < pair[:-s])
-        begin[:-s] &= ~same | (pair[:-s] <= pair[s:])
+    lead = np.concatenate((np.zeros(min(1, n), np.int64), np.cumsum(row[1:] != row[:-1])))  # texts before
+    place = np.arange(n) + REACH * (lead + 1)  # REACH places apart, texts don't meet
+    padded = np.full(n + REACH * (int(lead[-1]) + 2 if n else 2), _MOST)
+    padded[place] = pair
+    least = _least(padded, REACH)
+    begin = (pair < least[place - REACH]) & (pair <= least[place + 1])
     if n:
         begin[0] = True
         begin[1:] |= row[1:] != row[:-1]
@@ -75,8 +93,7 @@ def _paragraphs(texts: pa.Array):
     each = np.where(long_, size - SHINGLE + 1, 0)
     of = np.repeat(np.arange(len(at)), each)
     place = np.repeat(at, each) + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-    shingle = sum((h[place + j] * _FACTORS[BANDS * ROWS + j] for j in range(SHINGLE)), np.zeros(len(place), np.uint64))
-    return row[at][long_], number[long_], (at - text_at)[long_], size[long_], key[long_].view(np.int64), each[long_], mix(shingle, 13)
+    return row[at][long_], number[long_], (at - text_at)[long_], size[long_], key[long_].view(np.int64), each[long_], _grams(h, SHINGLE)[place]
 
 
 def _in_ranges(made, names: list[str], ranges: int):
@@ -190,30 +207,35 @@ def _occurrences(wanted: np.ndarray, paired: np.ndarray):
 
 
 def _windows(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
-    """Row, first word, hash and anchor of all runs of ``length`` words: the anchor is the smallest
-    hash of SHINGLE words in the run, so equal runs have the same."""
+    """Row, first word and anchor of all runs of ``length`` words, where they begin among all words,
+    and the words' hashes: the anchor is the smallest hash of SHINGLE words in the run, so equal runs
+    have the same."""
     rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for row, _, line, words in words_of(texts):
         rows.append(row[line])
         hashes.append(words)
     row, h = np.concatenate(rows), np.concatenate(hashes)
     least = min(SHINGLE, length)
-    grams = max(0, len(h) - least + 1)
-    gram = mix(sum((h[j:j + grams] * _FACTORS[BANDS * ROWS + j] for j in range(least)), np.zeros(grams, np.uint64)), 13)
+    gram = _grams(h, least)
     n = max(0, len(h) - length + 1)
-    whole, anchor = np.zeros(n, np.uint64), np.full(n, np.iinfo(np.uint64).max)
+    at = np.flatnonzero(row[:n] == row[len(row) - n:])
+    anchor = _least(gram, length - least + 1)[at] if n else gram[at]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    first = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return row[at], first[at], anchor.view(np.int64), at, h
+
+
+def _wholes(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs that begin at ``at``."""
+    whole = np.zeros(len(at), np.uint64)
     for j in range(length):
-        whole = whole * _FACTORS[0] + h[j:j + n]
-    for j in range(length - least + 1):
-        anchor = np.minimum(anchor, gram[j:j + n])
-    first = np.arange(n) - np.searchsorted(row, row[:n])
-    ok = row[:n] == row[len(row) - n:]
-    return row[:n][ok], first[ok], mix(whole, 21)[ok].view(np.int64), anchor[ok].view(np.int64)
+        whole = whole * _FACTORS[0] + h[at + j]
+    return mix(whole, 21).view(np.int64)
 
 
 def _anchors(length: int):
     def made(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        row, _, _, anchor = _windows(b.column("text"), length)
+        row, _, anchor, _, _ = _windows(b.column("text"), length)
         new = np.ones(len(row), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         yield anchor[new], b.column("doc").to_numpy()[row[new]]
@@ -250,10 +272,13 @@ def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray):
     """The runs whose anchor's bit is set, and their own in ``shared``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, first, whole, anchor = _windows(b.column("text"), length)
-            ok = bit_set(wanted, anchor) & bit_set(shared, whole)
+            row, first, anchor, at, h = _windows(b.column("text"), length)
+            ok = np.flatnonzero(bit_set(wanted, anchor))
+            whole = _wholes(h, at[ok], length)
+            met = bit_set(shared, whole)
+            ok, whole = ok[met], whole[met]
             at = pa.array(row[ok])
-            yield pa.RecordBatch.from_arrays([b.column("doc_order").take(at), b.column("text_hash").take(at), pa.array(first[ok]), pa.array(whole[ok])],
+            yield pa.RecordBatch.from_arrays([b.column("doc_order").take(at), b.column("text_hash").take(at), pa.array(first[ok]), pa.array(whole)],
                                              names=["doc_order", "text_hash", "start_word", "run"])
 
     return run
