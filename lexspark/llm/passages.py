@@ -113,7 +113,7 @@ def _in_ranges(made, names: list[str], ranges: int):
 
 
 def _lists(names: list[str]) -> str:
-    return "range long, " + ", ".join(f"{c} array<long>" for c in names)
+    return "range long, " + ", ".join(f"{c} array<{'int' if c == 'start_word' else 'long'}>" for c in names)
 
 
 _BANDED = ["bucket", "cls", "n"]
@@ -265,7 +265,7 @@ def _firsts(rows: pa.Table) -> pa.Table:
     other[1:] &= (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
     group = np.cumsum(new) - 1
     at = np.flatnonzero(new)[np.bincount(group, other, minlength=int(new.sum())) > 0]
-    return pa.table([run[at], doc[at], text[at], word[at]], names=_RUN)
+    return pa.table([run[at], doc[at], text[at], word[at].astype(np.int64)], names=_RUN)
 
 
 def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray):
@@ -288,7 +288,7 @@ def _run_places(wanted: np.ndarray, length: int):
     def made(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         row, first, whole, anchor = _windows(b.column("text"), length)
         ok = bit_set(wanted, anchor)
-        yield whole[ok], b.column("doc_order").to_numpy()[row[ok]], b.column("text_hash").to_numpy()[row[ok]], first[ok]
+        yield whole[ok], b.column("doc_order").to_numpy()[row[ok]], b.column("text_hash").to_numpy()[row[ok]], first[ok].astype(np.int32)
 
     return made
 
