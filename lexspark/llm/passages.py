@@ -14,9 +14,10 @@ looked for in other documents first, and then the words themselves (``repeated_r
 follow each other in a document and in its source are joined over the changed words between them, up
 to the same dissimilarity in edits (``_joined``).
 
-A first round verifies every paragraph of a bucket against one of them, the next ones against one
-outside the component that has the bucket's least root, and the last pairs all paragraphs of a bucket
-that are still in different components: groups of near copies aren't spelled out in pairs, and only
+A first round verifies every paragraph of a bucket against one of them, the second against the one
+with the most links so far, the original of a family of changed copies, a third against the one with
+the most links outside the component that has the bucket's least root, and the last pairs all
+paragraphs of a bucket that are still in different components: groups of near copies aren't spelled out in pairs, and only
 links within one component are left out, which change no component.
 """
 
@@ -429,9 +430,12 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, min_words: int
         met_ = u.alias("u").join(c.alias("c"), (F.col("u.bucket") == F.col("c.bucket")) & apart & like("u", "c"))
         return met_.select(F.least("u.cls", "c.cls").alias("a"), F.greatest("u.cls", "c.cls").alias("b")).distinct()
 
-    for _ in range(STARS):
+    for k in range(STARS):
         several = labelled()
-        heads = cut(several.filter("root != low").groupBy("bucket").agg(F.min(F.struct("cls", "n", *sig, "root")).alias("h")).select("bucket", "h.*"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg((-F.count("*")).alias("degree"))
+        outside = several if k == 0 else several.filter("root != low")
+        heads = cut(outside.join(degree, "cls", "left").groupBy("bucket").agg(F.min(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "cls", "n", *sig, "root"))
+                                                                               .alias("h")).select("bucket", "h.*"))
         links = cut(links.unionByName(_verified(pairs(several, heads, F.col("u.root") != F.col("c.root")), sets, t)))
     several = labelled()
     roots = components(links.unionByName(_verified(pairs(several, several, F.col("u.root") < F.col("c.root")), sets, t)))
