@@ -287,9 +287,9 @@ def _anchored(wanted: np.ndarray, length: int, shared: np.ndarray):
 
 def _run_places(wanted: np.ndarray, length: int):
     def made(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        row, first, whole, anchor = _windows(b.column("text"), length)
+        row, first, anchor, at, h = _windows(b.column("text"), length)
         ok = bit_set(wanted, anchor)
-        yield whole[ok], b.column("doc_order").to_numpy()[row[ok]], b.column("text_hash").to_numpy()[row[ok]], first[ok].astype(np.int32)
+        yield _wholes(h, at[ok], length), b.column("doc_order").to_numpy()[row[ok]], b.column("text_hash").to_numpy()[row[ok]], first[ok].astype(np.int32)
 
     return made
 
