@@ -246,3 +246,22 @@ def test_chunks_change_no_counts(monkeypatch):
                 n[x["number"], x["doc_id"]] += x["n_tokens"]
         found.append((p.words.tolist(), p.sizes.tolist(), p.contexts.tolist(), p.counts.tolist(), n))
     assert found[0] == found[1] == found[2]
+
+
+def test_every_context_has_a_restaurant(spark):
+    """Words after infrequent words are as likely as if these were frequent ones (before: as likely as after any word)."""
+    pairs = [(f"q{i} z{i}", f"z{i} q{(i * 7 + 3) % 40}") for i in range(40)]
+    texts = [f"x x x {a} x {b} x {a}" for a, b in pairs for _ in range(6)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    few, all_ = ({r.doc_id: r.score for r in pitmanyor.score(d, contexts=n, samples=4).collect()} for n in (1, 200))
+    assert sum(abs(few[i] - all_[i]) for i in few) / len(few) < 0.3
+
+
+def test_totals_of_infrequent_contexts_meet_across_owners(spark, monkeypatch):
+    """Scores hardly change with the number of owners."""
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 200)) for i in range(200)], "doc_id long, text string").repartition(3)
+    one = {r.doc_id: r.score for r in pitmanyor.score(d, contexts=10, samples=4).collect()}
+    monkeypatch.setattr(pitmanyor, "OWNED", 1500)
+    many = {r.doc_id: r.score for r in pitmanyor.score(d, contexts=10, samples=4).collect()}
+    assert sum(abs(one[i] - many[i]) / abs(one[i]) for i in one) / len(one) < 0.01
