@@ -112,3 +112,24 @@ def test_targets_and_checkpoints(spark):
     ck = spark.createDataFrame([(1, 0.5), (2, 0.3), (3, 0.3)], "step int, loss double")
     b = EV.best_checkpoint(ck, "step", "loss").first()
     assert (b["best_step"], b["best_loss"]) == (2, 0.3)
+
+
+def test_ngrams_are_counted_within_pairs(spark):
+    """Against plain counting; rows of one id are one pair of several texts, and n-grams are no rows of the plan."""
+    from collections import Counter
+
+    rows = [("a", "the cat sat on the mat the cat", "the cat the cat sat"), ("b", "", "x y"), ("c", None, None), ("d", "x y z", "z y x"), ("d", "y z w", "x y z"), (None, "n n", "n")]
+    df = spark.createDataFrame(rows * 20, "id string, reference string, prediction string").where("id IS NULL OR id <> 'b'").unionByName(
+        spark.createDataFrame(rows[1:2], "id string, reference string, prediction string"))
+    d = df.select("id", EV.whitespace_tokens("reference").alias("r"), EV.whitespace_tokens("prediction").alias("p"))
+    st = EV.gram_stats(d, ["id"], [("k", "r", "p", (1, 2, 4))])
+    got = {x["id"]: x.asDict() for x in st.collect()}
+    pairs = {}
+    for i, r, p in [x for x in rows if x[0] != "b"] * 20 + rows[1:2]:
+        pairs.setdefault(i, []).append((r, p))
+    assert set(got) == set(pairs)
+    for i, texts in pairs.items():
+        for n in (1, 2, 4):
+            r, p = (Counter(tuple(w[k:k + n]) for t in texts for w in [(t[side] or "").split()] for k in range(len(w) - n + 1)) for side in (0, 1))
+            assert (got[i][f"k_h{n}"], got[i][f"k_r{n}"], got[i][f"k_p{n}"]) == (sum((r & p).values()), sum(r.values()), sum(p.values()))
+    assert "Generate" not in st._jdf.queryExecution().executedPlan().toString()
