@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS = 2  # rarest words of a key phrase whose places are intersected
@@ -101,8 +101,9 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "
     """
     vocabulary = sorted({w for t in templates for w in t.phrase})
     listed = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    with_words = listed.select("doc_id", "words", F.array_intersect("words", _lit(vocabulary)).alias("licence_words"))
-    n, df = document_frequencies(cut(with_words.select("licence_words")), templates)
+    # texts are cut into words once: both looks at them read the words
+    with_words = written(listed.select("doc_id", "words", F.array_intersect("words", _lit(vocabulary)).alias("licence_words")), "words")
+    n, df = document_frequencies(with_words.select("licence_words"), templates)
     idf = {w: math.log((n + 1) / (k + 1)) for w, k in df.items()}
 
     anchors = {t.label: _anchors(t, idf) for t in templates}

@@ -488,3 +488,9 @@ def test_language_accuracy_on_held_out_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = langid.identify(d).filter("held_out and lang is not null")
     assert held.filter("lang = lang_pred").count() >= 0.98 * held.count() > 0
+
+
+def test_licence_texts_are_cut_into_words_once(docs):
+    """Neither look at the texts cuts them again (before: each did)."""
+    plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
