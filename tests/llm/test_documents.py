@@ -494,3 +494,26 @@ def test_licence_texts_are_cut_into_words_once(docs):
     """Neither look at the texts cuts them again (before: each did)."""
     plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_components_rounds_take_few_partitions(spark, monkeypatch):
+    """However many shuffle partitions there are, a round's edges lie in as few as they need."""
+    from lexspark.llm import components as C
+
+    links = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 100), (7, 7)]
+    want = {(i, i - i % 10) for i in range(40)}
+    df = spark.createDataFrame(links, "a long, b long")
+    made, plain = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda x: made.append(plain(x)) or made[-1])
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert {tuple(r) for r in C.components(df).collect()} == want
+        assert len(made) > 2 and all(x.rdd.getNumPartitions() == 1 for x in made[1:])
+        monkeypatch.setattr(C, "PART_ROWS", 5)
+        assert {tuple(r) for r in C.components(df).collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
