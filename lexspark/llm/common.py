@@ -7,24 +7,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, scratch_folder
-
-#: Rows of one Arrow batch of whole texts: keeps a Python worker's memory bounded when texts are long.
-TEXT_BATCH_ROWS = "1000"
+from ..session import checkpoint_dir, scratch_folder, small_batches as small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts hold few rows; a smaller setting of the user's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > int(TEXT_BATCH_ROWS):
-        spark.conf.set(key, TEXT_BATCH_ROWS)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``: lost executors don't
     lose it, and Spark removes it with the frame (``cleanCheckpoints``). Without that setting a

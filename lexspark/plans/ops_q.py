@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cost as CO
 from ..operators import infer as INF
 from ..operators import monitor as MO
-from ..session import kept, read_table, scratch_folder
+from ..session import kept, read_table, scratch_folder, small_batches
 from ..sources import markup as MK
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -418,6 +418,7 @@ def archive_decisions(spark, sf_dir):
 
     import pandas as pd
 
+    small_batches(spark)
     lg = legal(spark, sf_dir).where(F.col("language") == "de")
 
     def zipped(batches):

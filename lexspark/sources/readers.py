@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from ..session import scratch_folder
+from ..session import scratch_folder, small_batches
 from . import markup
 
 SUPPORTED = ["txt", "html", "htm", "xml"]
@@ -201,6 +201,8 @@ def expand_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> Data
 
 def expand_archive_rows(files: DataFrame) -> DataFrame:
     """``expand_archives`` for rows (path, content as bytes) of any table."""
+    small_batches(files.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = []
