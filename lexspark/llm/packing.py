@@ -55,7 +55,8 @@ class ChunkEncoder:
     string stands goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,9 +99,9 @@ class ChunkEncoder:
         words.update((w, words[stem] + self.tails[w[-1]]) for w, stem in stems.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > self.cache:
             self.chunks = {}
-        if len(self.words) > CACHE:  # words still in use come back from the older generation
+        if len(self.words) > self.cache:  # words still in use come back from the older generation
             self._new_words(self.words)
         out: list[bytes] = []
         later: list[tuple[int, list[str]]] = []
@@ -139,22 +140,23 @@ class ChunkEncoder:
 
 
 @cache
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, words: int) -> ChunkEncoder:
     """A worker keeps its encoder, and what that has cached, from task to task."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, words)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, cached: int = CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids, as little-endian 32-bit numbers) of
-    every piece. A null text is an empty one; each document ends with id 1."""
+    every piece. A null text is an empty one; each document ends with id 1. A worker keeps the ids of
+    ``cached`` words, and as many older ones."""
     small_batches(docs.sparkSession)
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer_path, cached), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
             for first in range(0, b.num_rows, GROUP):
@@ -233,13 +235,13 @@ def _with_rank(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, cached: int = CACHE) -> DataFrame:
     """Every piece with sequence_id (from 0) and offset: pieces lie in a sequence without gaps.
 
     Repeated rows and null ids are documents of their own; empty and null texts are pieces of the
     closing id alone; an empty table gives an empty result; further columns are ignored.
     """
-    cut_up = cut(pieces(docs, tokenizer_path, length, id_col, text_col, with_ids).withColumn("piece_no", F.monotonically_increasing_id()))
+    cut_up = cut(pieces(docs, tokenizer_path, length, id_col, text_col, with_ids, cached).withColumn("piece_no", F.monotonically_increasing_id()))
     histogram = dict(cut_up.groupBy("length").count().collect())  # at most a row per length
     keys, first, offset = _slots(patterns(histogram, length)) if histogram else (np.zeros(0, np.int64),) * 3
 
